@@ -45,14 +45,16 @@ def with_halo(df: DataFrame, r3: int, r2: int, tiling: Tiling = DEFAULT_TILING)
     def tiles(index: str, radius: int, block: int) -> Column:
         lo = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col(index) - radius) / block))
         hi = F.floor((F.col(index) + radius) / block)
-        return F.explode(F.sequence(lo, hi)).cast("int")
+        return F.explode(F.sequence(lo.cast("int"), hi.cast("int")))
 
     out = df.withColumn(TILE3, tiles(I3, r3, tiling.block3))
     out = out.withColumn(TILE2, tiles(I2, r2, tiling.block2))
     core = (F.floor(F.col(I3) / tiling.block3) == F.col(TILE3)) & (
         F.floor(F.col(I2) / tiling.block2) == F.col(TILE2)
     )
-    return out.withColumn(CORE, core).repartition(*tiling.tile_cols)
+    # An explicit count: the work per byte is high, so small tiles must not be coalesced.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.withColumn(CORE, core).repartition(n, *tiling.tile_cols)
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
@@ -111,20 +113,19 @@ def with_shifts(
 
 
 def to_voxels(df: DataFrame, cols: list[str], extra: list[str] | None = None) -> DataFrame:
-    """Trace layout -> voxel layout; one narrow generate, no shuffle."""
+    """Trace layout -> voxel layout; one narrow, code-generated explode, no shuffle."""
     extra = extra or []
-    zipped = F.arrays_zip(*[F.col(c) for c in cols])
-    out = df.select(*extra, I3, I2, F.posexplode(zipped).alias(I1, "_v"))
-    return out.select(*extra, I3, I2, I1, *[F.col(f"_v.{c}").alias(c) for c in cols])
+    n = F.size(cols[0])
+    index = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias(I1)
+    out = df.select(*extra, I3, I2, *cols, index)
+    return out.select(*extra, I3, I2, I1, *[F.get(c, F.col(I1)).alias(c) for c in cols])
 
 
 def to_traces(df: DataFrame, cols: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Voxel layout -> trace layout; group size is one trace, bounded by n1."""
     packed = F.array_sort(F.collect_list(F.struct(I1, *cols)))
     out = df.groupBy(*keys, I3, I2).agg(packed.alias("_p"))
-    return out.select(
-        *keys, I3, I2, *[F.transform("_p", lambda s, c=c: s[c]).alias(c) for c in cols]
-    )
+    return out.select(*keys, I3, I2, *[F.col("_p").getField(c).alias(c) for c in cols])
 
 
 def shape_of(df: DataFrame) -> DataFrame:
