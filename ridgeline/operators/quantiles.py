@@ -38,22 +38,18 @@ def _ranked(df: DataFrame, keys: list[str], value: str | Column, wanted: Column)
     per_bucket = counted.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"))
     upto = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("_k")
+    below = F.col("_cum") - F.col("_bn")
     targets = (
-        per_bucket.withColumn("_cum", F.sum("_bn").over(upto))
-        .withColumn("_total", F.sum("_bn").over(whole))
-        .withColumn("_w", F.explode(wanted))
-        .where((F.col("_w.rank") >= F.col("_cum") - F.col("_bn")) & (F.col("_w.rank") < F.col("_cum")))
-        .select("_k", "_b", "_w", "_total", (F.col("_w.rank") - (F.col("_cum") - F.col("_bn"))).alias("_local"))
+        per_bucket.withColumns({"_cum": F.sum("_bn").over(upto), "_total": F.sum("_bn").over(whole)})
+        .withColumn("_all", wanted)
+        .withColumn("_w", F.filter("_all", lambda w: (w["rank"] >= below) & (w["rank"] < F.col("_cum"))))
+        .where(F.size("_w") > 0)
+        .select("_k", "_b", "_w", "_total", below.alias("_below"))
     )
     inside = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = counted.join(targets.select("_k", "_b").distinct(), ["_k", "_b"], "left_semi").withColumn(
-        "_upto", F.sum("_n").over(inside)
-    )
-    return (
-        ordered.join(targets, ["_k", "_b"])
-        .where((F.col("_local") >= F.col("_upto") - F.col("_n")) & (F.col("_local") < F.col("_upto")))
-        .select("_k", "_w", "_total", "_v")
-    )
+    reached = counted.join(targets, ["_k", "_b"]).withColumn("_upto", F.sum("_n").over(inside) + F.col("_below"))
+    mine = F.filter("_w", lambda w: (w["rank"] >= F.col("_upto") - F.col("_n")) & (w["rank"] < F.col("_upto")))
+    return reached.select("_k", F.explode(mine).alias("_w"), "_total", "_v")
 
 
 def grouped_quantiles(

@@ -13,13 +13,13 @@ from ridgeline.grid import DEFAULT_TILING, I2, I3, Tiling, drop_halo, with_halo,
 
 def weighted_arrays(cols: list[str], weights: list[float]) -> Column:
     """Element-wise weighted sum of equally long arrays, accumulated in double."""
-    first, rest = (cols[0], weights[0]), list(zip(cols[1:], weights[1:]))
+    zipped = F.arrays_zip(*[F.col(c).alias(f"a{k}") for k, c in enumerate(cols)])
 
-    def at(x, i):
-        terms = [x * F.lit(first[1])] + [F.get(F.col(c), i) * F.lit(w) for c, w in rest]
+    def at(z):
+        terms = [z[f"a{k}"] * F.lit(w) for k, w in enumerate(weights)]
         return reduce(lambda a, b: a + b, terms).cast("float")
 
-    return F.transform(F.col(first[0]), at)
+    return F.transform(zipped, at)
 
 
 def along_trace(col: str | Column, weights: list[float]) -> Column:

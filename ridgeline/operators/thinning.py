@@ -24,6 +24,15 @@ def _get(col: str, i: Column) -> Column:
     return F.get(F.col(col), i)
 
 
+def _zip(cols: list[str], fn) -> Column:
+    """Element-wise function of several arrays.
+
+    Derived arrays are passed as arguments, never captured by the lambda: a captured
+    one could be inlined by the optimizer and re-evaluated for every element.
+    """
+    return F.transform(F.arrays_zip(*[F.col(c).alias(c) for c in cols]), fn)
+
+
 # ---------------------------------------------------------------- strike-binned maxima
 
 
@@ -79,14 +88,14 @@ def _reference_in_tiles(df: DataFrame, value: str, strike: str, sigma: float, re
     helpers = [n for n in names.values() if n != "_s"]
     work = work.drop(*helpers)
     zero = F.lit(0.0).cast("float")
-    work = work.withColumn(out, F.transform("_s", lambda x, i: F.when(_get(keep_out, i), x).otherwise(zero)))
+    work = work.withColumn(out, _zip(["_s", keep_out], lambda z: F.when(z[keep_out], z["_s"]).otherwise(zero)))
     if reinforce:
-        def strong(x, i):
-            s = F.pmod(_get(strike, i), F.lit(360.0).cast("float"))
+        def strong(z):
+            s = F.pmod(z[strike], F.lit(360.0).cast("float"))
             folded = F.when(s > 180.0, 360.0 - s).otherwise(s)
-            return F.when(_get(keep_out, i) & (folded > 60.0) & (folded < 120.0), x)
+            return F.when(z[keep_out] & (folded > 60.0) & (folded < 120.0), z["_s"])
 
-        work = work.withColumn("_r", F.transform("_s", strong))
+        work = work.withColumn("_r", _zip(["_s", keep_out, strike], strong))
         work = work.withColumn("_r", shifted("_r", I3, 1, tiling))
         work = work.withColumn(
             out, F.transform(out, lambda x, i: F.coalesce(_get("_r", i), x).cast("float"))
@@ -174,11 +183,11 @@ def _sides_in_tiles(df: DataFrame, value: str, strike: str, dip: str, sigma: flo
 def _normal_values(value: str) -> Column:
     zero = F.lit(0.0).cast("float")
 
-    def pick(x, i):
-        s = F.get(F.col("_sides"), i)
-        return F.when((s["p"] < _get("_fs", i)) & (s["m"] < _get("_fs", i)), x).otherwise(zero)
+    def pick(z):
+        ok = (z["_sides"]["p"] < z["_fs"]) & (z["_sides"]["m"] < z["_fs"])
+        return F.when(ok, z[value]).otherwise(zero)
 
-    return F.transform(value, pick)
+    return _zip([value, "_fs", "_sides"], pick)
 
 
 def thin_normal(
@@ -338,7 +347,9 @@ def thin_hybrid(
     work = work.withColumn("_sup", F.transform(value, lambda x: x > 0))
     work = _roughness_in_tiles(work, strike, dip, "_sup", tiling, "_rough")
     work = work.where(F.col("_core"))
-    pick = F.transform("_ref", lambda x, i: F.when(_get("_rough", i) <= threshold, x).otherwise(_get("_nrm", i)))
+    pick = _zip(
+        ["_ref", "_rough", "_nrm"], lambda z: F.when(z["_rough"] <= threshold, z["_ref"]).otherwise(z["_nrm"])
+    )
     return work.withColumn(out, pick).select(*keep, out)
 
 
