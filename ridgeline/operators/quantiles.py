@@ -34,6 +34,7 @@ def _ranked(df: DataFrame, keys: list[str], value: str | Column, wanted: Column)
         .groupBy("_k", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", _bucket(F.col("_v")))
+        .where(F.col("_b").isNotNull())  # same filter in both uses below, so their shuffle is shared
     )
     per_bucket = counted.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"))
     upto = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

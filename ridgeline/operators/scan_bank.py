@@ -1,7 +1,7 @@
 """Derivative-bank orientation scans: a per-voxel argmax over literal angles.
 
-Everything runs inside the JVM: one halo exchange for the derivatives, then a
-fold over the (small, fixed) list of orientations in each voxel.
+One halo exchange for the derivatives, then a vectorised fold over the (small,
+fixed) list of orientations.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.kernels import angle_samples
 from ridgeline.grid import DEFAULT_TILING, I1, I2, I3, Tiling, to_voxels
 from ridgeline.operators.quantiles import quantile
+from ridgeline.session import cut_lineage
 from ridgeline.operators.stencil import DERIVATIVES_2D, DERIVATIVES_3D, gaussian_derivatives
 
 
@@ -39,27 +41,28 @@ def bank_3d(phis: list[float], thetas: list[float]) -> list[dict]:
     return out
 
 
-def _literal_bank(bank: list[dict], floats: tuple[str, ...]) -> Column:
-    rows = []
-    for b in bank:
-        rows.append(
-            F.struct(*[(F.lit(v).cast("float") if k in floats else F.lit(v)).alias(k) for k, v in b.items()])
-        )
-    return F.array(*rows)
-
+def _pick(bank: list[dict], score, names: list[str], angles: tuple[str, ...]) -> Column:
+    """struct(s, angles...) of the best orientation per voxel.
 
-def _argmax(bank: Column, score, angles: tuple[str, ...]) -> Column:
-    """Fold: strictly better scores replace, so the first orientation wins ties."""
-    zero = F.lit(0.0).cast("float")
-    first = F.get(bank, F.lit(0))
-    init = F.struct(zero.alias("s"), *[first[a].alias(a) for a in angles])
+    An Arrow UDF over the derivative columns: the same fold written with built-in
+    array functions is interpreted per voxel and orientation, and measured 10x slower.
+    Strictly better scores replace, so the first orientation wins ties.
+    """
+    table = {a: np.float32([b[a] for b in bank]) for a in angles}
 
-    def step(acc, b):
-        s = score(b).cast("float")
-        cand = F.struct(s.alias("s"), *[b[a].alias(a) for a in angles])
-        return F.when(s > acc["s"], cand).otherwise(acc)
+    @F.pandas_udf("s float, " + ", ".join(f"{a} float" for a in angles))
+    def best_of(cols: pd.DataFrame) -> pd.DataFrame:
+        d = {n: cols[n].to_numpy(np.float64) for n in names}
+        best = np.zeros(len(cols), np.float32)
+        code = np.zeros(len(cols), np.int32)
+        for k, b in enumerate(bank):
+            s = score(b, d).astype(np.float32)
+            better = s > best
+            best = np.where(better, s, best)
+            code[better] = k
+        return pd.DataFrame({"s": best, **{a: t[code] for a, t in table.items()}})
 
-    return F.aggregate(bank, init, step)
+    return best_of(F.struct(*names))
 
 
 def normalize_p995(df: DataFrame, score: str, out: str) -> DataFrame:
@@ -75,19 +78,19 @@ def scan_fast_2d(
 ) -> DataFrame:
     """2-D scan; trace layout in, voxel layout (score, pt, ft) out."""
     s = max(0.75, 0.5 * sigma1)
-    bank = _literal_bank(bank_2d(angle_samples(theta_min, theta_max, sigma1)), ("pt",))
+    bank = bank_2d(angle_samples(theta_min, theta_max, sigma1))
     g = gaussian_derivatives(df, col, s, DERIVATIVES_2D, tiling, dims=2)
     vox = to_voxels(g, list(DERIVATIVES_2D), list(tiling.keys))
-    d = {n: F.col(n).cast("double") for n in DERIVATIVES_2D}
 
-    def score(b):
-        edge = F.abs(b["n1"] * d["d1"] + b["n2"] * d["d2"])
-        ridge = F.abs(b["n1"] * b["n1"] * d["d11"] + 2.0 * b["n1"] * b["n2"] * d["d12"] + b["n2"] * b["n2"] * d["d22"])
+    def score(b, d):
+        edge = np.abs(b["n1"] * d["d1"] + b["n2"] * d["d2"])
+        ridge = np.abs(b["n1"] * b["n1"] * d["d11"] + 2.0 * b["n1"] * b["n2"] * d["d12"] + b["n2"] * b["n2"] * d["d22"])
         return edge + s * ridge
 
-    best = vox.withColumn("_b", _argmax(bank, score, ("pt",)))
+    best = vox.withColumn("_b", _pick(bank, score, list(DERIVATIVES_2D), ("pt",)))
     out = best.select(*tiling.keys, I3, I2, I1, F.col("_b.s").alias("score"), F.col("_b.pt").alias("pt"))
-    return normalize_p995(out, "score", "ft")
+    # the scan is stored once: the normalisation reads it again
+    return normalize_p995(cut_lineage(out), "score", "ft")
 
 
 def scan_fast_3d(
@@ -96,24 +99,24 @@ def scan_fast_3d(
 ) -> DataFrame:
     """3-D scan; trace layout in, voxel layout (score, pt, tt, ft) out."""
     s = max(0.75, 0.5 * min(sigma1, sigma2))
-    bank = _literal_bank(bank_3d(phis, thetas), ("pt", "tt"))
+    bank = bank_3d(phis, thetas)
     g = gaussian_derivatives(df, col, s, DERIVATIVES_3D, tiling)
     vox = to_voxels(g, list(DERIVATIVES_3D), list(tiling.keys))
-    d = {n: F.col(n).cast("double") for n in DERIVATIVES_3D}
 
-    def score(b):
-        edge = F.abs(b["w1"] * d["d1"] + b["w2"] * d["d2"] + b["w3"] * d["d3"])
-        ridge = F.abs(
+    def score(b, d):
+        edge = np.abs(b["w1"] * d["d1"] + b["w2"] * d["d2"] + b["w3"] * d["d3"])
+        ridge = np.abs(
             b["w1"] * b["w1"] * d["d11"] + b["w2"] * b["w2"] * d["d22"] + b["w3"] * b["w3"] * d["d33"]
             + 2.0 * b["w1"] * b["w2"] * d["d12"] + 2.0 * b["w1"] * b["w3"] * d["d13"] + 2.0 * b["w2"] * b["w3"] * d["d23"]
         )
         return edge + s * ridge
 
-    best = vox.withColumn("_b", _argmax(bank, score, ("pt", "tt")))
+    best = vox.withColumn("_b", _pick(bank, score, list(DERIVATIVES_3D), ("pt", "tt")))
     out = best.select(
         *tiling.keys, I3, I2, I1, F.col("_b.s").alias("score"), F.col("_b.pt").alias("pt"), F.col("_b.tt").alias("tt")
     )
-    return normalize_p995(out, "score", "ft")
+    # the scan is stored once: the normalisation reads it again
+    return normalize_p995(cut_lineage(out), "score", "ft")
 
 
 def argmax_of_backends(df: DataFrame, backends: list[tuple[str, float]]) -> DataFrame:
