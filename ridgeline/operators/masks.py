@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scores import NONZERO_EPSILON, nonzero, positive, ratio
-from ridgeline.operators.quantiles import quantile, value_at_rank
+from ridgeline.operators.quantiles import cut_at_rank, quantile
 
 
 def nonzero_report(df: DataFrame, col: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -49,16 +49,16 @@ def top_k_mask(
     """True for the k largest samples; equal values in ascending flat order.
 
     Two order statistics (the k-th value, and the flat index where its ties are
-    cut) replace a global sort, so k may be as large as the volume.
+    cut) replace a global sort, so k may be as large as the volume.  ``df`` is read
+    several times: store it first when it is expensive.
     """
     pool = df.where(F.col(col) > F.lit(float(epsilon))) if positive_only else df
     kc = (F.lit(k) if isinstance(k, int) else k).cast("bigint")
     n_pool = pool.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     last = F.least(kc, n_pool) - 1
-    cut = value_at_rank(pool, col, last, ascending=False)
-    v = F.col(col).cast("double")
-    above = pool.where(v > cut).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    flat_cut = value_at_rank(pool.where(v == cut), flat, last - above)
+    top = cut_at_rank(pool, col, last, ascending=False)
+    v, cut = F.col(col).cast("double"), top["value"]
+    flat_cut = cut_at_rank(pool.where(v == cut), flat, last - top["above"])["value"]
     hit = (v > cut) | ((v == cut) & (F.col(flat) <= flat_cut))
     if positive_only:
         hit = hit & (F.col(col) > F.lit(float(epsilon)))

@@ -50,7 +50,7 @@ def _ranked(df: DataFrame, keys: list[str], value: str | Column, wanted: Column)
     inside = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     reached = counted.join(targets, ["_k", "_b"]).withColumn("_upto", F.sum("_n").over(inside) + F.col("_below"))
     mine = F.filter("_w", lambda w: (w["rank"] >= F.col("_upto") - F.col("_n")) & (w["rank"] < F.col("_upto")))
-    return reached.select("_k", F.explode(mine).alias("_w"), "_total", "_v")
+    return reached.select("_k", F.explode(mine).alias("_w"), "_total", "_v", "_upto")
 
 
 def grouped_quantiles(
@@ -85,9 +85,13 @@ def quantile(df: DataFrame, value: str | Column, p: float) -> Column:
     return grouped_quantiles(df, [], value, {"q": p}).select("q").scalar()
 
 
-def value_at_rank(df: DataFrame, value: str | Column, rank: Column, ascending: bool = True) -> Column:
-    """The value at a 0-based rank as a scalar subquery; NULL when out of range."""
+def cut_at_rank(df: DataFrame, value: str | Column, rank: Column, ascending: bool = True) -> Column:
+    """struct(value, above) at a 0-based rank as a scalar subquery: the value there and
+    how many rows lie strictly above it.  NULL when the rank is out of range."""
     r = rank.cast("bigint")
     r = r if ascending else F.col("_total") - 1 - r
     want = F.array(F.struct(F.lit("r").alias("name"), r.alias("rank")))
-    return _ranked(df, [], value, want).agg(F.max("_v").alias("v")).select("v").scalar()
+    one = _ranked(df, [], value, want).agg(
+        F.max(F.struct(F.col("_v").alias("value"), (F.col("_total") - F.col("_upto")).alias("above"))).alias("cut")
+    )
+    return one.select("cut").scalar()
