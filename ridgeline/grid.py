@@ -1,18 +1,17 @@
-"""Grid layouts, halo tiles and neighbour access.
-
-A neighbourhood operator needs the traces around each trace.  Instead of one
-shuffle per axis, traces are sent once to square tiles of the ``(i3, i2)`` plane
-together with a halo as wide as the stencil.  Hash partitioning on the tile also
-satisfies every window partitioned by ``(tile, i3)`` or ``(tile, i2)``, so a whole
-chain of passes along i3, i2 and i1 costs a single exchange of compact rows, and
-no task ever holds more than a tile: long lines and hot axes are cut up.
+"""Grid layouts, halo tiles and shapes.
+
+A neighbourhood operator needs the traces around each trace.  Instead of one shuffle per
+axis, traces are sent once to square tiles of the ``(i3, i2)`` plane together with a halo
+as wide as the stencil, so a whole chain of passes along i3, i2 and i1 costs a single
+exchange of compact rows, and no task ever holds more than a tile: long lines and hot
+axes are cut up.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 I3, I2, I1 = "i3", "i2", "i1"
@@ -57,58 +56,6 @@ def with_halo(df: DataFrame, r3: int, r2: int, tiling: Tiling = DEFAULT_TILING)
     return out.withColumn(CORE, core).repartition(n, *tiling.tile_cols)
 
 
-def drop_halo(df: DataFrame) -> DataFrame:
-    """Keep each row once, in its own tile."""
-    return df.where(F.col(CORE)).drop(TILE3, TILE2, CORE)
-
-
-def line_window(axis: str, tiling: Tiling = DEFAULT_TILING):
-    """Window along i3 or i2 inside a tile (no shuffle after :func:`with_halo`)."""
-    fixed = I2 if axis == I3 else I3
-    return Window.partitionBy(*tiling.tile_cols, fixed).orderBy(axis)
-
-
-def shifted(col: str | Column, axis: str, k: int, tiling: Tiling = DEFAULT_TILING) -> Column:
-    """Value of ``col`` at ``index + k`` along ``axis``; NULL outside the grid."""
-    c = F.col(col) if isinstance(col, str) else col
-    if k == 0:
-        return c
-    w = line_window(axis, tiling)
-    return F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
-
-
-def with_shifts(
-    df: DataFrame,
-    col: str,
-    axis: str,
-    radius: int,
-    tiling: Tiling = DEFAULT_TILING,
-    prefix: str | None = None,
-    clamp: bool = True,
-) -> tuple[DataFrame, dict[int, str]]:
-    """Add the neighbours of ``col`` at offsets ``-radius..radius`` along i3 or i2.
-
-    With ``clamp`` a missing neighbour takes the value of the nearest existing
-    one, which is the "nearest" edge rule; otherwise it stays NULL.
-    """
-    prefix = prefix or f"_{col}_{axis}"
-    names = {0: col}
-    raw = {}
-    for k in range(1, radius + 1):
-        for s in (-k, k):
-            names[s] = f"{prefix}_{'m' if s < 0 else 'p'}{k}"
-            raw[names[s]] = shifted(col, axis, s, tiling)
-    df = df.withColumns(raw) if raw else df
-    if clamp and raw:
-        fixes = {}
-        for k in range(1, radius + 1):
-            for sign in (-1, 1):
-                chain = [F.col(names[sign * j]) for j in range(k, -1, -1)]
-                fixes[names[sign * k]] = F.coalesce(*chain)
-        df = df.withColumns(fixes)
-    return df, names
-
-
 # ---------------------------------------------------------------- layouts
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions.angles import dominant_axis
 from ridgeline.functions.scores import near_edge, positive
 from ridgeline.operators.thinning import collapse_runs
+from ridgeline.session import cut_lineage
 
 XYZ = ["i3", "i2", "i1"]
 
@@ -79,7 +80,7 @@ def thin_edge_lines(
     largest (target, fv, -flat) wins; it clears the line's edge samples if it also beats
     the best of them, and then takes its ``fv``.  Returns (i3, i2, i1, fvt), positives only.
     """
-    c = cells.withColumns(
+    c = cut_lineage(cells).withColumns(  # read four times below
         {
             "edge": near_edge(margin),
             "flat": (F.col("i3").cast("bigint") * F.col("n2") + F.col("i2")) * F.col("n1") + F.col("i1"),

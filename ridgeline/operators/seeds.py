@@ -43,7 +43,7 @@ def settle(pdf: pd.DataFrame, d: int, late_first: bool, rounds: int) -> np.ndarr
     pos -= pos.min(axis=0)
     last = (pdf["flat"] if late_first else -pdf["flat"]).to_numpy(np.int64)
     rank = np.zeros(len(pdf), np.int64)
-    rank[np.lexsort((last, pdf["score"].to_numpy()))] = np.arange(1, len(pdf) + 1)
+    rank[np.lexsort((last, pdf["score2"].to_numpy(), pdf["score"].to_numpy()))] = np.arange(1, len(pdf) + 1)
     grid = np.zeros(pos.max(axis=0) + 1, np.int64)
     at = tuple(pos.T)
     grid[at] = rank
@@ -60,31 +60,36 @@ def settle(pdf: pd.DataFrame, d: int, late_first: bool, rounds: int) -> np.ndarr
 
 
 def pick_seeds(
-    candidates: DataFrame, distance: int, late_first: bool = True, tiling: Tiling = DEFAULT_TILING
+    candidates: DataFrame, distance: int, late_first: bool = True, tiling: Tiling = DEFAULT_TILING,
+    second: str | None = None,
 ) -> DataFrame:
     """Greedy suppression of (i3, i2, i1, flat, score) rows; other columns are kept.
 
+    ``second`` names a column that ranks equal scores (descending).
+
     Ties in score go to the larger flat index with ``late_first`` (voting seeds),
     to the smaller one without it (skin seeds).
     """
     if distance == 0:
         return candidates
-    alive = cut_lineage(candidates.select(*XYZ, "flat", F.col("score").cast("double").alias("score")))
+    alive = cut_lineage(candidates.select(
+        *XYZ, "flat", F.col("score").cast("double").alias("score"),
+        (F.col(second) if second else F.lit(0.0)).cast("double").alias("score2"),
+    ))
     accepted = []
     halo = 2 * distance * _ROUNDS
-    keys = list(tiling.keys)
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         state = settle(pdf, distance, late_first, _ROUNDS)
         keep = pdf["_core"].to_numpy() & (state >= 0)
-        out = pdf.loc[keep, [*XYZ, "flat", "score"]]
+        out = pdf.loc[keep, [*XYZ, "flat", "score", "score2"]]
         return out.assign(state=state[keep].astype(np.int32))
 
     while True:
         tiles = with_halo(alive, halo, halo, tiling)
         done = cut_lineage(
             tiles.groupBy(*tiling.tile_cols).applyInPandas(
-                decide, "i3 int, i2 int, i1 int, flat bigint, score double, state int"
+                decide, "i3 int, i2 int, i1 int, flat bigint, score double, score2 double, state int"
             )
         )
         accepted.append(done.where("state = 1").select("flat"))
@@ -92,7 +97,6 @@ def pick_seeds(
         if alive.isEmpty():
             break
     chosen = reduce(lambda a, b: a.unionByName(b), accepted)
-    del keys
     return candidates.join(chosen, "flat", "left_semi")
 
 
@@ -112,3 +116,27 @@ def pick_centers(df: DataFrame, value: str, count: int, separation: float) -> li
         d2 = sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(XYZ, p)), F.lit(0))
         pool = pool.where(d2 >= separation * separation)
     return picks
+
+
+def retain_boundary_seeds(
+    volume: DataFrame, distance: int, threshold: float, margin: int, tiling: Tiling = DEFAULT_TILING
+) -> DataFrame:
+    """Default seeds plus edge-shell seeds on a positive target (column ``added``).
+
+    ``volume``: i3, i2, i1, n3, n2, n1, flat, ft, pt, tt, target.  Edge candidates need
+    ft above min(threshold, half the largest ft of the shell); they are spaced among
+    themselves by (target, ft, earlier index), default seeds are never repeated.
+    """
+    from ridgeline.functions.scores import near_edge, positive
+
+    base = pick_seeds(
+        volume.where(F.col("ft") > F.lit(threshold).cast("float")).withColumn("score", F.col("ft")), distance, True, tiling
+    )
+    base = base.drop("score").withColumn("added", F.lit(False))
+    shell = volume.where(near_edge(margin))
+    limit = F.least(F.lit(float(threshold)), 0.5 * shell.agg(F.max("ft").alias("m")).select("m").scalar().cast("double"))
+    pool = shell.where(positive("target") & (F.col("ft") > F.coalesce(limit, F.lit(0.0)).cast("float")))
+    pool = pool.join(base.select("flat"), "flat", "left_anti")
+    if distance > 0:
+        pool = pick_seeds(pool.withColumn("score", F.col("target")), distance, False, tiling, "ft").drop("score")
+    return base.unionByName(pool.withColumn("added", F.lit(True)))

@@ -1,4 +1,4 @@
-"""Separable stencils in trace layout (one exchange for all axes)."""
+"""Gaussian smoothing and derivatives of trace-layout volumes."""
 
 from __future__ import annotations
 
@@ -7,19 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.kernels import gaussian_weights
-from ridgeline.grid import DEFAULT_TILING, I2, I3, Tiling, drop_halo, with_halo, with_shifts
-
-
-def weighted_arrays(cols: list[str], weights: list[float]) -> Column:
-    """Element-wise weighted sum of equally long arrays, accumulated in double."""
-    zipped = F.arrays_zip(*[F.col(c).alias(f"a{k}") for k, c in enumerate(cols)])
-
-    def at(z):
-        terms = [z[f"a{k}"] * F.lit(w) for k, w in enumerate(weights)]
-        return reduce(lambda a, b: a + b, terms).cast("float")
-
-    return F.transform(zipped, at)
+from ridgeline.grid import DEFAULT_TILING, Tiling
+from ridgeline.operators.tiles import gauss, tile_map
 
 
 def along_trace(col: str | Column, weights: list[float]) -> Column:
@@ -38,33 +27,6 @@ def along_trace(col: str | Column, weights: list[float]) -> Column:
     return F.transform(c, at)
 
 
-def across_traces(
-    df: DataFrame, col: str, out: str, axis: str, weights: list[float], tiling: Tiling
-) -> DataFrame:
-    """Weighted sum along i3 or i2 inside halo tiles, nearest edge."""
-    r = len(weights) // 2
-    wide, names = with_shifts(df, col, axis, r, tiling, prefix=f"_s_{out}")
-    ordered = [names[k] for k in range(-r, r + 1)]
-    wide = wide.withColumn(f"_o_{out}", weighted_arrays(ordered, weights))
-    helpers = [n for k, n in names.items() if k != 0]
-    return wide.drop(*helpers).withColumn(out, F.col(f"_o_{out}")).drop(f"_o_{out}")
-
-
-def smooth_in_tiles(
-    df: DataFrame, col: str, out: str, sigmas: tuple[float, float, float], tiling: Tiling
-) -> DataFrame:
-    """Gaussian along i3, i2, i1 for rows that already sit in halo tiles."""
-    s3, s2, s1 = sigmas
-    work = df.withColumn(out, F.col(col))
-    if s3 > 0:
-        work = across_traces(work, out, out, I3, gaussian_weights(s3), tiling)
-    if s2 > 0:
-        work = across_traces(work, out, out, I2, gaussian_weights(s2), tiling)
-    if s1 > 0:
-        work = work.withColumn(out, along_trace(out, gaussian_weights(s1)))
-    return work
-
-
 def radius(sigma: float) -> int:
     return int(4.0 * sigma + 0.5) if sigma > 0 else 0
 
@@ -77,13 +39,15 @@ def smooth(
     tiling: Tiling = DEFAULT_TILING,
 ) -> DataFrame:
     """Gaussian smoothing of a trace-layout volume with nearest edges."""
-    if not isinstance(sigmas, tuple):
-        sigmas = (sigmas,) * 3
-    s3, s2, s1 = sigmas
-    if s3 <= 0 and s2 <= 0:
-        return df.withColumn(out, along_trace(col, gaussian_weights(s1)) if s1 > 0 else F.col(col))
-    tiles = with_halo(df, radius(s3), radius(s2), tiling)
-    return drop_halo(smooth_in_tiles(tiles, col, out, sigmas, tiling))
+    s3, s2, s1 = sigmas if isinstance(sigmas, tuple) else (sigmas,) * 3
+    keep = [c for c in df.columns if c not in ("i3", "i2", out, *tiling.keys)]
+
+    def fn(b, _a3, _a2):
+        return {out: gauss(gauss(gauss(b[col], s3, 0), s2, 1), s1, 2)}
+
+    if out == col:
+        keep = [c for c in keep if c != col]
+    return tile_map(df, [col], (radius(s3), radius(s2)), fn, {out: "array<float>"}, tiling, keep)
 
 
 # derivative name -> orders along (i3, i2, i1)
@@ -105,17 +69,10 @@ def gaussian_derivatives(
 ) -> DataFrame:
     """Gaussian derivatives; passes shared between outputs, one exchange in all."""
     r = radius(sigma)
-    w = [gaussian_weights(sigma, o) for o in range(3)]
-    keep = df.columns
-    work = with_halo(df, r if dims == 3 else 0, r, tiling)
-    passes3 = sorted({o[0] for o in which.values()})
-    for a in passes3:
-        if dims == 3:
-            work = across_traces(work, col, f"_g{a}", I3, w[a], tiling)
-        else:
-            work = work.withColumn(f"_g{a}", F.col(col))
-    for a, b in sorted({o[:2] for o in which.values()}):
-        work = across_traces(work, f"_g{a}", f"_g{a}{b}", I2, w[b], tiling)
-    work = work.where(F.col("_core"))
-    outs = {n: along_trace(f"_g{a}{b}", w[c]) for n, (a, b, c) in which.items()}
-    return work.withColumns(outs).select(*keep, *which)
+
+    def fn(b, _a3, _a2):
+        along3 = {o[0]: gauss(b[col], sigma, 0, o[0]) if dims == 3 else b[col] for o in which.values()}
+        along2 = {o[:2]: gauss(along3[o[0]], sigma, 1, o[1]) for o in which.values()}
+        return {n: gauss(along2[o[:2]], sigma, 2, o[2]) for n, o in which.items()}
+
+    return tile_map(df, [col], (r if dims == 3 else 0, r), fn, {n: "array<float>" for n in which}, tiling)

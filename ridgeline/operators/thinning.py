@@ -1,69 +1,37 @@
-"""Ridge thinning of vote volumes, in trace layout.
+"""Ridge thinning of vote volumes.
 
-Every mode needs the smoothed value of the eight surrounding traces, so one halo
-exchange feeds all of them.  Plateau runs may be as long as an axis; they are
-found with gaps-and-islands windows over the surviving candidates.
+Trace layout in; every mode reads a few neighbouring traces, so one halo exchange feeds
+all of them.  Plateau runs may be as long as an axis and cross tiles: they are found
+with gaps-and-islands windows over the surviving candidates.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.angles import _c, normal_vector
 from ridgeline.functions.scores import NONZERO_EPSILON
-from ridgeline.grid import (
-    DEFAULT_TILING, I1, I2, I3, Tiling, drop_halo, shifted, to_voxels, with_halo, with_shape, with_shifts,
-)
-from ridgeline.operators.stencil import radius, smooth_in_tiles
-
-
-def _get(col: str, i: Column) -> Column:
-    return F.get(F.col(col), i)
-
-
-def _zip(cols: list[str], fn) -> Column:
-    """Element-wise function of several arrays.
-
-    Derived arrays are passed as arguments, never captured by the lambda: a captured
-    one could be inlined by the optimizer and re-evaluated for every element.
-    """
-    return F.transform(F.arrays_zip(*[F.col(c).alias(c) for c in cols]), fn)
-
-
-# ---------------------------------------------------------------- strike-binned maxima
+from ridgeline.grid import DEFAULT_TILING, I1, I2, I3, Tiling, to_voxels, with_shape
+from ridgeline.operators import tiles as T
+from ridgeline.operators.stencil import radius
 
+_ARRAY, _FLAGS, _INTS = "array<float>", "array<boolean>", "array<int>"
+_EPS = np.float32(NONZERO_EPSILON)
 
-def _ring(df: DataFrame, col: str, tiling: Tiling, clamp: bool) -> tuple[DataFrame, dict]:
-    """The 3x3 traces around each trace: (d3, d2) -> column name."""
-    df, along2 = with_shifts(df, col, I2, 1, tiling, prefix=f"_{col}_2", clamp=clamp)
-    names = {}
-    for d2, name in along2.items():
-        df, along3 = with_shifts(df, name, I3, 1, tiling, prefix=f"{name}_3", clamp=clamp)
-        names.update({(d3, d2): n for d3, n in along3.items()})
-    return df, names
 
+def _traces(df: DataFrame, tiling: Tiling, *new: str) -> list[str]:
+    """Trace columns to pass through."""
+    return [c for c in df.columns if c not in (I3, I2, *tiling.keys, *new)]
 
-def _is_binned_maximum(names: dict, strike: str, strict: bool):
-    """Lambda (sample, index) -> is the sample a maximum across its strike bin."""
 
-    def beats(x, i, d3, d2):
-        p, m = _get(names[(d3, d2)], i), _get(names[(-d3, -d2)], i)
-        both = (x > p) & (x > m) if strict else (x >= p) & (x >= m)
-        return F.coalesce(both, F.lit(False))
+def _flat_smooth(a, sigma):
+    return T.gauss(T.gauss(a, sigma, 0), sigma, 1)
 
-    def test(x, i):
-        s = F.pmod(_get(strike, i), F.lit(180.0).cast("float"))
-        return (
-            F.when((s < 22.5) | (s >= 157.5), beats(x, i, 0, 1))
-            .when(s < 67.5, beats(x, i, 1, -1))
-            .when(s < 112.5, beats(x, i, 1, 0))
-            .otherwise(beats(x, i, 1, 1))
-        )
 
-    return test
+def _full_smooth(a, sigma):
+    return T.gauss(_flat_smooth(a, sigma), sigma, 2)
 
 
 def binned_maxima(
@@ -72,35 +40,11 @@ def binned_maxima(
 ) -> DataFrame:
     """Boolean array: local maxima of the i3/i2-smoothed value in the i2-i3 plane."""
     r = radius(sigma) + 1
-    keep = df.columns
-    work = with_halo(df, r, r, tiling)
-    work = smooth_in_tiles(work, value, "_s", (sigma, sigma, 0.0), tiling)
-    work, names = _ring(work, "_s", tiling, clamp=False)
-    work = work.where(F.col("_core"))
-    return work.withColumn(out, F.transform("_s", _is_binned_maximum(names, strike, strict))).select(*keep, out)
-
-
-def _reference_in_tiles(df: DataFrame, value: str, strike: str, sigma: float, reinforce: bool,
-                        tiling: Tiling, out: str, keep_out: str) -> DataFrame:
-    work = smooth_in_tiles(df, value, "_s", (sigma, sigma, 0.0), tiling)
-    work, names = _ring(work, "_s", tiling, clamp=False)
-    work = work.withColumn(keep_out, F.transform("_s", _is_binned_maximum(names, strike, True)))
-    helpers = [n for n in names.values() if n != "_s"]
-    work = work.drop(*helpers)
-    zero = F.lit(0.0).cast("float")
-    work = work.withColumn(out, _zip(["_s", keep_out], lambda z: F.when(z[keep_out], z["_s"]).otherwise(zero)))
-    if reinforce:
-        def strong(z):
-            s = F.pmod(z[strike], F.lit(360.0).cast("float"))
-            folded = F.when(s > 180.0, 360.0 - s).otherwise(s)
-            return F.when(z[keep_out] & (folded > 60.0) & (folded < 120.0), z["_s"])
 
-        work = work.withColumn("_r", _zip(["_s", keep_out, strike], strong))
-        work = work.withColumn("_r", shifted("_r", I3, 1, tiling))
-        work = work.withColumn(
-            out, F.transform(out, lambda x, i: F.coalesce(_get("_r", i), x).cast("float"))
-        ).drop("_r")
-    return work.drop("_s")
+    def fn(b, _a3, _a2):
+        return {out: T.binned_maximum(_flat_smooth(b[value], sigma), b[strike], strict)}
+
+    return T.tile_map(df, [value, strike], (r, r), fn, {out: _FLAGS}, tiling, _traces(df, tiling, out))
 
 
 def thin_reference(
@@ -109,85 +53,22 @@ def thin_reference(
 ) -> DataFrame:
     """Strike-binned maxima keep their *smoothed* value; steep ones also write i3-1."""
     r = radius(sigma) + 2
-    work = with_halo(df, r, r, tiling)
-    work = _reference_in_tiles(work, value, strike, sigma, reinforce_vertical, tiling, out, keep_out)
-    return drop_halo(work)
-
-
-# ---------------------------------------------------------------- maxima along the normal
-
-
-def _hat(offset: Column, k: int) -> Column:
-    return F.greatest(F.lit(0.0), 1.0 - F.abs(offset - k))
-
-
-def _displacement(index: Column, component: Column) -> Column:
-    """index + component rounded to float32, minus index (float32 coordinates)."""
-    return (index + component.cast("double")).cast("float").cast("double") - index
-
-
-def _hats(offset: Column, name: str) -> list[Column]:
-    """Linear interpolation weights of the offsets -1, 0, 1."""
-    return [_hat(offset, k).alias(f"{name}{k + 1}") for k in (-1, 0, 1)]
-
-
-def _sample_in_ring(names: dict, i: Column, last: Column, h3, h2, h1) -> Column:
-    """Trilinear sample at a displacement of at most one voxel, nearest edges.
-
-    ``h3/h2/h1(k)`` give the weight of offset ``k`` along each axis.
-    """
-    terms = []
-    for (d3, d2), name in names.items():
-        w32 = h3(d3) * h2(d2)
-        for d1 in (-1, 0, 1):
-            at = F.greatest(F.lit(0), F.least(last, i + d1))
-            terms.append(w32 * h1(d1) * _get(name, at))
-    return reduce(lambda a, b: a + b, terms).cast("float")
-
-
-def _sides_in_tiles(df: DataFrame, value: str, strike: str, dip: str, sigma: float, tiling: Tiling) -> DataFrame:
-    """Adds ``_fs`` (smoothed) and ``_sides``, samples one step along +-normal."""
-    work = smooth_in_tiles(df, value, "_fs", (sigma,) * 3, tiling) if sigma > 0 else df.withColumn("_fs", F.col(value))
-    work, names = _ring(work, "_fs", tiling, clamp=True)
-
-    def normal(s, i):
-        w = normal_vector(s.cast("double"), _get(dip, i).cast("double"))
-        return F.struct(*[x.alias(n) for x, n in zip(w, ("w1", "w2", "w3"))])
-
-    def hats(w, i):
-        fields = []
-        for side, sign in (("p", 1), ("m", -1)):
-            for axis, index in ((3, F.col(I3)), (2, F.col(I2)), (1, i)):
-                step = w[f"w{axis}"] if sign > 0 else -w[f"w{axis}"]
-                fields += _hats(_displacement(index, step), f"{side}{axis}")
-        return F.struct(*fields)
-
-    work = work.withColumn("_w", F.transform(strike, normal))
-    work = work.withColumn("_h", F.transform("_w", hats))
-
-    def sides(_x, i):
-        last = F.size("_fs") - 1
-        h = _get("_h", i)
-
-        def sample(side):
-            return _sample_in_ring(
-                names, i, last, *[lambda k, a=a: h[f"{side}{a}{k + 1}"] for a in (3, 2, 1)]
-            )
-
-        return F.struct(sample("p").alias("p"), sample("m").alias("m"))
-
-    work = work.withColumn("_sides", F.transform("_fs", sides))
-    return work.drop("_w", "_h", *[n for n in names.values() if n != "_fs"])
 
+    def fn(b, _a3, _a2):
+        s = _flat_smooth(b[value], sigma)
+        keep = T.binned_maximum(s, b[strike])
+        thin = T.reinforced(s, b[strike], keep) if reinforce_vertical else np.where(keep, s, np.float32(0))
+        return {out: thin, keep_out: keep}
 
-def _normal_values(value: str) -> Column:
-    zero = F.lit(0.0).cast("float")
+    return T.tile_map(
+        df, [value, strike], (r, r), fn, {out: _ARRAY, keep_out: _FLAGS}, tiling, _traces(df, tiling, out, keep_out)
+    )
 
-    def pick(z):
-        ok = (z["_sides"]["p"] < z["_fs"]) & (z["_sides"]["m"] < z["_fs"])
-        return F.when(ok, z[value]).otherwise(zero)
 
-    return _zip([value, "_fs", "_sides"], pick)
+def _normal(b, value, strike, dip, sigma, a3, a2):
+    fs = _full_smooth(b[value], sigma)
+    plus, minus = T.sides(fs, b[strike], b[dip], a3, a2)
+    return fs, plus, minus, np.where((plus < fs) & (minus < fs), b[value], np.float32(0))
 
 
 def thin_normal(
@@ -196,9 +77,11 @@ def thin_normal(
 ) -> DataFrame:
     """Strict maxima of the smoothed value along the normal keep their *original* value."""
     r = radius(sigma) + 1
-    work = _sides_in_tiles(with_halo(df, r, r, tiling), value, strike, dip, sigma, tiling)
-    work = work.where(F.col("_core")).withColumn(out, _normal_values(value))
-    return drop_halo(work).drop("_fs", "_sides")
+
+    def fn(b, a3, a2):
+        return {out: _normal(b, value, strike, dip, sigma, a3, a2)[3]}
+
+    return T.tile_map(df, [value, strike, dip], (r, r), fn, {out: _ARRAY}, tiling, _traces(df, tiling, out))
 
 
 # ---------------------------------------------------------------- plateau runs
@@ -246,92 +129,36 @@ def thin_plateau(
     """Plateau-aware normal thinning; returns the retained voxels only."""
     tie = tie or value
     r = radius(sigma) + 1
-    work = _sides_in_tiles(with_halo(df, r, r, tiling), value, strike, dip, sigma, tiling)
-    work = drop_halo(work)
-    cols = list(dict.fromkeys([value, strike, dip, tie, "_fs", "_sides"]))
-    vox = to_voxels(work, cols, list(tiling.keys))
-    tol = F.lit(tolerance).cast("float")
-    vox = vox.where(
-        (F.col(value) > F.lit(NONZERO_EPSILON).cast("float"))
-        & (F.col("_fs") >= (F.col("_sides.p") - tol).cast("float"))
-        & (F.col("_fs") >= (F.col("_sides.m") - tol).cast("float"))
-    ).withColumn("_axis", _axis_by_component(F.col(strike).cast("double"), F.col(dip).cast("double")))
-    kept = collapse_runs(vox, "_axis", tie, tiling.keys)
-    return kept.select(*tiling.keys, I3, I2, I1, F.col(value).alias(out))
+    tol = np.float32(tolerance)
 
+    def fn(b, a3, a2):
+        fs, plus, minus, _ = _normal(b, value, strike, dip, sigma, a3, a2)
+        return {"_cand": (b[value] > _EPS) & (fs >= plus - tol) & (fs >= minus - tol)}
 
-# ---------------------------------------------------------------- roughness, counts, hybrids
+    cols = list(dict.fromkeys([value, strike, dip, tie]))
+    t = T.tile_map(df, [value, strike, dip], (r, r), fn, {"_cand": _FLAGS}, tiling, cols)
+    vox = to_voxels(t, [*cols, "_cand"], list(tiling.keys)).where("_cand")
+    vox = vox.withColumn("_axis", _axis_by_component(F.col(strike).cast("double"), F.col(dip).cast("double")))
+    return collapse_runs(vox, "_axis", tie, tiling.keys).select(*tiling.keys, I3, I2, I1, F.col(value).alias(out))
 
 
-def _strike_gap(a: Column, b: Column) -> Column:
-    """Axial strike difference in [0, 90]."""
-    return F.abs(F.pmod(a - b + 90.0, F.lit(180.0)) - 90.0)
-
-
-def _roughness_in_tiles(df: DataFrame, strike: str, dip: str, support: str, tiling: Tiling, out: str) -> DataFrame:
-    moved = {}
-    work = df
-    for axis in (I3, I2):
-        for k in (-1, 1):
-            for col in (strike, dip, support):
-                name = f"_n_{col}_{axis}_{k}"
-                work = work.withColumn(name, shifted(col, axis, k, tiling))
-                moved[(col, axis, k)] = name
-
-    def at(_x, i):
-        s0 = _get(strike, i).cast("double")
-        d0 = _get(dip, i).cast("double")
-        terms = []
-        pairs = [
-            (_get(moved[(strike, ax, k)], i), _get(moved[(dip, ax, k)], i), _get(moved[(support, ax, k)], i))
-            for ax in (I3, I2) for k in (-1, 1)
-        ]
-        for k in (-1, 1):
-            j = i + k
-            inside = (j >= 0) & (j < F.size(strike))
-            safe = F.greatest(F.lit(0), j)
-            pairs.append((_get(strike, safe), _get(dip, safe), F.when(inside, _get(support, safe))))
-        for s, d, ok in pairs:
-            gap = _strike_gap(s.cast("double"), s0)
-            dd = d.cast("double") - d0
-            both = F.coalesce(ok, F.lit(False)) & _get(support, i)
-            terms.append(F.when(both, gap * gap + dd * dd).otherwise(F.lit(0.0)))
-        return F.sqrt(F.greatest(*terms)).cast("float")
-
-    return work.withColumn(out, F.transform(strike, at)).drop(*moved.values())
+# ---------------------------------------------------------------- roughness, counts, hybrids
 
 
 def orientation_roughness(
     df: DataFrame, strike: str, dip: str, support: str, tiling: Tiling = DEFAULT_TILING, out: str = "roughness"
 ) -> DataFrame:
     """Largest step of (strike, dip) to a supported face neighbour."""
-    work = with_halo(df, 1, 1, tiling)
-    return drop_halo(_roughness_in_tiles(work, strike, dip, support, tiling, out))
 
+    def fn(b, _a3, _a2):
+        return {out: T.roughness(b[strike], b[dip], b[support])}
 
-def _count27_in_tiles(df: DataFrame, mask: str, tiling: Tiling, out: str) -> DataFrame:
-    def bit(c):
-        return F.when(c, 1).otherwise(0)
-
-    def sum3(_x, i):
-        a = bit(_get(mask, i))
-        b = F.when(i > 0, bit(_get(mask, F.greatest(F.lit(0), i - 1)))).otherwise(0)
-        return a + b + bit(_get(mask, i + 1))
-
-    work = df.withColumn(out, F.transform(mask, sum3))
-    for axis in (I2, I3):
-        lo, hi = f"_lo_{out}", f"_hi_{out}"
-        work = work.withColumns({lo: shifted(out, axis, -1, tiling), hi: shifted(out, axis, 1, tiling)})
-        work = work.withColumn(
-            out,
-            F.transform(out, lambda x, i: x + F.coalesce(_get(lo, i), F.lit(0)) + F.coalesce(_get(hi, i), F.lit(0))),
-        ).drop(lo, hi)
-    return work
+    return T.tile_map(df, [strike, dip, support], (1, 1), fn, {out: _ARRAY}, tiling)
 
 
 def local_count(df: DataFrame, mask: str, tiling: Tiling = DEFAULT_TILING, out: str = "count27") -> DataFrame:
     """Number of true samples in the 3x3x3 neighbourhood."""
-    return drop_halo(_count27_in_tiles(with_halo(df, 1, 1, tiling), mask, tiling, out))
+    return T.tile_map(df, [mask], (1, 1), lambda b, _a3, _a2: {out: T.count27(b[mask])}, {out: _INTS}, tiling)
 
 
 def thin_hybrid(
@@ -339,18 +166,15 @@ def thin_hybrid(
     tiling: Tiling = DEFAULT_TILING, out: str = "thin",
 ) -> DataFrame:
     """Reference thinning where orientation is smooth, normal thinning where it is rough."""
-    keep = df.columns
     r = radius(sigma) + 2
-    work = with_halo(df, r, r, tiling)
-    work = _reference_in_tiles(work, value, strike, sigma, True, tiling, "_ref", "_keep")
-    work = _sides_in_tiles(work, value, strike, dip, sigma, tiling).withColumn("_nrm", _normal_values(value))
-    work = work.withColumn("_sup", F.transform(value, lambda x: x > 0))
-    work = _roughness_in_tiles(work, strike, dip, "_sup", tiling, "_rough")
-    work = work.where(F.col("_core"))
-    pick = _zip(
-        ["_ref", "_rough", "_nrm"], lambda z: F.when(z["_rough"] <= threshold, z["_ref"]).otherwise(z["_nrm"])
-    )
-    return work.withColumn(out, pick).select(*keep, out)
+
+    def fn(b, a3, a2):
+        s = _flat_smooth(b[value], sigma)
+        ref = T.reinforced(s, b[strike], T.binned_maximum(s, b[strike]))
+        nrm = _normal(b, value, strike, dip, sigma, a3, a2)[3]
+        return {out: np.where(T.roughness(b[strike], b[dip], b[value] > 0) <= threshold, ref, nrm)}
+
+    return T.tile_map(df, [value, strike, dip], (r, r), fn, {out: _ARRAY}, tiling, _traces(df, tiling, out))
 
 
 def thin_hybrid_v2(
@@ -360,31 +184,27 @@ def thin_hybrid_v2(
 ) -> DataFrame:
     """Hybrid thinning with plateau recovery in the edge shell; voxel layout."""
     r = radius(sigma) + 2
-    work = with_halo(df, r, r, tiling)
-    work = _reference_in_tiles(work, value, strike, sigma, True, tiling, "_ref", "_keep")
-    work = _sides_in_tiles(work, value, strike, dip, sigma, tiling).withColumn("_nrm", _normal_values(value))
-    eps = F.lit(NONZERO_EPSILON).cast("float")
-    work = work.withColumns(
-        {"_sup": F.transform(value, lambda x: x > eps), "_npos": F.transform("_nrm", lambda x: x > 0)}
-    )
-    work = _roughness_in_tiles(work, strike, dip, "_sup", tiling, "_rough")
-    work = _count27_in_tiles(work, "_npos", tiling, "_cnt")
-    work = drop_halo(work)
     keys = list(tiling.keys)
-    vox = to_voxels(work, ["_ref", "_nrm", "_rough", "_cnt"], keys)
+
+    def fn(b, a3, a2):
+        s = _flat_smooth(b[value], sigma)
+        ref = T.reinforced(s, b[strike], T.binned_maximum(s, b[strike]))
+        nrm = _normal(b, value, strike, dip, sigma, a3, a2)[3]
+        rough = T.roughness(b[strike], b[dip], b[value] > _EPS) > threshold
+        return {
+            "_base": np.where(rough & (nrm > 0), nrm, ref), "_open": (nrm <= 0) | (T.count27(nrm > 0) <= 1),
+        }
+
+    t = T.tile_map(df, [value, strike, dip], (r, r), fn, {"_base": _ARRAY, "_open": _FLAGS}, tiling)
+    vox = with_shape(to_voxels(t, ["_base", "_open"], keys))
     plateau = thin_plateau(df, value, strike, dip, tie, tolerance, sigma, tiling, "_pl")
-    vox = with_shape(vox).join(plateau, [*keys, I3, I2, I1], "left")
+    vox = vox.join(plateau, [*keys, I3, I2, I1], "left")
     edge = F.least(
         F.col(I3), F.col("n3") - 1 - F.col(I3), F.col(I2), F.col("n2") - 1 - F.col(I2),
         F.col(I1), F.col("n1") - 1 - F.col(I1),
     ) < edge_margin
-    use_plateau = edge & (F.coalesce(F.col("_pl"), F.lit(0.0)) > 0) & ((F.col("_nrm") <= 0) | (F.col("_cnt") <= 1))
-    value_out = (
-        F.when(use_plateau, F.col("_pl"))
-        .when((F.col("_rough") > threshold) & (F.col("_nrm") > 0), F.col("_nrm"))
-        .otherwise(F.col("_ref"))
-    )
-    return vox.select(*keys, I3, I2, I1, value_out.alias(out))
+    use = edge & F.col("_open") & (F.coalesce(F.col("_pl"), F.lit(0.0)) > 0)
+    return vox.select(*keys, I3, I2, I1, F.when(use, F.col("_pl")).otherwise(F.col("_base")).alias(out))
 
 
 def remove_edge_effects(df: DataFrame, value: str, strike: str, dip: str, width: int = 5) -> DataFrame:
@@ -392,8 +212,6 @@ def remove_edge_effects(df: DataFrame, value: str, strike: str, dip: str, width:
 
     Fixed values: within five samples, squared normal component above cos(30 deg)^2.
     """
-    import numpy as np
-
     c = np.float32(np.cos(np.radians(30.0)))
     limit = F.lit(float(c * c)).cast("float")
     _, w2, w3 = normal_vector(_c(strike).cast("double"), _c(dip).cast("double"))
@@ -443,23 +261,22 @@ def _masked_attributes(df: DataFrame, ft: str, pt: str, tt: str, tiling: Tiling)
 def thin_2d(
     df: DataFrame, value: str, d1: str, d2: str, positive_only: bool, tiling: Tiling = DEFAULT_TILING, out: str = "keep"
 ) -> DataFrame:
-    """2-D maxima against one step along +-(d1, d2); arrays of displacement components."""
-    cols = df.columns
-    work = with_halo(df, 0, 1, tiling)
-    work, along2 = with_shifts(work, value, I2, 1, tiling, prefix="_t2", clamp=True)
-    names = {(0, k): n for k, n in along2.items()}
-
-    def test(x, i):
-        last = F.size(value) - 1
-
-        def side(sign):
-            o2 = _displacement(F.col(I2), _get(d2, i) if sign > 0 else -_get(d2, i))
-            o1 = _displacement(i, _get(d1, i) if sign > 0 else -_get(d1, i))
-            return _sample_in_ring(
-                names, i, last, lambda k: F.lit(1.0), lambda k: _hat(o2, k), lambda k: _hat(o1, k)
+    """2-D maxima against one linear-sampled step along +-(d1, d2); arrays of displacements."""
+
+    def fn(b, _a3, a2):
+        x = b[value]
+        i2, i1 = np.ogrid[a2 : a2 + x.shape[1], 0 : x.shape[2]]
+        ok = np.ones(x.shape, bool)
+        for sign in (1, -1):
+            o2, o1 = (
+                (i + sign * b[d].astype(np.float64)).astype(np.float32).astype(np.float64) - i for i, d in ((i2, d2), (i1, d1))
             )
-
-        ok = (side(1) < x) & (side(-1) < x)
-        return ok & (x > 0) if positive_only else ok
-
-    return work.where(F.col("_core")).withColumn(out, F.transform(value, test)).select(*cols, out)
+            total = np.zeros(x.shape)
+            for k2 in (-1, 0, 1):
+                for k1 in (-1, 0, 1):
+                    hat = np.maximum(0, 1 - np.abs(o2 - k2)) * np.maximum(0, 1 - np.abs(o1 - k1))
+                    total += hat * T.moved(x, 0, k2, k1, edge=True)
+            ok &= total.astype(np.float32) < x
+        return {out: ok & (x > 0) if positive_only else ok}
+
+    return T.tile_map(df, [value, d1, d2], (0, 1), fn, {out: _FLAGS}, tiling, _traces(df, tiling, out))
