@@ -125,3 +125,112 @@ def q_skins_json(spark, sf):
 def q_fingerprints(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("id", tables.row_fingerprint("l_returnflag", "l_linestatus"))
+
+
+# ---------------------------------------------------------------- surfaces after detection
+
+
+def component_cells(spark, sf):
+    """Connected surfaces of the strong votes as cells with angles."""
+    from ridgeline.operators import components
+
+    a = attributes(spark, sf, "parallel_planes").withColumn("flat", flat_index())
+    lab = components.connected_components(a.where(F.col("fv") > F.lit(0.45).cast("float")), "face")
+    lab = components.component_skins(lab, 8)
+    return lab.select(
+        F.col("component").alias("skin_id"), F.col("flat").alias("cell_id"), *[F.col(f"i{k}").cast("float").alias(f"x{k}") for k in (1, 2, 3)],
+        F.col("fv").alias("fl"), F.col("truth_strike").alias("fp"), F.col("truth_dip").alias("ft"),
+    )
+
+
+@query("reskin")
+def q_reskin(spark, sf):
+    """Connected surfaces smoothed, re-oriented and linked."""
+    from ridgeline.operators.reskin import reskin
+
+    return reskin(cut_lineage(component_cells(spark, sf)))
+
+
+@query("reskin_topology")
+def q_reskin_topology(spark, sf):
+    """Link consistency of the smoothed surfaces."""
+    from ridgeline.operators.reskin import reskin
+    from ridgeline.operators.topology import link_topology
+
+    return link_topology(cut_lineage(reskin(cut_lineage(component_cells(spark, sf)))))
+
+
+def _mode_rows(spark, sf):
+    from ridgeline.plans.mode_comparison import compare_modes
+    from ridgeline.sources.cases import scanner_input
+
+    c = case_voxels(spark, sf, "single_dipping_plane")
+    c = c.withColumn("g", scanner_input(F.col("ft"), 0.05 * F.col("v").cast("double")))
+    p = workflow.Profile(strikes=(0.0, 80.0), dips=(65.0, 75.0), voter=Voter(2, 4, 4), seed_distance=3, seed_threshold=0.3)
+    return compare_modes(c, "single_dipping_plane", "single_dipping_plane", None, p, TILING)
+
+
+@query("mode_comparison")
+def q_mode_comparison(spark, sf):
+    """Eight cells (oracle and two scanners, two workflows) scored on one case."""
+    return _mode_rows(spark, sf)
+
+
+@query("mode_contrasts")
+def q_mode_contrasts(spark, sf):
+    """The same run, as paired contrasts."""
+    from ridgeline.plans.contrasts import paired_contrasts
+
+    return paired_contrasts(cut_lineage(_mode_rows(spark, sf)))
+
+
+# ---------------------------------------------------------------- stage comparisons
+
+_STAGES = f"""{sql_attributes()}, s AS (SELECT 1 AS k, 'strong' AS stage, i3, i2, i1 FROM att WHERE fv > CAST(0.3 AS FLOAT) UNION ALL SELECT 2, 'stronger', i3, i2, i1 FROM att WHERE fv > CAST(0.5 AS FLOAT) UNION ALL SELECT 3, 'truth', i3, i2, i1 FROM att WHERE truth_mask)"""
+
+
+@query("centroid_shift", f"""WITH {_STAGES}, c AS (SELECT k, stage, count(*) AS n, avg(i3) AS a, avg(i2) AS b, avg(i1) AS d FROM s GROUP BY k, stage),
+l AS (SELECT *, lag(stage) OVER w AS previous, lag(n) OVER w AS np, a - lag(a) OVER w AS da, b - lag(b) OVER w AS db, d - lag(d) OVER w AS dd FROM c WINDOW w AS (ORDER BY k))
+SELECT previous, stage, round(da, 6) + 0.0 AS shift_i3, round(db, 6) + 0.0 AS shift_i2, round(dd, 6) + 0.0 AS shift_i1, round(sqrt(da*da+db*db+dd*dd), 6) AS shift, round(n/np, 6) AS count_ratio FROM l WHERE previous IS NOT NULL""")
+def q_centroid(spark, sf):
+    from ridgeline.operators.comparisons import centroid_shift
+
+    a = attributes(spark, sf)
+    flags = F.array_compact(F.array(
+        F.when(F.col("fv") > F.lit(0.3).cast("float"), F.lit("strong")), F.when(F.col("fv") > F.lit(0.5).cast("float"), F.lit("stronger")),
+        F.when(F.col("truth_mask"), F.lit("truth")),
+    ))
+    s = a.select(*ID3, F.explode(flags).alias("stage"))
+    out = rnd(centroid_shift(s, ["strong", "stronger", "truth"]))
+    return out.withColumns({f"shift_{x}": F.col(f"shift_{x}") + 0.0 for x in ID3})
+
+
+_OUT = f"""{sql_attributes()}, t AS (SELECT i3, i2, i1 FROM att WHERE truth_mask),
+b AS (SELECT i3, i2, i1 FROM att WHERE fv > CAST(0.12 AS FLOAT)),
+d AS (SELECT b.i3, b.i2, b.i1, sqrt(min((b.i3-t.i3)*(b.i3-t.i3)+(b.i2-t.i2)*(b.i2-t.i2)+(b.i1-t.i1)*(b.i1-t.i1))) AS distance FROM b, t GROUP BY ALL)"""
+
+
+@query("far_candidates", f"WITH {_OUT} SELECT i3, i2, i1, round(distance, 6) AS distance FROM d WHERE distance > 2.5")
+def q_far(spark, sf):
+    """Candidates farther than 2.5 voxels from the truth."""
+    from ridgeline.operators.comparisons import far_candidates
+
+    a = attributes(spark, sf)
+    n2 = shape_of(a).select("n2").scalar()
+    far = far_candidates(a.where(F.col("fv") > F.lit(0.12).cast("float")).select(*ID3), a.where("truth_mask").select(*ID3), n2, 2.5)
+    return far.select(*ID3, F.round("distance", 6).alias("distance"))
+
+
+@query("context_comparison", f"""WITH {sql_attributes()}, {_SM2}, c AS (SELECT * FROM sm WHERE i3 >= 4 AND i2 >= 5)
+SELECT i3, i2, i1, round(CAST(a.fv AS DOUBLE), 6) AS base_value, round(CAST(c.fv AS DOUBLE), 6) AS context_value FROM c JOIN att a USING (i3, i2, i1)""")
+def q_context(spark, sf):
+    """A crop (cut out before smoothing, own indices) next to the same voxels of the smoothed volume."""
+    from ridgeline.operators.comparisons import same_region
+    from ridgeline.operators.stencil import smooth
+
+    t = attribute_traces(spark, sf)
+    crop = t.where("i3 >= 4 and i2 >= 5")
+    base = to_voxels(crop, ["fv"]).withColumns({"i3": F.col("i3") - 4, "i2": F.col("i2") - 5})
+    context = to_voxels(smooth(t, "fv", "fv", (1.0, 1.0, 0.0), TILING), ["fv"])
+    out = same_region(base, context, (4, 5, 0), "fv")
+    return out.select(*ID3, F.round(F.col("base_value").cast("double"), 6).alias("base_value"), F.round(F.col("context_value").cast("double"), 6).alias("context_value"))
