@@ -13,10 +13,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators.joins import salted_join
 from ridgeline.session import cut_lineage
 
 _BUCKET = 32
-_SALT = 16
 
 # (d3, d2) of half of the neighbouring traces -> slack along i1, per connectivity
 _LINKS = {
@@ -65,18 +65,17 @@ def label_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): the smallest node id of each connected component."""
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut_lineage(nodes.select("id", F.col("id").alias("label")))
-    salts = F.explode(F.array(*[F.lit(i) for i in range(_SALT)]))
     while True:
         seen = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
         lower = labels.join(seen, "id", "left").select("id", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
         hop = (
             lower.select(F.col("new").alias("id")).distinct()
             .join(lower.select("id", F.col("new").alias("next")), "id")
-            .select(F.col("id").alias("new"), "next", salts.alias("salt"))
+            .select(F.col("id").alias("new"), "next")
         )
-        salted = lower.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALT)).cast("int"))
         step = cut_lineage(
-            salted.join(hop, ["new", "salt"]).select("id", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved"))
+            salted_join(lower, hop, "new", ["id"])
+            .select("id", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved"))
         )
         labels = step.select("id", "label")
         if step.where("moved").isEmpty():
@@ -103,7 +102,7 @@ def component_skins(labelled: DataFrame, min_size: int | None = None) -> DataFra
     s = component_sizes(labelled).withColumnRenamed("size", "skin_size")
     if min_size is not None:
         s = s.where(F.col("skin_size") >= min_size)
-    return labelled.join(s, "component")
+    return salted_join(labelled, s, "component", ["flat"])  # one component may hold most voxels
 
 
 def main_components(sizes: DataFrame, keep: int = 3, floor: int = 8, share: float = 0.05, of_largest: float = 0.10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions.angles import axial_normal_angle, normal_vector, periodic_error
 from ridgeline.functions.scores import NONZERO_EPSILON, f1, near_edge, positive, ratio, unit_range
 from ridgeline.operators.distance import nearest_distance
+from ridgeline.operators.joins import salted_join
 from ridgeline.operators.masks import percentile_mask
 from ridgeline.operators.quantiles import grouped_quantiles
 
@@ -54,7 +55,7 @@ def distribution_summary(df: DataFrame, col: str, keys: tuple[str, ...] = ()) ->
         F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std")
     )
     med = grouped_quantiles(x, k, "_x", {"median": 0.5})
-    dev = (x.join(med, k) if k else x.withColumn("median", med.select("median").scalar())).select(
+    dev = (salted_join(x, med, k, ["_x"]) if k else x.withColumn("median", med.select("median").scalar())).select(
         *k, F.abs(F.col("_x") - F.col("median")).alias("_d")
     )
     mad = grouped_quantiles(dev, k, "_d", {"median_absolute_deviation": 0.5})

@@ -240,17 +240,11 @@ def finish_votes(
     frame: DataFrame, sums: DataFrame, attributes: list[str], power: int, sigma: float, tiling: Tiling
 ) -> DataFrame:
     """Sparse vote sums -> dense traces with the sharpened score ``fv`` and the attributes."""
-    packed = sums.groupBy("i3", "i2").agg(
-        F.map_from_entries(F.collect_list(F.struct("i1", F.struct("fe", *attributes)))).alias("m")
-    )
-    zero = F.lit(0.0).cast("float")
-    dense = frame.join(packed, ["i3", "i2"], "left").withColumn(
-        "_m", F.coalesce("m", F.create_map().cast(packed.schema["m"].dataType))
-    )
-    index = F.sequence(F.lit(0), F.col("n1") - 1)
-    dense = dense.select(
-        "i3", "i2",
-        *[_lookup(index, a, zero).alias(a) for a in ["fe", *attributes]],
+    names = ["fe", *attributes]
+    spread = F.pandas_udf(_spread_rows, "array<float>")
+    packed = sums.groupBy("i3", "i2").agg(F.collect_list(F.struct("i1", *names)).alias("p"))  # at most one trace
+    dense = frame.join(packed, ["i3", "i2"], "left").select(
+        "i3", "i2", *[spread(F.col("n1"), F.col("p.i1"), F.col(f"p.{a}")).alias(a) for a in names]
     )
     if sigma > 0:
         s3 = sigma if dims_of(frame) == 3 else 0.0
@@ -265,8 +259,15 @@ def finish_votes(
     )
 
 
-def _lookup(index, name, zero):
-    return F.transform(index, lambda i: F.coalesce(F.try_element_at(F.col("_m"), i)[name], zero))
+def _spread_rows(n1: pd.Series, at: pd.Series, values: pd.Series) -> pd.Series:
+    """Sparse samples of a trace -> the dense trace, zeros elsewhere."""
+    out = []
+    for n, i, v in zip(n1, at, values):
+        dense = np.zeros(n, _F)
+        if i is not None:
+            dense[i] = v
+        out.append(dense)
+    return pd.Series(out)
 
 
 def dims_of(frame: DataFrame) -> int:

@@ -178,15 +178,12 @@ def scanner_input(
 def expand_trials(cases: DataFrame, seeds: DataFrame) -> DataFrame:
     """One trial per deterministic case, one per seed for stochastic cases.
 
-    ``cases``: case_id, is_stochastic.  ``seeds``: seed.  Seeds are only attached
-    to stochastic cases, through an equi-join on the flag.
+    ``cases`` (case_id, is_stochastic) is the short registry; ``seeds`` may be long.
     """
-    keyed = seeds.select("seed", F.lit(True).alias("is_stochastic"))
-    joined = cases.join(keyed, "is_stochastic", "left")
-    return joined.select(
-        "case_id",
-        F.when(F.col("seed").isNull(), F.col("case_id"))
-        .otherwise(F.concat(F.col("case_id"), F.lit("__seed_"), F.col("seed").cast("string")))
-        .alias("trial_id"),
-        "seed",
+    fixed = cases.where("not is_stochastic").select("case_id", F.col("case_id").alias("trial_id"), F.lit(None).cast("bigint").alias("seed"))
+    names = cases.where("is_stochastic").agg(F.collect_list("case_id").alias("c")).select("c").scalar()
+    drawn = seeds.select("seed", F.explode(names).alias("case_id")).select(
+        "case_id", F.concat("case_id", F.lit("__seed_"), F.col("seed").cast("string")).alias("trial_id"),
+        F.col("seed").cast("bigint").alias("seed"),
     )
+    return fixed.unionByName(drawn)
