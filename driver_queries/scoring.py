@@ -242,3 +242,15 @@ _LINKS = """g AS (SELECT l_orderkey*10 + l_linenumber AS cell_id, l_suppkey AS s
 lk AS (SELECT a.cell_id, a.skin_id, u.cell_id AS ca_id, d.cell_id AS cb_id, l.cell_id AS cl_id, r.cell_id AS cr_id FROM g a
  LEFT JOIN g u ON u.skin_id = a.skin_id AND u.w = a.w AND u.v = a.v - 1 LEFT JOIN g d ON d.skin_id = a.skin_id AND d.w = a.w AND d.v = a.v + 1
  LEFT JOIN g l ON l.skin_id = a.skin_id AND l.v = a.v AND l.w = a.w - 1 LEFT JOIN g r ON r.skin_id = a.skin_id AND r.v = a.v AND r.w = a.w + 1)"""
+
+
+@query("slab_summary", """WITH v AS (SELECT CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS stage, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT stage, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) AS std, round(max(abs(x)), 6) AS max_absolute, round(count(*) FILTER (WHERE abs(x) > 1e-6)/count(*), 6) AS epsilon_nonzero_fraction FROM v GROUP BY stage""")
+def q_slabs(spark, sf):
+    """The slab summary as a batch: traces reduced before the shuffle."""
+    from ridgeline.streaming.slabs import slab_summary
+
+    e = table(spark, sf, "embeddings").select(
+        F.when(F.pmod("label", F.lit(2)) == 0, "even").otherwise("odd").alias("stage"), F.col("embedding").alias("trace")
+    )
+    return rnd(slab_summary(e)).withColumn("mean", F.col("mean") + 0.0)

@@ -24,12 +24,13 @@ ID3 = ["i3", "i2", "i1"]
 
 
 def _thin_and_score(spark, sf, case):
-    a = attributes(spark, sf, case)
-    thin = to_voxels(thin_reference(attribute_traces(spark, sf, case), "fv", "vp", tiling=TILING), ["thin"])
-    stored = cut_lineage(a.select(*ID3, "truth_mask").join(thin, ID3))
+    # the truth flag travels with the traces, so nothing has to be joined back
+    a = attributes(spark, sf, case).withColumn("truth", F.col("truth_mask").cast("float"))
+    thin = thin_reference(to_traces(a, ["fv", "vp", "vt", "truth"]), "fv", "vp", tiling=TILING)
+    stored = cut_lineage(to_voxels(thin, ["thin", "truth"]).withColumn("truth", F.col("truth") > 0.5))
     j = with_shape(stored).withColumn("flat", flat_index())
-    top = top_truth_count_mask(j, "thin", "truth_mask", positive_only=True)
-    return metrics.buffered_overlap(top.where("mask").select(*ID3), a.where("truth_mask").select(*ID3), 2.0)
+    top = top_truth_count_mask(j, "thin", "truth", positive_only=True)
+    return metrics.buffered_overlap(top.where("mask").select(*ID3), stored.where("truth").select(*ID3), 2.0)
 
 
 _SCORE = """tk AS (SELECT r.i3, r.i2, r.i1, row_number() OVER (ORDER BY CAST(thin AS DOUBLE) DESC, (CAST(r.i3 AS BIGINT)*n2+r.i2)*n1+r.i1) AS rn FROM ref r, shp WHERE CAST(thin AS DOUBLE) > 1e-6),
