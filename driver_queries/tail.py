@@ -85,10 +85,10 @@ def q_line_statistics(spark, sf):
 
 
 _VOX_CELLS = {"RL-REF": "fv", "Q-REF": "ft", "RL-QUAL": "fv*fv", "Q-QUAL": "fv*ft"}
-_F3 = {k: v for k, v in C.CONTRASTS.items() if set(v) <= set(_VOX_CELLS)}
+_VOX_CONTRASTS = {k: v for k, v in C.CONTRASTS.items() if set(v) <= set(_VOX_CELLS)}
 _VC = " UNION ALL ".join(
     f"SELECT '{n}' AS contrast_name, " + " + ".join(f"({c})*CAST({_VOX_CELLS[cell]} AS DOUBLE)" for cell, c in t.items()) + " AS x FROM d"
-    for n, t in _F3.items()
+    for n, t in _VOX_CONTRASTS.items()
 )
 
 
@@ -98,7 +98,7 @@ SELECT contrast_name, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) AS
 def q_voxelwise(spark, sf):
     a = attributes(spark, sf).select(F.col("fv").cast("double").alias("fv"), F.col("ft").cast("double").alias("ft"))
     wide = a.select(*[F.expr(e).alias(n) for n, e in _VOX_CELLS.items()])
-    return rnd(C.voxelwise_contrasts(wide, _F3)).withColumn("mean", F.col("mean") + 0.0)
+    return rnd(C.voxelwise_contrasts(wide, _VOX_CONTRASTS)).withColumn("mean", F.col("mean") + 0.0)
 
 
 @query("variant_delta", """WITH r AS (SELECT user_id, event_type AS variant, avg(value) AS score, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT user_id, score AS s0, n AS n0 FROM r WHERE variant = 'click')

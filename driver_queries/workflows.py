@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from ridgeline.operators.masks import top_truth_count_mask
 from ridgeline.operators.thinning import thin_reference
 from ridgeline.operators.voting import Voter
 from ridgeline.plans import workflow
-from ridgeline.session import cut_lineage
+from ridgeline.session import cut_lineage, shared_folder
 from ridgeline.sources import dat, tables
 
 ID3 = ["i3", "i2", "i1"]
@@ -90,20 +89,12 @@ def q_dat(spark, sf):
     v = volume(spark, sf)
     s = shape_of(v).first()
     shape = (int(s["n3"]), int(s["n2"]), int(s["n1"]))
-    path = os.path.join(_shared_folder(spark), "volume.dat")
+    path = os.path.join(shared_folder(spark, "ridgeline-dat-"), "volume.dat")
     dat.write_dat(v, path, shape, "v")
     back = dat.read_dat(spark, path, shape).withColumnRenamed("trace", "v")
     return to_voxels(back, ["v"]).select(*ID3, F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
-def _shared_folder(spark) -> str:
-    """A new folder below the shared checkpoint folder (a temporary one where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root and root.startswith("file:"):
-        root = root[5:].replace("//", "/", 1) if root.startswith("file://") else root[5:]
-    return tempfile.mkdtemp(prefix="ridgeline-dat-", dir=root if root and os.path.isdir(root) else None)
-
-
 @query("skins_json", """SELECT CAST(l_suppkey AS INTEGER) AS skin_id, count(*) AS cells, round(sum(l_quantity), 4) AS x1, round(avg(l_discount), 6) AS fl FROM lineitem GROUP BY l_suppkey""")
 def q_skins_json(spark, sf):
     """Order lines written as skin documents (one per order) and parsed back."""

@@ -53,3 +53,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new, empty folder that all executors see, as a plain path.
+
+    Below the cluster's checkpoint folder; a temporary folder only in local mode.
+    """
+    root = spark.conf.get(CHECKPOINT_CONF, None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
+    if root is not None:
+        root = root.removeprefix("file://").removeprefix("file:")
+        os.makedirs(root, exist_ok=True)
+    return tempfile.mkdtemp(prefix=prefix, dir=root)
