@@ -140,15 +140,37 @@ def q_link_topology(spark, sf):
     return topology.link_topology(cells)
 
 
-# A greedy choice depends on all earlier ones, so SQL has no closed form; brute force in tests.
-@query("pick_seeds")
+def _sql_greedy(candidates: str, d: int, order: str) -> str:
+    """Rounds of: accept what is best in its box, drop what an accepted one covers.
+
+    ``candidates`` selects i3, i2, i1, flat, score.  Rows with st = 1 are accepted.
+    """
+    span = ", ".join(str(k) for k in range(-d, d + 1))
+    box = f"b.i3 + b.d3 = a.i3 AND abs(a.i2-b.i2) <= {d} AND abs(a.i1-b.i1) <= {d}"
+    return f"""WITH RECURSIVE {A}, cand AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rk FROM ({candidates})),
+r(n, i3, i2, i1, flat, rk, st) AS (SELECT 0, i3, i2, i1, flat, rk, 0 FROM cand
+ UNION ALL
+ SELECT * FROM (WITH al AS (SELECT * FROM r WHERE st = 0), ax AS (SELECT *, unnest([{span}]) AS d3 FROM al),
+  best AS (SELECT a.flat, min(b.rk) AS m FROM al a JOIN ax b ON {box} GROUP BY a.flat),
+  won AS (SELECT al.* FROM al JOIN best USING (flat) WHERE m = rk), wx AS (SELECT *, unnest([{span}]) AS d3 FROM won),
+  hit AS (SELECT DISTINCT a.flat FROM al a JOIN wx b ON {box})
+  SELECT n + 1, i3, i2, i1, flat, rk, 1 FROM won UNION ALL SELECT n + 1, i3, i2, i1, flat, rk, 0 FROM al WHERE flat NOT IN (SELECT flat FROM hit)))
+SELECT i3, i2, i1, flat, score FROM r JOIN (SELECT flat, score FROM cand) USING (flat) WHERE st = 1"""
+
+
+@query("pick_seeds", _sql_greedy(
+    "SELECT i3, i2, i1, (CAST(i3 AS BIGINT)*n2+i2)*n1+i1 AS flat, round(CAST(fv AS DOUBLE), 6) AS score, fv FROM att WHERE fv > CAST(0.3 AS FLOAT)",
+    2, "fv DESC, flat DESC"))
 def q_seeds(spark, sf):
     a = attributes(spark, sf).withColumn("flat", flat_index())
     c = a.where(F.col("fv") > F.lit(0.3).cast("float")).withColumn("score", F.col("fv"))
-    return seeds.pick_seeds(c.select(*ID3, "flat", "score"), 2, True, TILING)
+    s = seeds.pick_seeds(c.select(*ID3, "flat", "score"), 2, True, TILING)
+    return s.withColumn("score", F.round(F.col("score").cast("double"), 6))
 
 
-@query("pick_skin_seeds")
+@query("pick_skin_seeds", _sql_greedy(
+    "SELECT i3, i2, i1, (CAST(i3 AS BIGINT)*n2+i2)*n1+i1 AS flat, round(CAST(fv AS DOUBLE), 1) AS score FROM att WHERE fv > CAST(0.3 AS FLOAT) AND ft > 0.8",
+    3, "score DESC, flat"))
 def q_skin_seeds(spark, sf):
     a = attributes(spark, sf).withColumn("flat", flat_index())
     c = a.where((F.col("fv") > F.lit(0.3).cast("float")) & (F.col("ft") > F.lit(0.8))).withColumn("score", F.round(F.col("fv").cast("double"), 1))
