@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driver_queries.base import IMG, TILING, VOX, attribute_traces, attributes, image, query, r6, s6, sql_attributes, table, voxels
 from driver_queries.scoring import _CELLS, _cells, rnd
+from driver_queries.stencils import _PLATEAU, _SM2, _THIN_NRM, _THIN_REF, _sql_nms
 from ridgeline.functions.scores import near_edge, ratio, unit_range
 from ridgeline.grid import flat_index, to_voxels, with_shape
 from ridgeline.operators import components, edges, metrics, sampling, scan_bank, seeds, thinning, topology
@@ -158,14 +159,30 @@ def q_graph_links(spark, sf):
     return surface_graph.link_violations(graph_nodes(spark, sf))
 
 
-# Pieces are compared with SQL above; the combined edge rule is tested on small fixtures.
-@query("thin_edge_lines")
+_AX = """CASE WHEN a3 >= a2 AND a3 >= a1 THEN 0 WHEN a2 >= a1 THEN 1 ELSE 2 END"""
+_EDGE_LINES = f"""ec AS (SELECT a.i3, a.i2, a.i1, a.fv, a.ft AS target, ref.thin AS fvt, (CAST(a.i3 AS BIGINT)*n2+a.i2)*n1+a.i1 AS flat, least(a.i3, n3-1-a.i3, a.i2, n2-1-a.i2, a.i1, n1-1-a.i1) < 4 AS edge,
+ abs(CAST(-sin(radians(CAST(vt AS DOUBLE)))*sin(radians(CAST(vp AS DOUBLE))) AS FLOAT)) AS a3, abs(CAST(sin(radians(CAST(vt AS DOUBLE)))*cos(radians(CAST(vp AS DOUBLE))) AS FLOAT)) AS a2, abs(CAST(-cos(radians(CAST(vt AS DOUBLE))) AS FLOAT)) AS a1
+ FROM att a JOIN ref USING (i3, i2, i1)),
+cd AS (SELECT ec.*, {_AX} AS ax FROM ec SEMI JOIN pt ON pt.i3 = ec.i3 AND pt.i2 = ec.i2 AND pt.i1 = ec.i1 WHERE edge AND target > CAST(1e-6 AS FLOAT)),
+ck AS (SELECT *, CASE ax WHEN 0 THEN i2 ELSE i3 END AS la, CASE ax WHEN 2 THEN i2 ELSE i1 END AS lb FROM cd),
+cb AS (SELECT *, row_number() OVER (PARTITION BY ax, la, lb ORDER BY target DESC, fv DESC, flat) AS rn, min(flat) OVER (PARTITION BY ax, la, lb) AS turn FROM ck),
+bl AS (SELECT ec.*, x.ax, CASE x.ax WHEN 0 THEN i2 ELSE i3 END AS la, CASE x.ax WHEN 2 THEN i2 ELSE i1 END AS lb FROM ec CROSS JOIN (VALUES (0), (1), (2)) x(ax) WHERE edge AND fvt > CAST(1e-6 AS FLOAT)),
+bb AS (SELECT *, row_number() OVER (PARTITION BY ax, la, lb ORDER BY target DESC, fv DESC, flat) AS rn FROM bl),
+wn AS (SELECT cb.* FROM cb LEFT JOIN (SELECT * FROM bb WHERE rn = 1) b ON b.ax = cb.ax AND b.la = cb.la AND b.lb = cb.lb WHERE cb.rn = 1 AND (b.flat IS NULL OR cb.target > b.target
+ OR (cb.target = b.target AND (cb.fv > b.fv OR (cb.fv = b.fv AND cb.flat < b.flat))))),
+cl AS (SELECT bl.flat, max(wn.turn) AS cleared_at FROM bl JOIN wn ON wn.ax = bl.ax AND wn.la = bl.la AND wn.lb = bl.lb GROUP BY bl.flat),
+pp AS (SELECT flat, any_value(i3) AS i3, any_value(i2) AS i2, any_value(i1) AS i1, any_value(fv) AS fv, max(turn) AS turn FROM wn GROUP BY flat)"""
+
+
+@query("thin_edge_lines", f"""WITH {A}, {_SM2}, {_sql_nms()}, {_THIN_REF}, {_THIN_NRM}, {_PLATEAU}, {_EDGE_LINES}
+SELECT i3, i2, i1, round(CAST(fvt AS DOUBLE), 6) AS fvt FROM ec WHERE fvt > CAST(1e-6 AS FLOAT) AND flat NOT IN (SELECT flat FROM cl) AND flat NOT IN (SELECT flat FROM pp)
+UNION ALL SELECT pp.i3, pp.i2, pp.i1, round(CAST(fv AS DOUBLE), 6) FROM pp LEFT JOIN cl USING (flat) WHERE cleared_at IS NULL OR cleared_at <= turn""")
 def q_edge_lines(spark, sf):
     t = attribute_traces(spark, sf)
     fvt = to_voxels(thinning.thin_reference(t, "fv", "vp", tiling=TILING), ["thin"]).withColumnRenamed("thin", "fvt")
     cells = attributes(spark, sf).select(*ID3, "n3", "n2", "n1", "fv", "vp", "vt", F.col("ft").alias("target")).join(fvt, ID3)
     plateau = thinning.thin_plateau(t, "fv", "vp", "vt", tiling=TILING)
-    return edges.thin_edge_lines(cells, plateau, 4)
+    return edges.thin_edge_lines(cells, plateau, 4).select(*ID3, r6("fvt"))
 
 
 @query("boundary_seeds")

@@ -94,8 +94,9 @@ def thin_edge_lines(
     cand = (
         c.where(F.col("edge") & positive("target")).join(plateau.select(*XYZ), XYZ, "left_semi")
         .withColumn("axis", dominant_axis(F.col("vp").cast("double"), F.col("vt").cast("double")))
-        .select("axis", *key, order.alias("rank"), "fv", *XYZ)
-        .groupBy("axis", "la", "lb").agg(F.max(F.struct("rank", "fv", *XYZ)).alias("best"))
+        .select("axis", *key, order.alias("rank"), "fv", "flat", *XYZ)
+        .groupBy("axis", "la", "lb")
+        .agg(F.max(F.struct("rank", "fv", *XYZ)).alias("best"), F.min("flat").alias("turn"))
     )
     base = c.where(F.col("edge") & positive("fvt"))
     axes = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("axis")
@@ -104,10 +105,16 @@ def thin_edge_lines(
     wins = cand.join(best_base, ["axis", "la", "lb"], "left").where(
         F.col("base_rank").isNull() | (F.col("best.rank") > F.col("base_rank"))
     )
-    cleared = on_line.join(wins.select("axis", "la", "lb"), ["axis", "la", "lb"], "left_semi").select(*XYZ).distinct()
-    kept = c.where(positive("fvt")).select(*XYZ, "fvt").join(cleared, XYZ, "left_anti")
-    placed = wins.select(*[F.col(f"best.{x}").alias(x) for x in XYZ], F.col("best.fv").alias("fvt"))
-    return kept.join(placed.select(*XYZ), XYZ, "left_anti").unionByName(placed.dropDuplicates(XYZ))
+    # lines take turns (by their first candidate): a later line may clear what an earlier one placed
+    cleared = on_line.join(wins.select("axis", "la", "lb", "turn"), ["axis", "la", "lb"]).groupBy(*XYZ).agg(
+        F.max("turn").alias("cleared_at")
+    )
+    placed = wins.groupBy(*[F.col(f"best.{x}").alias(x) for x in XYZ]).agg(
+        F.max(F.struct("turn", F.col("best.fv").alias("fvt"))).alias("p")
+    )
+    stays = placed.join(cleared, XYZ, "left").where(F.col("cleared_at").isNull() | (F.col("cleared_at") <= F.col("p.turn")))
+    kept = c.where(positive("fvt")).select(*XYZ, "fvt").join(cleared, XYZ, "left_anti").join(placed, XYZ, "left_anti")
+    return kept.unionByName(stays.select(*XYZ, F.col("p.fvt").alias("fvt")))
 
 
 __all__ = ["collapse_runs", "recenter", "skeletonize", "thin_edge_lines"]
