@@ -45,7 +45,7 @@ def _pick(bank: list[dict], score, names: list[str], angles: tuple[str, ...]) ->
     """struct(s, angles...) of the best orientation per voxel.
 
     An Arrow UDF over the derivative columns: the same fold written with built-in
-    array functions is interpreted per voxel and orientation, and measured 10x slower.
+    array functions is interpreted for every voxel and orientation.
     Strictly better scores replace, so the first orientation wins ties.
     """
     table = {a: np.float32([b[a] for b in bank]) for a in angles}

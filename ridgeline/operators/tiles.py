@@ -3,7 +3,8 @@
 :func:`tile_map` moves traces once to bounded tiles and hands each tile to a small
 NumPy function as dense ``(i3, i2, i1)`` blocks over Arrow.  The same stencils written
 with array higher-order functions are interpreted per element: on the 2,000-trace
-volume they took 2-4 times as long in all, and gave plans too large to compile.
+volume the whole queries took 1.4 to 4.5 times as long, and some plans grew too large
+to compile.
 
 A block ends where the volume ends, so edge rules apply at its borders; where a block
 ends inside the volume, only halo samples are affected, and those are dropped.
