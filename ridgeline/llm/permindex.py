@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS = 128
-PREFIX = 32
+PIVOTS = 256
+PREFIX = 64
 BLOCK = 8192
 QUERIES = 1024
 #: Share of a block's rows that is reranked, and the least number.
-SHARE, LEAST = 0.3, 400
+SHARE, LEAST = 0.35, 400
 
 
 def usable(vectors: DataFrame) -> DataFrame:
