@@ -155,13 +155,23 @@ class _Lines:
         return self.done
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _shown(kid: Node | str) -> bool:
+    return visible(kid) if isinstance(kid, Node) else bool(kid.strip(" \t\n\f\r"))
+
+
+def _rows(node: Node, inside: bool = False) -> Iterator[Node]:
+    """Rows of a table; what stands between the rows of a table part is a row of one cell."""
     for kid in node.kids:
-        if isinstance(kid, Node) and visible(kid):
-            if kid.tag == "tr":
-                yield kid
-            elif kid.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(kid)
+        if not _shown(kid):
+            continue
+        if isinstance(kid, Node) and kid.tag == "tr":
+            yield kid
+        elif isinstance(kid, Node) and kid.tag in ("thead", "tbody", "tfoot"):
+            yield from _rows(kid, True)
+        elif inside:
+            row, cell = Node("tr"), Node("td")
+            row.kids, cell.kids = [cell], [kid]
+            yield row
 
 
 def _block(node: Node) -> list[str]:
@@ -176,7 +186,13 @@ def _table(node: Node) -> list[str]:
     for row in _rows(node):
         cells: list[list[str]] = []
         for cell in row.kids:
-            if isinstance(cell, Node) and cell.tag in ("td", "th") and visible(cell):
+            if not _shown(cell):
+                continue
+            if not (isinstance(cell, Node) and cell.tag in ("td", "th")):  # stray content takes a cell
+                holder = Node("td")
+                holder.kids = [cell]
+                cells.append(_block(holder) or [""])
+            else:
                 cells.append(_block(cell) or [""])
                 span = cell.attributes().get("colspan", "1")
                 cells += [[""]] * (min(int(span), 1000) - 1 if span.isdigit() else 0)

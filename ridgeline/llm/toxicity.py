@@ -26,10 +26,11 @@ MAX_LABELLED = 40_000
 MAX_LEXICON = 50_000
 PRIOR = 100.0
 PASSAGE_SHARE = 0.25
-PREFIX = 5
-LEAST_Z = 2.5
+#: Words stand for themselves; unknown ones fall back to their first letters, the longer prefix first.
+PREFIXES = (7, 5, 4)
+LEAST_Z = 2.0
 LEAST_DELTA = 2.0
-LEAST_DOCUMENTS = 5
+LEAST_DOCUMENTS = 4
 #: Copies of one toxic text repeat its words with the same neighbours; a lexicon entry needs this many
 #: different left neighbours for each of its toxic documents.
 LEAST_CONTEXTS = 0.4
@@ -57,11 +58,14 @@ def _words(texts) -> tuple[np.ndarray, pa.Array]:
     return split_words(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def _prefixes(words: pa.Array) -> pa.Array:
+def _prefix(words: pa.Array, size: int) -> pa.Array:
     """'^' and the first letters of words that are longer; null for others."""
-    long = pc.greater(pc.utf8_length(words), PREFIX)
-    cut = pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(words, 0, PREFIX), "")
-    return pc.if_else(long, cut, pa.scalar(None, pa.string()))
+    cut = pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(words, 0, size), "")
+    return pc.if_else(pc.greater(pc.utf8_length(words), size), cut, pa.scalar(None, pa.string()))
+
+
+def _features(words: pa.Array) -> list[pa.Array]:
+    return [words, *[_prefix(words, n) for n in PREFIXES]]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
@@ -89,7 +93,7 @@ def _counts(train: DataFrame) -> DataFrame:
                 toxic = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 offsets, words = _words(part.column(1))
                 row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-                for tokens in (words, _prefixes(words)):
+                for tokens in _features(words):
                     keep = pc.is_valid(tokens).to_numpy(zero_copy_only=False)
                     codes, distinct = coded(tokens.filter(pa.array(keep)))
                     pairs = np.unique(row[keep] * max(1, len(distinct)) + codes)
@@ -115,7 +119,7 @@ def _contexts(train: DataFrame, tokens: list[str]) -> DataFrame:
                 first = np.zeros(len(words) + 1, bool)
                 first[offsets] = True
                 before = pc.if_else(pa.array(first[: len(words)]), "", pa.concat_arrays([pa.array([""]), words])[: len(words)])
-                for values in (words, _prefixes(words)):
+                for values in _features(words):
                     hit = pc.is_in(values, value_set=wanted)
                     yield pa.RecordBatch.from_arrays([values.filter(hit), before.filter(hit)], ["token", "before"])
 
@@ -123,18 +127,11 @@ def _contexts(train: DataFrame, tokens: list[str]) -> DataFrame:
     return pairs.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
-    """Fit on (doc_id, text) and (doc_id, toxic).
-
-    Three quarters of the labelled texts give the lexicon, the rest calibrate the probability.
-    Without both classes the model scores nothing and every document gets the same low score.
-    """
-    train = stored(labelled(docs, labels, limit), "toxic-train")
-    fold = F.pmod(F.crc32("doc"), F.lit(4))
-    part = train.where(fold > 0)
+def _lexicon(part: DataFrame, max_lexicon: int) -> Model:
+    """Lexicon, lambda and K from labelled texts."""
+    empty = Model([], [], math.log1p(-PASSAGE_SHARE), 1.0, 1.0)
     sums = part.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     n_bad, n_good = int(sums["bad"] or 0), int(sums["good"] or 0)
-    empty = Model([], [], math.log1p(-PASSAGE_SHARE), 1.0, 1.0)
     if not n_bad or not n_good:
         return empty
     prior = PRIOR * (F.col("bad") + F.col("good")) / F.lit(float(n_bad + n_good))
@@ -149,21 +146,33 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, max_lexic
     found = [r for r in found if varied.get(r["token"], 0) >= max(LEAST_DOCUMENTS, LEAST_CONTEXTS * r["bad"])]
     if not found:
         return empty
-    background = math.log1p(-PASSAGE_SHARE)
     scores = [math.log(1 - PASSAGE_SHARE + PASSAGE_SHARE * math.exp(min(r["delta"], 20.0))) for r in found]
-    model = Model([r["token"] for r in found], scores, background, 1.0, 1.0)
-    # clean text: how often each score turns up per token (documents stand for tokens of their length)
+    model = Model([r["token"] for r in found], scores, empty.background, 1.0, 1.0)
+    # clean text: how often each word's score turns up per token
     n_words = part.where("toxic = 0").agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"]
-    share = [(r["good"] + r["prior"]) / (n_words + PRIOR) for r in found if not r["token"].startswith("^")]
-    plain = [s for r, s in zip(found, scores, strict=True) if not r["token"].startswith("^")]
-    model.lam = _karlin(np.array(plain), np.array(share), background)
+    plain = [(s, (r["good"] + r["prior"]) / (n_words + PRIOR)) for r, s in zip(found, scores, strict=True) if not r["token"].startswith("^")]
+    model.lam = _karlin(np.array([s for s, _ in plain]), np.array([p for _, p in plain]), model.background)
     # the tail of clean documents' best segments gives K of K m exp(-lambda S)
     tops = scored(part.where("toxic = 0").select(F.lit(0).cast("long").alias("doc_id"), "text"), model, raw=True)
     floor = min(scores)
     tail = tops.agg(F.sum("n_words").alias("m"), F.sum((F.col("best") >= floor).cast("long")).alias("hits")).first()
     model.k = ((tail["hits"] or 0) + 0.5) / (max(1, tail["m"] or 0) * math.exp(-model.lam * floor))
-    points = scored(train.where(fold == 0).select(F.col("toxic").cast("long").alias("doc_id"), "text"), model).select("doc_id", "evidence")
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
+    """Fit on (doc_id, text) and (doc_id, toxic).
+
+    A lexicon from three quarters of the labelled texts scores the rest, which calibrates the
+    probability; the lexicon that is used then comes from all of them.  Without both classes the
+    model scores nothing and every document gets the same low score.
+    """
+    train = stored(labelled(docs, labels, limit), "toxic-train")
+    fold = F.pmod(F.crc32("doc"), F.lit(4))
+    part = _lexicon(train.where(fold > 0), max_lexicon)
+    points = scored(train.where(fold == 0).select(F.col("toxic").cast("long").alias("doc_id"), "text"), part)
     table = points.groupBy("doc_id", F.round("evidence", 1).alias("evidence")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per labelled text
+    model = _lexicon(train, max_lexicon)
     model.intercept, model.slope = _logistic(
         np.log1p([r["evidence"] for r in table]), np.array([r["doc_id"] for r in table], float), np.array([r["n"] for r in table], float)
     )
@@ -239,9 +248,7 @@ def _scorer(model: Model, raw: bool = False):
         rows = len(texts)
         offsets, words = _words(texts)
         codes, distinct = coded(words)
-        found = pc.index_in(distinct, value_set=lexicon)
-        if len(distinct):
-            found = pc.coalesce(found, pc.index_in(_prefixes(distinct), value_set=lexicon, skip_nulls=True))
+        found = pc.coalesce(*[pc.index_in(f, value_set=lexicon, skip_nulls=True) for f in _features(distinct)])
         index = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)[codes]
         hits = np.flatnonzero(index >= 0)
         owner = np.searchsorted(offsets, hits, side="right") - 1
