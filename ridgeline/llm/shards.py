@@ -1,15 +1,14 @@
 """Training-order materialisation: fixed-stride token shards in a keyed pseudo-random order.
 
-Every document is cut into sequences; sequences are numbered 0..N-1 by (partition of the scan,
-position in it); a keyed Feistel network with cycle-walking permutes 0..N-1, which gives each
-sequence its global slot.  Slots are dealt to range partitions, each of which writes one shard of
-records of one fixed size, so record ``slot`` lies at ``(slot % per_shard) * stride`` of shard
-``slot // per_shard`` and a reader resumes anywhere without an index.
-
-Two passes read the documents: the first only counts the sequences of each partition of the scan
-(one number per partition reaches the driver), the second encodes again and sends each sequence,
-compressed, to its shard.  The second pass fails if it meets other counts than the first; the input
-must therefore be a plain scan with narrow steps (write anything else to a table first).
+Every document is cut into sequences.  A sequence has the index (id, piece) in a dense grid of all
+ids by the most pieces any text can have; a keyed Feistel network with cycle-walking permutes the
+grid, so the order depends on ids and key alone, not on how the table is dealt out.  The permuted
+grid is range-partitioned; each partition sorts its sequences and writes one shard of records of one
+fixed size.  A sequence's global slot is the number of records before its shard plus its place in the
+shard: 0..N-1 without gaps (points of the grid that no sequence has take no slot).  The manifest holds
+the first slot of each shard, and a reader seeks straight to any slot and reads on.
+
+One pass reads and encodes the documents; the grid's size comes from ids and text lengths alone.
 """
 
 from __future__ import annotations
@@ -19,24 +18,27 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import new_folder
+from ridgeline.llm.common import new_folder, slices
 from ridgeline.llm.tokens import default_files, document_ids, encoder
 
 SEQ_LEN = 512
 END_ID = 2
 PER_SHARD = 8192
-#: Record header: doc_id, piece, number of ids; then seq_len unsigned 16-bit ids, zero-padded.
-HEADER = "<qii"
+#: Record header: doc_id, piece, number of ids, whether doc_id is null; then seq_len unsigned 16-bit ids, zero-padded.
+HEADER = "<qiH?x"
 HEADER_BYTES = struct.calcsize(HEADER)
 _ROUNDS = 4
+#: To choose the number of shards only.
+BYTES_PER_TOKEN = 2.5
+READ_RECORDS = 1024
 
 
 def feistel(x: np.ndarray, n: int, key: str) -> np.ndarray:
@@ -64,131 +66,141 @@ def feistel(x: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+@dataclass(frozen=True)
+class Grid:
+    """Ids from ``low`` on (``ids`` of them, one more for null) by ``pieces``; ids too far apart are hashed."""
 
+    low: int
+    ids: int
+    pieces: int
+    hashed: bool
 
-def count_sequences(docs: DataFrame, seq_len: int, end_id: int, files: tuple[str, str]) -> dict[int, int]:
-    """Sequences in each partition of the scan."""
+    @property
+    def size(self) -> int:
+        return (self.ids + 1) * self.pieces
+
+
+def grid_of(docs: DataFrame, seq_len: int) -> tuple[Grid, int]:
+    """The grid, and the bytes of all texts; a token takes a byte at least."""
+    length = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
+    r = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(length).alias("longest"), F.sum(length).alias("bytes")).first()
+    low, high = (0, 0) if r["low"] is None else (r["low"], r["high"])
+    pieces, ids = (r["longest"] or 0) // seq_len + 1, high - low + 1
+    hashed = (ids + 1) * pieces >= 1 << 62
+    return Grid(0 if hashed else low, (1 << 62) // pieces - 1 if hashed else ids, pieces, hashed), r["bytes"] or 0
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        encode, n = encoder(*files), 0
-        for batch in batches:
-            for text in batch.column(1):
-                n += -(-len(document_ids(encode, text.as_py(), end_id)) // seq_len)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
-    return {r["part"]: r["n"] for r in _scan(docs).mapInArrow(run, "part int, n long").collect()}
+def _point(grid: Grid, doc_id: int | None, pieces: int) -> np.ndarray:
+    """Indices in the grid of the pieces of a document; hashed ids may share points, which the sort settles by the record."""
+    if doc_id is None:
+        row = grid.ids
+    elif grid.hashed:
+        row = int.from_bytes(hashlib.sha256(str(doc_id).encode()).digest()[:8], "little") % grid.ids
+    else:
+        row = doc_id - grid.low
+    return np.arange(row * grid.pieces, row * grid.pieces + pieces, dtype=np.int64)
 
 
 def write_shards(
     docs: DataFrame, folder: str, key: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, per_shard: int = PER_SHARD,
     files: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Write the shards of ``docs`` (doc_id, text) below ``folder``; returns (shard, path, records), already written.
+    """Write the shards of ``docs`` (doc_id, text) below ``folder``; returns the manifest (shard, path, first_slot, records).
 
-    Null text is empty and still yields a sequence (the end id); repeated rows yield theirs each
-    time; a null doc_id is stored as -1; no rows write no shard.  A task writes to a name of its own
-    and renames at the end, so a repeated task leaves one whole shard.
+    ``per_shard`` is the number of records a shard holds about (the permutation deals them out evenly).
+    Null text is empty and still yields a sequence (the end id); rows that repeat yield theirs each
+    time, next to each other; a null doc_id is kept as such; no rows write no shard.  A task writes to
+    a name of its own and renames at the end, so a repeated task leaves one whole shard.
     """
     files = files or default_files()
-    counts = count_sequences(docs, seq_len, end_id, files)
-    base, total = {}, 0
-    for part in sorted(counts):
-        base[part], total = total, total + counts[part]
-    shared = docs.sparkSession.sparkContext.broadcast(base)  # one number per partition of the scan
-    n_shards = max(1, -(-total // per_shard))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    grid, n_bytes = grid_of(docs, seq_len)
+    n_shards = max(1, round(n_bytes / BYTES_PER_TOKEN / seq_len / per_shard))
 
     def encode_rows(batches) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(*files), TaskContext.get().partitionId()
-        start = at = shared.value[part]
-        z = zstandard.ZstdCompressor(level=3)
+        encode, z = encoder(*files), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids_of, blobs = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = document_ids(encode, text.as_py(), end_id)
-                for piece, lo in enumerate(range(0, len(ids), seq_len)):
-                    part_ids = ids[lo : lo + seq_len].astype("<u2")
-                    blobs.append(z.compress(struct.pack(HEADER, -1 if doc_id is None else doc_id, piece, len(part_ids)) + part_ids.tobytes()))
-                ids_of.append(-(-len(ids) // seq_len))
-            n = sum(ids_of)
-            slots = feistel(np.arange(at, at + n), total, key)
-            at += n
-            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), pa.array(blobs, pa.binary())], ["shard", "slot", "record"])
-        if at - start != counts.get(part, 0):
-            raise RuntimeError("the scan dealt out other rows than before: write the input to a table first")
+            for part in slices(batch, "text"):
+                points, blobs = [], []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    ids = document_ids(encode, text.as_py(), end_id).astype("<u2")
+                    pieces = -(-len(ids) // seq_len)
+                    points.append(_point(grid, doc_id, pieces))
+                    for k in range(pieces):
+                        own = ids[k * seq_len : (k + 1) * seq_len]
+                        blobs.append(z.compress(struct.pack(HEADER, 0 if doc_id is None else doc_id, k, len(own), doc_id is None) + own.tobytes()))
+                place = feistel(np.concatenate(points), grid.size, key)
+                shard = (place / grid.size * n_shards).astype(np.int64).clip(0, n_shards - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), pa.array(blobs, pa.binary())], ["shard", "place", "record"])
 
     stride = HEADER_BYTES + 2 * seq_len
 
     def write(batches) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        made, shard, sink, name, z = [], None, None, "", zstandard.ZstdDecompressor()
+        made, shard, sink, name, n, z = [], None, None, "", 0, zstandard.ZstdDecompressor()
         where, root = fs.FileSystem.from_uri(folder)
         where.create_dir(root, recursive=True)
 
         def close():
             if sink is not None:
                 sink.close()
-                final = f"{root}/shard-{shard:06d}.bin"
-                where.move(name, final)
-                made.append((shard, f"{folder}/shard-{shard:06d}.bin", expect - shard * per_shard))
+                where.move(name, f"{root}/shard-{shard:06d}.bin")
+                made.append((shard, f"{folder}/shard-{shard:06d}.bin", n))
 
-        expect = 0
         for batch in batches:
-            for s, slot, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if s != shard:
                     close()
-                    shard, expect = s, s * per_shard
-                    name = f"{root}/.part-{uuid.uuid4().hex}"
-                    sink = where.open_output_stream(name)
-                if slot != expect:
-                    raise RuntimeError(f"slot {expect} is missing")
-                expect += 1
+                    shard, name, n = s, f"{root}/.part-{uuid.uuid4().hex}", 0
+                    sink = where.open_output_stream(name, buffer_size=1 << 18)
                 sink.write(z.decompress(blob.as_py()).ljust(stride, b"\0"))
+                n += 1
         close()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], ["shard", "path", "records"])
 
-    rows = _scan(docs).mapInArrow(encode_rows, "shard long, slot long, record binary")
-    # shards are whole ranges of slots of equal size, so dealing by shard is a range partitioning without a sampling pass
-    dealt = rows.repartition(n_shards, "shard").sortWithinPartitions("slot")
-    done = dealt.mapInArrow(write, "shard long, path string, records long").collect()  # one row per shard
-    return docs.sparkSession.createDataFrame([tuple(r) for r in done], "shard long, path string, records long")
+    rows = docs.mapInArrow(encode_rows, "shard long, place long, record binary")
+    # a shard is a range of the permuted grid, so dealing by shard is a range partitioning without a sampling pass
+    dealt = rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "place", "record").select("shard", "record")
+    done = sorted(tuple(r) for r in dealt.mapInArrow(write, "shard long, path string, records long").collect())  # one row per shard
+    first = np.concatenate([[0], np.cumsum([n for *_, n in done])]).tolist()
+    manifest = [(s, path, first[k], n) for k, (s, path, n) in enumerate(done)]
+    return docs.sparkSession.createDataFrame(manifest, "shard long, path string, first_slot long, records long")
 
 
-def read_shards(spark: SparkSession, written: DataFrame, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, first_slot: int = 0) -> DataFrame:
-    """Records of the shards from ``first_slot`` on (a reader that resumes): slot, shard, doc_id, piece, n_tokens, ids_crc32."""
+def read_shards(spark: SparkSession, manifest: DataFrame, seq_len: int = SEQ_LEN, first_slot: int = 0) -> DataFrame:
+    """Records from ``first_slot`` on (a reader that resumes): slot, shard, doc_id, piece, n_tokens, ids_crc32."""
     stride = HEADER_BYTES + 2 * seq_len
-    todo = written.where((F.col("shard") + 1) * per_shard > first_slot)
+    todo = manifest.where(F.col("first_slot") + F.col("records") > first_slot)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        names = ["slot", "shard", "doc_id", "piece", "n_tokens", "ids_crc32"]
         for batch in batches:
-            for shard, path, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, path, first, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 where, file = fs.FileSystem.from_uri(path)
-                skip = max(0, first_slot - shard * per_shard)
-                rows = []
+                at = max(0, first_slot - first)
                 with where.open_input_file(file) as f:
-                    f.seek(skip * stride)
-                    for k in range(skip, records):
-                        record = f.read(stride)
-                        doc_id, piece, n = struct.unpack_from(HEADER, record)
-                        ids = np.frombuffer(record, "<u2", n, HEADER_BYTES).astype("<u4")
-                        rows.append((shard * per_shard + k, shard, None if doc_id < 0 else doc_id, piece, n, zlib.crc32(ids.tobytes())))
-                if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                    names = ["slot", "shard", "doc_id", "piece", "n_tokens", "ids_crc32"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return todo.repartition(max(1, min(10_000, written.count())), "shard").mapInArrow(
+                    f.seek(at * stride)
+                    while at < records:
+                        n = min(READ_RECORDS, records - at)
+                        block, rows = f.read(n * stride), []
+                        for k in range(n):
+                            doc_id, piece, size, null = struct.unpack_from(HEADER, block, k * stride)
+                            ids = np.frombuffer(block, "<u2", size, k * stride + HEADER_BYTES).astype("<u4")
+                            rows.append((first + at + k, shard, None if null else doc_id, piece, size, zlib.crc32(ids)))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        at += n
+
+    return todo.repartition(max(1, min(10_000, manifest.count())), "shard").mapInArrow(
         run, "slot long, shard long, doc_id long, piece int, n_tokens int, ids_crc32 long"
     )
 
 
 def materialise(spark: SparkSession, docs: DataFrame, key: str, **options) -> DataFrame:
     """Write ``docs`` as shards in a new shared folder and read every record back."""
-    folder = new_folder(spark, "shards")
-    written = write_shards(docs, folder, key, **options)
-    return read_shards(spark, written, **{k: v for k, v in options.items() if k in ("seq_len", "per_shard")})
+    manifest = write_shards(docs, new_folder(spark, "shards"), key, **options)
+    return read_shards(spark, manifest, options.get("seq_len", SEQ_LEN))

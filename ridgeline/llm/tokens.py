@@ -13,7 +13,13 @@ from functools import lru_cache
 
 import numpy as np
 
-_ODD = re.compile(r"<\|endoftext\|>|\s{500}")
+_SPECIAL = "<|endoftext|>"
+_RUN, _SAMPLED_RUN = re.compile(r"\s{500}"), re.compile(r"\s{4}")
+
+
+def odd(text: str) -> bool:
+    """Whether a text needs the tokenizer file; a run of 500 holds four of every 125th character, so most texts need no full search."""
+    return _SPECIAL in text or (_SAMPLED_RUN.search(text[::125]) is not None and _RUN.search(text) is not None)
 
 
 def default_files() -> tuple[str, str]:
@@ -35,7 +41,7 @@ def encoder(json_path: str, ranks_path: str):
     whole = Tokenizer.from_file(json_path)
 
     def encode(text: str) -> list[int]:
-        if _ODD.search(text):
+        if odd(text):
             return whole.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
