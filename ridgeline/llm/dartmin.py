@@ -10,7 +10,9 @@ documents into a class.
 Candidates are not spelled out as all pairs of a bucket.  In star rounds each bucket compares its
 members with one root (another one for each band and round); what the found links have joined needs
 no more checks.  Only members that remain outside their bucket's largest class are then compared with
-the rest of the bucket, so no candidate link between classes is left unchecked.
+the rest of the bucket, so no candidate link between classes is left unchecked.  Before that, the
+weight of the shingles that also occur in another class bounds the similarity of each pair from
+above; pairs whose bound is too low need no check.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from ridgeline.llm.common import mix, slices, split_words, stored, word_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-STARS = 2
+STARS = 3
 _LEVELS = 4  # rank cells below 1 have widths 1/16, 2/16, 4/16, 8/16; from 15/16 on the width is 1
 _U = np.uint64
 _TO_UNIT = 2.0**-53
@@ -169,6 +171,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _split(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (bucket, tkey, n, label) of the buckets that hold several classes; those of them outside the bucket's largest class."""
+    parts = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    split = known.join(largest, "bucket").select("bucket", "tkey", "n", "label", "largest")
+    return split, split.where("label != largest")
+
+
+def _common(texts: DataFrame) -> DataFrame:
+    """(tkey, common): weight of the shingles that some text of another class has too, of ``texts`` (tkey, label, text)."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = _sets(part.column(2))
+                owner = pa.array(np.repeat(np.arange(len(sets)), [len(ids) for ids, _ in sets]))
+                ids, counts = (np.concatenate(c) for c in zip(*sets, strict=True))
+                columns = [part.column(0).take(owner), part.column(1).take(owner), pa.array(ids.view(np.int64)), pa.array(counts.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["tkey", "label", "shingle", "weight"])
+
+    seen = stored(texts.select("tkey", "label", "text").mapInArrow(run, "tkey binary, label binary, shingle long, weight long"), "shingles")
+    several = seen.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("shingle")
+    return seen.join(several, "shingle", "left_semi").groupBy("tkey").agg(F.sum("weight").alias("common"))
+
+
+def _reachable(split: DataFrame, outside: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(tkey, x): pairs of different classes in a bucket whose common weight allows the similarity."""
+    classes = split.select("tkey", "label").distinct()
+    common = stored(_common(texts.join(classes, "tkey")), "common")
+    enough = F.col("common") >= F.lit(least) * F.col("n")
+    here = split.join(common, "tkey").where(enough)
+    there = outside.join(common, "tkey").where(enough).select(
+        "bucket", F.col("tkey").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("common").alias("cx")
+    )
+    most = F.least("common", "cx")  # no more weight than this can be common to both
+    return here.join(there, "bucket").where((F.col("label") != F.col("lx")) & (most >= F.lit(least) * (F.col("n") + F.col("nx") - most))).select("tkey", "x")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of ``edges`` (a, b): the least node of each component.
 
@@ -213,19 +253,19 @@ def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     )
     edges, tested, label = None, None, None
     for turn in range(stars + 1):
-        here = members if label is None else members.join(label.withColumnRenamed("node", "tkey"), "tkey", "left").withColumn("label", F.coalesce("label", "tkey"))
+        known = members.withColumn("label", F.col("tkey")) if label is None else members.join(
+            label.withColumnRenamed("node", "tkey"), "tkey", "left"
+        ).withColumn("label", F.coalesce("label", "tkey"))
+        split, outside = _split(known)
         if turn < stars:
-            root = here.groupBy("bucket").agg(F.min_by(F.struct(*here.columns), F.xxhash64("tkey", "bucket", F.lit(turn))).alias("root"))
-            apart = F.col("tkey") != F.col("root.tkey") if label is None else F.col("label") != F.col("root.label")
-            near = here.join(root, "bucket").where(apart & _close("n", "root.n", least))
-            pairs = near.select(F.greatest("tkey", "root.tkey").alias("a"), F.least("tkey", "root.tkey").alias("b")).distinct()
+            # the first root is any member; later ones stand outside their bucket's largest class
+            pool = known if label is None else outside
+            root = pool.groupBy("bucket").agg(F.min_by(F.struct("tkey", "n", "label"), F.xxhash64("tkey", "bucket", F.lit(turn))).alias("root"))
+            near = (known if label is None else split).join(root, "bucket")
+            near = near.where((F.col("label") != F.col("root.label")) & _close("n", "root.n", least)).select("tkey", F.col("root.tkey").alias("x"))
         else:
-            parts = here.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-            largest = parts.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            split = here.join(largest, "bucket")
-            out = split.where("label != largest").select("bucket", F.col("tkey").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-            near = split.join(out, "bucket").where((F.col("label") != F.col("lx")) & _close("n", "nx", least))
-            pairs = near.select(F.greatest("tkey", "x").alias("a"), F.least("tkey", "x").alias("b")).distinct()
+            near = _reachable(split, outside, texts, least)
+        pairs = near.select(F.greatest("tkey", "x").alias("a"), F.least("tkey", "x").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -239,7 +279,6 @@ def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     low = some.groupBy("tkey").agg(F.min("doc_id").alias("low"))
     named = named.join(low, "tkey")
     heads = named.groupBy("label").agg(F.min("low").alias("class_id"), F.min_by("row", F.coalesce("low", F.lit(2**63 - 1))).alias("first"))
-    # texts that are alone need no look-up: only keys of copies or of joined texts go through the join
     several = named.join(heads, "label").select("tkey", "class_id", "first")
     plain = sketch.join(several, "tkey", "left")
     alone = F.col("n") == 0
