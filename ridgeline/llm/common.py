@@ -37,11 +37,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here."""
-    path = new_folder(df.sparkSession, name)
+def stored(df: DataFrame, name: str, replaces: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here.
+
+    ``replaces`` is the folder of an earlier round that nothing needs any more; it is removed once
+    the new one is whole.  The result's own folder is its attribute ``folder``.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(replaces)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

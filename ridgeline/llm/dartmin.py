@@ -8,11 +8,13 @@ whole band are candidates, and every candidate link is checked on the texts befo
 documents into a class.
 
 Candidates are not spelled out as all pairs of a bucket.  In star rounds each bucket compares its
-members with one root (another one for each band and round); what the found links have joined needs
-no more checks.  Only members that remain outside their bucket's largest class are then compared with
-the rest of the bucket, so no candidate link between classes is left unchecked.  Before that, the
-weight of the shingles that also occur in another class bounds the similarity of each pair from
-above; pairs whose bound is too low need no check.
+members with one root: any member first (another one in each band), then the member that shares most
+of itself with other classes, as the source of a group of edited copies does.  What the found links
+have joined needs no more checks.  Only members that remain outside their bucket's largest class are
+then compared with the rest of the bucket, so no candidate link between classes is left out.  Two
+bounds spare pairs the check on the texts: the weight of their shingles that also occur in another
+class, which is exact, and 1,024 bits of a longer signature, which err once in 80,000 pairs at the
+least similarity (the bands themselves once in 17,000).
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from ridgeline.llm.common import mix, slices, split_words, stored, word_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-STARS = 3
+STARS, CENTRAL = 1, 2
+BITS = 1024
 _LEVELS = 4  # rank cells below 1 have widths 1/16, 2/16, 4/16, 8/16; from 15/16 on the width is 1
 _U = np.uint64
 _TO_UNIT = 2.0**-53
@@ -179,34 +182,96 @@ def _split(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split, split.where("label != largest")
 
 
-def _common(texts: DataFrame) -> DataFrame:
-    """(tkey, common): weight of the shingles that some text of another class has too, of ``texts`` (tkey, label, text)."""
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """(tkey, shingle, weight) of ``texts`` (tkey, text)."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = _sets(part.column(2))
+                sets = _sets(part.column(1))
                 owner = pa.array(np.repeat(np.arange(len(sets)), [len(ids) for ids, _ in sets]))
                 ids, counts = (np.concatenate(c) for c in zip(*sets, strict=True))
-                columns = [part.column(0).take(owner), part.column(1).take(owner), pa.array(ids.view(np.int64)), pa.array(counts.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["tkey", "label", "shingle", "weight"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(ids.view(np.int64)), pa.array(counts.astype(np.int64))], ["tkey", "shingle", "weight"])
 
-    seen = stored(texts.select("tkey", "label", "text").mapInArrow(run, "tkey binary, label binary, shingle long, weight long"), "shingles")
-    several = seen.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("shingle")
+    return texts.select("tkey", "text").mapInArrow(run, "tkey binary, shingle long, weight long")
+
+
+def _common(seen: DataFrame, group: str) -> DataFrame:
+    """(tkey, common): weight of the shingles that ``seen`` has under several values of ``group``."""
+    several = seen.groupBy("shingle").agg(F.min(group).alias("low"), F.max(group).alias("high")).where("low != high").select("shingle")
     return seen.join(several, "shingle", "left_semi").groupBy("tkey").agg(F.sum("weight").alias("common"))
 
 
-def _reachable(split: DataFrame, outside: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(tkey, x): pairs of different classes in a bucket whose common weight allows the similarity."""
-    classes = split.select("tkey", "label").distinct()
-    common = stored(_common(texts.join(classes, "tkey")), "common")
+def _bits(texts: DataFrame) -> DataFrame:
+    """(tkey, bits): one bit of each entry of a longer signature, packed into longs."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = []
+                for ids, counts in _sets(part.column(1)):
+                    odd = mix(signature(ids, counts.astype(np.float64), BITS, seed=2)) >> _U(63)
+                    rows.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], ["tkey", "bits"])
+
+    return texts.select("tkey", "text").mapInArrow(run, "tkey binary, bits array<long>")
+
+
+def _alike(a: str, b: str, least: float):
+    """Whether the bits of two sets agree as those of similar sets do; one pair in 80,000 at the least similarity does not."""
+    share = (1 + least) / 2
+    fewest = BITS * share - 4.2 * math.sqrt(BITS * share * (1 - share))
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return F.lit(BITS) - differ >= F.lit(fewest)
+
+
+def _central(split: DataFrame, pool: DataFrame, seen: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+    """(tkey, x): members of each split bucket with the one of ``pool`` that shares most of itself with other classes."""
+    common = _common(seen.join(split.select("tkey", "label").distinct(), "tkey"), "label")
+    rank = F.struct(F.coalesce(F.col("common"), F.lit(0)) / F.col("n"), F.col("n"), F.col("tkey"))
+    pool = pool.join(common, "tkey", "left").join(bits, "tkey")
+    root = pool.groupBy("bucket").agg(F.max_by(F.struct("tkey", "n", "label", "bits"), rank).alias("root"))
+    near = split.join(bits, "tkey").join(root, "bucket").where((F.col("label") != F.col("root.label")) & _close("n", "root.n", least) & _alike("bits", "root.bits", least))
+    return near.select("tkey", F.col("root.tkey").alias("x"))
+
+
+def _reachable(split: DataFrame, outside: DataFrame, seen: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+    """(tkey, x): pairs of different classes in a bucket whose common weight and bits allow the similarity."""
+    common = stored(_common(seen.join(split.select("tkey", "label").distinct(), "tkey"), "label").join(bits, "tkey"), "common")
     enough = F.col("common") >= F.lit(least) * F.col("n")
     here = split.join(common, "tkey").where(enough)
     there = outside.join(common, "tkey").where(enough).select(
-        "bucket", F.col("tkey").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("common").alias("cx")
+        "bucket", F.col("tkey").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("common").alias("cx"), F.col("bits").alias("bx")
     )
     most = F.least("common", "cx")  # no more weight than this can be common to both
-    return here.join(there, "bucket").where((F.col("label") != F.col("lx")) & (most >= F.lit(least) * (F.col("n") + F.col("nx") - most))).select("tkey", "x")
+    reach = most >= F.lit(least) * (F.col("n") + F.col("nx") - most)
+    return here.join(there, "bucket").where((F.col("label") != F.col("lx")) & reach & _alike("bits", "bx", least)).select("tkey", "x")
+
+
+class _Links:
+    """Links found so far, pairs compared so far, and the classes they make."""
+
+    def __init__(self, members: DataFrame, texts: DataFrame, least: float):
+        self.members, self.texts, self.least = members, texts, least
+        self.edges = self.tested = self.label = None
+
+    def known(self) -> DataFrame:
+        if self.label is None:
+            return self.members.withColumn("label", F.col("tkey"))
+        named = self.members.join(self.label.withColumnRenamed("node", "tkey"), "tkey", "left")
+        return named.withColumn("label", F.coalesce("label", "tkey"))
+
+    def compare(self, near: DataFrame) -> None:
+        """Check the pairs (tkey, x) that were not checked before, and join what they link."""
+        pairs = near.select(F.greatest("tkey", "x").alias("a"), F.least("tkey", "x").alias("b")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        found = stored(_verified(pairs, self.texts, self.least), "edges")
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        if self.label is None or not found.isEmpty():
+            self.edges = found if self.edges is None else self.edges.union(found)
+            self.label = stored(components(self.edges), "labels")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,6 +281,7 @@ def components(edges: DataFrame) -> DataFrame:
     its neighbours until each component is one star.
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    before = None
     while True:
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -223,7 +289,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        new = stored(small.where("a != b").distinct(), "links")
+        new = stored(small.where("a != b").distinct(), "links", replaces=before)
+        before = new.folder
         # a star has no node that both hangs on another and carries others, and each node hangs on one
         hung = new.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         settled = hung.where("n > 1").isEmpty() and new.select(F.col("b").alias("a")).join(hung, "a", "left_semi").isEmpty()
@@ -239,7 +306,7 @@ def _close(a: str, b: str, least: float):
     return F.least(a, b) >= F.lit(least) * F.greatest(a, b)
 
 
-def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
+def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS, central: int = CENTRAL) -> DataFrame:
     """doc_id, tkey, class_id, is_first of every row; see :func:`classes`."""
     sketch = stored(sketches(docs, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = sketch.where("n > 0")
@@ -251,29 +318,20 @@ def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     texts = stored(
         _keyed(docs).select("tkey", "text").join(keys, "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text")), "texts"
     )
-    edges, tested, label = None, None, None
-    for turn in range(stars + 1):
-        known = members.withColumn("label", F.col("tkey")) if label is None else members.join(
-            label.withColumnRenamed("node", "tkey"), "tkey", "left"
-        ).withColumn("label", F.coalesce("label", "tkey"))
-        split, outside = _split(known)
-        if turn < stars:
-            # the first root is any member; later ones stand outside their bucket's largest class
-            pool = known if label is None else outside
-            root = pool.groupBy("bucket").agg(F.min_by(F.struct("tkey", "n", "label"), F.xxhash64("tkey", "bucket", F.lit(turn))).alias("root"))
-            near = (known if label is None else split).join(root, "bucket")
-            near = near.where((F.col("label") != F.col("root.label")) & _close("n", "root.n", least)).select("tkey", F.col("root.tkey").alias("x"))
-        else:
-            near = _reachable(split, outside, texts, least)
-        pairs = near.select(F.greatest("tkey", "x").alias("a"), F.least("tkey", "x").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(_verified(pairs, texts, least), "edges")
-        tested = pairs if tested is None else tested.union(pairs)
-        if label is None or not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            label = stored(components(edges), "labels")
+    links = _Links(members, texts, least)
+    for turn in range(stars):
+        known = links.known()
+        root = known.groupBy("bucket").agg(F.min_by(F.struct("tkey", "n", "label"), F.xxhash64("tkey", "bucket", F.lit(turn))).alias("root"))
+        near = known.join(root, "bucket").where((F.col("label") != F.col("root.label")) & _close("n", "root.n", least))
+        links.compare(near.select("tkey", F.col("root.tkey").alias("x")))
+    split, outside = _split(links.known())
+    some_texts = stored(texts.join(split.select("tkey").distinct(), "tkey", "left_semi"), "split-texts")
+    seen, bits = stored(_shingle_rows(some_texts), "shingles"), stored(_bits(some_texts), "bits")
+    for turn in range(central):
+        links.compare(_central(split, outside if turn else split, seen, bits, least))
+        split, outside = _split(links.known())
+    links.compare(_reachable(split, outside, seen, bits, least))
+    label = links.label
     named = texts_of.join(label.withColumnRenamed("node", "tkey"), "tkey", "left").select("tkey", F.coalesce("label", "tkey").alias("label"), "row")
     # ids and first rows by label, from one row per text and the least id of each text
     low = some.groupBy("tkey").agg(F.min("doc_id").alias("low"))
@@ -288,7 +346,7 @@ def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     )
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS, central: int = CENTRAL) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), is_first (the one row that stands for the class).
 
     Equal texts share a class, and so do texts joined by links of weighted Jaccard similarity of at
@@ -297,7 +355,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     class of its own.  Null ids are never a class_id unless nothing else is there.  Rows that repeat
     come out as often, and only one row per class is first.
     """
-    return _row_classes(docs, least, bands, rows, stars).drop("tkey")
+    return _row_classes(docs, least, bands, rows, stars, central).drop("tkey")
 
 
 def firsts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -86,7 +86,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     for dim in DIMS:
         cells = cells.join(targets[dim].select(F.col("value").alias(dim), F.col("target").alias(f"t_{dim}")), dim, "left").fillna(0.0, [f"t_{dim}"])
     # shares of all tokens; only ratios matter, so the sum of tokens scales out
-    state = stored(cells.withColumn("factor", F.lit(1.0)), "cells")
+    state = kept = stored(cells.withColumn("factor", F.lit(1.0)), "cells")
     for _ in range(rounds):
         total = state.agg(F.sum(F.col("tokens") * F.col("factor")).alias("all")).first()["all"] or 0.0  # one number
         if total <= 0:
@@ -97,7 +97,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             gaps = F.greatest(F.col("gap"), F.abs(F.coalesce(F.col("share"), F.lit(0.0)) - F.col(f"t_{dim}")))
             factor = F.when(F.col("share") > 0, F.col("factor") * F.col(f"t_{dim}") / F.col("share")).otherwise(F.col("factor"))
             step = step.join(now, dim).withColumn("gap", gaps).withColumn("factor", factor).drop("share")
-        state = stored(step, "cells")
+        state = kept = stored(step, "cells", replaces=kept.folder)
         worst = state.agg(F.max("gap").alias("gap")).first()["gap"]
         state = state.drop("gap")
         if worst is None or worst <= tolerance:
