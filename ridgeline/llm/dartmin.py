@@ -8,13 +8,11 @@ whole band are candidates, and every candidate link is checked on the texts befo
 documents into a class.
 
 Candidates are not spelled out as all pairs of a bucket.  In star rounds each bucket compares its
-members with one root: any member first (another one in each band), then the member that shares most
-of itself with other classes, as the source of a group of edited copies does.  What the found links
-have joined needs no more checks.  Only members that remain outside their bucket's largest class are
-then compared with the rest of the bucket, so no candidate link between classes is left out.  Two
-bounds spare pairs the check on the texts: the weight of their shingles that also occur in another
-class, which is exact, and 1,024 bits of a longer signature, which err once in 80,000 pairs at the
-least similarity (the bands themselves once in 17,000).
+members with one root, another one in each band and round; what the found links have joined needs no
+more checks.  Only members that remain outside their bucket's largest class are then compared with
+the rest of the bucket, so no candidate link between classes is left out.  Pairs of these rounds are
+first compared by 1,536 bits of a longer signature, which err once in 80,000 pairs at the least
+similarity (the bands themselves once in 17,000), and only then on the texts.
 """
 
 from __future__ import annotations
@@ -32,8 +30,8 @@ from ridgeline.llm.common import mix, slices, split_words, stored, word_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-STARS, CENTRAL = 1, 2
-BITS = 1024
+STARS = 2
+BITS = 1536
 _LEVELS = 4  # rank cells below 1 have widths 1/16, 2/16, 4/16, 8/16; from 15/16 on the width is 1
 _U = np.uint64
 _TO_UNIT = 2.0**-53
@@ -182,26 +180,6 @@ def _split(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split, split.where("label != largest")
 
 
-def _shingle_rows(texts: DataFrame) -> DataFrame:
-    """(tkey, shingle, weight) of ``texts`` (tkey, text)."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = _sets(part.column(1))
-                owner = pa.array(np.repeat(np.arange(len(sets)), [len(ids) for ids, _ in sets]))
-                ids, counts = (np.concatenate(c) for c in zip(*sets, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(ids.view(np.int64)), pa.array(counts.astype(np.int64))], ["tkey", "shingle", "weight"])
-
-    return texts.select("tkey", "text").mapInArrow(run, "tkey binary, shingle long, weight long")
-
-
-def _common(seen: DataFrame, group: str) -> DataFrame:
-    """(tkey, common): weight of the shingles that ``seen`` has under several values of ``group``."""
-    several = seen.groupBy("shingle").agg(F.min(group).alias("low"), F.max(group).alias("high")).where("low != high").select("shingle")
-    return seen.join(several, "shingle", "left_semi").groupBy("tkey").agg(F.sum("weight").alias("common"))
-
-
 def _bits(texts: DataFrame) -> DataFrame:
     """(tkey, bits): one bit of each entry of a longer signature, packed into longs."""
 
@@ -225,27 +203,21 @@ def _alike(a: str, b: str, least: float):
     return F.lit(BITS) - differ >= F.lit(fewest)
 
 
-def _central(split: DataFrame, pool: DataFrame, seen: DataFrame, bits: DataFrame, least: float) -> DataFrame:
-    """(tkey, x): members of each split bucket with the one of ``pool`` that shares most of itself with other classes."""
-    common = _common(seen.join(split.select("tkey", "label").distinct(), "tkey"), "label")
-    rank = F.struct(F.coalesce(F.col("common"), F.lit(0)) / F.col("n"), F.col("n"), F.col("tkey"))
-    pool = pool.join(common, "tkey", "left").join(bits, "tkey")
-    root = pool.groupBy("bucket").agg(F.max_by(F.struct("tkey", "n", "label", "bits"), rank).alias("root"))
-    near = split.join(bits, "tkey").join(root, "bucket").where((F.col("label") != F.col("root.label")) & _close("n", "root.n", least) & _alike("bits", "root.bits", least))
-    return near.select("tkey", F.col("root.tkey").alias("x"))
+def _with_root(rows: DataFrame, pool: DataFrame, turn: int, least: float) -> DataFrame:
+    """(tkey, x): members of each bucket with one of ``pool``, of another class; another one in each band and turn."""
+    columns = F.struct("tkey", "n", "label", *(["bits"] if "bits" in pool.columns else []))
+    root = pool.groupBy("bucket").agg(F.min_by(columns, F.xxhash64("tkey", "bucket", F.lit(turn))).alias("root"))
+    fits = (F.col("label") != F.col("root.label")) & _close("n", "root.n", least)
+    if "bits" in pool.columns:
+        fits = fits & _alike("bits", "root.bits", least)
+    return rows.join(root, "bucket").where(fits).select("tkey", F.col("root.tkey").alias("x"))
 
 
-def _reachable(split: DataFrame, outside: DataFrame, seen: DataFrame, bits: DataFrame, least: float) -> DataFrame:
-    """(tkey, x): pairs of different classes in a bucket whose common weight and bits allow the similarity."""
-    common = stored(_common(seen.join(split.select("tkey", "label").distinct(), "tkey"), "label").join(bits, "tkey"), "common")
-    enough = F.col("common") >= F.lit(least) * F.col("n")
-    here = split.join(common, "tkey").where(enough)
-    there = outside.join(common, "tkey").where(enough).select(
-        "bucket", F.col("tkey").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("common").alias("cx"), F.col("bits").alias("bx")
-    )
-    most = F.least("common", "cx")  # no more weight than this can be common to both
-    reach = most >= F.lit(least) * (F.col("n") + F.col("nx") - most)
-    return here.join(there, "bucket").where((F.col("label") != F.col("lx")) & reach & _alike("bits", "bx", least)).select("tkey", "x")
+def _across(split: DataFrame, outside: DataFrame, least: float) -> DataFrame:
+    """(tkey, x): pairs of different classes in a bucket, one of them outside the largest, whose bits allow the similarity."""
+    there = outside.select("bucket", F.col("tkey").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("bits").alias("bx"))
+    fits = (F.col("label") != F.col("lx")) & _close("n", "nx", least) & _alike("bits", "bx", least)
+    return split.join(there, "bucket").where(fits).select("tkey", "x")
 
 
 class _Links:
@@ -267,6 +239,8 @@ class _Links:
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
+        if self.label is not None and pairs.isEmpty():
+            return
         found = stored(_verified(pairs, self.texts, self.least), "edges")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         if self.label is None or not found.isEmpty():
@@ -306,7 +280,7 @@ def _close(a: str, b: str, least: float):
     return F.least(a, b) >= F.lit(least) * F.greatest(a, b)
 
 
-def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS, central: int = CENTRAL) -> DataFrame:
+def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
     """doc_id, tkey, class_id, is_first of every row; see :func:`classes`."""
     sketch = stored(sketches(docs, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = sketch.where("n > 0")
@@ -319,18 +293,16 @@ def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
         _keyed(docs).select("tkey", "text").join(keys, "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text")), "texts"
     )
     links = _Links(members, texts, least)
-    for turn in range(stars):
-        known = links.known()
-        root = known.groupBy("bucket").agg(F.min_by(F.struct("tkey", "n", "label"), F.xxhash64("tkey", "bucket", F.lit(turn))).alias("root"))
-        near = known.join(root, "bucket").where((F.col("label") != F.col("root.label")) & _close("n", "root.n", least))
-        links.compare(near.select("tkey", F.col("root.tkey").alias("x")))
-    split, outside = _split(links.known())
-    some_texts = stored(texts.join(split.select("tkey").distinct(), "tkey", "left_semi"), "split-texts")
-    seen, bits = stored(_shingle_rows(some_texts), "shingles"), stored(_bits(some_texts), "bits")
-    for turn in range(central):
-        links.compare(_central(split, outside if turn else split, seen, bits, least))
+    known = links.known()
+    links.compare(_with_root(known, known, 0, least))
+    split, _ = _split(links.known())
+    bits = stored(_bits(texts.join(split.select("tkey").distinct(), "tkey", "left_semi")), "bits")
+    for turn in range(1, stars + 1):
         split, outside = _split(links.known())
-    links.compare(_reachable(split, outside, seen, bits, least))
+        if turn < stars:
+            links.compare(_with_root(split.join(bits, "tkey"), outside.join(bits, "tkey"), turn, least))
+        else:
+            links.compare(_across(split.join(bits, "tkey"), outside.join(bits, "tkey"), least))
     label = links.label
     named = texts_of.join(label.withColumnRenamed("node", "tkey"), "tkey", "left").select("tkey", F.coalesce("label", "tkey").alias("label"), "row")
     # ids and first rows by label, from one row per text and the least id of each text
@@ -346,7 +318,7 @@ def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     )
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS, central: int = CENTRAL) -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), is_first (the one row that stands for the class).
 
     Equal texts share a class, and so do texts joined by links of weighted Jaccard similarity of at
@@ -355,7 +327,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     class of its own.  Null ids are never a class_id unless nothing else is there.  Rows that repeat
     come out as often, and only one row per class is first.
     """
-    return _row_classes(docs, least, bands, rows, stars, central).drop("tkey")
+    return _row_classes(docs, least, bands, rows, stars).drop("tkey")
 
 
 def firsts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
