@@ -11,7 +11,7 @@ Candidates are not spelled out as all pairs of a bucket.  In star rounds each bu
 members with one root, another one in each band and round; what the found links have joined needs no
 more checks.  Only members that remain outside their bucket's largest class are then compared with
 the rest of the bucket, so no candidate link between classes is left out.  Pairs of these rounds are
-first compared by 1,536 bits of a longer signature, which err once in 80,000 pairs at the least
+first compared by 2,048 bits of a longer signature, which err once in 80,000 pairs at the least
 similarity (the bands themselves once in 17,000), and only then on the texts.
 """
 
@@ -31,7 +31,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 STARS = 2
-BITS = 1536
+BITS = 2048
 _LEVELS = 4  # rank cells below 1 have widths 1/16, 2/16, 4/16, 8/16; from 15/16 on the width is 1
 _U = np.uint64
 _TO_UNIT = 2.0**-53
@@ -214,9 +214,13 @@ def _with_root(rows: DataFrame, pool: DataFrame, turn: int, least: float) -> Dat
 
 
 def _across(split: DataFrame, outside: DataFrame, least: float) -> DataFrame:
-    """(tkey, x): pairs of different classes in a bucket, one of them outside the largest, whose bits allow the similarity."""
-    there = outside.select("bucket", F.col("tkey").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("bits").alias("bx"))
-    fits = (F.col("label") != F.col("lx")) & _close("n", "nx", least) & _alike("bits", "bx", least)
+    """(tkey, x): pairs of different classes in a bucket, one of them outside the largest, whose bits allow the similarity.
+
+    A pair comes from the least of its common buckets only; all of them still hold both classes.
+    """
+    there = outside.select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("n", "label", "bits", "own")], F.col("tkey").alias("x"))
+    fits = (F.col("label") != F.col("label_x")) & _close("n", "n_x", least) & _alike("bits", "bits_x", least)
+    fits = fits & (F.array_min(F.array_intersect("own", "own_x")) == F.col("bucket"))
     return split.join(there, "bucket").where(fits).select("tkey", "x")
 
 
@@ -296,7 +300,8 @@ def _row_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     known = links.known()
     links.compare(_with_root(known, known, 0, least))
     split, _ = _split(links.known())
-    bits = stored(_bits(texts.join(split.select("tkey").distinct(), "tkey", "left_semi")), "bits")
+    own = split.groupBy("tkey").agg(F.collect_set("bucket").alias("own"))  # one for each band at most
+    bits = stored(_bits(texts.join(own, "tkey", "left_semi")).join(own, "tkey"), "bits")
     for turn in range(1, stars + 1):
         split, outside = _split(links.known())
         if turn < stars:
