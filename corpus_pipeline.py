@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgeline.llm import dartmin, mixing, packing, rules, toxicity
-from ridgeline.llm.common import stored
-from ridgeline.session import ship_package
+from ridgeline.llm.common import ready, stored
 
 #: SQL cannot fit the models nor tokenize, so there is none; tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -26,32 +25,32 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic (score below 0.7)."""
-    ship_package(spark)
+    ready(spark)
     labels = _labels(spark, sf_dir).where(~toxicity.held_out())
     return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned list."""
-    ship_package(spark)
+    ready(spark)
     return rules.passing(docs, rules.learn(*rules.sample(docs, _labels(spark, sf_dir))))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of equal and near-equal texts: the one of least id."""
-    ship_package(spark)
+    ready(spark)
     return dartmin.firsts(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose source, language and topic shares are raked to the targets; no document twice."""
-    ship_package(spark)
+    ready(spark)
     return mixing.sampled(docs, lang_weights=LANG_WEIGHTS, budget=BUDGET, max_rate=1.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every piece of the kept documents."""
-    ship_package(spark)
+    ready(spark)
     return packing.pack(docs)
 
 

@@ -16,7 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+from ridgeline.session import ship_package
+
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch: texts are long, the default of 10,000 rows takes too much of an executor.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: dict[str, str] = {}
 
 
@@ -32,6 +37,14 @@ def shared_root(spark: SparkSession) -> str:
     return _own["root"]
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Ship the package to the workers and use small Arrow batches, unless the session has its own size."""
+    ship_package(spark)
+    if spark.conf.get(_BATCH_CONF, "10000") == "10000":
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return spark
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a folder that nothing else uses (not made yet)."""
     return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
@@ -62,6 +75,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         stop = max(start + 1, int(np.searchsorted(total, done + SLICE_BYTES, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(texts) -> tuple[np.ndarray, pa.Array]:

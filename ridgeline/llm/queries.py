@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import chat, dartmin, html_text, mixing, packing, permindex, rules, shards, toxicity, warc
-from ridgeline.session import ship_package
+from ridgeline.llm.common import ready
 
 LANG_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1, None: 0.05}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def mix_sources(spark, sf_dir) -> DataFrame:
