@@ -5,7 +5,7 @@ def load_all() -> None:
     """Import every query module so that it registers itself."""
     import importlib
 
-    for name in ("stencils", "scans", "scoring", "tail", "surfaces", "fields", "workflows"):
+    for name in ("stencils", "scans", "scoring", "tail", "surfaces", "fields", "workflows", "completions"):
         try:
             importlib.import_module(f"driver_queries.{name}")
         except ModuleNotFoundError as e:

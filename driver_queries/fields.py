@@ -185,26 +185,15 @@ def q_edge_lines(spark, sf):
     return edges.thin_edge_lines(cells, plateau, 4).select(*ID3, r6("fvt"))
 
 
-@query("boundary_seeds")
-def q_boundary_seeds(spark, sf):
-    """Default seeds plus spaced edge-shell seeds backed by a target."""
-    a = attributes(spark, sf).withColumn("flat", flat_index())
-    return seeds.retain_boundary_seeds(
-        a.select(*ID3, "n3", "n2", "n1", "flat", F.col("fv").alias("ft"), F.col("vp").alias("pt"), F.col("vt").alias("tt"), F.col("ft").alias("target")),
-        3, 0.4, 4, TILING,
-    ).select(*ID3, "flat", "added")
-
-
-@query("pick_centers", f"""WITH RECURSIVE {A}, b AS (SELECT i3, i2, i1, fv FROM att),
+@query("pick_centers", f"""WITH RECURSIVE {A}, e AS (SELECT * FROM att WHERE i3 >= 1 AND i3 < n3-1 AND i2 >= 4 AND i2 < n2-4 AND i1 >= 4 AND i1 < n1-4),
+b AS (SELECT i3, i2, i1, fv FROM e WHERE fv >= (SELECT quantile_cont(CAST(fv AS DOUBLE), 0.99) FROM e)),
 p1 AS (SELECT * FROM b ORDER BY fv DESC, i3, i2, i1 LIMIT 1),
 p2 AS (SELECT b.* FROM b, p1 WHERE (b.i3-p1.i3)*(b.i3-p1.i3)+(b.i2-p1.i2)*(b.i2-p1.i2)+(b.i1-p1.i1)*(b.i1-p1.i1) >= 144 ORDER BY b.fv DESC, b.i3, b.i2, b.i1 LIMIT 1),
 p3 AS (SELECT b.* FROM b, p1, p2 WHERE (b.i3-p1.i3)*(b.i3-p1.i3)+(b.i2-p1.i2)*(b.i2-p1.i2)+(b.i1-p1.i1)*(b.i1-p1.i1) >= 144 AND (b.i3-p2.i3)*(b.i3-p2.i3)+(b.i2-p2.i2)*(b.i2-p2.i2)+(b.i1-p2.i1)*(b.i1-p2.i1) >= 144 ORDER BY b.fv DESC, b.i3, b.i2, b.i1 LIMIT 1)
 SELECT 1 AS pick, i3, i2, i1 FROM p1 UNION ALL SELECT 2, i3, i2, i1 FROM p2 UNION ALL SELECT 3, i3, i2, i1 FROM p3""")
 def q_centers(spark, sf):
-    """Three strongest voxels at least 12 apart (a short report)."""
-    a = attributes(spark, sf).select(*ID3, "fv")
-    picks = seeds.pick_centers(a, "fv", 3, 12.0)
+    """Three strongest voxels of the top hundredth, inside margins and at least 12 apart (a short report)."""
+    a = attributes(spark, sf).select(*ID3, "n3", "n2", "n1", "fv")
+    picks = seeds.pick_centers(a, "fv", 3, 12.0, 99.0, (1, 4, 4))
     return spark.createDataFrame([(k, *p) for k, p in enumerate(picks, 1)], "pick int, i3 int, i2 int, i1 int")
 
-
-__all__ = ["unit_range"]

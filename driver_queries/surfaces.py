@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from driver_queries.base import TILING, attributes, query, r6, s6, sql_attributes, table
 from driver_queries.scoring import _LINKS, rnd
 from ridgeline.grid import flat_index
-from ridgeline.operators import components, edges, seeds, topology
-from ridgeline.operators.quantiles import quantile
+from ridgeline.operators import components, edges, masks, seeds, topology
 
 ID3 = ["i3", "i2", "i1"]
 A = sql_attributes()
@@ -51,6 +50,30 @@ def q_filter(spark, sf):
     return components.main_components(components.component_sizes(lab))
 
 
+@query("fallback_components", f"""{_labels('edge')}, sz AS (SELECT component, count(*) AS size FROM lab GROUP BY component),
+ok AS (SELECT *, size >= greatest(8, ceil(0.05*(SELECT sum(size) FROM sz))) AND size >= 0.1*(SELECT max(size) FROM sz) AS ok FROM sz),
+rk AS (SELECT *, row_number() OVER (ORDER BY ok DESC, size DESC, component) AS r FROM ok), ac AS (SELECT size FROM rk WHERE (ok AND r <= 3) OR r = 1),
+n AS (SELECT count(*) AS c, sum(size) AS t, max(size) AS m, count(*) FILTER (WHERE size < 20) AS s FROM sz), t3 AS (SELECT sum(size) AS t FROM (SELECT size FROM sz ORDER BY size DESC LIMIT 3))
+SELECT c AS component_count, CAST(n.t AS BIGINT) AS candidate_cell_count, s AS small_component_count, m AS largest_component_size, CAST(t3.t AS BIGINT) AS top3_component_cell_count,
+ (SELECT count(*) FROM ac) AS accepted_component_count, CAST((SELECT sum(size) FROM ac) AS BIGINT) AS accepted_component_cell_count, round(m/n.t, 6) AS largest_component_fraction,
+ round(t3.t/n.t, 6) AS top3_component_fraction, c - (SELECT count(*) FROM ac) AS discarded_component_count FROM n, t3""")
+def q_fallback_components(spark, sf):
+    """What a component fallback would keep of the strong votes."""
+    return rnd(components.fallback_components(components.connected_components(strong_cells(spark, sf), "edge"), 20))
+
+
+@query("choose_skins", f"""{_labels('edge')}, sz AS (SELECT component, count(*) AS size FROM lab GROUP BY component), fr AS (SELECT max(size)/sum(size) AS f FROM sz)
+SELECT i3, i2, i1, component, fv_ AS fv, replaced FROM (SELECT i3, i2, i1, component, round(CAST(fv AS DOUBLE), 6) AS fv_, size, (SELECT f FROM fr) < 0.75 AS replaced FROM m JOIN lab USING (flat) JOIN sz USING (component)) WHERE replaced OR size >= 40""")
+def q_choose_skins(spark, sf):
+    """Large surfaces only, or all of them where the largest holds less than three quarters of the cells."""
+    from ridgeline.session import cut_lineage
+
+    lab = cut_lineage(components.connected_components(strong_cells(spark, sf), "edge"))
+    degraded = components.component_sizes(lab).agg((F.max("size") / F.sum("size")).alias("f")).select(F.col("f") < 0.75).scalar()
+    out = components.choose_skins(components.component_skins(lab, 40), components.component_skins(lab), degraded)
+    return out.select(*ID3, "component", r6("fv"), "replaced")
+
+
 @query("component_skins", f"""{_labels('corner')}, sz AS (SELECT component, count(*) AS skin_size FROM lab GROUP BY component)
 SELECT i3, i2, i1, {s6('fv', 'fl')}, component, skin_size FROM m JOIN lab USING (flat) JOIN sz USING (component) WHERE skin_size >= 10""")
 def q_skins(spark, sf):
@@ -74,13 +97,10 @@ def q_skeleton(spark, sf):
     return s.select(*ID3, "component")
 
 
-@query("adaptive_threshold", f"WITH {A} SELECT greatest(0.25, least(0.75, coalesce(round(quantile_cont(CAST(fv AS DOUBLE), 0.7), 6), 1.0))) AS threshold FROM att WHERE fv > 0")
+@query("adaptive_threshold", f"WITH {A} SELECT CASE WHEN count(*) = 0 THEN 1.0 ELSE round(greatest(0.25, least(0.75, quantile_cont(CAST(fv AS DOUBLE), 0.7))), 6) END AS threshold FROM att WHERE fv > 0")
 def q_adaptive(spark, sf):
     """70th percentile of positive votes kept within [0.25, 0.75]."""
-    a = attributes(spark, sf)
-    one = a.agg(F.count(F.lit(1)).alias("n"))
-    q = F.round(quantile(a.where("fv > 0"), "fv", 0.7), 6)
-    return one.select(F.greatest(F.lit(0.25), F.least(F.lit(0.75), F.coalesce(q, F.lit(1.0)))).alias("threshold"))
+    return masks.adaptive_threshold(attributes(spark, sf), "fv").select(F.round("threshold", 6).alias("threshold"))
 
 
 @query("recenter", f"""WITH {A}, c AS (SELECT *, (CAST(i3 AS BIGINT)*n2+i2)*n1+i1 AS flat, least(i3, n3-1-i3, i2, n2-1-i2, i1, n1-1-i1) < 4 AS edge,
@@ -140,22 +160,57 @@ def q_link_topology(spark, sf):
     return topology.link_topology(cells)
 
 
-def _sql_greedy(candidates: str, d: int, order: str) -> str:
+@query("link_components", f"""WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, min(l_suppkey % 20) AS skin_id FROM lineitem GROUP BY l_orderkey, l_linenumber),
+c AS (SELECT l_orderkey*10+l_linenumber AS cell_id, skin_id, l_orderkey AS w, l_linenumber AS v FROM l),
+k AS (SELECT *, unnest([1, -1, 0, 0]) AS dv, unnest([0, 0, 1, -1]) AS dw FROM c),
+e AS (SELECT a.cell_id AS a, b.cell_id AS b FROM k a JOIN c b ON b.skin_id = a.skin_id AND b.w = a.w + a.dw AND b.v = a.v + a.dv),
+reach(node, root) AS (SELECT cell_id, cell_id FROM c UNION SELECT e.a, reach.root FROM reach JOIN e ON e.b = reach.node WHERE reach.root < e.a),
+lab AS (SELECT node, min(root) AS label FROM reach GROUP BY node), n AS (SELECT skin_id, label, count(*) AS cells FROM lab JOIN c ON c.cell_id = node GROUP BY ALL)
+SELECT skin_id, count(*) AS component_count, max(cells) AS largest_component, count(*) FILTER (WHERE cells = 1) AS singleton_count FROM n GROUP BY skin_id""")
+def q_link_components(spark, sf):
+    """Groups of linked cells in each surface of order lines (links run along an order and to the next order)."""
+    c = linked_lines(spark, sf).select(F.col("cell_id"), (F.pmod("skin_id", F.lit(20))).alias("skin_id"), "v", "w")
+    one = c.groupBy("cell_id", "v", "w").agg(F.min("skin_id").alias("skin_id"))
+    return topology.link_components(topology.link_by_position(one))
+
+
+def _greedy_ctes(name: str, candidates: str, d: int, order: str) -> str:
     """Rounds of: accept what is best in its box, drop what an accepted one covers.
 
-    ``candidates`` selects i3, i2, i1, flat, score.  Rows with st = 1 are accepted.
+    ``candidates`` selects i3, i2, i1, flat and what ``order`` needs.  Rows of ``name`` with st = 1 are accepted.
     """
     span = ", ".join(str(k) for k in range(-d, d + 1))
     box = f"b.i3 + b.d3 = a.i3 AND abs(a.i2-b.i2) <= {d} AND abs(a.i1-b.i1) <= {d}"
-    return f"""WITH RECURSIVE {A}, cand AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rk FROM ({candidates})),
-r(n, i3, i2, i1, flat, rk, st) AS (SELECT 0, i3, i2, i1, flat, rk, 0 FROM cand
+    return f"""{name}_c AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rk FROM ({candidates})),
+{name}(n, i3, i2, i1, flat, rk, st) AS (SELECT 0, i3, i2, i1, flat, rk, 0 FROM {name}_c
  UNION ALL
- SELECT * FROM (WITH al AS (SELECT * FROM r WHERE st = 0), ax AS (SELECT *, unnest([{span}]) AS d3 FROM al),
+ SELECT * FROM (WITH al AS (SELECT * FROM {name} WHERE st = 0), ax AS (SELECT *, unnest([{span}]) AS d3 FROM al),
   best AS (SELECT a.flat, min(b.rk) AS m FROM al a JOIN ax b ON {box} GROUP BY a.flat),
   won AS (SELECT al.* FROM al JOIN best USING (flat) WHERE m = rk), wx AS (SELECT *, unnest([{span}]) AS d3 FROM won),
   hit AS (SELECT DISTINCT a.flat FROM al a JOIN wx b ON {box})
-  SELECT n + 1, i3, i2, i1, flat, rk, 1 FROM won UNION ALL SELECT n + 1, i3, i2, i1, flat, rk, 0 FROM al WHERE flat NOT IN (SELECT flat FROM hit)))
-SELECT i3, i2, i1, flat, score FROM r JOIN (SELECT flat, score FROM cand) USING (flat) WHERE st = 1"""
+  SELECT n + 1, i3, i2, i1, flat, rk, 1 FROM won UNION ALL SELECT n + 1, i3, i2, i1, flat, rk, 0 FROM al WHERE flat NOT IN (SELECT flat FROM hit)))"""
+
+
+def _sql_greedy(candidates: str, d: int, order: str) -> str:
+    return f"""WITH RECURSIVE {A}, {_greedy_ctes('r', candidates, d, order)}
+SELECT i3, i2, i1, flat, score FROM r JOIN (SELECT flat, score FROM r_c) USING (flat) WHERE st = 1"""
+
+
+_FLAT = "(CAST(i3 AS BIGINT)*n2+i2)*n1+i1 AS flat"
+
+
+@query("boundary_seeds", f"""WITH RECURSIVE {A}, {_greedy_ctes('own', f'SELECT i3, i2, i1, {_FLAT}, fv FROM att WHERE fv > CAST(0.4 AS FLOAT)', 3, 'fv DESC, flat DESC')},
+shell AS (SELECT i3, i2, i1, {_FLAT}, fv, ft FROM att WHERE least(i3, n3-1-i3, i2, n2-1-i2, i1, n1-1-i1) < 4),
+lim AS (SELECT CAST(least(0.4, 0.5*CAST(max(fv) AS DOUBLE)) AS FLOAT) AS t FROM shell),
+{_greedy_ctes('more', 'SELECT * FROM shell, lim WHERE ft > CAST(1e-6 AS FLOAT) AND fv > t AND flat NOT IN (SELECT flat FROM own WHERE st = 1)', 3, 'ft DESC, fv DESC, flat')}
+SELECT i3, i2, i1, flat, false AS added FROM own WHERE st = 1 UNION ALL SELECT i3, i2, i1, flat, true FROM more WHERE st = 1""")
+def q_boundary_seeds(spark, sf):
+    """Default seeds plus spaced edge-shell seeds backed by a target."""
+    a = attributes(spark, sf).withColumn("flat", flat_index())
+    return seeds.retain_boundary_seeds(
+        a.select(*ID3, "n3", "n2", "n1", "flat", F.col("fv").alias("ft"), F.col("vp").alias("pt"), F.col("vt").alias("tt"), F.col("ft").alias("target")),
+        3, 0.4, 4, TILING,
+    ).select(*ID3, "flat", "added")
 
 
 @query("pick_seeds", _sql_greedy(

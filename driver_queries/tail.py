@@ -23,7 +23,7 @@ def metric_rows(spark, sf):
         F.array(
             F.struct(F.lit("quantity").alias("metric"), F.lit("count").alias("unit"), F.lit("higher").alias("direction"), F.col("quantity").alias("value")),
             F.struct(F.lit("discount").alias("metric"), F.lit("ratio").alias("unit"), F.lit("lower").alias("direction"), F.col("discount").alias("value")),
-            F.struct(F.lit("tax").alias("metric"), F.lit("ratio").alias("unit"), F.lit("none").alias("direction"), F.col("tax").alias("value")),
+            F.struct(F.lit("tax").alias("metric"), F.lit("ratio").alias("unit"), F.lit("neutral").alias("direction"), F.col("tax").alias("value")),
         )
     )
     return g.select("l_returnflag", "l_suppkey", "cell_label", long.alias("m")).select(
@@ -37,7 +37,7 @@ _ROWS = f"""g AS (SELECT l_returnflag AS case_id, 's' || CAST(l_suppkey AS VARCH
   ({_LABELS!r})[CAST(l_orderkey % 8 AS INTEGER) + 1] AS cell_label, avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM lineitem GROUP BY ALL),
 rows_ AS (SELECT case_id, trial_id, seed, 'skin' AS stage, 'all' AS selection, 'quantity' AS metric, cell_label, 'count' AS unit, 'higher' AS direction, q AS value FROM g
  UNION ALL SELECT case_id, trial_id, seed, 'skin', 'all', 'discount', cell_label, 'ratio', 'lower', d FROM g
- UNION ALL SELECT case_id, trial_id, seed, 'skin', 'all', 'tax', cell_label, 'ratio', 'none', t FROM g)"""
+ UNION ALL SELECT case_id, trial_id, seed, 'skin', 'all', 'tax', cell_label, 'ratio', 'neutral', t FROM g)"""
 _TERMS = ", ".join(f"('{n}', '{c}', {v})" for n, t in C.CONTRASTS.items() for c, v in t.items())
 _CON = f"""con AS (SELECT k.name AS contrast_name, case_id, trial_id, seed, stage, selection, metric, unit, direction, sum(k.coef*value) AS raw_value
  FROM rows_ r JOIN (VALUES {_TERMS}) k(name, cell, coef) ON k.cell = r.cell_label GROUP BY ALL)"""
@@ -50,6 +50,26 @@ def q_contrast(spark, sf):
     return c.withColumns({x: F.col(x) + 0.0 for x in ("raw_value", "improvement_value")})
 
 
+_REGION_ROWS = """g AS (SELECT l_returnflag AS dataset_id, l_linestatus AS region, CAST(l_linenumber AS VCHAR) AS selection, (['RL-REF', 'RL-QUAL', 'Q-REF', 'Q-QUAL'])[CAST(l_suppkey % 4 AS INTEGER) + 1] AS cell_label,
+  avg(l_quantity) AS value FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)""".replace("VCHAR", "VARCHAR")
+_SCANNED = ", ".join(f"('{n}', '{c}', {v})" for n, t in C.SCANNED_CONTRASTS.items() for c, v in t.items())
+
+
+@query("contrast_8", f"""WITH {_REGION_ROWS} SELECT k.name AS contrast_name, dataset_id, region, selection, round(sum(k.coef*value), 6) + 0.0 AS raw_value
+FROM g JOIN (VALUES {_SCANNED}) k(name, cell, coef) ON k.cell = g.cell_label GROUP BY ALL""")
+def q_contrast_8(spark, sf):
+    """The eight contrasts of scanned cells, per dataset, region and selection."""
+    cell = F.element_at(F.array(*[F.lit(c) for c in ("RL-REF", "RL-QUAL", "Q-REF", "Q-QUAL")]), (F.pmod("l_suppkey", F.lit(4)) + 1).cast("int"))
+    g = table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy(
+        F.col("l_returnflag").alias("dataset_id"), F.col("l_linestatus").alias("region"), F.col("l_linenumber").cast("string").alias("selection"),
+        cell.alias("cell_label"),
+    ).agg(F.avg("l_quantity").alias("value"))
+    fixed = {"stage": "skin", "reference_file": "", "metric": "quantity", "unit": "count", "direction": "higher"}
+    rows = g.withColumns({k: F.lit(v) for k, v in fixed.items()})
+    c = C.paired_contrasts(rows, C.SCANNED_CONTRASTS, C.REGION_PAIR)
+    return c.select("contrast_name", "dataset_id", "region", "selection", (F.round("raw_value", 6) + 0.0).alias("raw_value"))
+
+
 _STATS = """count(*) AS n, round(avg({v}), 6) + 0.0 AS mean, round(median({v}), 6) + 0.0 AS median, round(coalesce(stddev_samp({v}), 0), 6) AS std, round(min({v}), 6) AS min, round(max({v}), 6) AS max,
  round(quantile_cont({v}, 0.25), 6) + 0.0 AS q25, round(quantile_cont({v}, 0.75), 6) + 0.0 AS q75"""
 
@@ -141,6 +161,9 @@ def q_config(spark, sf):
 
 # ---------------------------------------------------------------- promotion
 
+_ALL_CASES = [
+    "single_vertical_plane", "single_dipping_plane", "curved_surface", "parallel_planes", "crossing_planes", "boundary_plane", "weak_noisy_plane",
+]
 _SEGMENTS = {
     "BUILDING": "boundary_plane", "AUTOMOBILE": "parallel_planes", "MACHINERY": "crossing_planes",
     "HOUSEHOLD": "single_vertical_plane", "FURNITURE": "curved_surface",
@@ -242,8 +265,23 @@ def q_gate(spark, sf):
     return G.gate_reasons(compared(spark, sf)).select("case_id", "pipeline", "input_mode", "reason")
 
 
-@query("promotion_verdict", f"""WITH {_CMP}, r AS ({_sql_reasons()})
+_NEED = ", ".join(f"('{p}', '{c}')" for p, cs in (
+    ("scanner", ["boundary_plane"]), ("scanner", [c for c in _ALL_CASES if c != "boundary_plane"]), ("oracle", _ALL_CASES),
+    ("scanner", ["single_vertical_plane", "single_dipping_plane", "curved_surface", "weak_noisy_plane"]), ("scanner", ["parallel_planes", "crossing_planes"]),
+) for c in cs)
+_MISSING = f"""need AS (SELECT * FROM (VALUES {_NEED}) n(pipeline, case_id)
+ WHERE NOT EXISTS (SELECT 1 FROM cmp WHERE status = 'matched' AND cmp.pipeline = n.pipeline AND cmp.case_id = n.case_id))"""
+
+
+@query("gate_coverage", f"WITH {_CMP}, {_MISSING} SELECT pipeline, case_id, count(*) AS n FROM need GROUP BY ALL")
+def q_coverage(spark, sf):
+    """Required rows of the gate that no comparison covers."""
+    return G.coverage(compared(spark, sf)).groupBy("pipeline", "case_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("promotion_verdict", f"""WITH {_CMP}, r AS ({_sql_reasons()}), {_MISSING}
 SELECT (SELECT count(*) FROM cmp WHERE status = 'matched' AND pipeline = 'scanner' AND case_id = 'boundary_plane') AS boundary_rows,
- (SELECT count(*) FROM cmp WHERE status <> 'matched') AS unmatched_rows, (SELECT count(*) FROM r) AS reason_count, (SELECT count(*) FROM r) = 0 AS passed""")
+ (SELECT count(*) FROM cmp WHERE status <> 'matched') AS unmatched_rows, (SELECT count(*) FROM r) AS reason_count, (SELECT count(*) FROM need) AS missing_count,
+ (SELECT count(*) FROM r) = 0 AND (SELECT count(*) FROM need) = 0 AND EXISTS (SELECT 1 FROM cmp WHERE status = 'matched' AND pipeline = 'scanner' AND case_id = 'boundary_plane') AS passed""")
 def q_verdict(spark, sf):
     return G.gate_verdict(compared(spark, sf))

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from driver_queries.base import TILING, attribute_traces, attributes, case_voxels, query, sql_attributes, sql_normal, table, volume, voxels
 from driver_queries.scans import planarity
 from driver_queries.scoring import rnd
 from driver_queries.stencils import _SM2, _THIN_REF, _sql_nms
+from ridgeline.functions.kernels import gaussian_weights
 from ridgeline.grid import flat_index, shape_of, to_traces, to_voxels, with_shape
 from ridgeline.operators import metrics
 from ridgeline.operators.masks import top_truth_count_mask
 from ridgeline.operators.thinning import thin_reference
 from ridgeline.operators.voting import Voter
 from ridgeline.plans import workflow
-from ridgeline.session import cut_lineage, shared_folder
+from ridgeline.session import cut_lineage, new_folder
 from ridgeline.sources import dat, tables
 
 ID3 = ["i3", "i2", "i1"]
@@ -89,28 +88,35 @@ def q_dat(spark, sf):
     v = volume(spark, sf)
     s = shape_of(v).first()
     shape = (int(s["n3"]), int(s["n2"]), int(s["n1"]))
-    path = os.path.join(shared_folder(spark, "ridgeline-dat-"), "volume.dat")
+    path = f"{new_folder(spark, 'dat')}/volume.dat"
     dat.write_dat(v, path, shape, "v")
     back = dat.read_dat(spark, path, shape).withColumnRenamed("trace", "v")
     return to_voxels(back, ["v"]).select(*ID3, F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
-@query("skins_json", """SELECT CAST(l_suppkey AS INTEGER) AS skin_id, count(*) AS cells, round(sum(l_quantity), 4) AS x1, round(avg(l_discount), 6) AS fl FROM lineitem GROUP BY l_suppkey""")
+@query("skins_json", """WITH l AS (SELECT l_orderkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) - 1 AS skin, l_quantity, l_discount, l_extendedprice FROM lineitem)
+SELECT CAST(skin AS INTEGER) AS skin_id, count(*) AS cells, round(sum(l_quantity), 4) AS x1, round(avg(l_discount), 6) AS fl, round(max(l_extendedprice), 4) AS ft FROM l GROUP BY skin""")
 def q_skins_json(spark, sf):
-    """Order lines written as skin documents (one per order) and parsed back."""
-    li = table(spark, sf, "lineitem")
+    """Orders written as skin documents (a skin per supplier, a cell per line) and parsed back."""
+    from pyspark.sql import Window
+
+    li = table(spark, sf, "lineitem").withColumn("skin", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_suppkey")) - 1)
     cell = F.struct(
-        F.col("l_quantity").alias("x1"), F.col("l_tax").alias("x2"), F.col("l_discount").alias("x3"),
-        F.lit(0).alias("i1"), F.lit(0).alias("i2"), F.lit(0).alias("i3"), F.col("l_discount").alias("fl"),
-        F.lit(0.0).alias("fp"), F.lit(0.0).alias("ft"), F.lit("grown").alias("generation"),
+        F.lit(0).alias("i3"), F.lit(0).alias("i2"), F.col("l_linenumber").cast("int").alias("i1"), F.col("l_quantity").alias("x1"),
+        F.col("l_tax").alias("x2"), F.col("l_discount").alias("x3"), F.col("l_discount").alias("fl"), F.lit(0.0).alias("fp"),
+        F.col("l_extendedprice").alias("ft"), F.lit("grown").alias("generation"),
     )
-    one = F.struct(F.col("l_suppkey").alias("skin_index"), F.lit(1).alias("cell_count"), F.array(cell).alias("cells"))
-    docs = li.select(
-        F.to_json(F.struct(F.lit(2).alias("format_version"), F.lit(True).alias("skinning_enabled"), F.lit(1).alias("skin_count"), F.array(one).alias("skins"))).alias("value")
+    skins = li.groupBy("l_orderkey", "skin").agg(F.sort_array(F.collect_list(cell)).alias("cells"))  # the lines of an order
+    one = F.struct(F.col("skin").alias("skin_index"), F.size("cells").alias("cell_count"), "cells")
+    docs = skins.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("skins")).select(
+        F.to_json(
+            F.struct(F.lit(2).alias("format_version"), F.lit(True).alias("skinning_enabled"), F.size("skins").alias("skin_count"), "skins")
+        ).alias("value")
     )
-    cells = tables.parse_skins(docs)
-    g = cells.groupBy("skin_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("x1").alias("x1"), F.avg("fl").alias("fl"))
-    return g.select("skin_id", "cells", F.round("x1", 4).alias("x1"), F.round("fl", 6).alias("fl"))
+    g = tables.parse_skins(docs).groupBy("skin_id").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("x1").alias("x1"), F.avg("fl").alias("fl"), F.max("ft").alias("ft")
+    )
+    return g.select("skin_id", "cells", F.round("x1", 4).alias("x1"), F.round("fl", 6).alias("fl"), F.round("ft", 4).alias("ft"))
 
 
 @query("row_fingerprints", """SELECT l_returnflag, l_linestatus, sha256('{"l_linestatus":"' || l_linestatus || '","l_returnflag":"' || l_returnflag || '"}') AS id, count(*) AS n FROM lineitem GROUP BY ALL""")
@@ -135,15 +141,59 @@ def component_cells(spark, sf):
     )
 
 
-@query("reskin")
+_GW = gaussian_weights(1.0)
+_GW_ROWS = ", ".join(f"({k - len(_GW) // 2}, CAST({w!r} AS DOUBLE))" for k, w in enumerate(_GW))
+_NV = [f"CAST({x} AS DOUBLE)" for x in sql_normal("sp", "st")]
+_DV = ["CAST(CAST(sin(radians(CAST(st AS DOUBLE))) AS FLOAT) AS DOUBLE)", "CAST(CAST(cos(radians(CAST(st AS DOUBLE)))*cos(radians(CAST(sp AS DOUBLE))) AS FLOAT) AS DOUBLE)",
+       "CAST(CAST(-cos(radians(CAST(st AS DOUBLE)))*sin(radians(CAST(sp AS DOUBLE))) AS FLOAT) AS DOUBLE)"]
+_SV = ["CAST(0 AS DOUBLE)", "CAST(CAST(sin(radians(CAST(sp AS DOUBLE))) AS FLOAT) AS DOUBLE)", "CAST(CAST(cos(radians(CAST(sp AS DOUBLE))) AS FLOAT) AS DOUBLE)"]
+_OFF = "((x1-s1)*{0} + (x2-s2)*{1} + (x3-s3)*{2})"
+#: Cells of the surfaces, their grid positions (one per position), boxes, smoothed offsets and slopes.
+_RESKIN = f"""{sql_attributes('parallel_planes')}, m AS (SELECT *, (CAST(i3 AS BIGINT)*n2+i2)*n1+i1 AS flat FROM att WHERE fv > CAST(0.45 AS FLOAT)),
+ed AS (SELECT a.flat AS a, b.flat AS b FROM m a JOIN m b ON (b.i3 = a.i3 AND b.i2 = a.i2 AND abs(b.i1-a.i1) = 1) OR (b.i3 = a.i3 AND b.i1 = a.i1 AND abs(b.i2-a.i2) = 1) OR (b.i2 = a.i2 AND b.i1 = a.i1 AND abs(b.i3-a.i3) = 1)),
+reach(node, root) AS (SELECT flat, flat FROM m UNION SELECT ed.a, reach.root FROM reach JOIN ed ON ed.b = reach.node WHERE reach.root < ed.a),
+lab AS (SELECT node AS flat, min(root) AS skin_id FROM reach GROUP BY node),
+cel AS (SELECT skin_id, flat AS cell_id, CAST(i1 AS DOUBLE) AS x1, CAST(i2 AS DOUBLE) AS x2, CAST(i3 AS DOUBLE) AS x3, fv AS fl, truth_strike AS fp, truth_dip AS ft, count(*) OVER (PARTITION BY skin_id) AS n FROM m JOIN lab USING (flat)),
+sd AS (SELECT skin_id, x1 AS s1, x2 AS s2, x3 AS s3, fp AS sp, ft AS st FROM cel WHERE n >= 8 QUALIFY row_number() OVER (PARTITION BY skin_id ORDER BY fl DESC, cell_id) = 1),
+fr AS (SELECT *, {_NV[0]} AS n1_, {_NV[1]} AS n2_, {_NV[2]} AS n3_, {_DV[0]} AS d1_, {_DV[1]} AS d2_, {_DV[2]} AS d3_, {_SV[0]} AS t1_, {_SV[1]} AS t2_, {_SV[2]} AS t3_ FROM sd),
+pj AS (SELECT cel.skin_id, cell_id, fl, {_OFF.format('n1_', 'n2_', 'n3_')} AS u, CAST(floor({_OFF.format('d1_', 'd2_', 'd3_')} + 0.5) AS INTEGER) AS v, CAST(floor({_OFF.format('t1_', 't2_', 't3_')} + 0.5) AS INTEGER) AS w FROM cel JOIN fr USING (skin_id)),
+one AS (SELECT *, CASE WHEN fl > 0 THEN CAST(fl AS DOUBLE) ELSE 1 END AS q FROM pj QUALIFY row_number() OVER (PARTITION BY skin_id, v, w ORDER BY fl DESC, cell_id) = 1),
+box AS (SELECT skin_id, min(v) AS vl, max(v) AS vh, min(w) AS wl, max(w) AS wh FROM one GROUP BY skin_id),
+tg AS (SELECT DISTINCT skin_id, o.v + a.a AS v, o.w + a.b AS w FROM one o JOIN box USING (skin_id) CROSS JOIN (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) a(a, b) WHERE o.v + a.a BETWEEN vl AND vh AND o.w + a.b BETWEEN wl AND wh),
+sm AS (SELECT tg.skin_id, tg.v, tg.w, sum(p.w*r.w*o.q*o.u) AS num, sum(p.w*r.w*o.q) AS den FROM tg JOIN box USING (skin_id) CROSS JOIN (VALUES {_GW_ROWS}) p(k, w) CROSS JOIN (VALUES {_GW_ROWS}) r(k, w)
+ JOIN one o ON o.skin_id = tg.skin_id AND o.v = least(greatest(tg.v + p.k, vl), vh) AND o.w = least(greatest(tg.w + r.k, wl), wh) GROUP BY tg.skin_id, tg.v, tg.w),
+z AS (SELECT sm.skin_id, sm.v, sm.w, CAST(CAST(CASE WHEN den > 1e-6 THEN num/den ELSE coalesce(o.u, 0) END AS FLOAT) AS DOUBLE) AS z FROM sm LEFT JOIN one o USING (skin_id, v, w)),
+pts AS (SELECT o.skin_id, o.cell_id, o.v, o.w, o.fl, c.z, vl, vh, wl, wh,
+ CASE WHEN vl = vh THEN 0 ELSE coalesce(CASE WHEN o.v = vl THEN vp.z - c.z WHEN o.v = vh THEN c.z - vm.z ELSE 0.5*(vp.z - vm.z) END, 0) END AS gv,
+ CASE WHEN wl = wh THEN 0 ELSE coalesce(CASE WHEN o.w = wl THEN wp.z - c.z WHEN o.w = wh THEN c.z - wm.z ELSE 0.5*(wp.z - wm.z) END, 0) END AS gw
+ FROM one o JOIN box USING (skin_id) JOIN z c USING (skin_id, v, w) LEFT JOIN z vm ON vm.skin_id = o.skin_id AND vm.v = o.v - 1 AND vm.w = o.w LEFT JOIN z vp ON vp.skin_id = o.skin_id AND vp.v = o.v + 1 AND vp.w = o.w
+ LEFT JOIN z wm ON wm.skin_id = o.skin_id AND wm.v = o.v AND wm.w = o.w - 1 LEFT JOIN z wp ON wp.skin_id = o.skin_id AND wp.v = o.v AND wp.w = o.w + 1),
+gr AS (SELECT pts.*, s1 + z*n1_ + v*d1_ + w*t1_ AS x1, s2 + z*n2_ + v*d2_ + w*t2_ AS x2, s3 + z*n3_ + v*d3_ + w*t3_ AS x3, n1_ - gv*d1_ - gw*t1_ AS g1, n2_ - gv*d2_ - gw*t2_ AS g2, n3_ - gv*d3_ - gw*t3_ AS g3 FROM pts JOIN fr USING (skin_id)),
+un AS (SELECT *, CASE WHEN g1 > 0 THEN -1.0 ELSE 1.0 END / sqrt(g1*g1 + g2*g2 + g3*g3) AS k FROM gr),
+nb AS (SELECT o.skin_id, o.cell_id, ca.cell_id AS ca_id, cb.cell_id AS cb_id, cl.cell_id AS cl_id, cr.cell_id AS cr_id FROM one o LEFT JOIN one ca ON ca.skin_id = o.skin_id AND ca.v = o.v - 1 AND ca.w = o.w LEFT JOIN one cb ON cb.skin_id = o.skin_id AND cb.v = o.v + 1 AND cb.w = o.w
+ LEFT JOIN one cl ON cl.skin_id = o.skin_id AND cl.v = o.v AND cl.w = o.w - 1 LEFT JOIN one cr ON cr.skin_id = o.skin_id AND cr.v = o.v AND cr.w = o.w + 1)"""
+
+
+@query("reskin", f"""WITH RECURSIVE {_RESKIN}
+SELECT un.skin_id, un.cell_id, v, w, round(x1, 3) + 0.0 AS x1, round(x2, 3) + 0.0 AS x2, round(x3, 3) + 0.0 AS x3, round(CAST(fl AS DOUBLE), 6) AS fl,
+ round(degrees(atan2(-g3*k, g2*k)) + CASE WHEN atan2(-g3*k, g2*k) < 0 THEN 360.0 ELSE 0 END, 2) % 360.0 + 0.0 AS fp, round(degrees(acos(greatest(-1.0, least(1.0, -g1*k)))), 2) AS ft, ca_id, cb_id, cl_id, cr_id
+FROM un JOIN nb USING (skin_id, cell_id)""")
 def q_reskin(spark, sf):
     """Connected surfaces smoothed, re-oriented and linked."""
     from ridgeline.operators.reskin import reskin
 
-    return reskin(cut_lineage(component_cells(spark, sf)))
+    r = reskin(cut_lineage(component_cells(spark, sf)))
+    d = lambda c, n: (F.round(F.col(c).cast("double"), n) + 0.0).alias(c)
+    return r.select(
+        "skin_id", "cell_id", "v", "w", d("x1", 3), d("x2", 3), d("x3", 3), d("fl", 6), (F.round(F.col("fp").cast("double"), 2) % 360.0 + 0.0).alias("fp"),
+        d("ft", 2), "ca_id", "cb_id", "cl_id", "cr_id",
+    )
 
 
-@query("reskin_topology")
+@query("reskin_topology", f"""WITH RECURSIVE {_RESKIN}, lk AS (SELECT cell_id, unnest([ca_id, cb_id, cl_id, cr_id]) AS other FROM nb),
+qd AS (SELECT a.cell_id, d1.cr_id AS br, d2.cb_id AS rb FROM nb a JOIN nb d1 ON d1.cell_id = a.cb_id JOIN nb d2 ON d2.cell_id = a.cr_id WHERE d1.cr_id IS NOT NULL AND d2.cb_id IS NOT NULL)
+SELECT 0 AS reciprocal_link_violation_count, 0 AS cross_skin_link_count, 0 AS self_link_count, (SELECT count(*) FROM qd) AS quad_closure_candidate_count, (SELECT count(*) FROM qd WHERE rb = br) AS quad_closure_match_count,
+ (SELECT count(*) FROM qd WHERE rb <> br) AS quad_closure_mismatch_count, (SELECT count(*) FROM nb WHERE cell_id NOT IN (SELECT cell_id FROM lk WHERE other IS NOT NULL)) AS isolated_cell_count""")
 def q_reskin_topology(spark, sf):
     """Link consistency of the smoothed surfaces."""
     from ridgeline.operators.reskin import reskin

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ridgeline.functions.kernels import STEEPEST_LEAN, UPRIGHT
+
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else (F.col(x) if isinstance(x, str) else F.lit(float(x)))
@@ -128,13 +130,6 @@ def dominant_axis(strike, dip) -> Column:
 
 
 def dip_shear(theta) -> Column:
-    """Shear that makes planes of this dip vertical, kept within +-1e4."""
-    t = F.radians(_c(theta))
-    s, c = F.sin(t), F.cos(t)
-    raw = F.try_divide(-c, s)
-    return (
-        F.when(F.abs(c) <= 1e-6, F.lit(0.0))
-        .when(F.abs(s) <= 1e-6, F.when(c > 0, F.lit(-1e4)).otherwise(F.lit(1e4)))
-        .otherwise(F.greatest(F.lit(-1e4), F.least(F.lit(1e4), raw)))
-        .cast("float")
-    )
+    """Column form of :func:`ridgeline.functions.kernels.shear_of_dip`."""
+    lean = F.greatest(F.lit(-STEEPEST_LEAN), F.least(F.lit(STEEPEST_LEAN), 90.0 - _c(theta)))
+    return F.when(F.abs(F.sin(F.radians(lean))) <= UPRIGHT, F.lit(0.0)).otherwise(-F.tan(F.radians(lean))).cast("float")

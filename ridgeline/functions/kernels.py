@@ -59,3 +59,14 @@ def refine_samples(samples: list[float], factor: int) -> list[float]:
         for j in range(1, factor):
             out.add(float(np.float32(a + np.float32(j) / np.float32(factor) * (b - a))))
     return sorted(out)
+
+
+# A cosine below the first is upright, and the steepest shear.
+UPRIGHT, STEEPEST = 1e-6, 1e4
+STEEPEST_LEAN = math.degrees(math.atan(STEEPEST))
+
+
+def shear_of_dip(theta: float) -> float:
+    """Shear that makes planes of a dip in [0, 180] vertical: minus the cotangent, clamped where the sine vanishes."""
+    lean = min(max(90.0 - theta, -STEEPEST_LEAN), STEEPEST_LEAN)
+    return 0.0 if abs(math.sin(math.radians(lean))) <= UPRIGHT else -math.tan(math.radians(lean))

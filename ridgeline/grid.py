@@ -104,6 +104,35 @@ def flat_index(n2: Column | str = "n2", n1: Column | str = "n1") -> Column:
     return (F.col(I3).cast("bigint") * n2c + F.col(I2)) * n1c + F.col(I1)
 
 
+def axis_range(span: tuple[int | None, int | None] | None, size: int, axis: str) -> tuple[int, int]:
+    """``[lo, hi)`` of an axis from a slice's ends: None is the end, negative counts from it, empty or outside is an error."""
+    lo, hi = span or (None, None)
+    lo, hi = (0 if lo is None else lo), (size if hi is None else hi)
+    lo, hi = (lo + size if lo < 0 else lo), (hi + size if hi < 0 else hi)
+    if not (0 <= lo <= size and 0 <= hi <= size):
+        raise ValueError(f"{axis} range is outside the axis of {size}")
+    if lo >= hi:
+        raise ValueError(f"{axis} range must not be empty")
+    return lo, hi
+
+
+def slice_region(df: DataFrame, shape: tuple[int, int, int], i3=None, i2=None, i1=None) -> DataFrame:
+    """:func:`region` with slice rules for each axis of a volume of this shape."""
+    spans = {a: axis_range(s, n, a) for a, s, n in zip((I3, I2, I1), (i3, i2, i1), shape)}
+    return region(df, **{a: spans[a] for a in spans})
+
+
+def centered_crop(shape: tuple[int, int, int], center: tuple[int, int, int], crop: tuple[int, int, int]) -> list[tuple[int, int]]:
+    """Ranges of a crop around a centre, moved inwards where it would leave the volume."""
+    out = []
+    for n, c, w in zip(shape, center, crop):
+        if w > n or not 0 <= c < n:
+            raise ValueError("the crop or its centre does not fit the volume")
+        lo = min(max(c - w // 2, 0), n - w)
+        out.append((lo, lo + w))
+    return out
+
+
 def region(df: DataFrame, i3=None, i2=None, i1=None) -> DataFrame:
     """Sub-cube ``[lo, hi)`` per axis; i3/i2 ranges reach the scan as pushed filters."""
     out = df

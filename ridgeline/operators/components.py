@@ -8,11 +8,10 @@ holding most of the voxels does not overload a task.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions.scores import ratio
 from ridgeline.operators.joins import salted_join
 from ridgeline.session import cut_lineage
 
@@ -116,6 +115,38 @@ def main_components(sizes: DataFrame, keep: int = 3, floor: int = 8, share: floa
     return ranked.withColumn("_r", first).where(F.col("ok") | (F.col("_r") == 1)).select("component", "size")
 
 
+def fallback_components(labelled: DataFrame, small: int, min_size: int | None = None, filtered: bool = True) -> DataFrame:
+    """One row about the components that a fallback would use (see :func:`main_components` for the filter)."""
+    sizes = component_sizes(labelled)
+    taken = main_components(sizes) if filtered else (sizes if min_size is None else sizes.where(F.col("size") >= min_size))
+    ranked = F.row_number().over(Window.orderBy(F.desc("size"), "component"))
+    top = sizes.orderBy(F.desc("size"), "component").limit(3).withColumn("r", ranked).agg(  # three rows
+        F.coalesce(F.max(F.when(F.col("r") == 1, F.col("size"))), F.lit(0)).alias("largest_component_size"), F.coalesce(F.sum("size"), F.lit(0)).alias("top3_component_cell_count"),
+    )
+    kept = taken.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("cells"))
+    all_ = sizes.agg(
+        F.count(F.lit(1)).alias("component_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("candidate_cell_count"),
+        F.count_if(F.col("size") < small).alias("small_component_count"),
+    )
+    out = all_.withColumns({c: top.select(c).scalar() for c in top.columns} | {
+        "accepted_component_count": kept.select("n").scalar(), "accepted_component_cell_count": kept.select("cells").scalar(),
+    })
+    return out.withColumns({
+        "largest_component_fraction": ratio("largest_component_size", "candidate_cell_count"),
+        "top3_component_fraction": ratio("top3_component_cell_count", "candidate_cell_count"),
+        "discarded_component_count": F.col("component_count") - F.col("accepted_component_count"),
+    })
+
+
+def choose_skins(primary: DataFrame, fallback: DataFrame, replace: Column) -> DataFrame:
+    """The primary skins, or the fallback's where the one-row condition holds; ``replaced`` tells which."""
+    names = [c for c in primary.columns if c in fallback.columns]
+    use = F.coalesce(replace, F.lit(False))
+    return primary.where(~use).select(*names, F.lit(False).alias("replaced")).unionByName(
+        fallback.where(use).select(*names, F.lit(True).alias("replaced"))
+    )
+
+
 def fallback_guardrail(topology: DataFrame, positive_count, pruned_fraction) -> DataFrame:
     """Reasons against replacing the primary skins (one-row topology in, one row out).
 
@@ -174,5 +205,6 @@ def boundary_degraded(generic: DataFrame, positive_count, fvt_edge, primary_edge
     )
 
 
-def minimum_component_size(candidates: int) -> int:
-    return max(8, math.ceil(0.05 * candidates))
+def minimum_component_size(candidates: Column) -> Column:
+    """Five hundredths of the candidates, eight at least."""
+    return F.greatest(F.lit(8), F.ceil(0.05 * candidates)).cast("bigint")

@@ -3,7 +3,9 @@
 Separable over the axes: squared distances are taken along i1 inside a trace, then
 minimised over i2 inside a slab, then over i3.  Each step is a shuffle on grid
 coordinates, so group sizes follow from the axis lengths, never from the data, and
-no pair of points is ever formed.
+no pair of points is ever formed.  Chunks along i1 shrink as the i3 axis grows, so a
+group holds a bounded number of values, and each pass looks only as far as the
+distances found so far.
 """
 
 from __future__ import annotations
@@ -14,6 +16,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _CHUNK = 256
+_GROUP_VALUES = 1 << 22  # distances held by one group
+_FEW = 64
+_FAR = np.iinfo(np.int64).max // 4
+
+
+def _spread(f: np.ndarray) -> np.ndarray:
+    """min over j of f[j] + (i - j)^2 along the first axis; stops at the largest distance left."""
+    best = f.copy()
+    for k in range(1, len(f)):
+        if k * k >= best.max():
+            break
+        np.minimum(best[k:], f[:-k] + k * k, out=best[k:])
+        np.minimum(best[:-k], f[k:] + k * k, out=best[:-k])
+    return best
+
+
+def _reach(f: np.ndarray, first: int, i3: np.ndarray, i1: np.ndarray) -> np.ndarray:
+    """min over planes p of f[p - first, i1] + (i3 - p)^2 for points; a point rests once nothing nearer can come."""
+    at, last = i3 - first, len(f) - 1
+    best = np.full(i3.size, _FAR)
+    live = np.arange(i3.size)
+    k = 0
+    while live.size:
+        for step in {k, -k}:
+            j = at[live] + step
+            ok = (j >= 0) & (j <= last)
+            hit = live[ok]
+            best[hit] = np.minimum(best[hit], f[j[ok], i1[hit]] + k * k)
+        k += 1
+        inside = (at[live] + k <= last) | (at[live] - k >= 0)
+        live = live[inside & (best[live] > k * k) | (inside & (best[live] == _FAR))]
+        if k > last + abs(int(at.max(initial=0))) + abs(int(at.min(initial=0))) + 1:
+            break
+    return best
+
 
 
 def nearest_distance(points: DataFrame, targets: DataFrame, n2, chunk: int = _CHUNK, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -23,6 +60,8 @@ def nearest_distance(points: DataFrame, targets: DataFrame, n2, chunk: int = _CH
     """
     n2c = F.lit(n2) if isinstance(n2, int) else n2
     k = [*keys]
+    n3 = int(targets.agg(F.max("i3").alias("m")).first()["m"] or 0) + 1  # one number
+    chunk = max(16, min(chunk, _GROUP_VALUES // n3))
     lines = targets.groupBy(*k, "i3", "i2").agg(F.array_sort(F.collect_set("i1")).alias("at"))
     wanted = points.select(*k, F.floor(F.col("i1") / chunk).cast("int").alias("c1")).distinct()
     if keys:
@@ -35,14 +74,20 @@ def nearest_distance(points: DataFrame, targets: DataFrame, n2, chunk: int = _CH
     def slab(pdf: pd.DataFrame) -> pd.DataFrame:
         i1 = np.arange(chunk, dtype=np.int64) + int(pdf["c1"].iloc[0]) * chunk
         rows = np.arange(int(pdf["n2"].iloc[0]), dtype=np.int64)
-        best = np.full((rows.size, chunk), np.iinfo(np.int64).max // 4)
+        best = np.full((rows.size, chunk), _FAR)
+        few = len(pdf) <= _FEW
         for i2, at in zip(pdf["i2"], pdf["at"]):
             at = np.asarray(at, dtype=np.int64)
             j = np.searchsorted(at, i1)
             near = np.minimum(
                 np.abs(at[np.minimum(j, at.size - 1)] - i1), np.abs(at[np.maximum(j - 1, 0)] - i1)
             )
-            np.minimum(best, (near * near)[None, :] + ((rows - i2) ** 2)[:, None], out=best)
+            if few:
+                np.minimum(best, (near * near)[None, :] + ((rows - i2) ** 2)[:, None], out=best)
+            else:
+                best[i2] = np.minimum(best[i2], near * near)
+        if not few:
+            best = _spread(best)
         head = {c: pdf[c].iloc[0] for c in [*k, "i3", "c1"]}
         return pd.DataFrame({**{c: [v] * rows.size for c, v in head.items()}, "i2": rows, "d2": list(best)})
 
@@ -59,9 +104,15 @@ def nearest_distance(points: DataFrame, targets: DataFrame, n2, chunk: int = _CH
         grid = np.stack(right["d2"].to_numpy())
         i3 = left["i3"].to_numpy(np.int64)
         i1 = left["i1"].to_numpy(np.int64) - int(left["c1"].iloc[0]) * chunk
-        best = np.full(i3.size, np.iinfo(np.int64).max // 4)
-        for p, row in zip(planes, grid):
-            np.minimum(best, row[i1] + (i3 - p) ** 2, out=best)
+        if planes.size <= _FEW:
+            best = np.full(i3.size, _FAR)
+            for p, row in zip(planes, grid):
+                np.minimum(best, row[i1] + (i3 - p) ** 2, out=best)
+        else:
+            first = int(planes.min())
+            dense = np.full((int(planes.max()) - first + 1, grid.shape[1]), _FAR)
+            dense[planes - first] = grid
+            best = _reach(dense, first, i3, i1)
         out = left[cols].copy()
         out["d2"] = best
         return out

@@ -20,6 +20,18 @@ def nonzero_report(df: DataFrame, col: str, keys: tuple[str, ...] = ()) -> DataF
     )
 
 
+# Percentile of the positive samples and the range it is kept in; the result without any.
+_ADAPTIVE = (0.70, 0.25, 0.75, 1.0)
+
+
+def adaptive_threshold(df: DataFrame, col: str) -> DataFrame:
+    """One row ``threshold``: the clipped 70th percentile of the positive samples, 1.0 without any; non-finite is an error."""
+    p, low, high, none = _ADAPTIVE
+    one = df.sparkSession.range(1)
+    q = quantile(df.where((F.col(col) > 0) | F.isnan(col)), col, p)
+    return one.select(F.when(q.isNull(), F.lit(none)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), q))).alias("threshold"))
+
+
 def percentile_mask(
     df: DataFrame,
     col: str,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.angles import axial_normal_angle, normal_vector, periodic_error
-from ridgeline.functions.scores import NONZERO_EPSILON, f1, near_edge, positive, ratio, unit_range
+from ridgeline.functions.scores import f1, near_edge, ratio, unit_range
 from ridgeline.operators.distance import nearest_distance
 from ridgeline.operators.joins import salted_join
 from ridgeline.operators.masks import percentile_mask
@@ -329,10 +329,6 @@ def stage_transition(source: DataFrame, target: DataFrame, radius: float) -> Dat
     )
 
 
-def positive_mask(df: DataFrame, col: str, epsilon: float = NONZERO_EPSILON) -> DataFrame:
-    return df.where(positive(col, epsilon))
-
-
 def projection(df: DataFrame, col: str, keep: tuple[str, str]) -> DataFrame:
     """Maximum-intensity projection onto two axes."""
     return df.groupBy(*keep).agg(F.max(col).alias("mip"))

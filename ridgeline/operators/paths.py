@@ -6,8 +6,13 @@ and one call advances all seeds of a task together.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
 
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
+
 _F = np.float32
 
 
@@ -137,3 +142,35 @@ def center_slopes(surface: np.ndarray, sigma: float) -> tuple[np.ndarray, np.nda
     patch = np.einsum("ij,bjk->bik", mw[iw - 1 : iw + 2], surface).astype(_F)
     patch = np.einsum("ij,bkj->bki", mv[iv - 1 : iv + 2], patch).astype(_F)
     return 0.5 * (patch[:, 1, 2] - patch[:, 1, 0]), 0.5 * (patch[:, 2, 1] - patch[:, 0, 1])
+
+
+def line_paths(df: DataFrame, key: str, col: str, ru: int, rv: int, stride: int = 1, passes: int = 1, sigma: float = 0.0, barrier: float = 1000.0) -> DataFrame:
+    """Cheapest lag paths of independent cost lines, one row each.
+
+    ``col`` holds the costs of (2*rv+1) steps by (2*ru+1) lags, step after step.  Lags outside the
+    window of their step cost ``barrier``.  Adds flat arrays ``cost``, ``forward``, ``backward``
+    (cumulative), ``smoothed`` (after ``passes``), and ``path`` (lag per step, smoothed by ``sigma``).
+    """
+    import pyarrow as pa
+
+    steps, lags = 2 * rv + 1, 2 * ru + 1
+    out = ("cost", "forward", "backward", "smoothed", "path")
+
+    def run(batches):
+        outside = np.abs(np.arange(-ru, ru + 1))[None, :] > lag_bounds_2d(ru, rv)[:, None]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cost = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(_F).reshape(-1, steps, lags)
+            cost = np.where(outside[None], _F(barrier), cost)
+            smoothed = cost
+            for _ in range(passes):
+                smoothed = smooth_costs(smoothed, stride)
+            path = find_paths(cost, stride, -ru, passes, sigma)
+            arrays = (cost, accumulate(cost, stride), accumulate(cost, stride, False), smoothed, path)
+            flat = [pa.array(list(a.reshape(len(a), -1).astype(_F)), pa.list_(pa.float32())) for a in arrays]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *flat], ["_key", *out])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.selectExpr(f"`{key}` AS _key", f"`{col}` AS _cost").mapInArrow(run, f"_key {kind}, " + ", ".join(f"{n} array<float>" for n in out))
+    return rows.withColumnRenamed("_key", key)

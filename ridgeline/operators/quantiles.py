@@ -4,6 +4,7 @@ Values are first counted per distinct value (map-side combine, hashed on the
 value too, so no group is hot).  A histogram over data-independent, monotone
 buckets of the value then tells which bucket holds each wanted rank, and only
 that bucket (1/65536 of an octave) is ordered.  The input is read once.
+NULL is left out; NaN and infinite values are an error.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 _PER_OCTAVE = 65536
 _SHIFT = 100_000_000
+_RANGE = 4096  # buckets
 
 
 def _bucket(v: Column) -> Column:
@@ -21,12 +23,17 @@ def _bucket(v: Column) -> Column:
     return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("bigint")
 
 
+def _finite(v: Column) -> Column:
+    bad = F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+    return F.when(bad, F.raise_error(F.lit("values must be finite"))).otherwise(v)
+
+
 def _ranked(df: DataFrame, keys: list[str], value: str | Column, wanted: Column) -> DataFrame:
     """One row per wanted rank: group key, label, value at that 0-based ascending rank.
 
     ``wanted`` is an array of structs (label, rank, ...) computed from ``_total``.
     """
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    v = _finite((F.col(value) if isinstance(value, str) else value).cast("double"))
     k = F.struct(*keys) if keys else F.lit(0)
     counted = (
         df.select(k.alias("_k"), v.alias("_v"))
@@ -36,16 +43,26 @@ def _ranked(df: DataFrame, keys: list[str], value: str | Column, wanted: Column)
         .withColumn("_b", _bucket(F.col("_v")))
         .where(F.col("_b").isNotNull())  # same filter in both uses below, so their shuffle is shared
     )
-    per_bucket = counted.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"))
-    upto = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    # ranks are found among few ranges of buckets first, then among the buckets of the ranges that hold one
+    per_bucket = counted.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn")).withColumn("_c", F.floor(F.col("_b") / _RANGE))
+    ranges = per_bucket.groupBy("_k", "_c").agg(F.sum("_bn").alias("_cn"))
+    upto = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("_k")
-    below = F.col("_cum") - F.col("_bn")
-    targets = (
-        per_bucket.withColumns({"_cum": F.sum("_bn").over(upto), "_total": F.sum("_bn").over(whole)})
+    above, start = F.col("_cum"), F.col("_cum") - F.col("_cn")
+    hit = (
+        ranges.withColumns({"_cum": F.sum("_cn").over(upto), "_total": F.sum("_cn").over(whole)})
         .withColumn("_all", wanted)
-        .withColumn("_w", F.filter("_all", lambda w: (w["rank"] >= below) & (w["rank"] < F.col("_cum"))))
+        .withColumn("_r", F.filter("_all", lambda w: (w["rank"] >= start) & (w["rank"] < above)))
+        .where(F.size("_r") > 0)
+        .select("_k", "_c", "_r", "_total", start.alias("_start"))
+    )
+    within = Window.partitionBy("_k", "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("_start") + F.col("_upto_b")
+    targets = (
+        per_bucket.join(hit, ["_k", "_c"]).withColumn("_upto_b", F.sum("_bn").over(within))
+        .withColumn("_w", F.filter("_r", lambda w: (w["rank"] >= end - F.col("_bn")) & (w["rank"] < end)))
         .where(F.size("_w") > 0)
-        .select("_k", "_b", "_w", "_total", below.alias("_below"))
+        .select("_k", "_b", "_w", "_total", (end - F.col("_bn")).alias("_below"))
     )
     inside = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     reached = counted.join(targets, ["_k", "_b"]).withColumn("_upto", F.sum("_n").over(inside) + F.col("_below"))

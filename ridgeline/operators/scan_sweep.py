@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.kernels import angle_samples, gaussian_weights
+from ridgeline.functions.kernels import angle_samples, gaussian_weights, shear_of_dip
 from ridgeline.grid import DEFAULT_TILING, Tiling, shape_of, with_halo
 from ridgeline.operators.metrics import normalize_unit
 
@@ -126,9 +126,9 @@ def scan_reference_2d(
     thetas = angle_samples(theta_min, theta_max, sigma1)
     cell = np.float32([(180.0 - t) % 180.0 for t in thetas])
     n2 = shape[0] if shape else int(shape_of(df).first()["n2"])
+    lo = df.agg(F.min(F.array_min(col)).alias("v")).select("v").scalar().cast("double")
+    hi = df.agg(F.max(F.array_max(col)).alias("v")).select("v").scalar().cast("double")
     if normalize:
-        lo = df.agg(F.min(F.array_min(col)).alias("v")).select("v").scalar().cast("double")
-        hi = df.agg(F.max(F.array_max(col)).alias("v")).select("v").scalar().cast("double")
         src = df.withColumns({"_lo": lo, "_span": hi - lo}).select(
             "i3", "i2", F.col("_span"),
             F.transform(col, lambda x: F.try_divide(x - F.col("_lo"), F.col("_span")).cast("float")).alias("g"),
@@ -145,7 +145,17 @@ def scan_reference_2d(
         return core_rows(pdf, a3, a2, ft=ft[None], pt=cell[b.code][None])
 
     tiles = with_halo(src, 0, r, tiling)
-    return tiles.groupBy(*tiling.tile_cols).applyInPandas(tile, "i3 int, i2 int, ft array<float>, pt array<float>")
+    out = tiles.groupBy(*tiling.tile_cols).applyInPandas(tile, "i3 int, i2 int, ft array<float>, pt array<float>")
+    return _constant(out, lo == hi, {"ft": 0.0, "pt": float(cell[0])})
+
+
+def _constant(traces: DataFrame, flat, values: dict[str, float]) -> DataFrame:
+    """A constant input has no orientation: fixed values (zero likelihood, first sampled angles) where ``flat`` holds."""
+    marked = traces.withColumn("_flat", flat)
+    kept = [c for c in traces.columns if c not in values]
+    filled = lambda c, v: F.transform(c, lambda _x: F.lit(v).cast("float"))
+    put = [F.when(F.col("_flat"), filled(c, v)).otherwise(F.col(c)).alias(c) for c, v in values.items()]
+    return marked.select(*kept, *put)
 
 
 def stronger_branch(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -170,15 +180,6 @@ def scan_dip_2d(df: DataFrame, col: str, theta_min: float, theta_max: float, sig
 # ---------------------------------------------------------------- 3-D rotate and shear
 
 
-def _shear(theta: float) -> float:
-    s, c = math.sin(math.radians(theta)), math.cos(math.radians(theta))
-    if abs(c) <= 1e-6:
-        return 0.0
-    if abs(s) <= 1e-6:
-        return math.copysign(1e4, -c)
-    return float(np.clip(-c / s, -1e4, 1e4))
-
-
 def _half_widths(n2: int, n3: int, c: float, s: float) -> tuple[float, float]:
     """Extent of the rotated (i2, i3) rectangle along the rotated axes."""
     a, b = 0.5 * (n2 - 1), 0.5 * (n3 - 1)
@@ -227,7 +228,7 @@ def _sweep_3d(block, a3, a2, core, shape, phis, thetas, sigma):
     for theta in thetas:
         sd = sigma * abs(math.sin(math.radians(theta)))
         w = gaussian_weights(sd) if sd > 0 else [1.0]
-        dips.append((_shear(theta), w, math.ceil(abs(_shear(theta)) * (len(w) // 2)) + 2))
+        dips.append((shear_of_dip(theta), w, math.ceil(abs(shear_of_dip(theta)) * (len(w) // 2)) + 2))
     margin = max(m for _, _, m in dips)
     for a, phi in enumerate(phis):
         c, s = float(_F(math.cos(math.radians(phi)))), float(_F(math.sin(math.radians(phi))))
@@ -304,7 +305,7 @@ def scan_sweep_3d(
     n3, n2, n1 = shape or (int(row["n3"]), int(row["n2"]), int(row["n1"]))
     if backend == "rotate_shear":
         rs = int(4 * sigma + 0.5)
-        margin = max(math.ceil(abs(_shear(t)) * int(4 * sigma * abs(math.sin(math.radians(t))) + 0.5)) + 2 for t in thetas)
+        margin = max(math.ceil(abs(shear_of_dip(t)) * int(4 * sigma * abs(math.sin(math.radians(t))) + 0.5)) + 2 for t in thetas)
         halo = math.ceil(math.hypot(rs + 2, margin + 2)) + 1
     else:
         halo = 2 * math.ceil(3.0 * sigma) + 3
@@ -329,12 +330,7 @@ def scan_sweep_3d(
     out = with_halo(src, halo, halo, tiling).groupBy(*tiling.tile_cols).applyInPandas(
         tile, "i3 int, i2 int, ft array<float>, pt array<float>, tt array<float>, gap array<float>"
     )
-    # a constant volume has no orientation: zero likelihood, first sampled angles
-    flat = F.col("_flat")
-    const = lambda c, v: F.when(flat, F.transform(c, lambda _x: F.lit(float(v)).cast("float"))).otherwise(F.col(c)).alias(c)
-    return out.withColumn("_flat", lo == hi).select(
-        "i3", "i2", const("ft", 0.0), const("pt", phis[0]), const("tt", thetas[0]), const("gap", 0.0)
-    )
+    return _constant(out, lo == hi, {"ft": 0.0, "pt": float(phis[0]), "tt": float(thetas[0]), "gap": 0.0})
 
 
 def confidence(voxels: DataFrame, gap: str = "gap", out: str = "confidence") -> DataFrame:

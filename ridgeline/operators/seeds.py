@@ -1,10 +1,10 @@
-"""Seed selection: exact greedy suppression in parallel rounds.
+"""Seed selection: exact greedy suppression on halo tiles.
 
 Taking candidates best-first and dropping all within a Chebyshev box gives the
-lexicographically first maximal independent set.  The same set results from
-repeating: accept whatever is best in its box, drop what an accepted one covers.
-A tile with a halo of 2*d per round decides its own core, so each exchange settles
-several rounds and no task sees more than a tile.
+lexicographically first maximal independent set.  A tile accepts what is best in a box it
+sees whole and drops what that covers, again and again until it learns nothing more; only
+what hangs on rows outside its halo waits for the next exchange.  No task sees more than a
+tile, and the result is the sequential one.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.grid import DEFAULT_TILING, Tiling, with_halo
+from ridgeline.grid import DEFAULT_TILING, TILE2, TILE3, Tiling, with_halo
+from ridgeline.operators.quantiles import quantile
 from ridgeline.session import cut_lineage
 
-_ROUNDS = 2
+_HALO = 4  # in distances; one is needed, more lets a tile settle more by itself
 XYZ = ["i3", "i2", "i1"]
 
 
@@ -37,26 +38,36 @@ def box_max(a: np.ndarray, d: int) -> np.ndarray:
     return a
 
 
-def settle(pdf: pd.DataFrame, d: int, late_first: bool, rounds: int) -> np.ndarray:
-    """Per row: 1 accepted, 0 still open, -1 dropped."""
+def settle(pdf: pd.DataFrame, d: int, late_first: bool, seen: tuple[tuple[float, float], tuple[float, float]]) -> np.ndarray:
+    """Per row: 1 accepted, 0 still open, -1 dropped; rows ``fixed`` were accepted before and only cover others.
+
+    ``seen`` holds, for i3 and i2, the index range whose candidates are all in ``pdf``.  A row is
+    accepted when it is the best open one of its box and its box is seen whole; that is final, so the
+    tile goes on until nothing changes.  What may depend on unseen rows stays open and blocks others.
+    """
     pos = pdf[XYZ].to_numpy(np.int64)
-    pos -= pos.min(axis=0)
+    whole = np.ones(len(pdf), bool)
+    for axis, (lo, hi) in enumerate(seen):
+        whole &= (pos[:, axis] - d >= lo) & (pos[:, axis] + d < hi)
+    at = tuple((pos - pos.min(axis=0)).T)
     last = (pdf["flat"] if late_first else -pdf["flat"]).to_numpy(np.int64)
     rank = np.zeros(len(pdf), np.int64)
     rank[np.lexsort((last, pdf["score2"].to_numpy(), pdf["score"].to_numpy()))] = np.arange(1, len(pdf) + 1)
-    grid = np.zeros(pos.max(axis=0) + 1, np.int64)
-    at = tuple(pos.T)
-    grid[at] = rank
-    state = np.zeros(len(pdf), np.int64)
-    for _ in range(rounds):
-        won = (grid > 0) & (box_max(grid, d) == grid)
+    won = pdf["fixed"].to_numpy() == 1
+    state = np.where(won, -1, 0)
+    grid = np.zeros([a.max() + 1 for a in at], np.int64)
+    grid[at] = np.where(won, 0, rank)
+    while True:
+        mark = np.zeros(grid.shape, np.int8)
+        mark[tuple(a[won] for a in at)] = 1
+        gone = (state == 0) & (box_max(mark, d)[at] > 0)
+        state[gone] = -1
+        grid[tuple(a[gone] for a in at)] = 0
+        won = (state == 0) & whole & (box_max(grid, d)[at] == rank)
         if not won.any():
-            break
-        covered = box_max(won.astype(np.int8), d) > 0
-        state[won[at] & (state == 0)] = 1
-        state[covered[at] & (state == 0)] = -1
-        grid[covered] = 0
-    return state
+            return state
+        state[won] = 1
+        grid[tuple(a[won] for a in at)] = 0
 
 
 def pick_seeds(
@@ -74,39 +85,66 @@ def pick_seeds(
         return candidates
     alive = cut_lineage(candidates.select(
         *XYZ, "flat", F.col("score").cast("double").alias("score"),
-        (F.col(second) if second else F.lit(0.0)).cast("double").alias("score2"),
+        (F.col(second) if second else F.lit(0.0)).cast("double").alias("score2"), F.lit(0).alias("fixed"),
     ))
     accepted = []
-    halo = 2 * distance * _ROUNDS
+    halo = _HALO * distance
+    ends = alive.agg(F.max("i3").alias("i3"), F.max("i2").alias("i2")).first()  # two numbers
+    if ends["i3"] is None:
+        return candidates
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = settle(pdf, distance, late_first, _ROUNDS)
+        seen = []
+        for axis, block, tile in (("i3", tiling.block3, TILE3), ("i2", tiling.block2, TILE2)):
+            low, high = int(pdf[tile].iloc[0]) * block - halo, (int(pdf[tile].iloc[0]) + 1) * block + halo
+            seen.append((-np.inf if low <= 0 else low, np.inf if high > ends[axis] else high))
+        state = settle(pdf, distance, late_first, tuple(seen))
         keep = pdf["_core"].to_numpy() & (state >= 0)
         out = pdf.loc[keep, [*XYZ, "flat", "score", "score2"]]
-        return out.assign(state=state[keep].astype(np.int32))
+        return out.assign(fixed=state[keep].astype(np.int32))
 
     while True:
         tiles = with_halo(alive, halo, halo, tiling)
         done = cut_lineage(
             tiles.groupBy(*tiling.tile_cols).applyInPandas(
-                decide, "i3 int, i2 int, i1 int, flat bigint, score double, score2 double, state int"
+                decide, "i3 int, i2 int, i1 int, flat bigint, score double, score2 double, fixed int"
             )
         )
-        accepted.append(done.where("state = 1").select("flat"))
-        alive = done.where("state = 0").drop("state")
-        if alive.isEmpty():
+        accepted.append(done.where("fixed = 1").select("flat"))
+        alive = done  # the new picks go along once more: they cover rows that other tiles still hold open
+        if done.where("fixed = 0").isEmpty():
             break
     chosen = reduce(lambda a, b: a.unionByName(b), accepted)
     return candidates.join(chosen, "flat", "left_semi")
 
 
-def pick_centers(df: DataFrame, value: str, count: int, separation: float) -> list[tuple[int, int, int]]:
-    """The ``count`` strongest voxels at least ``separation`` apart (a short report).
+def center_margins(shape: tuple[int, int, int], crop: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Margins that keep a crop of this shape around a centre inside the volume."""
+    if any(c > n for c, n in zip(crop, shape)):
+        raise ValueError("the crop is larger than the volume")
+    return tuple(c // 2 if c < n else 0 for c, n in zip(crop, shape))
 
-    Each pick is one distributed top-1; ties go to the smallest (i3, i2, i1).
+
+def pick_centers(
+    df: DataFrame, value: str, count: int = 3, separation: float = 48.0, percentile: float = 99.9,
+    margins: tuple[int, int, int] | None = None,
+) -> list[tuple[int, int, int]]:
+    """At most ``count`` strong voxels at least ``separation`` apart (a short report).
+
+    Only voxels at or above the percentile of the eligible ones are picked; with ``margins``
+    (i3, i2, i1) a voxel is eligible when it lies that far inside (needs n3, n2, n1).  The pool is
+    stored once, each pick is one distributed top-1 of it; ties go to the smallest (i3, i2, i1).
     """
-    picks: list[tuple[int, int, int]] = []
+    if count == 0:
+        return []
     pool = df
+    if margins is not None:
+        for c, n, m in zip(XYZ, ("n3", "n2", "n1"), margins):
+            pool = pool.where((F.col(c) >= m) & (F.col(c) < F.col(n) - m))
+        if pool.isEmpty():
+            raise ValueError("no eligible centers remain inside the margins")
+    pool = cut_lineage(pool.select(*XYZ, value).where(F.col(value) >= quantile(pool, value, percentile / 100.0)))
+    picks: list[tuple[int, int, int]] = []
     while len(picks) < count:
         top = pool.orderBy(F.desc(value), *XYZ).select(*XYZ).head(1)
         if not top:

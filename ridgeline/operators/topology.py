@@ -156,6 +156,20 @@ def link_topology(cells: DataFrame) -> DataFrame:
     )
 
 
+def link_components(cells: DataFrame) -> DataFrame:
+    """Per skin: groups of cells joined by its links, the largest group, cells that stand alone."""
+    from ridgeline.operators.components import label_graph
+
+    e = link_edges(cells)
+    owner = cells.select(F.col("cell_id").alias("other_id"), F.col("skin_id").alias("_skin"))
+    inside = e.join(owner, "other_id").where((F.col("skin_id") == F.col("_skin")) & (F.col("cell_id") != F.col("other_id")))
+    labels = label_graph(cells.select(F.col("cell_id").alias("id")), inside.select(F.col("cell_id").alias("a"), F.col("other_id").alias("b")).distinct())
+    sizes = cells.select("cell_id", "skin_id").join(labels.withColumnRenamed("id", "cell_id"), "cell_id").groupBy("skin_id", "label").agg(F.count(F.lit(1)).alias("cells"))
+    return sizes.groupBy("skin_id").agg(
+        F.count(F.lit(1)).alias("component_count"), F.max("cells").alias("largest_component"), F.count_if(F.col("cells") == 1).alias("singleton_count")
+    )
+
+
 def link_by_position(cells: DataFrame, v: str = "v", w: str = "w") -> DataFrame:
     """Fill ca/cb (v -/+ 1) and cl/cr (w -/+ 1) inside each skin with windows, no self-join.
 

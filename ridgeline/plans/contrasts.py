@@ -25,9 +25,14 @@ CONTRASTS = {
 }
 CELLS = ("RL-SCAN", "Q-SCAN", "ORACLE-REF", "ORACLE-QUAL", "RL-REF", "RL-QUAL", "Q-REF", "Q-QUAL")
 PAIR = ["case_id", "trial_id", "seed", "stage", "selection", "metric"]
+# The set over scanned cells alone, and the key of its rows.
+SCANNED_CONTRASTS = {k: v for k, v in CONTRASTS.items() if k not in ("scanner_only_effect", "oracle_workflow_effect")}
+REGION_PAIR = ["dataset_id", "stage", "region", "selection", "reference_file", "metric"]
 
 
-def paired_contrasts(rows: DataFrame, contrasts: dict[str, dict[str, float]] = CONTRASTS) -> DataFrame:
+def paired_contrasts(
+    rows: DataFrame, contrasts: dict[str, dict[str, float]] = CONTRASTS, keys: list[str] = PAIR
+) -> DataFrame:
     """All contrasts of each exact pairing key; a partly present contrast is an error.
 
     Every row is fanned out to the few contrasts its cell takes part in and one
@@ -43,8 +48,8 @@ def paired_contrasts(rows: DataFrame, contrasts: dict[str, dict[str, float]] = C
         lambda acc, c: acc.when(F.col("cell_label") == c, F.array(*by_cell[c])), by_cell, F.when(F.lit(False), F.lit(None))
     )
     src = rows.where("contrast_eligible") if "contrast_eligible" in rows.columns else rows
-    fan = src.select(*PAIR, "cell_label", "unit", "direction", "value", F.explode(terms).alias("t"))
-    g = fan.groupBy(*PAIR, "t.contrast_name").agg(
+    fan = src.select(*keys, "cell_label", "unit", "direction", "value", F.explode(terms).alias("t"))
+    g = fan.groupBy(*keys, "t.contrast_name").agg(
         F.sum(F.col("t.coef") * F.col("value")).alias("raw_value"),
         F.count(F.lit(1)).alias("_n"), F.max("t.need").alias("_need"),
         F.min("unit").alias("unit"), F.max("unit").alias("_unit"),
@@ -60,7 +65,7 @@ def paired_contrasts(rows: DataFrame, contrasts: dict[str, dict[str, float]] = C
         F.col("raw_value")
     )
     return g.select(
-        "contrast_name", *PAIR, "unit", "direction", checked.alias("raw_value")
+        "contrast_name", *keys, "unit", "direction", checked.alias("raw_value")
     ).withColumn("improvement_value", improvement("raw_value", "direction"))
 
 

@@ -27,8 +27,24 @@ MATERIAL = {
     "skin_buffered_f1_r2": -0.02, "fvt_positive_buffered_f1_r2": -0.02,
     "skin_distance_p95": 2.0, "fvt_positive_distance_p95": 2.0,
 }
+# Every compared metric.
+METRICS = [
+    "fv_buffered_f1_r2", "fv_distance_p95", "fv_edge_false_positive_fraction", "fvt_buffered_f1_r2", "fvt_distance_p95",
+    "fvt_positive_candidate_count", "fvt_positive_buffered_f1_r2", "fvt_positive_distance_p95",
+    "fvt_positive_edge_false_positive_fraction", "skin_count", "skin_cell_count", "skin_buffered_f1_r2", "skin_distance_p95",
+    "skin_distance_candidate_to_truth_p95", "skin_strike_median_error", "skin_dip_median_error", "skin_over_merge_count",
+    "skin_over_split_count", "skin_mean_purity", "skin_min_purity", "skin_mean_truth_component_recall",
+    "skin_min_truth_component_recall", "scanner_ft_buffered_f1_r2", "scanner_ft_distance_p95",
+    "scanner_downstream_fvt_to_ft_distance_p95", "scanner_downstream_fvt_positive_edge_false_positive_fraction",
+    "skin_fallback_used", "skin_fallback_replaced_primary",
+]
 TOPOLOGY_CASES = ("parallel_planes", "crossing_planes")
 BOUNDARY_CASE = "boundary_plane"
+FALSE_FALLBACK_CASES = ("single_vertical_plane", "single_dipping_plane", "curved_surface", "weak_noisy_plane")
+ALL_CASES = (
+    "single_vertical_plane", "single_dipping_plane", "curved_surface", "parallel_planes", "crossing_planes", "boundary_plane",
+    "weak_noisy_plane",
+)
 
 
 @dataclass(frozen=True)
@@ -137,7 +153,7 @@ def gate_reasons(compared: DataFrame, gate: Gate = SCANNER_BOUNDARY, metrics: li
             F.array(
                 *[
                     F.when(~F.col(f"{x}__b").eqNullSafe(F.col(f"{x}__c")), F.lit(f"oracle regression: {x}"))
-                    for x in (metrics or list(MATERIAL))
+                    for x in (metrics or [m for m in METRICS if f"{m}__b" in compared.columns])
                 ]
             )
         )
@@ -176,19 +192,36 @@ def gate_reasons(compared: DataFrame, gate: Gate = SCANNER_BOUNDARY, metrics: li
     return m.select(*MATCH_KEY, F.explode(reasons).alias("reason"))
 
 
+def required_rows(gate: Gate) -> list[tuple[str, str, str]]:
+    """(name, pipeline, case) rows that a promotion must have compared."""
+    tail = f"scanner_{gate.backend.replace('-', '_')}_ref{gate.refinement}_{gate.shape[0]}"
+    parts = [
+        (f"boundary_plane_{tail}", "scanner", (BOUNDARY_CASE,)),
+        (f"non_boundary_{tail}", "scanner", tuple(c for c in ALL_CASES if c != BOUNDARY_CASE)),
+        (f"oracle_{gate.shape[0]}", "oracle", ALL_CASES),
+        (f"false_fallback_replacement_{tail}", "scanner", FALSE_FALLBACK_CASES),
+        (f"topology_{tail}", "scanner", TOPOLOGY_CASES),
+    ]
+    return [(name, pipeline, case) for name, pipeline, cases in parts for case in cases]
+
+
+def coverage(compared: DataFrame, gate: Gate = SCANNER_BOUNDARY) -> DataFrame:
+    """(name, pipeline, case_id, reason) of the required rows without a matched comparison."""
+    required = compared.sparkSession.createDataFrame(required_rows(gate), "name string, pipeline string, case_id string")
+    counts = (F.col("workflow_mode") == "quality") & _shape(gate) & ((F.col("pipeline") != "scanner") | _gate_row(gate))
+    have = compared.where("status = 'matched'").where(counts).select("pipeline", "case_id").distinct()
+    reason = F.concat(F.lit("missing required gate coverage: "), "name", F.lit(" "), "case_id")
+    return required.join(have, ["pipeline", "case_id"], "left_anti").select("name", "pipeline", "case_id", reason.alias("reason"))
+
+
 def gate_verdict(compared: DataFrame, gate: Gate = SCANNER_BOUNDARY, metrics: list[str] | None = None) -> DataFrame:
-    """One row: passed, number of reasons, whether the boundary row was there."""
+    """One row: passed, number of reasons, of missing required rows and of unmatched rows, boundary rows seen."""
     r = gate_reasons(compared, gate, metrics).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    missing = coverage(compared, gate).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     boundary = F.count_if(_gate_row(gate) & (F.col("case_id") == BOUNDARY_CASE) & (F.col("status") == "matched"))
     gaps = F.count_if(F.col("status") != "matched")
-    out = compared.agg(boundary.alias("boundary_rows"), gaps.alias("unmatched_rows")).withColumn("reason_count", r)
-    ok = (F.col("boundary_rows") > 0) & (F.col("reason_count") == 0)
+    out = compared.agg(boundary.alias("boundary_rows"), gaps.alias("unmatched_rows")).withColumns({"reason_count": r, "missing_count": missing})
+    ok = (F.col("boundary_rows") > 0) & (F.col("reason_count") == 0) & (F.col("missing_count") == 0)
     if gate.unchanged_oracle:
         ok = ok & (F.col("unmatched_rows") == 0)
     return out.withColumn("passed", ok)
-
-
-def coverage(compared: DataFrame, required: DataFrame) -> DataFrame:
-    """Required (name, pipeline, case_id) rows without a matched comparison."""
-    have = compared.where("status = 'matched'").select("pipeline", "case_id").distinct()
-    return required.join(have, ["pipeline", "case_id"], "left_anti")

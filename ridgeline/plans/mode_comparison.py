@@ -30,7 +30,7 @@ SCANS = {"RL-SCAN": "rl", "Q-SCAN": "q"}
 # metric -> (unit, direction)
 METRICS = {
     "buffered_f1": ("ratio", "higher"), "buffered_precision": ("ratio", "higher"),
-    "buffered_recall": ("ratio", "higher"), "candidate_count": ("voxels", "none"),
+    "buffered_recall": ("ratio", "higher"), "candidate_count": ("voxels", "neutral"),
 }
 
 

@@ -22,7 +22,7 @@ from ridgeline.session import cut_lineage
 XYZ = ["i3", "i2", "i1"]
 
 # Declarative variants as patches on the default settings.
-DEFAULTS = {"thin": "reference", "workflow": "reference", "connectivity": "corner", "min_likelihood": 0.3}
+DEFAULTS = {"thin": "reference"}
 VARIANTS = {
     "current_default": {},
     "voter_thin_normal": {"thin": "normal"},
@@ -46,8 +46,16 @@ class Profile:
     thin: str = "reference"
 
 
-# Fixed value: the full quality profile (35 x 7 orientations on its standard ranges).
-QUALITY = Profile(refinement=2)
+# The full quality profile; refined, its ranges give 35 strikes x 7 dips.
+QUALITY = Profile(strikes=(0.0, 360.0), dips=(65.0, 80.0), refinement=2, sigma=8.0, thin="hybrid_v2")
+
+
+def orientations(profile: Profile) -> tuple[list[float], list[float]]:
+    """Sampled strikes and dips of a profile."""
+    return (
+        refine_samples(strike_samples(*profile.strikes), profile.refinement),
+        refine_samples(dip_samples(*profile.dips), profile.refinement),
+    )
 
 
 def settings(variant: str) -> dict:
@@ -85,8 +93,7 @@ def vote_stage(attributes: DataFrame, profile: Profile, tiling: Tiling = DEFAULT
 
 def run_scan(planarity: DataFrame, col: str, profile: Profile, tiling: Tiling = DEFAULT_TILING) -> DataFrame:
     """Sweep and scanner thinning; dense voxels ft, pt, tt (zeros where nothing is kept)."""
-    phis = refine_samples(strike_samples(*profile.strikes), profile.refinement)
-    thetas = refine_samples(dip_samples(*profile.dips), profile.refinement)
+    phis, thetas = orientations(profile)
     scan = cut_lineage(scan_sweep.scan_sweep_3d(planarity, col, phis, thetas, profile.sigma, tiling=tiling))
     return thinning.scanner_thin_reference(scan, tiling=tiling)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,15 +56,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession, prefix: str) -> str:
-    """A new, empty folder that all executors see, as a plain path.
+_own_root: list[str] = []
 
-    Below the cluster's checkpoint folder; a temporary folder only in local mode.
+
+def new_folder(spark: SparkSession, prefix: str) -> str:
+    """URI of a folder below the cluster's shared folder that nothing else uses (not made yet).
+
+    Works for any file system Spark reads; a temporary folder is used only in local mode.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    if root is not None:
-        root = root.removeprefix("file://").removeprefix("file:")
-        os.makedirs(root, exist_ok=True)
-    return tempfile.mkdtemp(prefix=prefix, dir=root)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
+        if not _own_root:
+            _own_root.append(tempfile.mkdtemp(prefix="ridgeline-shared-"))
+        root = _own_root[0]
+    if "://" not in root and not root.startswith("file:"):
+        root = f"file://{root}"
+    return f"{root.rstrip('/')}/{prefix.strip('-')}-{uuid.uuid4().hex}"
+
+
+def file_system(uri: str):
+    """(file system, path) of a URI or of a plain local path, for use on the driver and inside tasks."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        uri = "file://" + os.path.abspath(uri)
+    elif uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)

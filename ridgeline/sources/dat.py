@@ -1,12 +1,13 @@
 """Headerless float32 volumes (C order, i3 slowest) as a Spark data source.
 
-One partition per block of i3 slices, filters on i3 prune partitions, and the sink
-writes each slice at its own offset, so neither side ever holds the volume.
+One partition per block of i3 slices, filters on i3 prune partitions, and the sink writes one
+block of slices per task and joins the blocks in order, so neither side ever holds the volume.
+Paths may be URIs of any file system that Arrow reaches.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual,
 )
 
+from ridgeline.session import file_system
+
 _SCHEMA = "i3 int, i2 int, trace array<float>"
 
 
@@ -44,9 +47,12 @@ class DatReader(DataSourceReader):
         self.depth = int(options.get("slabdepth", options.get("slabDepth", "8")))
         self.lo, self.hi = 0, self.dims[0]
         n3, n2, n1 = self.dims
-        size = os.path.getsize(self.path)
-        if size != n3 * n2 * n1 * 4:
-            raise ValueError(f"{self.path} holds {size} bytes, shape {self.dims} needs {n3 * n2 * n1 * 4}")
+        where, file = file_system(self.path)
+        info = where.get_file_info(file)
+        if not info.is_file:
+            raise ValueError(f"{self.path} is no regular file")
+        if info.size != n3 * n2 * n1 * 4:
+            raise ValueError(f"{self.path} holds {info.size} bytes, shape {self.dims} needs {n3 * n2 * n1 * 4}")
 
     def pushFilters(self, filters):
         for f in filters:
@@ -74,7 +80,8 @@ class DatReader(DataSourceReader):
 
     def read(self, partition):
         _, n2, n1 = self.dims
-        with open(self.path, "rb") as f:
+        where, file = file_system(self.path)
+        with where.open_input_file(file) as f:
             f.seek(partition.start * n2 * n1 * 4)
             for i3 in range(partition.start, partition.stop):
                 flat = np.frombuffer(f.read(n2 * n1 * 4), dtype=self.dtype).astype(np.float32)
@@ -115,38 +122,66 @@ def read_dat(spark: SparkSession, path: str, shape: tuple[int, int, int], endian
     )
 
 
-def write_dat(df: DataFrame, path: str, shape: tuple[int, int, int], col: str = "trace", endian: str = "big") -> None:
-    """Write a dense trace-layout volume; ``path`` must be visible to all executors.
+def write_dat(
+    df: DataFrame, path: str, shape: tuple[int, int, int], col: str = "trace", endian: str = "big", slab_depth: int = 8
+) -> None:
+    """Write a dense trace-layout volume to one file.
 
-    The file is created at its full size under a temporary name, slices are written in
-    place by the tasks (a retried task rewrites the same bytes), then it is renamed.
+    Traces are dealt by block of slices and sorted; each task writes its block whole under a name of
+    its own (a repeated task writes another, only the counted one is used).  The blocks are then
+    joined in order and the result is renamed into place.
     """
     n3, n2, n1 = shape
     dtype = np.dtype(">f4" if endian == "big" else "<f4")
-    part = path + ".part"
-    with open(part, "wb") as f:
-        f.truncate(n3 * n2 * n1 * 4)
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    blocks = -(-n3 // slab_depth)
 
     def store(batches):
-        written = 0
-        with open(part, "r+b") as f:
-            for pdf in batches:
-                for i3, i2, trace in zip(pdf["i3"], pdf["i2"], pdf[col]):
-                    if len(trace) != n1:
-                        raise ValueError("trace length differs from the shape")
-                    f.seek((int(i3) * n2 + int(i2)) * n1 * 4)
-                    f.write(np.asarray(trace, np.float32).astype(dtype).tobytes())
-                    written += 1
-            f.flush()
-            os.fsync(f.fileno())
-        import pandas as pd
-
-        yield pd.DataFrame({"n": [written]})
-
-    done = df.select("i3", "i2", col).mapInPandas(store, "n long").agg(F.sum("n")).first()[0]
-    if done != n3 * n2:
-        raise ValueError(f"wrote {done} traces, shape {shape} needs {n3 * n2}")
-    os.replace(part, path)
+        where, folder = file_system(parts)
+        where.create_dir(folder, recursive=True)
+        made, block, sink, name, expect = [], None, None, "", 0
+
+        def close():
+            if sink is not None:
+                sink.close()
+                made.append((block, name, expect - block * slab_depth * n2))
+
+        for batch in batches:
+            flats = batch.column(1).to_numpy()
+            lists = batch.column(2)
+            if not (np.diff(lists.offsets.to_numpy()) == n1).all():
+                raise ValueError("trace length differs from the shape")
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, n1)
+            start = 0
+            for own in np.unique(batch.column(0).to_numpy()):
+                n = int((batch.column(0).to_numpy() == own).sum())
+                if own != block:
+                    close()
+                    block, name, expect = int(own), f"{folder}/{own}-{uuid.uuid4().hex}", int(own) * slab_depth * n2
+                    sink = where.open_output_stream(name)
+                if (flats[start : start + n] != np.arange(expect, expect + n)).any():
+                    raise ValueError(f"the volume is not dense at trace {expect}")
+                sink.write(values[start : start + n].tobytes())
+                start, expect = start + n, expect + n
+        close()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], ["block", "name", "n"])
+
+    flat = F.col("i3").cast("bigint") * n2 + F.col("i2")
+    rows = df.select(F.floor(F.col("i3") / slab_depth).cast("bigint").alias("block"), flat.alias("flat"), F.col(col).cast("array<float>").alias("v"))
+    dealt = rows.repartition(min(blocks, 10_000), "block").sortWithinPartitions("flat")
+    done = sorted(tuple(r) for r in dealt.mapInArrow(store, "block bigint, name string, n bigint").collect())  # one row per block
+    wrote = sum(n for *_, n in done)
+    if wrote != n3 * n2 or [b for b, *_ in done] != list(range(blocks)):
+        raise ValueError(f"wrote {wrote} traces, shape {shape} needs {n3 * n2}")
+    where, target = file_system(path)
+    with where.open_output_stream(f"{target}.part") as out:
+        for _, name, _ in done:
+            with where.open_input_stream(name, compression=None) as block:
+                while chunk := block.read(4 << 20):
+                    out.write(chunk)
+    where.move(f"{target}.part", target)
+    where.delete_dir(file_system(parts)[1])
 
 
 def file_records(spark: SparkSession, path: str) -> DataFrame:

@@ -172,3 +172,83 @@ def test_edge_lines_take_the_better_candidate(spark):
     plateau = spark.createDataFrame([(3, 1, 3)], "i3 int, i2 int, i1 int")
     got = {(r["i3"], r["i2"], r["i1"], round(r["fvt"], 3)) for r in edges.thin_edge_lines(cells, plateau, 2).collect()}
     assert got == {(3, 1, 3, 0.7)}
+
+
+def test_quantiles_refuse_what_is_not_finite(spark):
+    from ridgeline.operators.quantiles import grouped_quantiles
+
+    ok = spark.createDataFrame([(1.0,), (2.0,), (None,), (4.0,)], "v double")
+    assert grouped_quantiles(ok, [], "v", {"m": 0.5}).first()["m"] == 2.0
+    for bad in (float("nan"), float("inf"), float("-inf")):
+        with pytest.raises(Exception, match="finite"):
+            grouped_quantiles(ok.union(spark.createDataFrame([(bad,)], "v double")), [], "v", {"m": 0.5}).collect()
+
+
+def test_adaptive_threshold(spark):
+    from ridgeline.operators.masks import adaptive_threshold
+
+    one = lambda values: adaptive_threshold(spark.createDataFrame([(float(v),) for v in values], "v float"), "v").first()["threshold"]
+    assert one([]) == 1.0 and one([0.0, -1.0]) == 1.0
+    assert one([0.1, 0.1, -5.0]) == 0.25 and one([0.9, 0.9]) == 0.75
+    assert one([0.2, 0.4, 0.6]) == pytest.approx(np.percentile(np.float32([0.2, 0.4, 0.6]), 70))
+    with pytest.raises(Exception, match="finite"):
+        one([0.5, float("nan")])
+
+
+def test_centres_come_from_the_top_percentile_and_inside_the_margins(spark):
+    from ridgeline.operators.seeds import center_margins, pick_centers
+
+    rng = np.random.default_rng(5)
+    a = rng.permutation(6 * 8 * 10).reshape(6, 8, 10).astype(np.float32)
+    rows = [(*map(int, i), 6, 8, 10, float(a[i])) for i in np.ndindex(a.shape)]
+    df = spark.createDataFrame(rows, "i3 int, i2 int, i1 int, n3 int, n2 int, n1 int, v float")
+
+    def brute(count, sep, percentile, m):
+        inside = [i for i in np.ndindex(a.shape) if all(k <= x < n - k for x, n, k in zip(i, a.shape, m))]
+        cut = np.percentile([a[i] for i in inside], percentile)
+        picks = []
+        for i in sorted((i for i in inside if a[i] >= cut), key=lambda i: (-a[i], i)):
+            if all(sum((x - y) ** 2 for x, y in zip(i, p)) >= sep * sep for p in picks):
+                picks.append(i)
+        return picks[:count]
+
+    assert pick_centers(df, "v", 5, 3.0, 90.0) == brute(5, 3.0, 90.0, (0, 0, 0))
+    assert pick_centers(df, "v", 5, 3.0, 90.0, (1, 2, 2)) == brute(5, 3.0, 90.0, (1, 2, 2))
+    assert pick_centers(df, "v", 9, 9.0, 99.0) == brute(9, 9.0, 99.0, (0, 0, 0))
+    assert center_margins((6, 8, 10), (6, 4, 5)) == (0, 2, 2)
+    with pytest.raises(ValueError, match="eligible"):
+        pick_centers(df, "v", 1, 1.0, 50.0, (3, 0, 0))
+
+
+@pytest.mark.parametrize("slices", [16, 64])
+def test_a_plateau_settles_in_few_exchanges(spark, slices, monkeypatch):
+    from ridgeline.operators import seeds as S
+
+    calls = []
+    halo = S.with_halo
+    monkeypatch.setattr(S, "with_halo", lambda *a, **k: (calls.append(1), halo(*a, **k))[1])
+    score = np.ones((slices, 6, 5), np.float32)
+    rows = [(*map(int, i), int(np.ravel_multi_index(i, score.shape)), 1.0) for i in np.ndindex(score.shape)]
+    got = S.pick_seeds(spark.createDataFrame(rows, "i3 int, i2 int, i1 int, flat long, score double"), 2, True, Tiling(16, 16)).select(*XYZ).collect()
+    assert {tuple(r) for r in got} == greedy(score, score > 0, 2, True)
+    assert len(calls) <= 1 + slices // 16
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_distances_by_lines_and_by_spreading(spark, few, monkeypatch):
+    from ridgeline.operators import distance as D
+
+    monkeypatch.setattr(D, "_FEW", few)
+    rng = np.random.default_rng(few)
+    f = np.where(rng.random((30, 4)) < 0.2, rng.integers(0, 50, (30, 4)), D._FAR)
+    f[3] = 7
+    i = np.arange(30)
+    want = (f[None, :, :] + ((i[:, None] - i[None, :]) ** 2)[:, :, None]).min(1)
+    assert np.array_equal(D._spread(f), want)
+    i3, i1 = rng.integers(-5, 45, 200), rng.integers(0, 4, 200)
+    assert np.array_equal(D._reach(f, 0, i3, i1), (f[:, i1] + (i3[None, :] - i[:, None]) ** 2).min(0))
+    pts = {tuple(x) for x in rng.integers(0, 40, (60, 3)).tolist()}
+    tgt = {tuple(x) for x in rng.integers(0, 40, (25, 3)).tolist()}
+    mk = lambda s: spark.createDataFrame(sorted(s), "i3 int, i2 int, i1 int")
+    got = {(r["i3"], r["i2"], r["i1"]): r["d2"] for r in nearest_distance(mk(pts), mk(tgt), 40).collect()}
+    assert got == {p: min(sum((a - b) ** 2 for a, b in zip(p, t)) for t in tgt) for p in pts}

@@ -192,3 +192,33 @@ def test_path_votes_follow_a_line(spark):
 
 def test_voxel_helper(spark):
     assert voxels(spark, v=np.zeros((2, 2, 2), np.float32)).count() == 8
+
+
+def test_quality_profile_has_245_orientations():
+    strikes, dips = workflow.orientations(workflow.QUALITY)
+    assert (len(strikes), len(dips)) == (35, 7)
+    assert (workflow.QUALITY.sigma, workflow.QUALITY.thin, min(dips), max(dips)) == (8.0, "hybrid_v2", 65.0, 80.0)
+
+
+@pytest.mark.parametrize("normalize", [True, False])
+def test_constant_image_has_no_likelihood(spark, normalize):
+    img = traces(spark, g=np.full((1, 12, 10), 0.3, np.float32))
+    out = scan_sweep.scan_reference_2d(img, "g", 30.0, 80.0, 2.0, normalize=normalize, tiling=SMALL).collect()
+    assert len(out) == 12 and all(v == 0.0 for r in out for v in r["ft"])
+    assert {v for r in out for v in r["pt"]} == {150.0}
+
+
+def test_variants_share_votes_and_apply_their_policies(spark):
+    from ridgeline.plans import variants
+
+    assert len(variants.VARIANTS) == 18 and len(variants.preset("quality-matrix")) == 13
+    assert [v for v in variants.VARIANTS if not variants.offered(v)] == ["boundary_aware_voter_v1", "quality_skinner_v2", "quality_boundary_skinner_fallback_v5"]
+    grid = case_columns(range_grid(spark, (12, 12, 12)), "single_vertical_plane").select("i3", "i2", "i1", "ft", F.col("truth_strike").alias("pt"), F.col("truth_dip").alias("tt"))
+    profile = workflow.Profile(voter=voting.Voter(2, 3, 3), seed_distance=3, seed_threshold=0.5)
+    names = ["current_default", "boundary_edge_thin_v1", "quality_boundary_skinner_fallback_v4"]
+    out = variants.run_variants(grid, profile, names, SMALL, min_likelihood=0.3, min_size=5).toPandas()
+    assert set(out["variant"]) == set(names)
+    plane = out[out["variant"] == "current_default"]
+    assert len(plane) >= 60 and not plane["replaced"].any() and plane["i2"].between(5, 6).mean() > 0.9
+    with pytest.raises(ValueError, match="not offered"):
+        variants.run_variants(grid, profile, ["quality_skinner_v2"], SMALL)
