@@ -43,7 +43,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose source, language and topic shares are raked to the targets; no document twice."""
+    """A sample whose source, language and topic shares are raked to the targets as far as the documents reach; no document twice.
+
+    A value that holds less than its target of the budget gives all it has and stays below its target.
+    """
     ready(spark)
     return mixing.sampled(docs, lang_weights=LANG_WEIGHTS, budget=BUDGET, max_rate=1.0)
 

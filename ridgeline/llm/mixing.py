@@ -2,7 +2,8 @@
 
 Documents are counted into cells (source, language, topic).  Iterative proportional fitting rakes the
 cells' tokens until every marginal has its target share; the cell's factor, scaled to the token
-budget, is the rate at which its documents are taken.  Cells are few and bounded by the values of the
+budget, is the rate at which its documents are taken.  With a highest rate the cells are raked inside
+that bound, to the targets as far as their tokens reach.  Cells are few and bounded by the values of the
 three columns, not by the documents; sums over a value are pre-aggregated, so no value gathers in one task.
 """
 
@@ -131,6 +132,57 @@ def rates(raked: DataFrame, budget: float, max_rate: float | None) -> DataFrame:
     return raked.withColumn("rate", rate if max_rate is None else F.least(rate, F.lit(float(max_rate))))
 
 
+def within(cells: DataFrame, dim: str, target: DataFrame, budget: float, max_rate: float) -> DataFrame:
+    """(value, target) that the tokens can give when ``budget`` of them is taken and none more often than ``max_rate``.
+
+    A value that holds too little gives all it has; what it lacks is asked of the others in proportion to their targets.
+    """
+    sums = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").cast("double").alias("tokens"))
+    total = sums.agg(F.sum("tokens").alias("all")).first()["all"] or 0.0  # one number
+    spent = min(budget, max_rate) * total
+    if spent <= 0:
+        return target
+    free = F.when(F.col("tokens") > 0, F.col("target") * F.lit(float(total)) / F.col("tokens")).otherwise(0.0)
+    rated = rates(sums.join(target, "value").withColumn("factor", free), budget, max_rate)
+    return rated.select("value", (F.col("rate") * F.col("tokens") / F.lit(float(spent))).alias("target"))
+
+
+def rake_within(cells: DataFrame, targets: dict[str, DataFrame], budget: float, max_rate: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Like :func:`rake` for ``budget`` of the tokens, with no factor above ``max_rate`` taking part.
+
+    A step for a dim scales the factors of a value so that its capped cells, taken at ``max_rate``,
+    and its open ones reach the target together; what a capped cell cannot give comes from cells of
+    the same value as long as there are any.  Targets that the tokens cannot give are those of :func:`within`.
+    """
+    cells = stored(cells, "cells")
+    for dim in DIMS:
+        reached = within(cells, dim, targets[dim], budget, max_rate).select(F.col("value").alias(dim), F.col("target").alias(f"t_{dim}"))
+        cells = stored(cells.join(reached, dim, "left").fillna(0.0, [f"t_{dim}"]), "cells", replaces=cells.folder)
+    total = cells.agg(F.sum("tokens").alias("all")).first()["all"] or 0  # one number
+    spent, most = float(min(budget, max_rate) * total), F.lit(float(max_rate))
+    state = kept = stored(cells.withColumn("factor", F.lit(float(min(budget, max_rate)))), "cells", replaces=cells.folder)
+    if spent <= 0:
+        return state
+    capped, has = F.col("factor") >= most, F.col("tokens") > 0
+    for _ in range(rounds):
+        step = state.withColumn("gap", F.lit(0.0))
+        for dim in DIMS:
+            now = step.groupBy(dim).agg(
+                F.coalesce(F.sum(F.when(capped, F.col("tokens") * most)), F.lit(0.0)).alias("full"),
+                F.coalesce(F.sum(F.when(~capped & has, F.col("tokens") * F.col("factor"))), F.lit(0.0)).alias("open"),
+            )
+            need, full, open_ = F.col(f"t_{dim}") * F.lit(spent), F.col("full"), F.col("open")
+            by = F.when((open_ > 0) & (need > full), (need - full) / open_).when((full + open_ > 0) & (need < full + open_), need / (full + open_)).otherwise(1.0)
+            gap = F.greatest(F.col("gap"), F.abs(full + open_ - need) / F.lit(spent))
+            step = step.join(now, dim).withColumn("gap", gap).withColumn("factor", F.col("factor") * by).drop("full", "open")
+        state = kept = stored(step, "cells", replaces=kept.folder)
+        worst = state.agg(F.max("gap").alias("gap")).first()["gap"]
+        state = state.drop("gap")
+        if worst is None or worst <= tolerance:
+            break
+    return state
+
+
 def draw(doc_id: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the id and the seed alone, so a repeated task draws the same."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
@@ -143,7 +195,8 @@ def _rated(labelled: DataFrame, lang_weights, source_power, topic_power, budget,
         "source": tempered(cells, "source", source_power), "topic": tempered(cells, "topic", topic_power),
         "lang": tempered(cells, "lang", 0.7) if lang_weights is None else stated(cells, "lang", lang_weights),
     }
-    rated = stored(rates(rake(cells, targets, rounds), budget, max_rate).select(*DIMS, F.round("rate", 6).alias("rate")), "rates")
+    raked = rake(cells, targets, rounds) if max_rate is None else rake_within(cells, targets, budget, max_rate, rounds)
+    rated = stored(rates(raked, budget, max_rate).select(*DIMS, F.round("rate", 6).alias("rate")), "rates")
     return F.broadcast(rated) if rated.count() <= FEW_CELLS else rated  # counted; beyond that an ordinary join
 
 

@@ -60,6 +60,20 @@ def test_capped_rates_spend_the_budget(spark):
     assert {r.rate for r in mixing.rates(cells, 5.0, 1.0).collect()} == {1.0}
 
 
+def test_capped_cells_leave_reachable_targets_alone(spark):
+    # (s0, l0) is capped at once, but s0 and l0 both hold enough elsewhere; topic t1 can not reach its 0.3 of 60 %
+    t = {("s0", "l0", "t0"): 60, ("s0", "l1", "t0"): 260, ("s0", "l1", "t1"): 40, ("s1", "l0", "t0"): 280, ("s1", "l1", "t0"): 300, ("s1", "l1", "t1"): 60}
+    cells = spark.createDataFrame([(*k, v) for k, v in t.items()], "source string, lang string, topic string, tokens long")
+    aims = {"source": {"s0": 0.5, "s1": 0.5}, "lang": {"l0": 0.4, "l1": 0.6}, "topic": {"t0": 0.7, "t1": 0.3}}
+    targets = {d: spark.createDataFrame(list(a.items()), "value string, target double") for d, a in aims.items()}
+    rows = mixing.rates(mixing.rake_within(cells, targets, 0.6, 1.0), 0.6, 1.0).collect()
+    assert all(0 < r.rate <= 1 for r in rows)
+    assert sum(r.tokens * r.rate for r in rows) == pytest.approx(600, rel=1e-3)
+    aims["topic"] = {"t0": 500 / 600, "t1": 100 / 600}
+    for dim, aim in aims.items():
+        assert shares(rows, dim, lambda r: r.tokens * r.rate) == pytest.approx(aim, abs=2e-3)
+
+
 def test_sampled_rows_are_those_of_the_rates(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     options = {"lang_weights": LANG_WEIGHTS, "budget": 0.7, "max_rate": 1.0}
