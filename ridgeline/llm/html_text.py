@@ -32,8 +32,14 @@ IMPLIED = {
 }
 HEAD_ONLY = {"head", "meta", "title", "link", "script", "style", "base", "template", "noscript", "html"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+# Attributes as browsers read them: a quote opens a string only right after "=" and white space; elsewhere it is a character.
+# The quantifiers are possessive, so a tag is read in one pass.
+_NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[ \t\n\f\r/]++|" + _NAME
+    + r"(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)?+)?+)*+)(?:>|\Z)", re.S,
+)
+_ATTR = re.compile(rf"({_NAME})" + r"(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+))?+)?+")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _NO_SHOW = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -289,7 +295,10 @@ def _render(node: Node, out: _Lines, pre: bool) -> None:
 
 
 def render(page: str | None) -> str:
-    """All visible text of a page; null and empty pages give an empty text."""
+    """All visible text of a page; null and empty pages give an empty text.
+
+    What form fields hold for editing or choice (``textarea``, ``select``, ``datalist``) is left out.
+    """
     return "\n".join(_block(build(page or ""))).strip("\n")
 
 

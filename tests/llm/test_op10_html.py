@@ -34,6 +34,14 @@ def test_raw_text_and_broken_tags():
     assert render("&lt;b&gt; &nbsp;&eacute; &#x41;") == "<b>  é A"
 
 
+def test_stray_quotes_do_not_open_strings():
+    assert render("""<p class=foo">abc</p><p>more text</p>""") == "abc\n\nmore text"
+    assert render("<p title=it's>abc</p><p>more</p>") == "abc\n\nmore"
+    assert render("""<p " '>abc</p "><p class="a"b">c</p>d""") == "abc\n\nc\n\nd"
+    assert render("""<p "hidden">a</p><p title=it's hidden>b</p><p style = "display:none" >c</p><p title="x > y' hidden">d</p><p title=>e</p>""") == "a\n\nd\n\ne"
+    assert render("""<img alt = 'x > "y"'> <a href=/a/b/?q='>z</a>""") == 'x > "y" z'
+
+
 def test_odd_pages():
     assert render(None) == render("") == render(" \n ") == ""
     assert render("<div>" * 5000 + "x") == "x"
