@@ -6,7 +6,7 @@ A query walks the files of its own pivots, which adds up the footrule distance o
 orders, and the best of each block are reranked by their true inner product.
 
 Every block answers every query, so a query's candidates are a fixed share of all rows, whatever
-their number; blocks of rows and of queries have bounded size, however the vectors crowd.
+their number, and the rows that tie with the last of them; blocks of rows and of queries have bounded size, however the vectors crowd.
 """
 
 from __future__ import annotations
@@ -34,8 +34,14 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def choose_pivots(rows: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """The vectors of the ``n`` ids of lowest hash (a sample of fixed size), scaled to length one."""
-    got = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "v").limit(n).collect()
+    """The ``n`` directions of lowest hash among the different ones of the rows, scaled to length one.
+
+    Rows of one direction count once, however many there are: equal pivots would fill the orders of all that is near.
+    """
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    # adding zero turns -0.0 into 0.0; the hash tells them apart
+    ways = rows.select("v", largest.alias("m")).select(F.transform("v", lambda x: F.round(x / F.col("m"), 9) + F.lit(0.0)).alias("v")).distinct()
+    got = ways.orderBy(F.xxhash64("v", F.lit(5)), "v").limit(n).collect()
     p = np.array([r["v"] for r in got])
     return p / np.linalg.norm(p, axis=1, keepdims=True) if len(p) else p
 
@@ -104,8 +110,9 @@ def search(
             q = matrix(query.column("v"))
             for qid, vector, own in zip(query.column("vec_id").to_pylist(), q, prefixes(q, pivots, prefix), strict=True):
                 far = files.footrule(own)
-                near = np.argpartition(far, take - 1)[:take] if take < len(ids) else np.arange(len(ids))
-                near = np.sort(near[ids[near] != qid])
+                last = np.partition(far, take - 1)[take - 1]
+                near = np.flatnonzero(far <= last)  # rows as far as the last one come along: no tie is cut
+                near = near[ids[near] != qid]
                 scores = x[near] @ vector
                 best = np.lexsort((ids[near], -scores))[:k]
                 out.append((np.full(len(best), qid, np.int64), ids[near][best], scores[best]))

@@ -36,6 +36,23 @@ def test_recall_and_scores_on_given_vectors(spark):
     assert hits / (20 * len(want)) >= 0.95
 
 
+def test_recall_with_a_third_of_rows_equal(spark):
+    ids, x = table(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    hot = np.random.default_rng(1).random(len(ids)) < 1 / 3
+    x[hot] = x[hot][0]
+    x[hot & (ids % 3 == 0)] *= 0.5  # another length, the same direction
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(8)
+    pivots = permindex.choose_pivots(permindex.usable(vectors))
+    assert len(np.unique(pivots.round(6), axis=0)) == len(pivots) == permindex.PIVOTS
+    want, got = exact(ids, x), {}
+    for r in permindex.search(vectors, vectors.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score))
+    # equal vectors score alike up to rounding, so scores are compared, not ids
+    share = [np.mean([s >= want[q][-1][1] - 1e-9 for _, s in found]) for q, found in got.items()]
+    assert set(got) == set(want)
+    assert np.mean(share) >= 0.95, (np.mean(share), min(share))
+
+
 def test_footrule_is_that_of_truncated_orders():
     rng = np.random.default_rng(1)
     orders = np.array([rng.permutation(12)[:5] for _ in range(40)])
