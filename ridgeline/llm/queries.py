@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, dartmin, html_text, mixing, packing, permindex, rules, shards, toxicity, warc
+from ridgeline.llm import chat, dartmin, html_text, mixing, packing, permindex, rules, runs, shards, toxicity, warc
 from ridgeline.llm.common import ready
 
 LANG_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1, None: 0.05}
@@ -70,10 +70,16 @@ def html_texts(spark, sf_dir) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def periodic_runs(spark, sf_dir) -> DataFrame:
+    """Runs of every whole text, with the contract's planted tails, and digests of runs and collapsed texts."""
+    return runs.digest(runs.detect(runs.planted(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_mix_sources": mix_sources, "op2_toxic_passages": toxic_passages, "op3_token_shards": token_shards, "op4_near_duplicates": near_duplicates,
     "op5_chat_format": chat_format, "op6_warc_archive": warc_archive, "op7_quality_rules": quality_rules, "op8_nearest_vectors": nearest_vectors,
     "op9_pack_sequences": pack_sequences, "op10_html_texts": html_texts,
+    "op13_periodic_runs": periodic_runs,
 }
 
 
