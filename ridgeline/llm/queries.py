@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, dartmin, html_text, mixing, packing, permindex, rules, runs, shards, toxicity, warc
+from ridgeline.llm import blockindex, chat, dartmin, html_text, mixing, packing, permindex, rules, runs, shards, toxicity, warc
 from ridgeline.llm.common import ready
 
 LANG_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1, None: 0.05}
@@ -70,6 +70,11 @@ def html_texts(spark, sf_dir) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def lexical_search(spark, sf_dir) -> DataFrame:
+    """The 50 highest-scoring documents for every benchmark item."""
+    return blockindex.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def periodic_runs(spark, sf_dir) -> DataFrame:
     """Runs of every whole text, with the contract's planted tails, and digests of runs and collapsed texts."""
     return runs.digest(runs.detect(runs.planted(_table(spark, sf_dir, "documents"))))
@@ -79,7 +84,7 @@ QUERIES = {
     "op1_mix_sources": mix_sources, "op2_toxic_passages": toxic_passages, "op3_token_shards": token_shards, "op4_near_duplicates": near_duplicates,
     "op5_chat_format": chat_format, "op6_warc_archive": warc_archive, "op7_quality_rules": quality_rules, "op8_nearest_vectors": nearest_vectors,
     "op9_pack_sequences": pack_sequences, "op10_html_texts": html_texts,
-    "op13_periodic_runs": periodic_runs,
+    "op12_lexical_search": lexical_search, "op13_periodic_runs": periodic_runs,
 }
 
 
@@ -141,4 +146,18 @@ SELECT doc_id, d.source, d.lang, d.topic, n_tokens, rate,
 FROM d JOIN r USING (source, lang, topic)"""
 
 
-SQL = {"op1_mix_sources": _mix_sql(), "op5_chat_format": _chat_sql(), "op6_warc_archive": _WARC_SQL}
+_SEARCH_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+g AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS t FROM d),
+tf AS MATERIALIZED (SELECT r, doc_id, n, t, count(*) AS tf FROM g GROUP BY ALL),
+s AS (SELECT count(*) AS nd, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, nd),
+i AS (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t FROM benchmark),
+f AS (SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // l)))) AS BIGINT) AS score
+  FROM i JOIN tf USING (t) JOIN df USING (t), s GROUP BY q, item_id, r, doc_id HAVING score > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM f)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50"""
+
+
+SQL = {"op1_mix_sources": _mix_sql(), "op5_chat_format": _chat_sql(), "op6_warc_archive": _WARC_SQL, "op12_lexical_search": _SEARCH_SQL}
