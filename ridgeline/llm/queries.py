@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import blockindex, chat, dartmin, html_text, mixing, packing, permindex, rules, runs, shards, toxicity, warc
+from ridgeline.llm import blockindex, chat, dartmin, html_text, mixing, packing, permindex, rules, runs, shards, slots, toxicity, warc
 from ridgeline.llm.common import ready
 
 LANG_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1, None: 0.05}
@@ -70,6 +70,11 @@ def html_texts(spark, sf_dir) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def virtual_slots(spark, sf_dir) -> DataFrame:
+    """Place of every document in 24 shards of near equal bytes, read back from the shards."""
+    return slots.digest(_table(spark, sf_dir, "documents"), 24)
+
+
 def lexical_search(spark, sf_dir) -> DataFrame:
     """The 50 highest-scoring documents for every benchmark item."""
     return blockindex.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -84,7 +89,7 @@ QUERIES = {
     "op1_mix_sources": mix_sources, "op2_toxic_passages": toxic_passages, "op3_token_shards": token_shards, "op4_near_duplicates": near_duplicates,
     "op5_chat_format": chat_format, "op6_warc_archive": warc_archive, "op7_quality_rules": quality_rules, "op8_nearest_vectors": nearest_vectors,
     "op9_pack_sequences": pack_sequences, "op10_html_texts": html_texts,
-    "op12_lexical_search": lexical_search, "op13_periodic_runs": periodic_runs,
+    "op11_virtual_slots": virtual_slots, "op12_lexical_search": lexical_search, "op13_periodic_runs": periodic_runs,
 }
 
 
