@@ -2,8 +2,8 @@
 
 Documents are indexed in segments of bounded size, each with a posting list per term.  A list is cut into
 blocks of similar documents: representatives are spread over the list and every document joins the
-one it is nearest to.  A block's summary holds, for every term, the largest impact any of its
-documents has there, so the summary's score bounds the score of each of them from above.  A query walks
+one it is nearest to.  A block's summary holds, for every term that a query asks together with the list's,
+the largest impact any of its documents has there, so the summary's score bounds the score of each of them from above.  A query walks
 the blocks of its terms from the largest bound down and scores a block's documents exactly from the
 forward rows; a block is skipped only if its bound is below the score of the k-th document found so far.
 No document of the answer can be lost, ties included.
@@ -31,7 +31,7 @@ K = 50
 #: Terms and queries of a group (a query of more terms is a group of its own), and coordinates of a summary.
 MAX_TERMS, MAX_QUERIES = 4096, 1024
 #: Documents of a block about, and cells of a segment's table of documents by terms at most.
-BLOCK, CELLS, SEGMENT = 128, 1 << 24, 4096
+BLOCK, CELLS, SEGMENT = 64, 1 << 23, 2048
 _SKETCH = 32
 _SPREAD = 64
 #: Bytes of a term stay, capital letters are lowered, all others separate.
@@ -117,16 +117,27 @@ def _blocks(docs: np.ndarray, place: np.ndarray, block: int) -> tuple[np.ndarray
     return docs[order], np.flatnonzero(since % (2 * block) == 0)
 
 
-def build(starts: np.ndarray, cols: np.ndarray, impacts: np.ndarray, weights: np.ndarray, block: int = BLOCK) -> dict[str, np.ndarray]:
-    """Blocks of every list of a segment and their summaries (of at most MAX_TERMS coordinates, columns folded onto them)."""
+def partners(group: Group) -> np.ndarray:
+    """For every column the coordinates that a query of the group has along with it, as rows of bits."""
+    fold = min(len(group.columns), MAX_TERMS)
+    out = np.zeros((len(group.columns), fold), bool)
+    for _, _, columns in group.queries:
+        out[np.ix_(columns, np.unique(columns % fold))] = True
+    return np.packbits(out, axis=1)
+
+
+def build(starts: np.ndarray, cols: np.ndarray, impacts: np.ndarray, weights: np.ndarray, together: np.ndarray, block: int = BLOCK) -> dict[str, np.ndarray]:
+    """Blocks of every list of a segment and their summaries (of at most MAX_TERMS coordinates, columns folded onto them).
+
+    Every document has a column at least; ``together`` are the :func:`partners`.
+    """
     n, size = len(starts) - 1, len(weights)
     row = np.repeat(np.arange(n), np.diff(starts))
     fold = min(size, MAX_TERMS)
     table = np.zeros((n, fold), np.int32)
     np.maximum.at(table, (row, cols % fold), impacts)
     axes = np.random.default_rng(12).standard_normal((size, _SKETCH)).astype(np.float32)
-    place = np.zeros((n, _SKETCH), np.float32)
-    np.add.at(place, row, (weights[cols] * impacts / 1e6)[:, None].astype(np.float32) * axes[cols])
+    place = np.add.reduceat((weights[cols] * impacts / 1e6)[:, None].astype(np.float32) * axes[cols], starts[:-1], axis=0)
     place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
     by_term = np.argsort(cols, kind="stable")
     ends = np.searchsorted(cols[by_term], np.arange(size + 1))
@@ -135,10 +146,11 @@ def build(starts: np.ndarray, cols: np.ndarray, impacts: np.ndarray, weights: np
         docs, begin = row[by_term[ends[t] : ends[t + 1]]], np.zeros(0, np.int64)
         if len(docs):
             docs, begin = _blocks(docs, place, block)
-            top = np.maximum.reduceat(table[docs], begin, axis=0)
+            asked = np.flatnonzero(np.unpackbits(together[t], count=fold))
+            top = np.maximum.reduceat(table[np.ix_(docs, asked)], begin, axis=0)
             at, where = np.nonzero(top)
             width.append(np.bincount(at, minlength=len(begin)))
-            coords.append(where)
+            coords.append(asked[where].astype(np.uint16))
             values.append(top[at, where])
             cuts.append(ends[t] + begin)
             members.append(docs)
@@ -190,7 +202,7 @@ class Segment:
             docs = np.concatenate([self.members[self.cuts[b] : self.cuts[b + 1]] for b in near.tolist()])
             docs = np.unique(docs[~seen[docs]])
             seen[docs] = True
-            scores = self.table[docs][:, columns].astype(np.int64) @ weights
+            scores = self.table[np.ix_(docs, columns)].astype(np.int64) @ weights
             best.add(scores, self.ids[docs], self.known[docs])
             scored += len(docs)
             at, step = at + step, 2 * step
@@ -213,9 +225,10 @@ class Best:
             self.least = int(self.scores[-1])
 
 
-def index(rows: DataFrame, weights: np.ndarray, n_docs: int, length: int) -> DataFrame:
+def index(rows: DataFrame, group: Group, weights: np.ndarray, n_docs: int, length: int) -> DataFrame:
     """One row for each segment of the rows of :func:`forward`: forward rows, blocks and summaries, compressed."""
     size = len(weights)
+    asked = rows.sparkSession.sparkContext.broadcast(partners(group))  # a bit for two of the group's terms
     most = max(1, min(SEGMENT, CELLS // max(1, size)))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -225,7 +238,7 @@ def index(rows: DataFrame, weights: np.ndarray, n_docs: int, length: int) -> Dat
         def made() -> pa.RecordBatch:
             ids, known, sizes, cols, impacts = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            parts = {"ids": ids, "known": known, **build(np.concatenate([[0], np.cumsum(sizes)]), cols, impacts, weights)}
+            parts = {"ids": ids, "known": known, **build(np.concatenate([[0], np.cumsum(sizes)]), cols, impacts, weights, asked.value)}
             return pa.RecordBatch.from_arrays([pa.array([z.compress(parts[p].tobytes())], pa.binary()) for p in _PARTS], _PARTS)
 
         for batch in batches:
@@ -285,7 +298,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
             break
         counts = dict(rows.select(F.explode("cols").alias("c")).groupBy("c").count().collect())  # one row for each of the group's terms
         weights = weights_of(total["docs"], counts, len(group.columns))
-        segments = stored(index(rows, weights, total["docs"], total["length"]), "segments")
+        segments = stored(index(rows, group, weights, total["docs"], total["length"]), "segments")
         found = ask(segments, group, weights, k)
         out = found if out is None else out.union(found)
     if out is None:

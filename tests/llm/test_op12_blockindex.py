@@ -41,12 +41,13 @@ def test_terms(text):
 
 
 def _segment(rng, n=900, size=60, block=16):
-    sizes = rng.integers(0, 20, n)
+    sizes = rng.integers(1, 20, n)
     cols = np.concatenate([rng.choice(size, s, replace=False, p=np.arange(1, size + 1) / (size * (size + 1) / 2)) for s in sizes]).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     impacts = rng.integers(1, 10**6, len(cols))
     weights = rng.integers(1, 9000, size)
-    parts = B.build(starts, cols, impacts, weights, block)
+    queries = [(0, 0, np.array([3, 40, 59])), (1, 1, np.arange(60)[::2]), (2, 2, np.array([50]))]
+    parts = B.build(starts, cols, impacts, weights, B.partners(B.Group({bytes([c]): c for c in range(size)}, queries)), block)
     return parts, B.Segment({"ids": np.arange(n), "known": np.ones(n, bool), **parts}, size), weights
 
 
@@ -57,7 +58,7 @@ def test_summaries_bound_every_member_and_lists_are_whole(coordinates, monkeypat
     for t in range(len(weights)):
         own = [seg.members[seg.cuts[b] : seg.cuts[b + 1]] for b in range(seg.first[t], seg.first[t + 1])]
         assert sorted(np.concatenate(own).tolist()) == np.flatnonzero(seg.table[:, t]).tolist() and max(map(len, own)) <= 32
-    for columns in (np.array([3, 40, 59]), np.arange(60), np.array([50])):
+    for columns in (np.array([3, 40, 59]), np.arange(60)[::2], np.array([50])):
         blocks, bound = seg.bounds(columns, weights[columns])
         for b, most in zip(blocks, bound, strict=True):
             scores = seg.table[seg.members[seg.cuts[b] : seg.cuts[b + 1]]][:, columns].astype(np.int64) @ weights[columns]
@@ -69,8 +70,10 @@ def test_blocks_are_skipped_and_nothing_is_lost():
     kinds = rng.integers(0, 30, 4000)
     cols = np.stack([kinds * 3, kinds * 3 + 1, kinds * 3 + 2, np.full(4000, 90)], 1).ravel()
     impacts, weights = rng.integers(1, 10**6, len(cols)), np.full(91, 100)
-    seg = B.Segment({"ids": np.arange(4000), "known": np.ones(4000, bool), **B.build(np.arange(0, 16001, 4), cols, impacts, weights)}, 91)
-    best, columns = B.Best(10), np.array([0, 1, 2, 90])
+    columns = np.array([0, 1, 2, 90])
+    asked = B.partners(B.Group({bytes([c]): c for c in range(91)}, [(0, 0, columns)]))
+    seg = B.Segment({"ids": np.arange(4000), "known": np.ones(4000, bool), **B.build(np.arange(0, 16001, 4), cols, impacts, weights, asked)}, 91)
+    best = B.Best(10)
     scored = seg.answer(columns, weights[columns], best)
     scores = seg.table[:, columns].astype(np.int64) @ weights[columns]
     order = np.lexsort((np.arange(4000), -scores))[:10]
