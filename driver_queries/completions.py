@@ -92,15 +92,15 @@ def q_stage_transition(spark, sf):
 
 
 @query("outlier_persistence", f"""WITH {A}, b AS (SELECT i3, i2, i1, CAST(fv AS DOUBLE) AS d FROM att WHERE fv > CAST(0.7 AS FLOAT) AND i3 >= 2 AND i2 >= 5 AND i1 >= 8),
-c AS (SELECT i3, i2, i1, CAST(fv AS DOUBLE)*2 AS d FROM att WHERE fv > CAST(0.75 AS FLOAT) AND i1 % 3 <> 0)
+c AS (SELECT i3, i2, i1, CAST(fv AS DOUBLE)*2 AS d FROM att WHERE fv > CAST(0.75 AS FLOAT) AND vt > CAST(60 AS FLOAT))
 SELECT i3, i2, i1, round(b.d, 6) AS base_distance, round(c.d, 6) AS context_distance, c.d IS NOT NULL AS persists FROM b LEFT JOIN c USING (i3, i2, i1)""")
 def q_outlier_persistence(spark, sf):
-    """Outliers of a crop looked up among those of the whole volume."""
+    """Outliers of a crop looked up among the stronger and steeper ones of the whole volume."""
     a = attributes(spark, sf)
     v = F.col("fv").cast("double")
     crop = a.where((F.col("fv") > F.lit(0.7).cast("float")) & (F.col("i3") >= 2) & (F.col("i2") >= 5) & (F.col("i1") >= 8))
     base = crop.select((F.col("i3") - 2).alias("i3"), (F.col("i2") - 5).alias("i2"), (F.col("i1") - 8).alias("i1"), v.alias("distance"))
-    context = a.where((F.col("fv") > F.lit(0.75).cast("float")) & (F.col("i1") % 3 != 0)).select(*ID3, (v * 2).alias("distance"))
+    context = a.where((F.col("fv") > F.lit(0.75).cast("float")) & (F.col("vt") > 60)).select(*ID3, (v * 2).alias("distance"))
     return rnd(comparisons.outlier_persistence(base, context, (2, 5, 8)))
 
 

@@ -152,9 +152,13 @@ def q_graph_nodes(spark, sf):
     return surface_graph.node_violations(graph_nodes(spark, sf))
 
 
-@query("graph_link_checks", f"""WITH {_NODES}, e AS (SELECT node_id, 'ca_index' AS link, 'cb_index' AS back, ca_index AS other FROM nodes UNION ALL SELECT node_id, 'cb_index', 'ca_index', cb_index FROM nodes UNION ALL SELECT node_id, 'cl_index', 'cr_index', cl_index FROM nodes UNION ALL SELECT node_id, 'cr_index', 'cl_index', cr_index FROM nodes),
-f AS (SELECT * FROM e WHERE other <> -1)
-SELECT f.node_id, f.link, CASE WHEN n.node_id IS NULL THEN 'dangling_link' ELSE 'one_way_link' END AS rule FROM f LEFT JOIN nodes n ON n.node_id = f.other LEFT JOIN f g ON g.node_id = f.other AND g.link = f.back AND g.other = f.node_id WHERE n.node_id IS NULL OR g.node_id IS NULL""")
+_LINK_ROWS = " UNION ALL ".join(f"SELECT node_id, '{a}_index' AS link, '{b}_index' AS back, {a}_index AS other FROM nodes WHERE {a}_index <> -1" for a, b in (("ca", "cb"), ("cb", "ca"), ("cl", "cr"), ("cr", "cl")))
+
+
+@query("graph_link_checks", f"""WITH {_NODES.replace('nodes AS', 'nodes AS MATERIALIZED')}, e AS MATERIALIZED ({_LINK_ROWS}),
+a AS (SELECT other AS node_id, back AS link, node_id AS other, true AS answered FROM e),
+k AS (SELECT node_id AS other, true AS known FROM nodes)
+SELECT node_id, link, CASE WHEN known IS NULL THEN 'dangling_link' ELSE 'one_way_link' END AS rule FROM e LEFT JOIN k USING (other) LEFT JOIN a USING (node_id, link, other) WHERE known IS NULL OR answered IS NULL""")
 def q_graph_links(spark, sf):
     return surface_graph.link_violations(graph_nodes(spark, sf))
 

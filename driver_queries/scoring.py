@@ -243,8 +243,8 @@ def q_rasterize(spark, sf):
     return topology.rasterize(_cells(spark, sf)[0])
 
 
-_LINKS = """g AS (SELECT l_orderkey*10 + l_linenumber AS cell_id, l_suppkey AS skin_id, l_orderkey AS w, l_linenumber AS v FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_suppkey ORDER BY l_extendedprice, l_partkey) = 1),
-lk AS (SELECT a.cell_id, a.skin_id, u.cell_id AS ca_id, d.cell_id AS cb_id, l.cell_id AS cl_id, r.cell_id AS cr_id FROM g a
+_LINKS = """g AS (SELECT l_orderkey*10 + l_linenumber AS cell_id, l_suppkey AS skin_id, l_orderkey AS w, l_linenumber AS v, count(*) AS lines FROM lineitem GROUP BY l_orderkey, l_linenumber, l_suppkey),
+lk AS (SELECT a.cell_id, a.skin_id, a.lines, u.cell_id AS ca_id, d.cell_id AS cb_id, l.cell_id AS cl_id, r.cell_id AS cr_id FROM g a
  LEFT JOIN g u ON u.skin_id = a.skin_id AND u.w = a.w AND u.v = a.v - 1 LEFT JOIN g d ON d.skin_id = a.skin_id AND d.w = a.w AND d.v = a.v + 1
  LEFT JOIN g l ON l.skin_id = a.skin_id AND l.v = a.v AND l.w = a.w - 1 LEFT JOIN g r ON r.skin_id = a.skin_id AND r.v = a.v AND r.w = a.w + 1)"""
 

@@ -121,20 +121,16 @@ def q_recenter(spark, sf):
 
 def linked_lines(spark, sf):
     """Order lines of one supplier as a surface: v = line number, w = order key."""
-    from pyspark.sql import Window
-
-    li = table(spark, sf, "lineitem")
-    w = Window.partitionBy("l_orderkey", "l_linenumber", "l_suppkey").orderBy("l_extendedprice", "l_partkey")
-    g = li.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.count(F.lit(1)).alias("lines"))
+    return topology.link_by_position(g.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cell_id"), F.col("l_suppkey").alias("skin_id"),
-        F.col("l_orderkey").alias("w"), F.col("l_linenumber").alias("v"),
-    )
-    return topology.link_by_position(g)
+        F.col("l_orderkey").alias("w"), F.col("l_linenumber").alias("v"), "lines",
+    ))
 
 
-@query("link_neighbours", f"WITH {_LINKS} SELECT cell_id, skin_id, ca_id, cb_id, cl_id, cr_id FROM lk")
+@query("link_neighbours", f"WITH {_LINKS} SELECT cell_id, skin_id, lines, ca_id, cb_id, cl_id, cr_id FROM lk")
 def q_links(spark, sf):
-    return linked_lines(spark, sf).select("cell_id", "skin_id", "ca_id", "cb_id", "cl_id", "cr_id")
+    return linked_lines(spark, sf).select("cell_id", "skin_id", "lines", "ca_id", "cb_id", "cl_id", "cr_id")
 
 
 _LT = """lk AS (SELECT l_orderkey*10 + l_linenumber AS cell_id, min(l_suppkey) % 20 AS skin_id, nullif(min(l_partkey) % 5, 0) * 10 + l_orderkey * 10 - 20 AS ca_id,
