@@ -159,7 +159,7 @@ def pick_centers(
 def retain_boundary_seeds(
     volume: DataFrame, distance: int, threshold: float, margin: int, tiling: Tiling = DEFAULT_TILING
 ) -> DataFrame:
-    """Default seeds plus edge-shell seeds on a positive target (column ``added``).
+    """Default seeds plus edge-shell seeds on a positive target (column ``added``); ``score`` is ft for both, as voters need it.
 
     ``volume``: i3, i2, i1, n3, n2, n1, flat, ft, pt, tt, target.  Edge candidates need
     ft above min(threshold, half the largest ft of the shell); they are spaced among
@@ -170,11 +170,11 @@ def retain_boundary_seeds(
     base = pick_seeds(
         volume.where(F.col("ft") > F.lit(threshold).cast("float")).withColumn("score", F.col("ft")), distance, True, tiling
     )
-    base = base.drop("score").withColumn("added", F.lit(False))
+    base = base.withColumn("added", F.lit(False))
     shell = volume.where(near_edge(margin))
     limit = F.least(F.lit(float(threshold)), 0.5 * shell.agg(F.max("ft").alias("m")).select("m").scalar().cast("double"))
     pool = shell.where(positive("target") & (F.col("ft") > F.coalesce(limit, F.lit(0.0)).cast("float")))
     pool = pool.join(base.select("flat"), "flat", "left_anti")
     if distance > 0:
         pool = pick_seeds(pool.withColumn("score", F.col("target")), distance, False, tiling, "ft").drop("score")
-    return base.unionByName(pool.withColumn("added", F.lit(True)))
+    return base.unionByName(pool.withColumn("score", F.col("ft")).withColumn("added", F.lit(True)))

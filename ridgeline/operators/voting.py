@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.scores import sharpen, unit_range
 from ridgeline.grid import DEFAULT_TILING, Tiling, shape_of, with_halo
-from ridgeline.operators import paths
+from ridgeline.operators import masked, paths
 from ridgeline.operators.scan_sweep import block_of
 from ridgeline.operators.stencil import smooth
 from ridgeline.session import cut_lineage
 
 _F = np.float32
 _BATCH_VALUES = 4_000_000  # cost samples solved together in a task
+BOUNDARY_POLICIES = ("reference", "masked_in_bounds")
+_SEED_COLUMNS = ("i3", "i2", "i1", "flat", "score")
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,11 @@ class Voter:
     min_support: float = 0.0
     support_exponent: float = 0.0
     final_sigma: float = 0.0
+    boundary: str = "reference"  # or "masked_in_bounds": seed boxes are cropped to what lies in the volume
+
+    def __post_init__(self) -> None:
+        if self.boundary not in BOUNDARY_POLICIES:
+            raise ValueError(f"unknown boundary policy: {self.boundary}")
 
     def with_strain(self, strain1: float, strain2: float | None = None) -> "Voter":
         """Strides from maximum strains: the smallest step count that allows one lag."""
@@ -78,62 +85,171 @@ def _surface_angles(n, d, s, du_dv, du_dw):
     return np.mod(np.rad2deg(np.arctan2(-g[:, 2], g[:, 1])).astype(np.float64), 360.0), dip
 
 
-def _vote_batch_3d(seeds, block, a3, a2, shape, v: Voter):
-    """Votes of some seeds: per-seed diagnostics and the emitted (i3, i2, i1, seed) samples."""
-    n3, n2, n1 = shape
-    pos = seeds[["i1", "i2", "i3"]].to_numpy(np.float64)
-    n, d, s = _frame(seeds["pt"].to_numpy(), seeds["tt"].to_numpy())
-    bound = paths.lag_bounds_3d(v.ru, v.rv, v.rw)
-    lag = np.arange(-v.ru, v.ru + 1)
-    allowed = np.abs(lag)[None, None, :] <= bound[:, :, None]
-    w, vv = np.arange(-v.rw, v.rw + 1), np.arange(-v.rv, v.rv + 1)
+@dataclass
+class _Boxes:
+    """Search boxes of some seeds: frames, and costs over (seed, w, v, lag) with what may be chosen there."""
 
-    def world(u):
-        """Coordinates (seed, w, v, lag, axis) -> three arrays, for lags u of any shape."""
+    pos: np.ndarray
+    n: np.ndarray
+    d: np.ndarray
+    s: np.ndarray
+    w: np.ndarray
+    v: np.ndarray
+    cost: np.ndarray
+    allowed: np.ndarray
+    inside: np.ndarray
+
+    def world(self, u: np.ndarray, seeds=slice(None), w: np.ndarray | None = None, v: np.ndarray | None = None) -> list[np.ndarray]:
+        """Coordinates x1, x2, x3 of lags u (seed, w, v) or (seed, w, v, lag) of some seeds and columns."""
+        w, v = self.w if w is None else w, self.v if v is None else v
         out = []
         for k in range(3):
-            base = pos[:, k][:, None, None] + w[None, :, None] * s[:, k].astype(np.float64)[:, None, None]
-            base = base + vv[None, None, :] * d[:, k].astype(np.float64)[:, None, None]
-            shape_ = base[..., None] if u.ndim == 4 else base
-            nk = n[:, k].astype(np.float64).reshape((-1,) + (1,) * (u.ndim - 1))
-            out.append((shape_ + u * nk).astype(_F))
+            n, d, s = (a[seeds, k].astype(np.float64) for a in (self.n, self.d, self.s))
+            base = self.pos[seeds, k][:, None, None] + w[None, :, None] * s[:, None, None]
+            base = base + v[None, None, :] * d[:, None, None]
+            base = base[..., None] if u.ndim == 4 else base
+            out.append((base + u * n.reshape((-1,) + (1,) * (u.ndim - 1))).astype(_F))
         return out
 
-    x = world(lag.reshape(1, 1, 1, -1).astype(np.float64))
-    j1, j2, j3 = (_nearest(c) for c in x)
-    inside = (j1 >= 0) & (j1 < n1) & (j2 >= 0) & (j2 < n2) & (j3 >= 0) & (j3 < n3)
+
+def _boxes(seeds: pd.DataFrame, block, a3, a2, shape, v: Voter) -> _Boxes:
+    n3, n2, n1 = shape
+    pos = seeds[["i1", "i2", "i3"]].to_numpy(np.float64)
+    n, d, s = _frame(seeds["pt"].to_numpy(), seeds["tt"].to_numpy())
+    lag = np.arange(-v.ru, v.ru + 1)
+    allowed = np.abs(lag)[None, None, :] <= paths.lag_bounds_3d(v.ru, v.rv, v.rw)[:, :, None]
+    box = _Boxes(pos, n, d, s, np.arange(-v.rw, v.rw + 1), np.arange(-v.rv, v.rv + 1), None, allowed, None)
+    j1, j2, j3 = (_nearest(c) for c in box.world(lag.reshape(1, 1, 1, -1).astype(np.float64)))
+    box.inside = (j1 >= 0) & (j1 < n1) & (j2 >= 0) & (j2 < n2) & (j3 >= 0) & (j3 < n3)
     c1, c2, c3 = np.clip(j1, 0, n1 - 1), np.clip(j2, 0, n2 - 1), np.clip(j3, 0, n3 - 1)
-    cost = np.where(allowed[None], _F(1) - block[c3 - a3, c2 - a2, c1], _F(1)).astype(_F)
-    surface = paths.find_surfaces(cost, v.stride1, v.stride2, -v.ru, v.attribute_passes, v.smoothing1, v.smoothing2)
-    y1, y2, y3 = (_nearest(c) for c in world(surface.astype(np.float64)))
+    box.cost = np.where(allowed[None], _F(1) - block[c3 - a3, c2 - a2, c1], _F(1)).astype(_F)
+    return box
+
+
+def _values(block, a3, a2, y3, y2, y1, ok) -> np.ndarray:
+    at = np.clip(y3 - a3, 0, block.shape[0] - 1), np.clip(y2 - a2, 0, block.shape[1] - 1), np.clip(y1, 0, block.shape[2] - 1)
+    return np.where(ok, block[at], 0)
+
+
+def _orientation_sigma(v: Voter) -> float:
+    return float(max(v.rv, v.rw)) if v.orientation_sigma is None else v.orientation_sigma
+
+
+def _thick(b3, b2, b1, seed, n, shape) -> np.ndarray:
+    """Votes (i3, i2, i1, seed) at samples and at their two neighbours along i3 or i2, where those exist."""
+    n3, n2, _ = shape
+    along3 = np.abs(n[:, 2]) > np.abs(n[:, 1])
+    parts = []
+    for k in (0, -1, 1):
+        m3 = b3 + np.where(along3[seed], k, 0)
+        m2 = b2 + np.where(along3[seed], 0, k)
+        good = (m3 >= 0) & (m3 < n3) & (m2 >= 0) & (m2 < n2)
+        parts.append(np.stack([m3[good], m2[good], b1[good], seed[good]], 1))
+    return np.concatenate(parts)
+
+
+def _on_face(y3, y2, y1, shape) -> np.ndarray:
+    n3, n2, n1 = shape
+    return (y1 == 0) | (y1 == n1 - 1) | (y2 == 0) | (y2 == n2 - 1) | (y3 == 0) | (y3 == n3 - 1)
+
+
+def _vote_batch_3d(seeds, block, a3, a2, shape, v: Voter):
+    """Votes of some seeds: per-seed diagnostics and the emitted (i3, i2, i1, seed) samples."""
+    n3, n2, n1 = shape
+    box = _boxes(seeds, block, a3, a2, shape, v)
+    columns = len(box.w) * len(box.v)
+    surface = paths.find_surfaces(box.cost, v.stride1, v.stride2, -v.ru, v.attribute_passes, v.smoothing1, v.smoothing2)
+    y1, y2, y3 = (_nearest(c) for c in box.world(surface.astype(np.float64)))
     ok = (y1 >= 0) & (y1 < n1) & (y2 > 0) & (y2 < n2 - 1) & (y3 > 0) & (y3 < n3 - 1)
-    value = np.where(ok, block[np.clip(y3 - a3, 0, block.shape[0] - 1), np.clip(y2 - a2, 0, block.shape[1] - 1), np.clip(y1, 0, n1 - 1)], 0)
+    value = _values(block, a3, a2, y3, y2, y1, ok)
     count = ok.sum((1, 2))
     fa = np.where(count > 0, value.sum((1, 2), dtype=np.float64) / np.maximum(count, 1), 0).astype(_F)
-    support = count / float(bound.size)
+    support = count / float(columns)
     skip = np.where(count == 0, "no_valid_surface_samples", np.where(support < v.min_support, "support_below_min_fraction", ""))
     if v.support_exponent > 0:
         fa = (fa * (support**v.support_exponent).astype(_F)).astype(_F)
-    sigma = float(max(v.rv, v.rw)) if v.orientation_sigma is None else v.orientation_sigma
-    strike, dip = _surface_angles(n, d, s, *paths.center_slopes(surface, sigma))
+    strike, dip = _surface_angles(box.n, box.d, box.s, *paths.center_slopes(surface, _orientation_sigma(v)))
+    vote = ok & (skip == "")[:, None, None]
     report = pd.DataFrame(
         {
-            "flat": seeds["flat"].to_numpy(), "admissible": int(allowed.sum()),
-            "in_bounds": (inside & allowed[None]).sum((1, 2, 3)), "support": support, "skip_reason": skip,
-            "invalid_samples": bound.size - count, "fa": fa, "vp": strike.astype(_F), "vt": dip.astype(_F),
+            "flat": seeds["flat"].to_numpy(), "admissible": int(box.allowed.sum()),
+            "in_bounds": (box.inside & box.allowed[None]).sum((1, 2, 3)), "support": support, "skip_reason": skip,
+            "invalid_samples": columns - count, "fa": fa, "vp": strike.astype(_F), "vt": dip.astype(_F),
+            "columns": columns, "projected": 0, "center_votes": vote.sum((1, 2)),
+            "face_votes": (vote & _on_face(y3, y2, y1, shape)).sum((1, 2)), "orientation": np.where(skip == "", "surface", ""),
         }
     )
-    vote = ok & (skip == "")[:, None, None]
     seed, iw, iv = np.nonzero(vote)
-    b3, b2, b1 = y3[seed, iw, iv], y2[seed, iw, iv], y1[seed, iw, iv]
-    along3 = np.abs(n[:, 2]) > np.abs(n[:, 1])
-    parts = []
-    for k in (0, -1, 1):
-        m3 = b3 + np.where(along3[seed], k, 0)
-        m2 = b2 + np.where(along3[seed], 0, k)
-        good = (m3 >= 0) & (m3 < n3) & (m2 >= 0) & (m2 < n2)
-        parts.append(np.stack([m3[good], m2[good], b1[good], seed[good]], 1))
-    return report, np.concatenate(parts)
+    return report, _thick(y3[seed, iw, iv], y2[seed, iw, iv], y1[seed, iw, iv], seed, box.n, shape)
+
+
+def _vote_batch_masked(seeds, block, a3, a2, shape, v: Voter):
+    """As :func:`_vote_batch_3d`, but only lags inside the volume may be chosen.
+
+    A seed's box is cropped to the largest rectangle of columns around the seed that hold such lags;
+    votes reach the faces of the volume.  A cropped box says too little about slopes, so its votes keep
+    the seed's angles.  Seeds of equal crops are solved together.
+    """
+    n3, n2, n1 = shape
+    box = _boxes(seeds, block, a3, a2, shape, v)
+    valid = box.inside & box.allowed[None]
+    nw, nv = len(box.w), len(box.v)
+    b, columns = len(seeds), nw * nv
+    report = pd.DataFrame(
+        {
+            "flat": seeds["flat"].to_numpy(), "admissible": int(box.allowed.sum()), "in_bounds": valid.sum((1, 2, 3)),
+            "support": 0.0, "skip_reason": "no_supported_origin", "invalid_samples": 0, "fa": np.zeros(b, _F),
+            "vp": seeds["pt"].to_numpy(_F), "vt": seeds["tt"].to_numpy(_F), "columns": 0, "projected": 0, "center_votes": 0,
+            "face_votes": 0, "orientation": "",
+        }
+    )
+    groups: dict[tuple[int, int, int, int], list[int]] = {}
+    supported = valid.any(3)
+    for k in range(b):
+        cut = masked.origin_rectangle(supported[k], v.rw, v.rv)
+        if cut is not None:
+            groups.setdefault(cut, []).append(k)
+    samples = []
+    for (w0, v0, w1, v1), members in groups.items():
+        at = np.asarray(members)
+        cost, mask = box.cost[at, w0:w1, v0:v1], valid[at, w0:w1, v0:v1]
+        surface, feasible, moved = masked.find_surfaces(
+            cost, mask, v.stride1, v.stride2, -v.ru, v.attribute_passes, v.smoothing1, v.smoothing2
+        )
+        y1, y2, y3 = (_nearest(c) for c in box.world(surface.astype(np.float64), at, box.w[w0:w1], box.v[v0:v1]))
+        cell = masked.cells_of(surface, -v.ru)
+        ok = (y1 >= 0) & (y1 < n1) & (y2 >= 0) & (y2 < n2) & (y3 >= 0) & (y3 < n3) & (cell >= 0) & (cell < mask.shape[3])
+        ok &= np.take_along_axis(mask, np.clip(cell, 0, mask.shape[3] - 1)[..., None], 3)[..., 0]
+        ok &= feasible[:, None, None]
+        count, size = ok.sum((1, 2)), (w1 - w0) * (v1 - v0)
+        fa = (_values(block, a3, a2, y3, y2, y1, ok).sum((1, 2), dtype=np.float64) / np.maximum(count, 1)).astype(_F)
+        support = count / float(columns)
+        skip = np.select(
+            [~feasible, count < size, support < v.min_support],
+            ["no_feasible_surface", "invalid_selected_sample", "support_below_min_fraction"], "",
+        )
+        if v.support_exponent > 0:
+            fa = (fa * (support**v.support_exponent).astype(_F)).astype(_F)
+        whole, voted = size == columns, skip == ""
+        report.loc[at, "columns"], report.loc[at, "projected"] = size, moved
+        report.loc[at, "support"], report.loc[at, "skip_reason"], report.loc[at, "fa"] = support, skip, fa
+        report.loc[at, "invalid_samples"] = np.where(feasible, size - count, 0)
+        if whole and nw >= 3 and nv >= 3:
+            strike, dip = _surface_angles(box.n[at], box.d[at], box.s[at], *paths.center_slopes(surface, _orientation_sigma(v)))
+            report.loc[at, "vp"], report.loc[at, "vt"] = strike.astype(_F), dip.astype(_F)
+            source = "surface"
+        else:
+            source = "seed_small_surface_fallback" if whole else "seed_boundary_fallback"
+        vote = ok & voted[:, None, None]
+        report.loc[at, "orientation"] = np.where(voted, source, "")
+        report.loc[at, "center_votes"] = vote.sum((1, 2))
+        report.loc[at, "face_votes"] = (vote & _on_face(y3, y2, y1, shape)).sum((1, 2))
+        seed, iw, iv = np.nonzero(vote)
+        samples.append(_thick(y3[seed, iw, iv], y2[seed, iw, iv], y1[seed, iw, iv], at[seed], box.n, shape))
+    return report, np.concatenate(samples) if samples else np.zeros((0, 4), np.int64)
+
+
+_SOLVERS_3D = {"reference": _vote_batch_3d, "masked_in_bounds": _vote_batch_masked}
 
 
 def _sum_votes(samples: np.ndarray, report: pd.DataFrame, rank: np.ndarray, extra: list[str]) -> pd.DataFrame:
@@ -166,7 +282,10 @@ def _batches(n: int, size: int):
 
 
 _VOTES_3D = "i3 int, i2 int, i1 int, fe double, fa double, rank_score double, rank_flat bigint, vp float, vt float"
-_SEED_3D = "flat bigint, admissible int, in_bounds int, support double, skip_reason string, invalid_samples int, fa float, vp float, vt float"
+_SEED_3D = (
+    "flat bigint, admissible int, in_bounds int, support double, skip_reason string, invalid_samples int, fa float, vp float, vt float, "
+    "columns int, projected int, center_votes int, face_votes int, orientation string"
+)
 
 
 def seed_surfaces(volume: DataFrame, col: str, seeds: DataFrame, voter: Voter, tiling: Tiling = DEFAULT_TILING,
@@ -175,6 +294,9 @@ def seed_surfaces(volume: DataFrame, col: str, seeds: DataFrame, voter: Voter, t
 
     ``seeds``: i3, i2, i1, flat, score, pt, tt.
     """
+    if missing := [c for c in (*_SEED_COLUMNS, "pt", "tt") if c not in seeds.columns]:
+        raise ValueError(f"seeds lack columns: {', '.join(missing)}")
+    solver = _SOLVERS_3D[voter.boundary]
     row = None if shape else shape_of(volume).first()
     dims = shape or (int(row["n3"]), int(row["n2"]), int(row["n1"]))
     size = (2 * voter.rw + 1) * (2 * voter.rv + 1) * (2 * voter.ru + 1)
@@ -189,7 +311,7 @@ def seed_surfaces(volume: DataFrame, col: str, seeds: DataFrame, voter: Voter, t
         out = []
         for cut in _batches(len(mine), size):
             part = mine.iloc[cut]
-            report, samples = _vote_batch_3d(part, block, a3, a2, dims, voter)
+            report, samples = solver(part, block, a3, a2, dims, voter)
             if not votes:
                 out.append(report[names])
                 continue
@@ -285,6 +407,9 @@ def voting_summary(report: DataFrame) -> DataFrame:
         F.coalesce(F.min("support"), F.lit(1.0)).alias("support_fraction_min"),
         F.coalesce(F.avg("support"), F.lit(1.0)).alias("support_fraction_mean"),
         F.coalesce(F.sum("invalid_samples"), F.lit(0)).alias("selected_invalid_sample_count"),
+        F.coalesce(F.sum("projected"), F.lit(0)).alias("surface_projection_count"),
+        F.coalesce(F.sum("center_votes"), F.lit(0)).alias("center_vote_write_count"),
+        F.coalesce(F.sum("face_votes"), F.lit(0)).alias("face_center_vote_count"),
     )
 
 

@@ -34,7 +34,6 @@ class Variant:
     thin: str | None = None
     post: str = "none"
     fallback: str | None = None
-    boundary: str = "clamped"
     skinner: str = "components"
     presets: tuple[str, ...] = ()
 
@@ -43,7 +42,7 @@ _MATRIX = ("quality-matrix",)
 # The declared variants.
 VARIANTS = {
     "current_default": Variant(presets=("default", "quality-matrix")),
-    "boundary_aware_voter_v1": Variant(boundary="masked_in_bounds"),
+    "boundary_aware_voter_v1": Variant(voter={"boundary": "masked_in_bounds"}),
     "no_surface_orientation_smoothing": Variant(voter={"orientation_sigma": 0.0}, presets=_MATRIX),
     "final_norm_smoothing_1": Variant(voter={"final_sigma": 1.0}, presets=_MATRIX),
     "voter_thin_normal": Variant(thin="normal", presets=_MATRIX),
@@ -68,8 +67,8 @@ def preset(name: str) -> list[str]:
 
 
 def offered(name: str) -> bool:
-    """Whether a variant's operators exist here (masked voting and queue-grown surfaces do not)."""
-    return VARIANTS[name].boundary == "clamped" and VARIANTS[name].skinner == "components"
+    """Whether a variant's operators exist here (surfaces grown from a queue do not)."""
+    return VARIANTS[name].skinner == "components"
 
 
 def _votes(case: DataFrame, profile: Profile, variant: Variant, tiling: Tiling) -> DataFrame:

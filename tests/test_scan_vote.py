@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.kernels import angle_samples, gaussian_weights
 from ridgeline.grid import Tiling, flat_index, to_traces, to_voxels, with_shape
-from ridgeline.operators import metrics, paths, scan_sweep, voting
+from ridgeline.operators import masked, metrics, paths, scan_sweep, voting
 from ridgeline.operators.seeds import pick_seeds
 from ridgeline.plans import workflow
 from ridgeline.sources.cases import case_columns, range_grid
@@ -212,7 +213,7 @@ def test_variants_share_votes_and_apply_their_policies(spark):
     from ridgeline.plans import variants
 
     assert len(variants.VARIANTS) == 18 and len(variants.preset("quality-matrix")) == 13
-    assert [v for v in variants.VARIANTS if not variants.offered(v)] == ["boundary_aware_voter_v1", "quality_skinner_v2", "quality_boundary_skinner_fallback_v5"]
+    assert [v for v in variants.VARIANTS if not variants.offered(v)] == ["quality_skinner_v2", "quality_boundary_skinner_fallback_v5"]
     grid = case_columns(range_grid(spark, (12, 12, 12)), "single_vertical_plane").select("i3", "i2", "i1", "ft", F.col("truth_strike").alias("pt"), F.col("truth_dip").alias("tt"))
     profile = workflow.Profile(voter=voting.Voter(2, 3, 3), seed_distance=3, seed_threshold=0.5)
     names = ["current_default", "boundary_edge_thin_v1", "quality_boundary_skinner_fallback_v4"]
@@ -222,3 +223,99 @@ def test_variants_share_votes_and_apply_their_policies(spark):
     assert len(plane) >= 60 and not plane["replaced"].any() and plane["i2"].between(5, 6).mean() > 0.9
     with pytest.raises(ValueError, match="not offered"):
         variants.run_variants(grid, profile, ["quality_skinner_v2"], SMALL)
+
+
+def test_seeds_without_a_score_are_refused(spark):
+    seeds = spark.createDataFrame([], "i3 int, i2 int, i1 int, flat long, pt float, tt float")
+    with pytest.raises(ValueError, match="score"):
+        voting.seed_surfaces(traces(spark, ft=np.zeros((3, 3, 3), np.float32)), "ft", seeds, voting.Voter(1, 1, 1), SMALL)
+    with pytest.raises(ValueError, match="boundary policy"):
+        voting.Voter(1, 1, 1, boundary="open")
+
+
+def _cheapest_masked(cost, valid, stride):
+    """Least cost over all lag paths inside the mask (stride 1: every step moves by at most one lag)."""
+    n, m = cost.shape
+    best = np.inf
+    for path in itertools.product(range(m), repeat=n):
+        p = np.array(path)
+        if (np.abs(np.diff(p)) <= 1).all() and valid[np.arange(n), p].all():
+            best = min(best, float(cost[np.arange(n), p].sum()))
+    return best
+
+
+def test_masked_paths_are_the_cheapest_inside_the_mask():
+    rng = np.random.default_rng(5)
+    cost, valid = rng.random((40, 5, 4)).astype(np.float32), rng.random((40, 5, 4)) < 0.7
+    acc = masked.accumulate(cost, valid, 1)
+    path, found = masked.best_path(cost, valid, 1, -2)
+    seen = 0
+    for k in range(40):
+        want = _cheapest_masked(cost[k], valid[k], 1)
+        assert found[k] == np.isfinite(want)
+        assert np.isclose(acc[k, -1].min(), want, rtol=1e-5) or not np.isfinite(want)
+        if found[k]:
+            p = masked.cells_of(path[k], -2)
+            assert valid[k, np.arange(5), p].all() and np.isclose(cost[k, np.arange(5), p].sum(), want, rtol=1e-5)
+            seen += 1
+    assert 5 < seen < 40
+
+
+def test_an_open_mask_changes_no_path():
+    cost = np.random.default_rng(6).random((30, 9, 7)).astype(np.float32)
+    assert np.allclose(masked.accumulate(cost, np.ones(cost.shape, bool), 3), paths.accumulate(cost, 3), rtol=1e-5)
+    path, found = masked.best_path(cost, np.ones(cost.shape, bool), 3, -3)
+    assert found.all() and np.allclose(path, paths.best_path(cost, 3, -3), atol=1e-6)
+
+
+def test_masked_surfaces_keep_to_mask_and_strain():
+    rng = np.random.default_rng(7)
+    cost, valid = rng.random((25, 5, 7, 7)).astype(np.float32), rng.random((25, 5, 7, 7)) < 0.85
+    surface, ok, moved = masked.find_surfaces(cost, valid, 2, 2, -3, 1, 2.0, 2.0)
+    assert ok.any() and (moved[~ok] == 0).all()
+    assert masked.respects(surface[ok], valid[ok], 2, 2, -3).all()
+    closed = np.zeros_like(valid)
+    assert not masked.find_surfaces(cost, closed, 2, 2, -3, 1, 2.0, 2.0)[1].any()
+
+
+def test_largest_rectangle_around_the_origin():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        free = rng.random((5, 6)) < 0.75
+        got, best = masked.origin_rectangle(free, 2, 3), 0
+        for a, b, c, d in itertools.product(range(3), range(3, 6), range(4), range(4, 7)):
+            if free[a:b, c:d].all():
+                best = max(best, (b - a) * (d - c))
+        assert (got is None) == (best == 0)
+        if got is not None:
+            a, c, b, d = got
+            assert free[a:b, c:d].all() and (b - a) * (d - c) == best
+
+
+def _votes_of(spark, boundary, tiling=SMALL):
+    grid = case_columns(range_grid(spark, (13, 14, 12)), "boundary_plane")
+    c = with_shape(grid.select("i3", "i2", "i1", "ft", "pt", "tt")).withColumn("flat", flat_index()).where("ft > 0.5")
+    s = pick_seeds(c.select("i3", "i2", "i1", "flat", F.col("ft").alias("score"), "pt", "tt"), 2, True, tiling)
+    v = voting.Voter(2, 3, 3, boundary=boundary)
+    return (
+        to_array(voting.surface_voting(to_traces(grid, ["ft"]), s, v, tiling), "fv", (13, 14, 12)),
+        voting.seed_surfaces(to_traces(grid, ["ft"]), "ft", s, v, tiling, votes=False).toPandas(), grid,
+    )
+
+
+def test_masked_votes_reach_the_faces(spark):
+    """On a plane beside a face the masked policy votes on the face, where the other one may not."""
+    open_, plain, grid = _votes_of(spark, "reference")
+    shut, report, _ = _votes_of(spark, "masked_in_bounds")
+    truth = np.zeros((13, 14, 12), bool)
+    for r in grid.where("truth_mask").select("i3", "i2", "i1").collect():
+        truth[tuple(r)] = True
+    rim = np.ones_like(truth)
+    rim[1:-1, 1:-1, 1:-1] = False
+    assert truth[rim].any() and (shut[truth & rim] > 0.1).mean() > (open_[truth & rim] > 0.1).mean()
+    assert (report["invalid_samples"] == 0).all() and (report["face_votes"] > 0).any()
+    cropped = report[(report["columns"] < 49) & (report["skip_reason"] == "")]
+    assert len(cropped) and (cropped["orientation"] == "seed_boundary_fallback").all()
+    assert (report.loc[report["columns"] == 49, "orientation"] == "surface").all()
+    assert set(plain["orientation"]) <= {"surface", ""}
+    assert np.allclose(shut, _votes_of(spark, "masked_in_bounds", Tiling(64, 64))[0], atol=1e-5)
