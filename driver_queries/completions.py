@@ -11,8 +11,8 @@ from ridgeline.functions import angles
 from ridgeline.functions.kernels import gaussian_weights
 from ridgeline.functions.scores import planarity_likelihood
 from ridgeline.grid import to_voxels, with_shape
-from ridgeline.operators import comparisons, components, metrics, paths, sampling, thinning
-from ridgeline.session import new_folder
+from ridgeline.operators import comparisons, components, masked, metrics, paths, sampling, thinning
+from ridgeline.session import cut_lineage, new_folder
 from ridgeline.sources import tables
 
 ID3 = ["i3", "i2", "i1"]
@@ -220,6 +220,48 @@ def q_path_backtrack(spark, sf):
     return _path_rows(spark, sf).select("vec_id", F.posexplode("path").alias("step", "l")).select("vec_id", "step", F.col("l").cast("double").alias("lag"))
 
 
+# masked lines: a lag may be taken where the vector's value there is above -0.2; infinity stands for "no path"
+_OPEN = f"abs(pos % 7 - 3) <= {_BOUND} AND embedding[pos + 1] > CAST(-0.2 AS FLOAT)"
+_MASKED = f"""c AS (SELECT vec_id, list_transform(range(63), lambda pos: CASE WHEN {_OPEN} THEN floor(abs(embedding[pos + 1]) * 64)::DOUBLE ELSE 'infinity'::DOUBLE END) AS cost FROM embeddings)"""
+_MASKED_SMOOTHED = f"""{_cumulative('f', 'c')}, {_cumulative('b', 'c', False)},
+s AS (SELECT vec_id, flatten(list(list_transform(range(7), lambda l: CASE WHEN isinf(f.acc[l + 1]) OR isinf(b.acc[l + 1]) THEN 'infinity'::DOUBLE ELSE f.acc[l + 1] + b.acc[l + 1] - cost[i * 7 + l + 1] END) ORDER BY i)) AS cost FROM f JOIN b USING (vec_id, i) JOIN c USING (vec_id) GROUP BY vec_id)"""
+
+
+def _masked_rows(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 63).alias("v"))
+    lines = e.select(
+        "vec_id", F.transform("v", lambda x: F.floor(F.abs(x) * 64).cast("float")).alias("cost"),
+        F.transform("v", lambda x: x > F.lit(-0.2).cast("float")).alias("valid"),
+    )
+    return masked.line_paths(lines, "vec_id", "cost", "valid", _RU, _RV)
+
+
+@query("path_masked_costs", f"""WITH RECURSIVE {_MASKED}, {_MASKED_SMOOTHED},
+r AS (SELECT vec_id, i AS step, l AS lag, f.acc[l + 1] AS x, b.acc[l + 1] AS y, s.cost[i * 7 + l + 1] AS z FROM f JOIN b USING (vec_id, i) JOIN s USING (vec_id) CROSS JOIN range(7) t(l))
+SELECT vec_id, step, lag, CASE WHEN NOT isinf(x) THEN x END AS forward, CASE WHEN NOT isinf(y) THEN y END AS backward, CASE WHEN NOT isinf(z) THEN z END AS smoothed FROM r""")
+def q_masked_costs(spark, sf):
+    """Cumulative and smoothed costs inside a mask of lags; null where no path leads."""
+    z = F.posexplode(F.arrays_zip("forward", "backward", "smoothed")).alias("at", "z")
+    return _masked_rows(spark, sf).select("vec_id", z).select(
+        "vec_id", F.floor(F.col("at") / 7).alias("step"), (F.col("at") % 7).cast("bigint").alias("lag"),
+        *[F.col(f"z.{n}").cast("double").alias(n) for n in ("forward", "backward", "smoothed")],
+    )
+
+
+@query("path_masked", f"""WITH RECURSIVE {_MASKED}, {_MASKED_SMOOTHED}, {_cumulative('a', 's')},
+p(vec_id, i, lag) AS (SELECT vec_id, 8, CASE WHEN list_min(acc) < acc[4] THEN list_position(acc, list_min(acc)) - 1 ELSE 3 END FROM a WHERE i = 8 AND NOT isinf(list_min(acc))
+ UNION ALL SELECT vec_id, p.i - 1, CASE WHEN least(acc[greatest(lag, 1)], acc[least(lag + 2, 7)]) < acc[lag + 1]
+   THEN CASE WHEN acc[greatest(lag, 1)] <= acc[least(lag + 2, 7)] THEN greatest(lag - 1, 0) ELSE least(lag + 1, 6) END ELSE lag END
+  FROM p JOIN a USING (vec_id) WHERE a.i = p.i - 1 AND p.i > 0)
+SELECT vec_id, CAST(i AS INTEGER) AS step, CAST(lag - 3 AS DOUBLE) AS lag, true AS found FROM p UNION ALL SELECT vec_id, -1, 0.0::DOUBLE, false FROM a WHERE i = 8 AND isinf(list_min(acc))""")
+def q_masked_path(spark, sf):
+    """The cheapest path inside the mask; vectors without one have a single row (step -1, not found)."""
+    r = _masked_rows(spark, sf).select("vec_id", F.posexplode_outer("path").alias("step", "l"))
+    return r.select(
+        "vec_id", F.coalesce("step", F.lit(-1)).alias("step"), F.coalesce(F.col("l").cast("double"), F.lit(0.0)).alias("lag"), F.col("l").isNotNull().alias("found")
+    )
+
+
 _W = ", ".join(f"({k - len(gaussian_weights(1.5)) // 2}, {w!r})" for k, w in enumerate(gaussian_weights(1.5)))
 
 
@@ -234,9 +276,24 @@ def q_path_smoothing(spark, sf):
 # ---------------------------------------------------------------- workflow variants
 
 
+@query("boundary_policies")
+def q_boundary_policies(spark, sf):
+    """Both boundary policies on a plane beside a face: what became of the seeds, and votes on the faces."""
+    from driver_queries.scans import seeds_3d
+    from ridgeline.operators.voting import BOUNDARY_POLICIES, Voter, seed_surfaces, voting_summary
+
+    traces, picked = seeds_3d(spark, sf, "boundary_plane")
+    picked = cut_lineage(picked)
+    runs = [
+        voting_summary(seed_surfaces(traces, "ft", picked, Voter(3, 5, 5, boundary=p), TILING, votes=False)).select(F.lit(p).alias("policy"), "*")
+        for p in BOUNDARY_POLICIES
+    ]
+    return runs[0].unionByName(runs[1])
+
+
 @query("variant_surfaces")
 def q_variants(spark, sf):
-    """Surfaces of variants that differ in voter, seeds, thinning, clean-up and fallback: cells, surfaces, and which were replaced."""
+    """Surfaces of variants that differ in voter, boundary policy, seeds, thinning, clean-up and fallback."""
     from driver_queries.base import case_voxels
     from ridgeline.operators.voting import Voter
     from ridgeline.plans.variants import run_variants
@@ -244,13 +301,15 @@ def q_variants(spark, sf):
 
     case = case_voxels(spark, sf, "single_dipping_plane").select(*ID3, "ft", F.col("truth_strike").alias("pt"), F.col("truth_dip").alias("tt"))
     names = [
-        "current_default", "final_norm_smoothing_1", "voter_thin_hybrid_v2_recenter_scanner_target", "boundary_seed_retention_v1",
+        "current_default", "boundary_aware_voter_v1", "voter_thin_hybrid_v2_recenter_scanner_target", "boundary_seed_retention_v1",
         "quality_boundary_skinner_fallback_v3",
     ]
     cells = run_variants(case, Profile(voter=Voter(2, 4, 4), seed_distance=3, seed_threshold=0.5), names, TILING)
-    return cells.groupBy("variant").agg(
+    found = cells.groupBy("variant").agg(
         F.count(F.lit(1)).alias("cells"), F.count_distinct("component").alias("surfaces"), F.max("skin_size").alias("largest"), F.max("replaced").alias("replaced")
     )
+    asked = spark.range(len(names)).select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("id").cast("int") + 1).alias("variant"))
+    return asked.join(found, "variant", "left").na.fill(0, ["cells", "surfaces", "largest"]).na.fill(False, ["replaced"])
 
 
 # ---------------------------------------------------------------- tables as files

@@ -115,6 +115,16 @@ def main_components(sizes: DataFrame, keep: int = 3, floor: int = 8, share: floa
     return ranked.withColumn("_r", first).where(F.col("ok") | (F.col("_r") == 1)).select("component", "size")
 
 
+def main_components_by(sizes: DataFrame, key: str, keep: int = 3, floor: int = 8, share: float = 0.05, of_largest: float = 0.10) -> DataFrame:
+    """:func:`main_components` for each value of ``key`` (few values, many components): key, component, size."""
+    totals = sizes.groupBy(key).agg(F.sum("size").alias("_n"), F.max("size").alias("_big"))
+    limit = F.greatest(F.lit(floor).cast("bigint"), F.ceil(F.lit(share) * F.col("_n")).cast("bigint"))
+    ok = (F.col("size") >= limit) & (F.col("size") >= F.lit(of_largest) * F.col("_big"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ok"), F.desc("size"), F.asc("component")))
+    ranked = sizes.join(totals, key).withColumn("ok", ok).withColumn("_r", rank).where(F.col("_r") <= keep)  # limited before the shuffle
+    return ranked.where(F.col("ok") | (F.col("_r") == 1)).select(key, "component", "size")
+
+
 def fallback_components(labelled: DataFrame, small: int, min_size: int | None = None, filtered: bool = True) -> DataFrame:
     """One row about the components that a fallback would use (see :func:`main_components` for the filter)."""
     sizes = component_sizes(labelled)

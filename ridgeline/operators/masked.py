@@ -8,10 +8,15 @@ Lipschitz envelope in the strain metric), never by repeated local repair.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
 
 from ridgeline.operators.paths import gaussian_matrix
 
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
+
 _F = np.float32
 _INF = _F(np.inf)
 _SLACK = _F(1e-6)
@@ -288,3 +293,43 @@ def origin_rectangle(supported: np.ndarray, w0: int, v0: int) -> tuple[int, int,
             key = (-(a + z + 1) * (hi - lo), abs(a - z) + abs((v0 - lo) - (hi - 1 - v0)), w0 - a, lo, w0 + z + 1, hi)
             best = key if best is None else min(best, key)
     return best[2:]
+
+
+def line_paths(df: DataFrame, key: str, cost: str, valid: str, ru: int, rv: int, stride: int = 1, passes: int = 1) -> DataFrame:
+    """Cheapest paths of independent cost lines inside a mask of lags, one row each.
+
+    ``cost`` and ``valid`` hold (2*rv+1) steps by (2*ru+1) lags, step after step; lags outside the window of
+    their step are never valid.  Adds flat arrays ``forward`` and ``backward`` (cumulative) and ``smoothed``
+    (after ``passes``), null where no path leads, and ``path`` (lag per step), null where there is none.
+    """
+    import pyarrow as pa
+
+    from ridgeline.operators.paths import lag_bounds_2d
+
+    steps, lags = 2 * rv + 1, 2 * ru + 1
+
+    def listed(a: np.ndarray) -> pa.Array:
+        flat = a.reshape(-1).astype(_F)
+        offsets = np.arange(0, flat.size + 1, flat.size // len(a), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=~np.isfinite(flat)))
+
+    def run(batches):
+        window = np.abs(np.arange(-ru, ru + 1))[None, :] <= lag_bounds_2d(ru, rv)[:, None]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = np.array(batch.column(1).to_pylist(), _F).reshape(-1, steps, lags)
+            ok = np.array(batch.column(2).to_pylist(), bool).reshape(-1, steps, lags) & window[None]
+            smoothed = c
+            for _ in range(passes):
+                smoothed = smooth_costs(smoothed, ok, stride)
+            path, found = best_path(smoothed, ok & np.isfinite(smoothed), stride, -ru)
+            lines = pa.array([p if f else None for p, f in zip(path.tolist(), found, strict=True)], pa.list_(pa.float32()))
+            arrays = [listed(a) for a in (accumulate(c, ok, stride), accumulate(c, ok, stride, False), np.where(ok, smoothed, _INF))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, lines], ["_key", "forward", "backward", "smoothed", "path"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.selectExpr(f"`{key}` AS _key", f"`{cost}` AS _cost", f"`{valid}` AS _valid").mapInArrow(
+        run, f"_key {kind}, " + ", ".join(f"{n} array<float>" for n in ("forward", "backward", "smoothed", "path"))
+    )
+    return rows.withColumnRenamed("_key", key)

@@ -12,11 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.scores import positive
-from ridgeline.grid import DEFAULT_TILING, Tiling, flat_index, to_traces, to_voxels, with_shape
+from ridgeline.functions.scores import positive, ratio
+from ridgeline.grid import DEFAULT_TILING, Tiling, flat_index, shape_of, to_traces, to_voxels, with_shape
 from ridgeline.operators import components, edges, thinning
 from ridgeline.operators.seeds import retain_boundary_seeds
-from ridgeline.operators.topology import skin_topology
 from ridgeline.operators.voting import surface_voting
 from ridgeline.plans.workflow import Profile, seeds_of, thin_votes
 from ridgeline.session import cut_lineage
@@ -96,43 +95,83 @@ def _thinned(case: DataFrame, votes: DataFrame, profile: Profile, variant: Varia
     raise ValueError(f"unknown post-thinning policy: {variant.post}")
 
 
-def _surfaces(thin: DataFrame, votes: DataFrame, variant: Variant, min_likelihood: float, min_size: int, small: int) -> DataFrame:
-    """Cells of the surfaces (component, skin_size, replaced): the primary ones, or the fallback's where the policy asks for it."""
-    cells = with_shape(thin.join(to_voxels(votes, ["vp", "vt"]), XYZ)).withColumn("flat", flat_index())
-    names = [*XYZ, "flat", "fvt", "vp", "vt"]
-    primary = cut_lineage(components.component_skins(components.connected_components(cells.where(F.col("fvt") >= min_likelihood).select(*names)), min_size))
-    if variant.fallback is None:
-        return primary.withColumn("replaced", F.lit(False))
-    labelled = cut_lineage(components.connected_components(cells.select(*names), "edge"))
-    if variant.fallback in ("empty_primary", "degraded_primary"):
-        fallback = components.component_skins(labelled, min_size)
+def _surfaces(cells: DataFrame, names: list[str], shape: dict[str, int], min_likelihood: float, min_size: int, small: int) -> DataFrame:
+    """Surfaces of all variants at once: the primary ones, or the fallback's where a policy asks for it.
+
+    ``cells``: k (the variant's place in ``names``), i3, i2, i1, fvt, vp, vt.  Variants are laid out one after
+    another along i3 with a gap between them, so one labelling serves all and no surface spans two.
+    """
+    gap, volume = shape["n3"] + 2, (shape["n3"] + 2) * shape["n2"] * shape["n1"]
+    flat = (F.col("i3").cast("bigint") * shape["n2"] + F.col("i2")) * shape["n1"] + F.col("i1")
+    cells = cut_lineage(cells.withColumn("i3", (F.col("i3") + F.col("k") * gap).cast("int")).withColumn("flat", flat))
+    columns = ["k", *XYZ, "flat", "fvt", "vp", "vt"]
+
+    def of(df: DataFrame, *policies: str | None) -> DataFrame:
+        return df.where(F.col("k").isin([k for k, n in enumerate(names) if VARIANTS[n].fallback in policies]))
+
+    primary = cut_lineage(components.component_skins(components.connected_components(cells.where(F.col("fvt") >= min_likelihood).select(*columns)), min_size))
+    out = ["k", *XYZ, "fvt", "component", "skin_size"]
+    policies = {VARIANTS[n].fallback for n in names} - {None}
+    if not policies:
+        chosen = primary.select(*out, F.lit(False).alias("replaced"))
     else:
-        kept = components.main_components(components.component_sizes(labelled)).select("component")
-        fallback = components.component_skins(labelled.join(kept, "component", "left_semi"))
-        if variant.fallback == "degraded_primary_skeletonized":
-            thin_cells = edges.skeletonize(fallback.withColumn("target", F.lit(False)).withColumnRenamed("skin_size", "_size"))
-            fallback = components.component_skins(thin_cells.drop("skin_size", "_size"))
-    topology = skin_topology(primary.select(F.col("component").alias("skin_id"), *XYZ), small)
-    degraded = components.primary_degraded(topology, cells.agg(F.count(F.lit(1)).cast("double").alias("n")).select("n").scalar())
-    wrong = F.size("reasons") > 0 if variant.fallback != "empty_primary" else F.col("skin_count") == 0
-    return components.choose_skins(primary, fallback, degraded.select(wrong.alias("w")).scalar())
+        labelled = cut_lineage(components.connected_components(of(cells, *policies).select(*columns), "edge"))
+        sizes = labelled.groupBy("k", "component").agg(F.count(F.lit(1)).alias("size"))
+        parts = [components.component_skins(of(labelled, "empty_primary", "degraded_primary"), min_size)]
+        kept = components.main_components_by(sizes, "k").select("component")
+        main = components.component_skins(of(labelled, "degraded_primary_filtered", "degraded_primary_skeletonized").join(kept, "component", "left_semi"))
+        parts.append(of(main, "degraded_primary_filtered"))
+        ridges = edges.skeletonize(of(main, "degraded_primary_skeletonized").drop("skin_size").withColumn("target", F.lit(False)))
+        parts.append(components.component_skins(ridges))
+        fallback = reduce(lambda a, b: a.unionByName(b), [p.select(*out) for p in parts])
+        replace_ = _replaced(of(cells, *policies), of(primary, *policies), names, small)
+        at = replace_.where("replaced").select("k")
+        chosen = primary.join(at, "k", "left_anti").select(*out, F.lit(False).alias("replaced")).unionByName(
+            fallback.join(at, "k", "left_semi").select(*out, F.lit(True).alias("replaced"))
+        )
+    k = F.col("k")
+    return chosen.select("k", (F.col("i3") - k * gap).cast("int").alias("i3"), "i2", "i1", "fvt", (F.col("component") - k * volume).alias("component"), "skin_size", "replaced")
+
+
+def _replaced(cells: DataFrame, primary: DataFrame, names: list[str], small: int) -> DataFrame:
+    """(k, replaced): whether the policy of each variant turns to its fallback."""
+    sizes = primary.groupBy("k", "component").agg(F.count(F.lit(1)).alias("n"))
+    few = F.coalesce(F.sum(F.when(F.col("n") < small, F.col("n"))), F.lit(0))
+    topology = sizes.groupBy("k").agg(
+        F.count(F.lit(1)).alias("skin_count"), F.sum("n").alias("unique_cell_count"),
+        ratio(F.max("n"), F.sum("n")).alias("largest_skin_fraction"), ratio(few, F.sum("n")).alias("small_skin_cell_fraction"),
+    )
+    counts = cells.groupBy("k").agg(F.count(F.lit(1)).cast("double").alias("positives")).join(topology, "k", "left")
+    degraded = components.primary_degraded(counts.na.fill(0), F.col("positives"))
+    only_empty = F.col("k").isin([k for k, n in enumerate(names) if VARIANTS[n].fallback == "empty_primary"])
+    return degraded.select("k", F.when(only_empty, F.col("skin_count") == 0).otherwise(F.size("reasons") > 0).alias("replaced"))
 
 
 def run_variants(
     case: DataFrame, profile: Profile, names: list[str], tiling: Tiling = DEFAULT_TILING, min_likelihood: float = 0.3, min_size: int = 10, small: int = 10
 ) -> DataFrame:
-    """Surface cells of each variant on one case (voxels with ft, pt, tt): variant, i3, i2, i1, fvt, component, skin_size, replaced."""
-    case = cut_lineage(case.select(*XYZ, "ft", "pt", "tt"))
-    shared: dict[tuple, DataFrame] = {}
-    parts = []
+    """Surface cells of each variant on one case (voxels with ft, pt, tt): variant, i3, i2, i1, fvt, component, skin_size, replaced.
+
+    Votes are computed once per seed policy and voter, thinned votes once per clean-up; all variants are labelled together.
+    """
     for name in names:
         if not offered(name):
             raise ValueError(f"{name} needs an operator that is not offered")
+    case = cut_lineage(case.select(*XYZ, "ft", "pt", "tt"))
+    shape = {n: int(v) for n, v in shape_of(case).first().asDict().items()}  # three numbers
+    votes: dict[tuple, DataFrame] = {}
+    thinned: dict[tuple, DataFrame] = {}
+    parts = []
+    for k, name in enumerate(names):
         v = VARIANTS[name]
         key = (v.seeds, *sorted(v.voter.items()))
-        if key not in shared:
-            shared[key] = _votes(case, profile, v, tiling)
-        thin = cut_lineage(_thinned(case, shared[key], profile, v, tiling))
-        skins = _surfaces(thin, shared[key], v, min_likelihood, min_size, small)
-        parts.append(skins.select(F.lit(name).alias("variant"), *XYZ, "fvt", "component", "skin_size", "replaced"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        if key not in votes:
+            votes[key] = _votes(case, profile, v, tiling)
+        clean = (*key, v.thin or profile.thin, v.post)
+        if clean not in thinned:
+            thin = _thinned(case, votes[key], profile, v, tiling)
+            thinned[clean] = cut_lineage(thin.select(*XYZ, "fvt").join(to_voxels(votes[key], ["vp", "vt"]), XYZ))
+        parts.append(thinned[clean].select(F.lit(k).alias("k"), *XYZ, "fvt", "vp", "vt"))
+    chosen = _surfaces(reduce(lambda a, b: a.unionByName(b), parts), names, shape, min_likelihood, min_size, small)
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1)
+    return chosen.select(label.alias("variant"), *XYZ, "fvt", "component", "skin_size", "replaced")

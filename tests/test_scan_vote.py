@@ -319,3 +319,21 @@ def test_masked_votes_reach_the_faces(spark):
     assert (report.loc[report["columns"] == 49, "orientation"] == "surface").all()
     assert set(plain["orientation"]) <= {"surface", ""}
     assert np.allclose(shut, _votes_of(spark, "masked_in_bounds", Tiling(64, 64))[0], atol=1e-5)
+
+
+def test_every_offered_variant_runs(spark):
+    from ridgeline.plans import variants
+
+    grid = case_columns(range_grid(spark, (10, 11, 10)), "single_vertical_plane").select("i3", "i2", "i1", "ft", F.col("truth_strike").alias("pt"), F.col("truth_dip").alias("tt"))
+    profile = workflow.Profile(voter=voting.Voter(1, 2, 2), seed_distance=3, seed_threshold=0.5)
+    names = [v for v in variants.VARIANTS if variants.offered(v)]
+    assert len(names) == 16
+    falls = [v for v in names if variants.VARIANTS[v].fallback]
+    # no primary surface reaches that likelihood: only the fallbacks give surfaces, and all of theirs are replacements
+    out = variants.run_variants(grid, profile, ["current_default", *falls], SMALL, min_likelihood=2.0, min_size=5).toPandas()
+    assert set(out["variant"]) == set(falls) and out["replaced"].all()
+    out = variants.run_variants(grid, profile, names, SMALL, min_likelihood=0.2, min_size=5).toPandas()
+    assert set(out["variant"]) == set(names) and not out.duplicated(["variant", "i3", "i2", "i1"]).any()
+    assert out["i3"].between(0, 9).all() and (out["component"] >= 0).all() and (out["component"] < 1100).all()
+    sizes = out.groupby(["variant", "component"]).size()
+    assert (sizes == out.groupby(["variant", "component"])["skin_size"].first()).all()
