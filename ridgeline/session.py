@@ -44,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get(CHECKPOINT_CONF, None)
     if not shared:
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":  # local-cluster has executors of its own
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="ridgeline-checkpoint-")
     sc.setCheckpointDir(shared)
@@ -66,7 +66,7 @@ def new_folder(spark: SparkSession, prefix: str) -> str:
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         if not _own_root:
             _own_root.append(tempfile.mkdtemp(prefix="ridgeline-shared-"))
