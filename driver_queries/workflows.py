@@ -202,19 +202,41 @@ def q_reskin_topology(spark, sf):
     return link_topology(cut_lineage(reskin(cut_lineage(component_cells(spark, sf)))))
 
 
+def _trials(spark):
+    from ridgeline.sources.cases import STOCHASTIC_CASES, expand_trials
+
+    names = ("single_dipping_plane", *STOCHASTIC_CASES)
+    cases = spark.createDataFrame([(c, c in STOCHASTIC_CASES) for c in names], "case_id string, is_stochastic boolean")
+    return names, expand_trials(cases, spark.range(1, 3).withColumnRenamed("id", "seed"))
+
+
+def _trial_voxels(spark, sf):
+    """Every voxel of every trial with its truth, oracle attributes and scanner input."""
+    from functools import reduce
+
+    from ridgeline.sources.cases import STOCHASTIC_CASES, case_columns, scanner_input, seeded_normal
+
+    names, trials = _trials(spark)
+    grid = voxels(spark, sf).withColumn("flat", flat_index())
+    parts = []
+    for name in names:
+        mine = grid.withColumn("case_id", F.lit(name)).join(trials, "case_id")
+        noise = 0.06 * seeded_normal("seed", "flat") if name in STOCHASTIC_CASES else None
+        parts.append(case_columns(mine, name, noise))
+    c = reduce(lambda a, b: a.unionByName(b), parts)
+    return c.withColumn("g", scanner_input(F.col("ft"), 0.05 * F.col("v").cast("double")))
+
+
 def _mode_rows(spark, sf):
     from ridgeline.plans.mode_comparison import compare_modes
-    from ridgeline.sources.cases import scanner_input
 
-    c = case_voxels(spark, sf, "single_dipping_plane")
-    c = c.withColumn("g", scanner_input(F.col("ft"), 0.05 * F.col("v").cast("double")))
     p = workflow.Profile(strikes=(0.0, 80.0), dips=(65.0, 75.0), voter=Voter(2, 4, 4), seed_distance=3, seed_threshold=0.3)
-    return compare_modes(c, "single_dipping_plane", "single_dipping_plane", None, p, TILING)
+    return compare_modes(_trial_voxels(spark, sf), p, TILING)
 
 
 @query("mode_comparison")
 def q_mode_comparison(spark, sf):
-    """Eight cells (oracle and two scanners, two workflows) scored on one case."""
+    """Eight cells (oracle and two scanners, two workflows) scored on three trials of two cases, in one plan."""
     return _mode_rows(spark, sf)
 
 
@@ -226,6 +248,65 @@ def q_mode_contrasts(spark, sf):
     return paired_contrasts(cut_lineage(_mode_rows(spark, sf)))
 
 
+# blocks of the twin below -> how its values differ from the votes of the noisy volume
+_SCORED = {"rl/scanner_raw": 1.0, "rl/fv": 1.0, "q/fv": -0.25}
+
+
+def _sql_mode_scores() -> str:
+    d2 = "(c.i3-t.i3)*(c.i3-t.i3)+(c.i2-t.i2)*(c.i2-t.i2)+(c.i1-t.i1)*(c.i1-t.i1)"
+    blocks = ", ".join(f"('{b}', {w})" for b, w in _SCORED.items())
+    per = lambda src, what, x, p: f"(SELECT quantile_cont({x}, {p}) FROM {src} x WHERE x.tr = g.tr AND x.block = g.block AND x.sel = g.sel) AS {what}"
+    q = ", ".join(per(src, f"{w}_{n}", x, p) for src, w, x in (("dc", "candidate_to_truth", "sqrt(d)"), ("dt", "truth_to_candidate", "sqrt(d)"), ("dc", "strike", "se"), ("dc", "dip", "de"))
+                  for n, p in (("median", 0.5), ("p95", 0.95)))
+    one = lambda src, cond, name: f"(SELECT count(*) FROM {src} x WHERE x.tr = g.tr AND x.block = g.block AND x.sel = g.sel AND {cond}) AS {name}"
+    fill = ", ".join(f"coalesce({w}_{p}, {x}) AS {w}_{p}" for w, x in (("candidate_to_truth", "far"), ("truth_to_candidate", "far"), ("strike", "0"), ("dip", "0")) for p in ("median", "p95"))
+    turn = "(abs(CAST(vp AS DOUBLE) - CAST(truth_strike AS DOUBLE)) - 180.0*floor(abs(CAST(vp AS DOUBLE) - CAST(truth_strike AS DOUBLE))/180.0))"
+    return f"""WITH {sql_attributes()}, bl(block, w) AS (VALUES {blocks}), tt(tr) AS (VALUES ('b'), ('c')),
+tru AS (SELECT tr, i3, i2, i1 FROM att, tt WHERE truth_mask AND ft > CAST(CASE tr WHEN 'b' THEN 0.9 ELSE 0.97 END AS FLOAT)),
+k AS (SELECT tr, count(*) AS k FROM tru GROUP BY tr),
+v AS (SELECT tr, block, i3, i2, i1, n3, n2, n1, (CAST(i3 AS BIGINT)*n2+i2)*n1+i1 AS flat, CASE WHEN w > 0 THEN round(CAST(fv AS DOUBLE), 2) ELSE greatest(0.0, round(CAST(fv AS DOUBLE), 2) - 0.9) END AS value,
+ {turn} AS se0, abs(CAST(vt AS DOUBLE) - CAST(truth_dip AS DOUBLE)) AS de FROM att, bl, tt),
+rk AS (SELECT *, 'top_truth_count' AS sel, row_number() OVER (PARTITION BY tr, block ORDER BY value DESC, flat) AS rn FROM v
+ UNION ALL SELECT *, 'positive_top_truth_count', row_number() OVER (PARTITION BY tr, block ORDER BY value DESC, flat) FROM v WHERE value > 1e-6 AND block LIKE '%/fv'),
+c AS (SELECT rk.*, least(se0, 180.0 - se0) AS se FROM rk JOIN k USING (tr) WHERE rn <= k),
+g AS (SELECT tr, block, sel FROM tt, bl, (VALUES ('top_truth_count'), ('positive_top_truth_count')) s(sel) WHERE sel = 'top_truth_count' OR block LIKE '%/fv'),
+near AS (SELECT c.tr, c.i3, c.i2, c.i1, min({d2}) AS d FROM (SELECT DISTINCT tr, i3, i2, i1 FROM c) c JOIN tru t ON t.tr = c.tr GROUP BY c.tr, c.i3, c.i2, c.i1),
+dc AS (SELECT c.*, d FROM c JOIN near USING (tr, i3, i2, i1)),
+dt AS (SELECT c.tr, c.block, c.sel, t.i3, t.i2, t.i1, min({d2}) AS d FROM c JOIN tru t ON t.tr = c.tr GROUP BY ALL),
+s AS (SELECT g.*, (SELECT k FROM k WHERE k.tr = g.tr) AS tc, (SELECT sqrt((n3-1.0)*(n3-1)+(n2-1.0)*(n2-1)+(n1-1.0)*(n1-1)) FROM shp) AS far, {one('dc', 'true', 'cc')}, {one('dc', 'd <= 4', 'cb')}, {one('dt', 'd <= 4', 'tb')}, {one('dc', 'd > 4 AND least(i3, n3-1-i3, i2, n2-1-i2, i1, n1-1-i1) < 2', 'ef')}, {q} FROM g),
+r AS (SELECT * REPLACE ({fill}), coalesce(cb/nullif(cc, 0), 0) AS bp, coalesce(tb/nullif(tc, 0), 0) AS br FROM s)
+SELECT tr AS trial_id, block, sel AS selection, cc AS candidate_count, round(bp, 6) AS buffered_precision, round(br, 6) AS buffered_recall, round(coalesce(2*bp*br/nullif(bp+br, 0), 0), 6) AS buffered_f1,
+ round(candidate_to_truth_median, 6) AS candidate_to_truth_median, round(candidate_to_truth_p95, 6) AS candidate_to_truth_p95, round(truth_to_candidate_median, 6) AS truth_to_candidate_median,
+ round(truth_to_candidate_p95, 6) AS truth_to_candidate_p95, round(greatest(candidate_to_truth_p95, truth_to_candidate_p95), 6) AS hausdorff_p95, round(strike_median, 4) AS strike_median, round(strike_p95, 4) AS strike_p95,
+ round(dip_median, 4) AS dip_median, round(dip_p95, 4) AS dip_p95, round(coalesce(ef/nullif(cc, 0), 0), 6) AS edge_false_positive_fraction_of_candidates FROM r"""
+
+
+@query("mode_scores", _sql_mode_scores())
+def q_mode_scores(spark, sf):
+    """The scoring end of the comparison over given stage volumes: strongest samples per trial, block and selection, all metrics."""
+    from ridgeline.plans import mode_comparison as m
+
+    trial = F.explode(F.array(F.lit("b"), F.lit("c"))).alias("trial_id")
+    a = cut_lineage(attributes(spark, sf).withColumn("flat", flat_index()).select("*", trial))
+    least = F.when(F.col("trial_id") == "b", 0.9).otherwise(0.97).cast("float")
+    truth = a.where(F.col("truth_mask") & (F.col("ft") > least)).select("trial_id", *ID3)
+    votes = F.round(F.col("fv").cast("double"), 2)
+    value = F.when(F.col("b.w") > 0, votes).otherwise(F.greatest(F.lit(0.0), votes - 0.9))
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.lit(w).alias("w")) for b, w in _SCORED.items()])).alias("b")
+    v = a.select("*", each).select(
+        "trial_id", "b.block", *ID3, "flat", value.alias("value"), F.col("vp").alias("strike"), F.col("vt").alias("dip"),
+        F.col("truth_strike").alias("true_strike"), F.col("truth_dip").alias("true_dip"),
+    )
+    trials = a.select("trial_id").distinct()
+    groups = m.block_groups(trials).where(F.col("block").isin(*_SCORED))
+    shape = a.agg(*[F.max(n).alias(n) for n in ("n3", "n2", "n1")])
+    out = m.score_candidates(cut_lineage(m.select_candidates(v, truth)), truth, groups, shape)
+    angle = [f"{w}_{p}" for w in ("strike", "dip") for p in ("median", "p95")]
+    return out.select(*m.GROUP, *[
+        F.col(c) if c == "candidate_count" else F.round(c, 4 if c in angle else 6).alias(c) for c in m.METRICS
+    ])
+
+
 # ---------------------------------------------------------------- stage comparisons
 
 _STAGES = f"""{sql_attributes()}, s AS (SELECT 1 AS k, 'strong' AS stage, i3, i2, i1 FROM att WHERE fv > CAST(0.3 AS FLOAT) UNION ALL SELECT 2, 'stronger', i3, i2, i1 FROM att WHERE fv > CAST(0.5 AS FLOAT) UNION ALL SELECT 3, 'truth', i3, i2, i1 FROM att WHERE truth_mask)"""

@@ -97,6 +97,20 @@ def with_shape(df: DataFrame) -> DataFrame:
     return df.withColumns({n: scalar(s, n) for n in ("n3", "n2", "n1")})
 
 
+def key_ddl(df: DataFrame, keys: tuple[str, ...]) -> str:
+    """The head of a schema string for the key columns of ``df``."""
+    return "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+
+def with_totals(df: DataFrame, source: DataFrame, keys: tuple[str, ...], **aggs: Column) -> DataFrame:
+    """Add aggregates of ``source`` as columns: of its rows of the same keys, or of all rows without keys."""
+    named = [e.alias(n) for n, e in aggs.items()]
+    if keys:
+        return df.join(source.groupBy(*keys).agg(*named), list(keys))
+    one = source.agg(*named)
+    return df.withColumns({n: scalar(one, n) for n in aggs})
+
+
 def flat_index(n2: Column | str = "n2", n1: Column | str = "n1") -> Column:
     """C-order flat index of a voxel."""
     n2c = F.col(n2) if isinstance(n2, str) else n2

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators.tiles import with_keys
+
 _CHUNK = 256
 _GROUP_VALUES = 1 << 22  # distances held by one group
 _FEW = 64
@@ -88,8 +90,8 @@ def nearest_distance(points: DataFrame, targets: DataFrame, n2, chunk: int = _CH
                 best[i2] = np.minimum(best[i2], near * near)
         if not few:
             best = _spread(best)
-        head = {c: pdf[c].iloc[0] for c in [*k, "i3", "c1"]}
-        return pd.DataFrame({**{c: [v] * rows.size for c, v in head.items()}, "i2": rows, "d2": list(best)})
+        out = pd.DataFrame({"i2": rows, "d2": list(best)})
+        return with_keys(out, pdf, [*k, "i3", "c1"])[[*k, "i3", "c1", "i2", "d2"]]
 
     slabs = lines.groupBy(*k, "i3", "c1").applyInPandas(
         slab, f"{key_ddl}i3 int, c1 int, i2 int, d2 array<bigint>"
@@ -99,7 +101,7 @@ def nearest_distance(points: DataFrame, targets: DataFrame, n2, chunk: int = _CH
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = [*k, "i3", "i2", "i1"]
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in [*cols, "d2"]})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*cols, "d2"]})
         planes = right["i3"].to_numpy(np.int64)
         grid = np.stack(right["d2"].to_numpy())
         i3 = left["i3"].to_numpy(np.int64)
@@ -113,9 +115,8 @@ def nearest_distance(points: DataFrame, targets: DataFrame, n2, chunk: int = _CH
             dense = np.full((int(planes.max()) - first + 1, grid.shape[1]), _FAR)
             dense[planes - first] = grid
             best = _reach(dense, first, i3, i1)
-        out = left[cols].copy()
-        out["d2"] = best
-        return out
+        out = with_keys(left[["i3", "i2", "i1"]], left, k)[cols]
+        return out.assign(d2=best)
 
     return (
         asked.groupBy(*k, "i2", "c1")

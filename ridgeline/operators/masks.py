@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scores import NONZERO_EPSILON, nonzero, positive, ratio
-from ridgeline.operators.quantiles import cut_at_rank, quantile
+from ridgeline.operators.quantiles import cut_at_rank, quantile, ranks_by_key
+from ridgeline.session import cut_lineage
 
 
 def nonzero_report(df: DataFrame, col: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -77,6 +78,34 @@ def top_k_mask(
     return df.withColumn(out, F.coalesce(hit & (kc > 0), F.lit(False)))
 
 
+def top_k_by_key(
+    df: DataFrame, col: str, k: str, keys: list[str], flat: str = "flat", out: str = "mask", positive_only: bool = False,
+    epsilon: float = NONZERO_EPSILON,
+) -> DataFrame:
+    """:func:`top_k_mask` within each key; ``k`` names a column that is the same on all rows of a key.
+
+    Ranks are found by counting (:func:`ranks_by_key`), so no key is ever sorted in one task.  ``df`` is read
+    three times: store it first when it is expensive.
+    Keys and ``k`` must not be NULL; a key without rows to choose from gets no true row.
+    """
+    v = F.col(col).cast("double")
+    pool = df.where(F.col(col) > F.lit(float(epsilon))) if positive_only else df
+    of = lambda name: F.col("_k").getField(name)
+    cuts = cut_lineage(ranks_by_key(pool, [*keys, k], v, F.col("_total") - F.least(of(k), F.col("_total"))).select(
+        *[of(c).alias(c) for c in keys], F.col("_v").alias("_cut"),
+        (F.least(of(k), F.col("_total")) - F.col("_total") + F.col("_upto")).alias("_need"),
+    ))  # one row per key, used twice
+    ties = pool.join(cuts, keys).where(v == F.col("_cut"))
+    last = ranks_by_key(ties, [*keys, "_need"], flat, of("_need") - 1).select(
+        *[of(c).alias(c) for c in keys], F.col("_v").alias("_last")
+    )
+    hit = (v > F.col("_cut")) | ((v == F.col("_cut")) & (F.col(flat) <= F.col("_last")))
+    if positive_only:
+        hit = hit & (F.col(col) > F.lit(float(epsilon)))
+    out_rows = df.join(cuts.join(last, keys), keys, "left")
+    return out_rows.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_cut", "_need", "_last")
+
+
 def top_truth_count_mask(
     df: DataFrame, col: str, truth: str, flat: str = "flat", out: str = "mask", positive_only: bool = False
 ) -> DataFrame:

@@ -97,6 +97,14 @@ def grouped_quantiles(
     return out.select(*cols)
 
 
+def ranks_by_key(df: DataFrame, keys: list[str], value: str | Column, rank: Column) -> DataFrame:
+    """Per key (struct ``_k``) the value ``_v`` at a 0-based ascending rank computed from ``_k`` and ``_total``.
+
+    ``_upto`` counts the rows up to and with that value; keys whose rank is out of range give no row.
+    """
+    return _ranked(df, keys, value, F.array(F.struct(F.lit("r").alias("name"), rank.cast("bigint").alias("rank"))))
+
+
 def quantile(df: DataFrame, value: str | Column, p: float) -> Column:
     """A single quantile as a scalar subquery (NULL for empty input)."""
     return grouped_quantiles(df, [], value, {"q": p}).select("q").scalar()

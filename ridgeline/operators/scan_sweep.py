@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.kernels import angle_samples, gaussian_weights, shear_of_dip
-from ridgeline.grid import DEFAULT_TILING, Tiling, shape_of, with_halo
+from ridgeline.grid import DEFAULT_TILING, Tiling, key_ddl, shape_of, with_halo, with_totals
 from ridgeline.operators.metrics import normalize_unit
+from ridgeline.operators.tiles import with_keys
 
 _F = np.float32
 _EDGE = 1.0e-4  # a sample this close outside a bound counts as on it (rounding of rotated corners)
@@ -297,7 +298,8 @@ def scan_sweep_3d(
 ) -> DataFrame:
     """3-D sweep of a planarity volume in trace layout.
 
-    Returns i3, i2 and arrays ft, pt, tt, gap (best minus second-best score).
+    Returns the tiling's keys, i3, i2 and arrays ft, pt, tt, gap (best minus second-best score).
+    Volumes of several keys are swept side by side; they share one shape.
     """
     if backend not in ("rotate_shear", "directional"):
         raise ValueError("backend must be 'rotate_shear' or 'directional'")
@@ -309,14 +311,14 @@ def scan_sweep_3d(
         halo = math.ceil(math.hypot(rs + 2, margin + 2)) + 1
     else:
         halo = 2 * math.ceil(3.0 * sigma) + 3
-    strikes, dips = np.float32(phis), np.float32(thetas)
+    strikes, dips, keys = np.float32(phis), np.float32(thetas), tiling.keys
     sweep = _sweep_3d if backend == "rotate_shear" else _sweep_3d_directional
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         if not pdf["_core"].any():
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("i3", "i2", "ft", "pt", "tt", "gap")})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in (*keys, "i3", "i2", "ft", "pt", "tt", "gap")})
         block, a3, a2 = block_of(pdf, "g")
-        own = pdf.loc[pdf["_core"], ["i3", "i2"]]
+        own = with_keys(pdf.loc[pdf["_core"], ["i3", "i2"]], pdf, keys)[[*keys, "i3", "i2"]]
         core = own["i3"].to_numpy(np.int64), own["i2"].to_numpy(np.int64)
         b = sweep(block, a3, a2, core, (n3, n2, n1), phis, thetas, sigma)
         return own.assign(
@@ -324,13 +326,13 @@ def scan_sweep_3d(
             tt=list(dips[b.code % len(thetas)]), gap=list(np.maximum(b.best - b.second, 0)),
         )
 
-    lo = df.agg(F.min(F.array_min(col)).alias("v")).select("v").scalar()
-    hi = df.agg(F.max(F.array_max(col)).alias("v")).select("v").scalar()
-    src = df.select("i3", "i2", F.col(col).alias("g"))
+    src = df.select(*keys, "i3", "i2", F.col(col).alias("g"))
     out = with_halo(src, halo, halo, tiling).groupBy(*tiling.tile_cols).applyInPandas(
-        tile, "i3 int, i2 int, ft array<float>, pt array<float>, tt array<float>, gap array<float>"
+        tile, f"{key_ddl(src, keys)}i3 int, i2 int, ft array<float>, pt array<float>, tt array<float>, gap array<float>"
     )
-    return _constant(out, lo == hi, {"ft": 0.0, "pt": float(phis[0]), "tt": float(thetas[0]), "gap": 0.0})
+    out = with_totals(out, src, keys, _lo=F.min(F.array_min("g")), _hi=F.max(F.array_max("g")))
+    flat = F.col("_lo") == F.col("_hi")
+    return _constant(out, flat, {"ft": 0.0, "pt": float(phis[0]), "tt": float(thetas[0]), "gap": 0.0}).drop("_lo", "_hi")
 
 
 def confidence(voxels: DataFrame, gap: str = "gap", out: str = "confidence") -> DataFrame:

@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.grid import DEFAULT_TILING, TILE2, TILE3, Tiling, with_halo
+from ridgeline.grid import DEFAULT_TILING, TILE2, TILE3, Tiling, key_ddl, with_halo
 from ridgeline.operators.quantiles import quantile
+from ridgeline.operators.tiles import with_keys
 from ridgeline.session import cut_lineage
 
 _HALO = 4  # in distances; one is needed, more lets a tile settle more by itself
@@ -79,16 +80,18 @@ def pick_seeds(
     ``second`` names a column that ranks equal scores (descending).
 
     Ties in score go to the larger flat index with ``late_first`` (voting seeds),
-    to the smaller one without it (skin seeds).
+    to the smaller one without it (skin seeds).  Volumes of several keys (``tiling.keys``) are
+    settled side by side, in as many rounds as the slowest of them needs.
     """
+    keys = list(tiling.keys)
     if distance == 0:
         return candidates
     alive = cut_lineage(candidates.select(
-        *XYZ, "flat", F.col("score").cast("double").alias("score"),
+        *keys, *XYZ, "flat", F.col("score").cast("double").alias("score"),
         (F.col(second) if second else F.lit(0.0)).cast("double").alias("score2"), F.lit(0).alias("fixed"),
     ))
     accepted = []
-    halo = _HALO * distance
+    halo, head = _HALO * distance, key_ddl(alive, tiling.keys)
     ends = alive.agg(F.max("i3").alias("i3"), F.max("i2").alias("i2")).first()  # two numbers
     if ends["i3"] is None:
         return candidates
@@ -100,22 +103,22 @@ def pick_seeds(
             seen.append((-np.inf if low <= 0 else low, np.inf if high > ends[axis] else high))
         state = settle(pdf, distance, late_first, tuple(seen))
         keep = pdf["_core"].to_numpy() & (state >= 0)
-        out = pdf.loc[keep, [*XYZ, "flat", "score", "score2"]]
+        out = with_keys(pdf.loc[keep, [*XYZ, "flat", "score", "score2"]], pdf, keys)[[*keys, *XYZ, "flat", "score", "score2"]]
         return out.assign(fixed=state[keep].astype(np.int32))
 
     while True:
         tiles = with_halo(alive, halo, halo, tiling)
         done = cut_lineage(
             tiles.groupBy(*tiling.tile_cols).applyInPandas(
-                decide, "i3 int, i2 int, i1 int, flat bigint, score double, score2 double, fixed int"
+                decide, f"{head}i3 int, i2 int, i1 int, flat bigint, score double, score2 double, fixed int"
             )
         )
-        accepted.append(done.where("fixed = 1").select("flat"))
+        accepted.append(done.where("fixed = 1").select(*keys, "flat"))
         alive = done  # the new picks go along once more: they cover rows that other tiles still hold open
         if done.where("fixed = 0").isEmpty():
             break
     chosen = reduce(lambda a, b: a.unionByName(b), accepted)
-    return candidates.join(chosen, "flat", "left_semi")
+    return candidates.join(chosen, [*keys, "flat"], "left_semi")
 
 
 def center_margins(shape: tuple[int, int, int], crop: tuple[int, int, int]) -> tuple[int, int, int]:

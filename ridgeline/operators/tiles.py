@@ -33,6 +33,11 @@ def dense(pdf: pd.DataFrame, col: str, a3: int, a2: int) -> np.ndarray:
     return out
 
 
+def with_keys(out: pd.DataFrame, group: pd.DataFrame, keys) -> pd.DataFrame:
+    """``out`` with the key values of its group, one value each, as plain objects."""
+    return out.assign(**{k: np.full(len(out), group[k].iloc[0], dtype=object) for k in keys})
+
+
 def tile_map(
     df: DataFrame, cols: list[str], halo: tuple[int, int], fn: Callable[[Blocks, int, int], Blocks],
     outs: dict[str, str], tiling: Tiling = DEFAULT_TILING, keep: list[str] | None = None,
@@ -59,7 +64,7 @@ def tile_map(
         a3, a2 = int(pdf["i3"].min()), int(pdf["i2"].min())
         made = fn({c: dense(pdf, c, a3, a2) for c in cols}, a3, a2)
         at = core["i3"].to_numpy() - a3, core["i2"].to_numpy() - a2
-        out = core[[*keys, "i3", "i2", *keep]]
+        out = with_keys(core[["i3", "i2", *keep]], core, keys)
         return out.assign(**{n: list(made[n][at]) for n in outs})[names]
 
     return with_halo(src, *halo, tiling).groupBy(*tiling.tile_cols).applyInPandas(run, ddl)

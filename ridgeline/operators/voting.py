@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scores import sharpen, unit_range
-from ridgeline.grid import DEFAULT_TILING, Tiling, shape_of, with_halo
+from ridgeline.grid import DEFAULT_TILING, Tiling, key_ddl, shape_of, with_halo, with_totals
 from ridgeline.operators import masked, paths
 from ridgeline.operators.scan_sweep import block_of
 from ridgeline.operators.stencil import smooth
+from ridgeline.operators.tiles import with_keys
 from ridgeline.session import cut_lineage
 
 _F = np.float32
@@ -292,19 +293,23 @@ def seed_surfaces(volume: DataFrame, col: str, seeds: DataFrame, voter: Voter, t
                   shape: tuple[int, int, int] | None = None, votes: bool = True) -> DataFrame:
     """Solve all seeds.  ``votes``: per-tile vote sums; otherwise one diagnostic row per seed.
 
-    ``seeds``: i3, i2, i1, flat, score, pt, tt.
+    ``seeds``: i3, i2, i1, flat, score, pt, tt.  Seeds meet the volume of their own keys (``tiling.keys``);
+    all volumes share one shape.
     """
+    keys = list(tiling.keys)
     if missing := [c for c in (*_SEED_COLUMNS, "pt", "tt") if c not in seeds.columns]:
         raise ValueError(f"seeds lack columns: {', '.join(missing)}")
     solver = _SOLVERS_3D[voter.boundary]
     row = None if shape else shape_of(volume).first()
     dims = shape or (int(row["n3"]), int(row["n2"]), int(row["n1"]))
     size = (2 * voter.rw + 1) * (2 * voter.rv + 1) * (2 * voter.ru + 1)
-    left, right = _with_seeds(volume.select("i3", "i2", F.col(col).alias("f")), seeds, (voter.reach,) * 2, tiling)
+    field = volume.select(*keys, "i3", "i2", F.col(col).alias("f"))
+    left, right = _with_seeds(field, seeds, (voter.reach,) * 2, tiling)
+    head = key_ddl(field, tiling.keys)
 
     def solve(traces: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in (_VOTES_3D if votes else _SEED_3D).split(", ")]
-        none = pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
+        none = pd.DataFrame({c: pd.Series([], dtype=object) for c in [*keys, *names]})
         if traces.empty or mine.empty:
             return none
         block, a3, a2 = block_of(traces, "f")
@@ -324,20 +329,22 @@ def seed_surfaces(volume: DataFrame, col: str, seeds: DataFrame, voter: Voter, t
             top["rank_score"] = part["score"].to_numpy()[top["seed"]]
             top["rank_flat"] = part["flat"].to_numpy()[top["seed"]]
             out.append(top[names])
-        return pd.concat(out) if out else none
+        if not out:
+            return none
+        return with_keys(pd.concat(out), mine, keys)[[*keys, *names]]
 
-    return left.cogroup(right).applyInPandas(solve, _VOTES_3D if votes else _SEED_3D)
+    return left.cogroup(right).applyInPandas(solve, head + (_VOTES_3D if votes else _SEED_3D))
 
 
-def accumulate_votes(votes: DataFrame, attributes: list[str]) -> DataFrame:
+def accumulate_votes(votes: DataFrame, attributes: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Add partial sums; attributes come from the strongest vote, then the earliest seed.
 
     Seeds are ordered by (score, flat index) descending.  ``votes``: i3, i2, i1, fe, fa,
     rank_score, rank_flat and the attributes.
     """
     best = F.max(F.struct("fa", "rank_score", "rank_flat", *attributes))
-    g = votes.groupBy("i3", "i2", "i1").agg(F.sum("fe").cast("float").alias("fe"), best.alias("b"))
-    return g.select("i3", "i2", "i1", "fe", *[F.col(f"b.{a}").alias(a) for a in attributes])
+    g = votes.groupBy(*keys, "i3", "i2", "i1").agg(F.sum("fe").cast("float").alias("fe"), best.alias("b"))
+    return g.select(*keys, "i3", "i2", "i1", "fe", *[F.col(f"b.{a}").alias(a) for a in attributes])
 
 
 def surface_voting(
@@ -346,16 +353,16 @@ def surface_voting(
 ) -> DataFrame:
     """3-D voting: dense traces with fv, vp, vt.
 
-    Votes are scored on the smoothed (sigma 1), unit-range likelihood.
+    Votes are scored on the smoothed (sigma 1), unit-range likelihood.  Volumes of several keys
+    (``tiling.keys``) vote side by side; every range is taken within a key.
     """
-    sm = cut_lineage(smooth(volume.select("i3", "i2", col), col, "_fs", 1.0, tiling))
-    lo = sm.agg(F.min(F.array_min("_fs")).alias("v")).select("v").scalar()
-    hi = sm.agg(F.max(F.array_max("_fs")).alias("v")).select("v").scalar()
-    unit = sm.withColumns({"_lo": lo, "_hi": hi})
+    keys = tiling.keys
+    sm = cut_lineage(smooth(volume.select(*keys, "i3", "i2", col), col, "_fs", 1.0, tiling))
+    unit = with_totals(sm, sm, keys, _lo=F.min(F.array_min("_fs")), _hi=F.max(F.array_max("_fs")))
     unit = unit.withColumn("f", F.transform("_fs", lambda x: unit_range(x, F.col("_lo"), F.col("_hi"))))
-    votes = seed_surfaces(unit.select("i3", "i2", "f"), "f", seeds, voter, tiling, shape)
-    sums = accumulate_votes(votes, ["vp", "vt"])
-    return finish_votes(volume.select("i3", "i2", F.size(col).alias("n1")), sums, ["vp", "vt"], 8, voter.final_sigma, tiling)
+    votes = seed_surfaces(unit.select(*keys, "i3", "i2", "f"), "f", seeds, voter, tiling, shape)
+    sums = accumulate_votes(votes, ["vp", "vt"], keys)
+    return finish_votes(volume.select(*keys, "i3", "i2", F.size(col).alias("n1")), sums, ["vp", "vt"], 8, voter.final_sigma, tiling)
 
 
 def finish_votes(
@@ -364,19 +371,18 @@ def finish_votes(
     """Sparse vote sums -> dense traces with the sharpened score ``fv`` and the attributes."""
     names = ["fe", *attributes]
     spread = F.pandas_udf(_spread_rows, "array<float>")
-    packed = sums.groupBy("i3", "i2").agg(F.collect_list(F.struct("i1", *names)).alias("p"))  # at most one trace
-    dense = frame.join(packed, ["i3", "i2"], "left").select(
-        "i3", "i2", *[spread(F.col("n1"), F.col("p.i1"), F.col(f"p.{a}")).alias(a) for a in names]
+    at = [*tiling.keys, "i3", "i2"]
+    packed = sums.groupBy(*at).agg(F.collect_list(F.struct("i1", *names)).alias("p"))  # at most one trace
+    dense = frame.join(packed, at, "left").select(
+        *at, *[spread(F.col("n1"), F.col("p.i1"), F.col(f"p.{a}")).alias(a) for a in names]
     )
     if sigma > 0:
         s3 = sigma if dims_of(frame) == 3 else 0.0
         dense = smooth(dense, "fe", "fe", (s3, sigma, sigma), tiling)
     dense = cut_lineage(dense)  # votes are stored once: the normalisation reads them again
-    lo = dense.agg(F.min(F.array_min("fe")).alias("v")).select("v").scalar()
-    hi = dense.agg(F.max(F.array_max("fe")).alias("v")).select("v").scalar()
-    dense = dense.withColumns({"_lo": lo, "_hi": hi})
+    dense = with_totals(dense, dense, tiling.keys, _lo=F.min(F.array_min("fe")), _hi=F.max(F.array_max("fe")))
     return dense.select(
-        "i3", "i2", F.transform("fe", lambda x: sharpen(unit_range(x, F.col("_lo"), F.col("_hi")).cast("double"), power)).alias("fv"),
+        *at, F.transform("fe", lambda x: sharpen(unit_range(x, F.col("_lo"), F.col("_hi")).cast("double"), power)).alias("fv"),
         *attributes,
     )
 

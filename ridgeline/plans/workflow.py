@@ -66,11 +66,11 @@ def settings(variant: str) -> dict:
 def thin_votes(traces: DataFrame, mode: str, tiling: Tiling = DEFAULT_TILING) -> DataFrame:
     """Voxels of the thinned vote volume (fv, vp, vt in trace layout)."""
     if mode == "reference":
-        return to_voxels(thinning.thin_reference(traces, "fv", "vp", tiling=tiling), ["thin"])
+        return to_voxels(thinning.thin_reference(traces, "fv", "vp", tiling=tiling), ["thin"], list(tiling.keys))
     if mode == "normal":
-        return to_voxels(thinning.thin_normal(traces, "fv", "vp", "vt", tiling=tiling), ["thin"])
+        return to_voxels(thinning.thin_normal(traces, "fv", "vp", "vt", tiling=tiling), ["thin"], list(tiling.keys))
     if mode == "hybrid":
-        return to_voxels(thinning.thin_hybrid(traces, "fv", "vp", "vt", tiling=tiling), ["thin"])
+        return to_voxels(thinning.thin_hybrid(traces, "fv", "vp", "vt", tiling=tiling), ["thin"], list(tiling.keys))
     if mode == "hybrid_v2":
         return thinning.thin_hybrid_v2(traces, "fv", "vp", "vt", tiling=tiling)
     if mode == "normal_plateau":
@@ -81,14 +81,14 @@ def thin_votes(traces: DataFrame, mode: str, tiling: Tiling = DEFAULT_TILING) ->
 def seeds_of(attributes: DataFrame, distance: int, threshold: float, tiling: Tiling = DEFAULT_TILING) -> DataFrame:
     """Seeds of an attribute volume in voxel layout (ft, pt, tt)."""
     c = with_shape(attributes).withColumn("flat", flat_index()).where(F.col("ft") > F.lit(threshold).cast("float"))
-    return pick_seeds(c.select(*XYZ, "flat", F.col("ft").alias("score"), "pt", "tt"), distance, True, tiling)
+    return pick_seeds(c.select(*tiling.keys, *XYZ, "flat", F.col("ft").alias("score"), "pt", "tt"), distance, True, tiling)
 
 
 def vote_stage(attributes: DataFrame, profile: Profile, tiling: Tiling = DEFAULT_TILING) -> DataFrame:
     """Attributes (voxels ft, pt, tt) -> vote traces fv, vp, vt."""
-    at = cut_lineage(attributes.select(*XYZ, "ft", "pt", "tt"))
+    at = cut_lineage(attributes.select(*tiling.keys, *XYZ, "ft", "pt", "tt"))
     seeds = seeds_of(at, profile.seed_distance, profile.seed_threshold, tiling)
-    return cut_lineage(surface_voting(to_traces(at, ["ft"]), seeds, profile.voter, tiling))
+    return cut_lineage(surface_voting(to_traces(at, ["ft"], tiling.keys), seeds, profile.voter, tiling))
 
 
 def run_scan(planarity: DataFrame, col: str, profile: Profile, tiling: Tiling = DEFAULT_TILING) -> DataFrame:

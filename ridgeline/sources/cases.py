@@ -175,6 +175,21 @@ def scanner_input(
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)).cast("float")
 
 
+_DIGITS = 13  # hexadecimal digits of a draw: 52 bits, exact in a double
+
+
+def draw_bits(seed: Column | str, index: Column | str, lane: int) -> Column:
+    """52 random bits that depend on (seed, index, lane) alone, never on partitions or row order."""
+    text = F.concat_ws(":", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in (seed, index)], F.lit(str(lane)))
+    return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("bigint")
+
+
+def seeded_normal(seed: Column | str, index: Column | str) -> Column:
+    """Standard normal draw of a voxel from counter bits (Box-Muller); NULL seeds or indices count as empty text."""
+    u, w = [(draw_bits(seed, index, lane).cast("double") + 0.5) / 2.0 ** (4 * _DIGITS) for lane in (0, 1)]
+    return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * w)
+
+
 def expand_trials(cases: DataFrame, seeds: DataFrame) -> DataFrame:
     """One trial per deterministic case, one per seed for stochastic cases.
 
