@@ -184,6 +184,16 @@ def write_dat(
     where.delete_dir(file_system(parts)[1])
 
 
+def fill_missing(df: DataFrame, shape: tuple[int, int, int], col: str = "trace", value: float = 0.0) -> DataFrame:
+    """A volume with holes (traces that are absent, NULL or empty) made dense for :func:`write_dat`."""
+    n3, n2, n1 = shape
+    have = df.where(F.size(col) > 0).select("i3", "i2", F.col(col).cast("array<float>").alias(col))
+    i = F.col("id")
+    frame = df.sparkSession.range(n3 * n2).select(F.floor(i / n2).cast("int").alias("i3"), F.pmod(i, F.lit(n2)).cast("int").alias("i2"))
+    empty = F.array_repeat(F.lit(float(value)).cast("float"), n1)
+    return frame.join(have.hint("merge"), ["i3", "i2"], "left").select("i3", "i2", F.coalesce(col, empty).alias(col))
+
+
 def file_records(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and SHA-256 of the files under a folder (one task per file)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
