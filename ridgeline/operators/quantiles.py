@@ -42,8 +42,10 @@ def _ranked(df: DataFrame, keys: list[str], value: str | Column, wanted: Column)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", _bucket(F.col("_v")))
         .where(F.col("_b").isNotNull())  # same filter in both uses below, so their shuffle is shared
+        .repartition("_k", "_b")  # what is counted per bucket and what is looked up in buckets lie together
     )
     # ranks are found among few ranges of buckets first, then among the buckets of the ranges that hold one
+    # the long side of a join must not be broadcast, however well it is compressed: the short side is hashed
     per_bucket = counted.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn")).withColumn("_c", F.floor(F.col("_b") / _RANGE))
     ranges = per_bucket.groupBy("_k", "_c").agg(F.sum("_bn").alias("_cn"))
     upto = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
@@ -59,13 +61,13 @@ def _ranked(df: DataFrame, keys: list[str], value: str | Column, wanted: Column)
     within = Window.partitionBy("_k", "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("_start") + F.col("_upto_b")
     targets = (
-        per_bucket.join(hit, ["_k", "_c"]).withColumn("_upto_b", F.sum("_bn").over(within))
+        per_bucket.join(hit.hint("shuffle_hash"), ["_k", "_c"]).withColumn("_upto_b", F.sum("_bn").over(within))
         .withColumn("_w", F.filter("_r", lambda w: (w["rank"] >= end - F.col("_bn")) & (w["rank"] < end)))
         .where(F.size("_w") > 0)
         .select("_k", "_b", "_w", "_total", (end - F.col("_bn")).alias("_below"))
     )
     inside = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    reached = counted.join(targets, ["_k", "_b"]).withColumn("_upto", F.sum("_n").over(inside) + F.col("_below"))
+    reached = counted.join(targets.hint("shuffle_hash"), ["_k", "_b"]).withColumn("_upto", F.sum("_n").over(inside) + F.col("_below"))
     mine = F.filter("_w", lambda w: (w["rank"] >= F.col("_upto") - F.col("_n")) & (w["rank"] < F.col("_upto")))
     return reached.select("_k", F.explode(mine).alias("_w"), "_total", "_v", "_upto")
 
