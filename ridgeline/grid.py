@@ -91,9 +91,19 @@ def scalar(df: DataFrame, name: str) -> Column:
     return df.select(name).scalar()
 
 
-def with_shape(df: DataFrame) -> DataFrame:
-    """Add the columns n3, n2, n1 through scalar subqueries."""
-    s = shape_of(df)
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that are computed once per row, however often later columns use them.
+
+    Expressions of plain columns are copied into each of their uses; a few layers of that grow past what
+    the code generator compiles, and the rows are interpreted.  An explode of one element keeps them apart.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_once")
+    return df.select("*", one).select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in cols])
+
+
+def with_shape(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Add the columns n3, n2, n1 through scalar subqueries; ``source``: what to take them from (traces are cheaper)."""
+    s = shape_of(df if source is None else source)
     return df.withColumns({n: scalar(s, n) for n in ("n3", "n2", "n1")})
 
 
@@ -106,7 +116,7 @@ def with_totals(df: DataFrame, source: DataFrame, keys: tuple[str, ...], **aggs:
     """Add aggregates of ``source`` as columns: of its rows of the same keys, or of all rows without keys."""
     named = [e.alias(n) for n, e in aggs.items()]
     if keys:
-        return df.join(source.groupBy(*keys).agg(*named), list(keys))
+        return df.join(F.broadcast(source.groupBy(*keys).agg(*named)), list(keys))  # one short row a key; the volume itself must not be broadcast
     one = source.agg(*named)
     return df.withColumns({n: scalar(one, n) for n in aggs})
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.angles import strike_dip_of_normal
+from ridgeline.grid import once
 
 # Fixed values of the standard cases.
 SIGMA = 1.25
@@ -91,13 +92,14 @@ def plane_columns(grid: DataFrame, planes: list[Plane], noise: Column | None = N
     likelihood is the largest over the planes.  ``noise`` turns the likelihood
     into the weak, noisy variant 0.03 + 0.65*base + noise.
     """
-    structs, likelihoods, masks = [], [], []
+    structs, likelihoods, masks, distances = [], [], [], {}
     for number, pl in enumerate(planes, start=1):
         w = _normal(pl.strike, pl.dip)
-        d = reduce(
+        distances[f"_d{number}"] = reduce(
             lambda a, b: a + b,
             [(F.col(ix) - c) * F.lit(n) for ix, c, n in zip(("i1", "i2", "i3"), pl.center, w)],
         )
+        d = F.col(f"_d{number}")
         d32 = d.cast("float")
         if noise is None:
             like = F.exp(-0.5 * (d / SIGMA) * (d / SIGMA))
@@ -115,7 +117,7 @@ def plane_columns(grid: DataFrame, planes: list[Plane], noise: Column | None = N
     nearest = F.least(*structs) if len(structs) > 1 else structs[0]
     like = F.greatest(*likelihoods) if len(likelihoods) > 1 else likelihoods[0]
     mask = reduce(lambda a, b: a | b, masks)
-    out = grid.withColumns({"_near": nearest, "truth_mask": mask, "ft": like})
+    out = once(once(grid, **distances), _near=nearest, truth_mask=mask, ft=like)
     return out.select(
         *grid.columns, "truth_mask",
         F.when(F.col("truth_mask"), F.col("_near.id")).otherwise(0).alias("truth_id"),
@@ -140,10 +142,12 @@ def curved_columns(
     surface = c1 + slope2 * dx2 + slope3 * dx3 + curvature2 * (dx2 * dx2 / s2) + curvature3 * (dx3 * dx3 / s3)
     g2 = slope2 + 2.0 * curvature2 * dx2 / s2
     g3 = slope3 + 2.0 * curvature3 * dx3 / s3
-    out = grid.withColumns({"_d": F.col("i1") - surface, "_g2": g2, "_g3": g3})
+    out = once(grid, _d=F.col("i1") - surface, _g2=g2, _g3=g3)
     norm = F.sqrt(1.0 + F.col("_g2") * F.col("_g2") + F.col("_g3") * F.col("_g3"))
     u = [(x / norm).cast("float") for x in (F.lit(1.0), -F.col("_g2"), -F.col("_g3"))]
     strike, dip = strike_dip_of_normal(*u)
+    out = once(out, _strike=strike, _dip=dip)
+    strike, dip = F.col("_strike"), F.col("_dip")
     z = F.col("_d") / SIGMA
     mask = F.abs(F.col("_d")) <= HALF_WIDTH
     return out.select(
