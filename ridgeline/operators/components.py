@@ -63,7 +63,9 @@ def _run_edges(runs: DataFrame, connectivity: str) -> DataFrame:
 def label_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): the smallest node id of each connected component."""
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("label")))
+    # nodes without an edge keep their own label and take no part in the rounds
+    linked = cut_lineage(nodes.select("id").join(both.select(F.col("a").alias("id")), "id", "left_semi"))
+    labels = linked.select("id", F.col("id").alias("label"))
     while True:
         seen = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
         lower = labels.join(seen, "id", "left").select("id", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
@@ -78,7 +80,8 @@ def label_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         labels = step.select("id", "label")
         if step.where("moved").isEmpty():
-            return labels
+            known = labels.withColumnRenamed("label", "_label")
+            return nodes.select("id").join(known, "id", "left").select("id", F.coalesce("_label", "id").alias("label"))
 
 
 def connected_components(cells: DataFrame, connectivity: str = "corner") -> DataFrame:

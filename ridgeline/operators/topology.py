@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.angles import nearest_index
 from ridgeline.functions.scores import ratio
+from ridgeline.session import cut_lineage
 
 XYZ = ["i3", "i2", "i1"]
 
@@ -125,33 +126,52 @@ def link_edges(cells: DataFrame) -> DataFrame:
 
 def link_topology(cells: DataFrame) -> DataFrame:
     """Reciprocity, cross-skin and self links, quad closure; columns ca_id..cr_id are cell ids."""
-    e = link_edges(cells)
-    owner = cells.select(F.col("cell_id").alias("other_id"), F.col("skin_id").alias("other_skin"))
-    back = e.select(
-        F.col("cell_id").alias("other_id"), F.col("link").alias("reverse"), F.col("other_id").alias("cell_id"),
-        F.lit(True).alias("has_back"),
+    names = [a for a, _ in LINKS]
+    # what a link leads to is looked up once, with all that is asked of it; a repeated id is one row with several owners
+    owner = cells.where(F.col("cell_id").isNotNull()).groupBy(F.col("cell_id").alias("other_id")).agg(
+        F.collect_list(F.struct("skin_id", *[f"{a}_id" for a in names])).alias("_o")
     )
-    j = e.join(owner, "other_id", "left").join(back, ["cell_id", "reverse", "other_id"], "left")
+    link = F.array(*[F.struct(F.lit(k).cast("byte").alias("link"), F.col(f"{a}_id").alias("other_id")) for k, a in enumerate(names)])
+    e = cells.select("cell_id", "skin_id", F.explode(link).alias("l")).select("cell_id", "skin_id", "l.link", "l.other_id").where(F.col("other_id").isNotNull())
+    j = e.join(owner.hint("shuffle_hash"), "other_id", "left")
+    ways_by = lambda b: F.size(F.filter("_o", lambda x: x[f"{b}_id"] == F.col("cell_id")))
+    back = F.coalesce(*[F.when(F.col("link") == k, ways_by(b)) for k, (_, b) in enumerate(LINKS)])
+    # pairs of an edge with its owners and with its ways back, one at least
+    j = j.withColumns({"_owners": F.when(F.col("_o").isNull(), 0).otherwise(F.size("_o")), "_back": F.when(F.col("_o").isNull(), 0).otherwise(back)})
+    ways, seen = F.greatest("_back", F.lit(1)), F.greatest("_owners", F.lit(1))
+    strange = F.size(F.filter("_o", lambda x: x["skin_id"].isNull() | (x["skin_id"] != F.col("skin_id"))))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint")
     a = j.agg(
-        F.count_if(F.col("has_back").isNull()).alias("reciprocal_link_violation_count"),
-        F.count_if(F.col("other_skin").isNull() | (F.col("other_skin") != F.col("skin_id"))).alias("cross_skin_link_count"),
-        F.count_if(F.col("cell_id") == F.col("other_id")).alias("self_link_count"),
-    )
-    step = lambda link, src, dst: cells.select(
-        F.col("cell_id").alias(src), F.col(f"{link}_id").alias(dst)
-    ).where(F.col(dst).isNotNull())
-    rb = step("cr", "cell_id", "r").join(step("cb", "r", "rb"), "r").select("cell_id", "rb")
-    br = step("cb", "cell_id", "b").join(step("cr", "b", "br"), "b").select("cell_id", "br")
-    q = rb.join(br, "cell_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("rb") == F.col("br")).alias("m")
-    )
-    touched = j.where(F.col("other_skin").isNotNull()).select(F.explode(F.array("cell_id", "other_id")).alias("cell_id")).distinct()
-    isolated = cells.select("cell_id").join(touched, "cell_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+        total(F.when(F.col("_back") == 0, seen)).alias("reciprocal_link_violation_count"),
+        total(ways * F.when(F.col("_owners") == 0, 1).otherwise(strange)).alias("cross_skin_link_count"),
+        total(F.when(F.col("cell_id") == F.col("other_id"), ways * seen)).alias("self_link_count"),
+    )
+    # back at the cell: what it reaches through cr and cb, through cb and cr, and whether any link ends in a cell
+    through = lambda here, then: F.when(F.col("link") == names.index(here), F.transform("_o", lambda x: x[f"{then}_id"]))
+    known = F.exists("_o", lambda x: x["skin_id"].isNotNull())
+    met = j.where(F.col("_owners") > 0).select("cell_id", "other_id", "link", known.alias("t"), F.coalesce(through("cr", "cb"), through("cb", "cr")).alias("far"))
+    zero, one, nothing = F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), F.lit(None).cast(cells.schema["cb_id"].dataType)
+    ends = met.select("cell_id", "link", "t", F.explode_outer("far").alias("far"))
+    count = lambda name: F.when((F.col("link") == names.index(name)) & F.col("far").isNotNull(), one).otherwise(zero)
+    notes = (
+        cells.select("cell_id", nothing.alias("far"), one.alias("n"), F.lit(False).alias("t"), zero.alias("rb"), zero.alias("br"))
+        .unionByName(ends.select("cell_id", "far", zero.alias("n"), "t", count("cr").alias("rb"), count("cb").alias("br")))
+        .unionByName(met.where("t").select(F.col("other_id").alias("cell_id")).distinct().select(
+            "cell_id", nothing.alias("far"), zero.alias("n"), F.lit(True).alias("t"), zero.alias("rb"), zero.alias("br")))
+    )
+    sums = [F.sum(c).alias(c) for c in ("n", "rb", "br")]
+    by_end = notes.repartition("cell_id").groupBy("cell_id", "far").agg(*sums, F.max("t").alias("t"))
+    per = by_end.groupBy("cell_id").agg(*sums, F.max("t").alias("t"), F.sum(F.col("rb") * F.col("br")).alias("m"))
+    some = F.col("cell_id").isNotNull()
+    q = per.agg(
+        total(F.when(some, F.col("rb") * F.col("br"))).alias("n"), total(F.when(some, F.col("m"))).alias("m"),
+        total(F.when(~F.col("t") | ~some, F.col("n"))).alias("isolated"),
+    )
     n, m = q.select("n").scalar(), q.select("m").scalar()
     return a.withColumns(
         {
             "quad_closure_candidate_count": n, "quad_closure_match_count": m, "quad_closure_mismatch_count": n - m,
-            "isolated_cell_count": isolated.select("n").scalar(),
+            "isolated_cell_count": q.select("isolated").scalar(),
         }
     )
 
@@ -160,10 +180,13 @@ def link_components(cells: DataFrame) -> DataFrame:
     """Per skin: groups of cells joined by its links, the largest group, cells that stand alone."""
     from ridgeline.operators.components import label_graph
 
-    e = link_edges(cells)
+    cells = cut_lineage(cells)  # read by the edges, the nodes and the sizes
+    # a link and its way back are one edge of the graph
+    pair = [F.least("cell_id", "other_id").alias("a"), F.greatest("cell_id", "other_id").alias("b")]
+    e = link_edges(cells).where(F.col("cell_id") != F.col("other_id"))
     owner = cells.select(F.col("cell_id").alias("other_id"), F.col("skin_id").alias("_skin"))
-    inside = e.join(owner, "other_id").where((F.col("skin_id") == F.col("_skin")) & (F.col("cell_id") != F.col("other_id")))
-    labels = label_graph(cells.select(F.col("cell_id").alias("id")), inside.select(F.col("cell_id").alias("a"), F.col("other_id").alias("b")).distinct())
+    inside = e.select("cell_id", "skin_id", "other_id").join(owner, "other_id").where(F.col("skin_id") == F.col("_skin"))
+    labels = label_graph(cells.select(F.col("cell_id").alias("id")), inside.select(*pair).distinct())
     sizes = cells.select("cell_id", "skin_id").join(labels.withColumnRenamed("id", "cell_id"), "cell_id").groupBy("skin_id", "label").agg(F.count(F.lit(1)).alias("cells"))
     return sizes.groupBy("skin_id").agg(
         F.count(F.lit(1)).alias("component_count"), F.max("cells").alias("largest_component"), F.count_if(F.col("cells") == 1).alias("singleton_count")
