@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver_queries.base import IMG, TILING, VOX, case_voxels, image, query, s6, sql_pass, volume
+from driver_queries.base import IMAGE_TILING, IMG, TILING, VOX, case_voxels, image, query, s6, sql_pass, volume
 from ridgeline.functions.kernels import angle_samples, dip_samples, gaussian_weights, refine_samples, strike_samples
 from ridgeline.grid import to_traces, to_voxels
 from ridgeline.operators import scan_bank, scan_sweep, stencil, thinning
+from ridgeline.session import cut_lineage
 from ridgeline.sources.cases import scanner_input
 
 ID3 = ["i3", "i2", "i1"]
@@ -40,7 +41,7 @@ sc AS (SELECT i3, i2, i1, k, pt, CAST(abs(n1*d1 + n2*d2) + 2.0*abs(n1*n1*d11 + 2
  FROM (SELECT i3, i2, i1, {', '.join(f'CAST({d} AS DOUBLE) AS {d}' for d in stencil.DERIVATIVES_2D)} FROM dd) CROSS JOIN (VALUES {_B2}) b(k, n1, n2, pt)), {_PICK}
 SELECT i2, i1, round(CAST(pt AS DOUBLE), 3) AS pt, round(CAST(CAST(greatest(0.0, least(1.0, CAST(CAST(score AS DOUBLE)/hi AS FLOAT))) AS FLOAT) AS DOUBLE), 4) AS ft FROM b1, hi""")
 def q_fast2(spark, sf):
-    s = scan_bank.scan_fast_2d(image(spark, sf), "v", 30.0, 150.0, 4.0, TILING)
+    s = scan_bank.scan_fast_2d(image(spark, sf), "v", 30.0, 150.0, 4.0, IMAGE_TILING)
     return s.select("i2", "i1", F.round(F.col("pt").cast("double"), 3).alias("pt"), F.round(F.col("ft").cast("double"), 4).alias("ft"))
 
 
@@ -88,12 +89,12 @@ def planarity(spark, sf, case="single_dipping_plane"):
 # The sweeps resample rotated lattices; SQL twins are impractical, tests compare with whole-volume brute force.
 @query("scan_reference_2d")
 def q_ref2(spark, sf):
-    return to_voxels(scan_sweep.scan_reference_2d(image(spark, sf), "v", 30.0, 150.0, 4.0, tiling=TILING), ["ft", "pt"])
+    return to_voxels(scan_sweep.scan_reference_2d(image(spark, sf), "v", 30.0, 150.0, 4.0, tiling=IMAGE_TILING), ["ft", "pt"])
 
 
 @query("scan_dip_2d")
 def q_dip2(spark, sf):
-    return to_voxels(scan_sweep.scan_dip_2d(image(spark, sf), "v", 65.0, 85.0, 4.0, TILING), ["ft", "pt"])
+    return to_voxels(scan_sweep.scan_dip_2d(image(spark, sf), "v", 65.0, 85.0, 4.0, IMAGE_TILING), ["ft", "pt"])
 
 
 @query("scan_reference_3d")
@@ -131,10 +132,10 @@ def seeds_2d(spark, sf):
     from ridgeline.grid import flat_index, with_shape
     from ridgeline.operators.seeds import pick_seeds
 
-    s = scan_sweep.scan_reference_2d(image(spark, sf), "v", 30.0, 150.0, 4.0, tiling=TILING)
+    s = cut_lineage(scan_sweep.scan_reference_2d(image(spark, sf), "v", 30.0, 150.0, 4.0, tiling=IMAGE_TILING))  # read by seeds and votes
     vox = with_shape(to_voxels(s, ["ft", "pt"])).withColumn("flat", flat_index())
     c = vox.where(F.col("ft") > F.lit(0.9).cast("float")).select(*ID3, "flat", F.col("ft").alias("score"), "pt")
-    return s, pick_seeds(c, 4, True, TILING)
+    return s, pick_seeds(c, 4, True, IMAGE_TILING)
 
 
 @query("vote_2d")
@@ -143,7 +144,7 @@ def q_vote2(spark, sf):
     from ridgeline.operators.voting import Voter, path_voting
 
     s, picked = seeds_2d(spark, sf)
-    return to_voxels(path_voting(s, picked, Voter(5, 8), TILING), ["fv", "w1", "w2"])
+    return to_voxels(path_voting(s, picked, Voter(5, 8), IMAGE_TILING), ["fv", "w1", "w2"])
 
 
 @query("thin_votes_2d")
@@ -152,8 +153,8 @@ def q_thin2(spark, sf):
     from ridgeline.operators.voting import Voter, path_voting
 
     s, picked = seeds_2d(spark, sf)
-    v = path_voting(s, picked, Voter(5, 8), TILING)
-    t = thinning.thin_2d(v, "fv", "w1", "w2", False, TILING)
+    v = path_voting(s, picked, Voter(5, 8), IMAGE_TILING)
+    t = thinning.thin_2d(v, "fv", "w1", "w2", False, IMAGE_TILING)
     return to_voxels(t, ["fv", "keep"]).where("keep and fv > 0")
 
 
@@ -163,7 +164,7 @@ def seeds_3d(spark, sf, case="single_dipping_plane"):
     from ridgeline.operators.seeds import pick_seeds
 
     c = case_voxels(spark, sf, case)
-    traces = to_traces(c, ["ft", "pt", "tt"])
+    traces = cut_lineage(to_traces(c, ["ft", "pt", "tt"]))
     cand = c.withColumn("flat", flat_index()).where(F.col("ft") > F.lit(0.5).cast("float"))
     return traces, pick_seeds(cand.select(*ID3, "flat", F.col("ft").alias("score"), "pt", "tt"), 3, True, TILING)
 

@@ -2,13 +2,14 @@
 
 Taking candidates best-first and dropping all within a Chebyshev box gives the
 lexicographically first maximal independent set.  A tile accepts what is best in a box it
-sees whole and drops what that covers, again and again until it learns nothing more; only
-what hangs on rows outside its halo waits for the next exchange.  No task sees more than a
+sees whole and drops what that covers, as far as its rows tell; only what hangs on rows outside
+its halo waits for the next exchange, which deals wider tiles.  No task sees more than a
 tile, and the result is the sequential one.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -21,54 +22,56 @@ from ridgeline.operators.quantiles import quantile
 from ridgeline.operators.tiles import with_keys
 from ridgeline.session import cut_lineage
 
+_TILE_VOXELS = 4_000_000  # a tile of a later round spans no more (two flags each)
 _HALO = 4  # in distances; one is needed, more lets a tile settle more by itself
 XYZ = ["i3", "i2", "i1"]
 
 
-def box_max(a: np.ndarray, d: int) -> np.ndarray:
-    """Maximum over a Chebyshev box, one axis after the other."""
-    for axis in range(a.ndim):
-        out = a.copy()
-        for k in range(1, min(d, a.shape[axis] - 1) + 1):
-            lo = [slice(None)] * a.ndim
-            hi = [slice(None)] * a.ndim
-            lo[axis], hi[axis] = slice(None, -k), slice(k, None)
-            np.maximum(out[tuple(lo)], a[tuple(hi)], out=out[tuple(lo)])
-            np.maximum(out[tuple(hi)], a[tuple(lo)], out=out[tuple(hi)])
-        a = out
-    return a
-
-
 def settle(pdf: pd.DataFrame, d: int, late_first: bool, seen: tuple[tuple[float, float], tuple[float, float]]) -> np.ndarray:
     """Per row: 1 accepted, 0 still open, -1 dropped; rows ``fixed`` were accepted before and only cover others.
 
     ``seen`` holds, for i3 and i2, the index range whose candidates are all in ``pdf``.  A row is
-    accepted when it is the best open one of its box and its box is seen whole; that is final, so the
-    tile goes on until nothing changes.  What may depend on unseen rows stays open and blocks others.
+    accepted when it is the best open one of its box and its box is seen whole; that is final.  What may
+    depend on unseen rows stays open and blocks others.
     """
     pos = pdf[XYZ].to_numpy(np.int64)
     whole = np.ones(len(pdf), bool)
     for axis, (lo, hi) in enumerate(seen):
         whole &= (pos[:, axis] - d >= lo) & (pos[:, axis] + d < hi)
-    at = tuple((pos - pos.min(axis=0)).T)
     last = (pdf["flat"] if late_first else -pdf["flat"]).to_numpy(np.int64)
-    rank = np.zeros(len(pdf), np.int64)
-    rank[np.lexsort((last, pdf["score2"].to_numpy(), pdf["score"].to_numpy()))] = np.arange(1, len(pdf) + 1)
-    won = pdf["fixed"].to_numpy() == 1
-    state = np.where(won, -1, 0)
-    grid = np.zeros([a.max() + 1 for a in at], np.int64)
-    grid[at] = np.where(won, 0, rank)
-    while True:
-        mark = np.zeros(grid.shape, np.int8)
-        mark[tuple(a[won] for a in at)] = 1
-        gone = (state == 0) & (box_max(mark, d)[at] > 0)
-        state[gone] = -1
-        grid[tuple(a[gone] for a in at)] = 0
-        won = (state == 0) & whole & (box_max(grid, d)[at] == rank)
-        if not won.any():
-            return state
-        state[won] = 1
-        grid[tuple(a[won] for a in at)] = 0
+    order = np.lexsort((last, pdf["score2"].to_numpy(), pdf["score"].to_numpy()))[::-1]
+    low = pos - pos.min(axis=0)  # corner of a row's box in grids that are d wider on each side
+    shape = low.max(axis=0) + 2 * d + 1
+    covered, blocked = np.zeros(shape, bool), np.zeros(shape, bool)
+    wide = 2 * d + 1
+    fixed = pdf["fixed"].to_numpy() == 1
+    for x, y, z in low[fixed].tolist():
+        covered[x : x + wide, y : y + wide, z : z + wide] = True
+    state = np.full(len(pdf), -1)
+    order = order[~fixed[order]]
+    order = order[~covered[tuple((low[order] + d).T)]]
+    # best first, so every row finds what its betters have marked: one pass, however long the chain of rows is
+    for k, free, (x, y, z) in zip(order.tolist(), whole[order].tolist(), low[order].tolist()):
+        at = (x + d, y + d, z + d)
+        if covered[at]:
+            continue
+        taken = free and not blocked[at]
+        state[k] = 1 if taken else 0
+        (covered if taken else blocked)[x : x + wide, y : y + wide, z : z + wide] = True
+    return state
+
+
+def _wider(tiling: Tiling, halo: int, ends) -> Tiling:
+    """Tiles of twice the size along the axis they cover least of, up to a bounded number of voxels.
+
+    Equal scores make chains of rows that reach through the whole volume, of which a tile settles its own
+    part in each round; wider tiles keep the number of rounds from growing with the volume.
+    """
+    left = {"block3": (ends["i3"] + 1) / tiling.block3, "block2": (ends["i2"] + 1) / tiling.block2}
+    name = max(left, key=left.get)
+    wide = replace(tiling, **{name: 2 * getattr(tiling, name)})
+    spans = [min(ends[c] + 1, b + 2 * halo) for c, b in (("i3", wide.block3), ("i2", wide.block2))]
+    return wide if left[name] > 1 and spans[0] * spans[1] * (ends["i1"] + 1) <= _TILE_VOXELS else tiling
 
 
 def pick_seeds(
@@ -92,33 +95,37 @@ def pick_seeds(
     ))
     accepted = []
     halo, head = _HALO * distance, key_ddl(alive, tiling.keys)
-    ends = alive.agg(F.max("i3").alias("i3"), F.max("i2").alias("i2")).first()  # two numbers
+    ends = alive.agg(*[F.max(c).alias(c) for c in XYZ]).first()  # three numbers
     if ends["i3"] is None:
         return candidates
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = []
-        for axis, block, tile in (("i3", tiling.block3, TILE3), ("i2", tiling.block2, TILE2)):
-            low, high = int(pdf[tile].iloc[0]) * block - halo, (int(pdf[tile].iloc[0]) + 1) * block + halo
-            seen.append((-np.inf if low <= 0 else low, np.inf if high > ends[axis] else high))
-        state = settle(pdf, distance, late_first, tuple(seen))
-        keep = pdf["_core"].to_numpy() & (state >= 0)
-        out = with_keys(pdf.loc[keep, [*XYZ, "flat", "score", "score2"]], pdf, keys)[[*keys, *XYZ, "flat", "score", "score2"]]
-        return out.assign(fixed=state[keep].astype(np.int32))
+    def decider(tiling: Tiling):
+        def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+            seen = []
+            for axis, block, tile in (("i3", tiling.block3, TILE3), ("i2", tiling.block2, TILE2)):
+                low, high = int(pdf[tile].iloc[0]) * block - halo, (int(pdf[tile].iloc[0]) + 1) * block + halo
+                seen.append((-np.inf if low <= 0 else low, np.inf if high > ends[axis] else high))
+            state = settle(pdf, distance, late_first, tuple(seen))
+            keep = pdf["_core"].to_numpy() & (state >= 0)
+            out = with_keys(pdf.loc[keep, [*XYZ, "flat", "score", "score2"]], pdf, keys)[[*keys, *XYZ, "flat", "score", "score2"]]
+            return out.assign(fixed=state[keep].astype(np.int32))
+
+        return decide
 
     while True:
         tiles = with_halo(alive, halo, halo, tiling)
         done = cut_lineage(
             tiles.groupBy(*tiling.tile_cols).applyInPandas(
-                decide, f"{head}i3 int, i2 int, i1 int, flat bigint, score double, score2 double, fixed int"
+                decider(tiling), f"{head}i3 int, i2 int, i1 int, flat bigint, score double, score2 double, fixed int"
             )
         )
         accepted.append(done.where("fixed = 1").select(*keys, "flat"))
         alive = done  # the new picks go along once more: they cover rows that other tiles still hold open
         if done.where("fixed = 0").isEmpty():
             break
+        tiling = _wider(tiling, halo, ends)
     chosen = reduce(lambda a, b: a.unionByName(b), accepted)
-    return candidates.join(chosen, [*keys, "flat"], "left_semi")
+    return candidates.join(chosen.hint("merge"), [*keys, "flat"], "left_semi")  # as long as the volume
 
 
 def center_margins(shape: tuple[int, int, int], crop: tuple[int, int, int]) -> tuple[int, int, int]:
