@@ -62,12 +62,13 @@ def nearest_distance(points: DataFrame, targets: DataFrame, n2, chunk: int = _CH
     """
     n2c = F.lit(n2) if isinstance(n2, int) else n2
     k = [*keys]
-    n3 = int(targets.agg(F.max("i3").alias("m")).first()["m"] or 0) + 1  # one number
-    chunk = max(16, min(chunk, _GROUP_VALUES // n3))
+    ends = targets.agg(F.max("i3").alias("i3"), F.max("i1").alias("i1")).first()  # two numbers
+    n3 = int(ends["i3"] or 0) + 1
+    chunk = max(16, min(chunk, _GROUP_VALUES // n3, int(ends["i1"] or 0) + 1))  # no wider than the traces
     lines = targets.groupBy(*k, "i3", "i2").agg(F.array_sort(F.collect_set("i1")).alias("at"))
     wanted = points.select(*k, F.floor(F.col("i1") / chunk).cast("int").alias("c1")).distinct()
     if keys:
-        lines = lines.join(wanted, k)
+        lines = lines.join(F.broadcast(wanted), k)  # a few rows a key
     else:
         lines = lines.withColumn("c1", F.explode(wanted.agg(F.collect_set("c1").alias("c")).select("c").scalar()))
     lines = lines.withColumn("n2", n2c.cast("int"))
@@ -93,7 +94,9 @@ def nearest_distance(points: DataFrame, targets: DataFrame, n2, chunk: int = _CH
         out = pd.DataFrame({"i2": rows, "d2": list(best)})
         return with_keys(out, pdf, [*k, "i3", "c1"])[[*k, "i3", "c1", "i2", "d2"]]
 
-    slabs = lines.groupBy(*k, "i3", "c1").applyInPandas(
+    # An explicit count: the rows are short but the work on them is not, so they must not be coalesced.
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slabs = lines.repartition(n, *k, "i3", "c1").groupBy(*k, "i3", "c1").applyInPandas(
         slab, f"{key_ddl}i3 int, c1 int, i2 int, d2 array<bigint>"
     )
     asked = points.select(*k, "i3", "i2", "i1", F.floor(F.col("i1") / chunk).cast("int").alias("c1"))
@@ -119,7 +122,7 @@ def nearest_distance(points: DataFrame, targets: DataFrame, n2, chunk: int = _CH
         return out.assign(d2=best)
 
     return (
-        asked.groupBy(*k, "i2", "c1")
-        .cogroup(slabs.groupBy(*k, "i2", "c1"))
+        asked.repartition(n, *k, "i2", "c1").groupBy(*k, "i2", "c1")
+        .cogroup(slabs.repartition(n, *k, "i2", "c1").groupBy(*k, "i2", "c1"))
         .applyInPandas(across, f"{key_ddl}i3 int, i2 int, i1 int, d2 bigint")
     )

@@ -95,14 +95,14 @@ def top_k_by_key(
         *[of(c).alias(c) for c in keys], F.col("_v").alias("_cut"),
         (F.least(of(k), F.col("_total")) - F.col("_total") + F.col("_upto")).alias("_need"),
     ))  # one row per key, used twice
-    ties = pool.join(cuts, keys).where(v == F.col("_cut"))
+    ties = pool.join(F.broadcast(cuts), keys).where(v == F.col("_cut"))
     last = ranks_by_key(ties, [*keys, "_need"], flat, of("_need") - 1).select(
         *[of(c).alias(c) for c in keys], F.col("_v").alias("_last")
     )
     hit = (v > F.col("_cut")) | ((v == F.col("_cut")) & (F.col(flat) <= F.col("_last")))
     if positive_only:
         hit = hit & (F.col(col) > F.lit(float(epsilon)))
-    out_rows = df.join(cuts.join(last, keys), keys, "left")
+    out_rows = df.join(F.broadcast(cuts.join(last, keys)), keys, "left")
     return out_rows.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_cut", "_need", "_last")
 
 

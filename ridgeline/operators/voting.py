@@ -373,7 +373,7 @@ def finish_votes(
     spread = F.pandas_udf(_spread_rows, "array<float>")
     at = [*tiling.keys, "i3", "i2"]
     packed = sums.groupBy(*at).agg(F.collect_list(F.struct("i1", *names)).alias("p"))  # at most one trace
-    dense = frame.join(packed, at, "left").select(
+    dense = frame.join(packed.hint("merge"), at, "left").select(
         *at, *[spread(F.col("n1"), F.col("p.i1"), F.col(f"p.{a}")).alias(a) for a in names]
     )
     if sigma > 0:

@@ -89,7 +89,7 @@ def stage_volumes(cases: DataFrame, profile: Profile, tiling: Tiling = DEFAULT_T
         parts.append(part(thinned[source], F.lit(f"{source}/scanner_thinned"), "ft", "pt", "tt"))
     for mode in dict.fromkeys(thin for _, thin in CELLS.values()):
         thin = thin_votes(votes, mode, by_source).select(*TRIAL, "source", *XYZ, "thin")
-        parts.append(part(thin.join(fields, [*TRIAL, "source", *XYZ]), F.concat("source", F.lit(f"/{mode}/fvt")), "thin", "vp", "vt"))
+        parts.append(part(thin.join(fields.hint("merge"), [*TRIAL, "source", *XYZ]), F.concat("source", F.lit(f"/{mode}/fvt")), "thin", "vp", "vt"))
     gap = to_voxels(raw["q"], ["ft", "gap"], [*TRIAL])
     return reduce(lambda a, b: a.unionByName(b), parts), gap
 
@@ -103,7 +103,7 @@ def select_candidates(volumes: DataFrame, truth: DataFrame) -> DataFrame:
     votes = F.col("block").endswith("/fv") | F.col("block").endswith("/fvt")
     also = votes & (F.col("value") > F.lit(NONZERO_EPSILON))
     selections = F.when(also, F.array(F.lit(TOP), F.lit(POSITIVE_TOP))).otherwise(F.array(F.lit(TOP)))
-    v = volumes.join(k, list(TRIAL)).withColumn("selection", F.explode(selections))
+    v = volumes.join(F.broadcast(k), list(TRIAL)).withColumn("selection", F.explode(selections))
     return top_k_by_key(v, "value", "_truth", GROUP).where("mask").drop("mask", "_truth")
 
 
@@ -117,10 +117,10 @@ def score_candidates(candidates: DataFrame, truth: DataFrame, groups: DataFrame,
     n2 = shape.select("n2").scalar()
     points = candidates.select(*TRIAL, *XYZ).distinct()
     reached = cut_lineage(nearest_distance(points, truth.select(*TRIAL, *XYZ), n2, keys=TRIAL))
-    c = candidates.join(reached, [*TRIAL, *XYZ], "left")
+    c = candidates.join(reached.hint("merge"), [*TRIAL, *XYZ], "left")
     for n in ("n3", "n2", "n1"):
         c = c.withColumn(n, shape.select(n).scalar())
-    wanted = truth.select(*TRIAL, *XYZ).join(groups.select(*GROUP), list(TRIAL))
+    wanted = truth.select(*TRIAL, *XYZ).join(F.broadcast(groups.select(*GROUP)), list(TRIAL))
     t = nearest_distance(wanted, candidates.select(*GROUP, *XYZ), n2, keys=tuple(GROUP))
     c, t = cut_lineage(c), cut_lineage(t)
     inside = F.coalesce(F.col("d2") <= RADIUS * RADIUS, F.lit(False))
@@ -176,7 +176,7 @@ def confidence_rows(gap: DataFrame, flat: Column, truth: DataFrame) -> DataFrame
     base = with_totals(base, gap, TRIAL, _lo=F.min("gap"), _hi=F.max("gap"))
     unit = F.when(F.col("_hi") > F.col("_lo"), (F.col("gap") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
     k = truth.groupBy(*TRIAL).agg(F.count(F.lit(1)).alias("_truth"))
-    v = top_k_by_key(base.withColumn("confidence", unit.cast("double")).join(k, list(TRIAL)), "ft", "_truth", list(TRIAL))
+    v = top_k_by_key(base.withColumn("confidence", unit.cast("double")).join(F.broadcast(k), list(TRIAL)), "ft", "_truth", list(TRIAL))
     both = v.withColumn("selection", F.explode(F.when(F.col("mask"), F.array(F.lit("finite"), F.lit("raw_top_truth_count"))).otherwise(
         F.array(F.lit("finite")))))
     keys = [*TRIAL, "selection"]
@@ -219,7 +219,7 @@ def score_volumes(volumes: DataFrame, case: DataFrame, trials: DataFrame) -> Dat
         sized = sized.withColumn(n, shape.select(n).scalar())
     sized = sized.withColumn("flat", flat_index()).drop("n2", "n1")
     true_angles = case.select(*TRIAL, *XYZ, F.col("pt").alias("true_strike"), F.col("tt").alias("true_dip"))
-    chosen = cut_lineage(select_candidates(sized, truth).join(true_angles, [*TRIAL, *XYZ]))
+    chosen = cut_lineage(select_candidates(sized, truth).join(true_angles.hint("merge"), [*TRIAL, *XYZ]))
     scored = score_candidates(chosen, truth, block_groups(trials), shape)
     filled = volumes.groupBy(*BLOCK).agg(
         (F.count_if(F.abs("value") > NONZERO_EPSILON) / F.count(F.lit(1))).alias("array_nonzero_fraction")
