@@ -85,7 +85,7 @@ def top_k_by_key(
     """:func:`top_k_mask` within each key; ``k`` names a column that is the same on all rows of a key.
 
     Ranks are found by counting (:func:`ranks_by_key`), so no key is ever sorted in one task.  ``df`` is read
-    three times: store it first when it is expensive.
+    five times, and only rows near the cut are shuffled: store it first when it is expensive.
     Keys and ``k`` must not be NULL; a key without rows to choose from gets no true row.
     """
     v = F.col(col).cast("double")

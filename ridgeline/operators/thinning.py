@@ -8,6 +8,7 @@ with gaps-and-islands windows over the surviving candidates.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,14 +178,17 @@ def thin_hybrid(
     return T.tile_map(df, [value, strike, dip], (r, r), fn, {out: _ARRAY}, tiling, _traces(df, tiling, out))
 
 
-def thin_hybrid_v2(
+def hybrid_v2_traces(
     df: DataFrame, value: str, strike: str, dip: str, tie: str | None = None, threshold: float = 8.0,
     edge_margin: int = 2, tolerance: float = 1.0e-6, sigma: float = 1.0,
     tiling: Tiling = DEFAULT_TILING, out: str = "thin",
 ) -> DataFrame:
-    """Hybrid thinning with plateau recovery in the edge shell; voxel layout."""
+    """Hybrid thinning with plateau recovery in the edge shell; strike and dip pass through.
+
+    Recovered samples are few: they are gathered per trace and join whole traces.
+    """
     r = radius(sigma) + 2
-    keys = list(tiling.keys)
+    at = [*tiling.keys, I3, I2]
 
     def fn(b, a3, a2):
         s = _flat_smooth(b[value], sigma)
@@ -195,32 +199,59 @@ def thin_hybrid_v2(
             "_base": np.where(rough & (nrm > 0), nrm, ref), "_open": (nrm <= 0) | (T.count27(nrm > 0) <= 1),
         }
 
-    t = T.tile_map(df, [value, strike, dip], (r, r), fn, {"_base": _ARRAY, "_open": _FLAGS}, tiling)
-    vox = with_shape(to_voxels(t, ["_base", "_open"], keys))
-    plateau = thin_plateau(df, value, strike, dip, tie, tolerance, sigma, tiling, "_pl")
-    vox = vox.join(plateau, [*keys, I3, I2, I1], "left")
+    t = T.tile_map(df, [value, strike, dip], (r, r), fn, {"_base": _ARRAY, "_open": _FLAGS}, tiling, [strike, dip])
+    plateau = with_shape(thin_plateau(df, value, strike, dip, tie, tolerance, sigma, tiling, "_pl"), df)
     edge = F.least(
         F.col(I3), F.col("n3") - 1 - F.col(I3), F.col(I2), F.col("n2") - 1 - F.col(I2),
         F.col(I1), F.col("n1") - 1 - F.col(I1),
     ) < edge_margin
-    use = edge & F.col("_open") & (F.coalesce(F.col("_pl"), F.lit(0.0)) > 0)
-    return vox.select(*keys, I3, I2, I1, F.when(use, F.col("_pl")).otherwise(F.col("_base")).alias(out))
+    found = plateau.where(edge & (F.col("_pl") > 0)).groupBy(*at).agg(F.collect_list(F.struct(I1, "_pl")).alias("_p"))
+    recovered = F.pandas_udf(_recovered, _ARRAY)
+    return t.join(found.hint("merge"), at, "left").select(
+        *at, recovered("_base", "_open", F.col(f"_p.{I1}"), F.col("_p._pl")).alias(out), strike, dip
+    )
 
 
-def remove_edge_effects(df: DataFrame, value: str, strike: str, dip: str, width: int = 5) -> DataFrame:
-    """Zero samples near i3/i2 faces whose normal points at the face (voxels with n3, n2).
+def _recovered(base: pd.Series, free: pd.Series, at: pd.Series, values: pd.Series) -> pd.Series:
+    """Traces with the given samples put in where they are free."""
+    out = []
+    for b, f, i, v in zip(base, free, at, values):
+        if i is not None and len(i):
+            use = f[i]
+            b = b.copy()
+            b[i[use]] = v[use]
+        out.append(b)
+    return pd.Series(out)
 
-    Fixed values: within five samples, squared normal component above cos(30 deg)^2.
-    """
+
+def thin_hybrid_v2(
+    df: DataFrame, value: str, strike: str, dip: str, tie: str | None = None, threshold: float = 8.0,
+    edge_margin: int = 2, tolerance: float = 1.0e-6, sigma: float = 1.0,
+    tiling: Tiling = DEFAULT_TILING, out: str = "thin",
+) -> DataFrame:
+    """:func:`hybrid_v2_traces` in voxel layout."""
+    t = hybrid_v2_traces(df, value, strike, dip, tie, threshold, edge_margin, tolerance, sigma, tiling, out)
+    return to_voxels(t, [out], list(tiling.keys))
+
+
+def _edge_effect(strike: Column, dip: Column, width: int = 5) -> Column:
+    """Whether a sample near an i3/i2 face has a normal that points at it."""
     c = np.float32(np.cos(np.radians(30.0)))
     limit = F.lit(float(c * c)).cast("float")
-    _, w2, w3 = normal_vector(_c(strike).cast("double"), _c(dip).cast("double"))
+    _, w2, w3 = normal_vector(strike.cast("double"), dip.cast("double"))
 
     def near(i, n):
         return (F.col(i) < width) | (F.col(i) >= F.greatest(F.col(n) - width, F.lit(0)))
 
-    bad = (near(I3, "n3") & ((w3 * w3).cast("float") > limit)) | (near(I2, "n2") & ((w2 * w2).cast("float") > limit))
-    keep = (F.col(value) != 0) & ~bad
+    return (near(I3, "n3") & ((w3 * w3).cast("float") > limit)) | (near(I2, "n2") & ((w2 * w2).cast("float") > limit))
+
+
+def remove_edge_effects(df: DataFrame, value: str, strike: str, dip: str, width: int = 5) -> DataFrame:
+    """Zero samples near i3/i2 faces whose normal points at the face (voxels with n3, n2).
+
+    Fixed values: within five samples, squared normal component above cos(30 deg)^2.
+    """
+    keep = (F.col(value) != 0) & ~_edge_effect(_c(strike), _c(dip), width)
     zero = F.lit(0.0).cast("float")
     return df.withColumn("keep", keep).withColumns(
         {c_: F.when(F.col("keep"), F.col(c_)).otherwise(zero) for c_ in (value, strike, dip)}
@@ -235,10 +266,29 @@ def scanner_thin_reference(
     thin = thin_reference(df, ft, pt, sigma, reinforce_vertical=False, tiling=tiling, out="_thin", keep_out="_keep")
     vox = _masked_attributes(thin, ft, pt, tt, tiling)
     if remove_edges:
-        vox = remove_edge_effects(with_shape(vox), ft, pt, tt).drop("keep", "n3", "n2", "n1")
+        vox = remove_edge_effects(with_shape(vox, df), ft, pt, tt).drop("keep", "n3", "n2", "n1")
     return vox
 
 
+def scanner_thin_traces(
+    df: DataFrame, ft: str = "ft", pt: str = "pt", tt: str = "tt", sigma: float = 1.0, tiling: Tiling = DEFAULT_TILING,
+    shape: tuple[int, int, int] | None = None,
+) -> DataFrame:
+    """:func:`scanner_thin_reference` with edge effects removed, in trace layout: no voxel is shuffled to make traces again."""
+    thin = thin_reference(df, ft, pt, sigma, reinforce_vertical=False, tiling=tiling, out="_thin", keep_out="_keep")
+    thin = thin.withColumns(dict(zip(("n3", "n2", "n1"), map(F.lit, shape)))) if shape else with_shape(thin, df)
+    zero = F.lit(0.0).cast("float")
+
+    def sample(e):
+        p, t = (F.when(e["_keep"], e[c]).otherwise(zero) for c in ("_p", "_t"))
+        keep = (e["_v"] != 0) & ~_edge_effect(p, t)
+        return F.struct(*[F.when(keep, x).otherwise(zero).alias(n) for n, x in ((ft, e["_v"]), (pt, p), (tt, t))])
+
+    named = [F.col(c).alias(n) for c, n in (("_thin", "_v"), ("_keep", "_keep"), (pt, "_p"), (tt, "_t"))]
+    zipped = thin.select(*tiling.keys, I3, I2, "n3", "n2", *named).withColumn("_z", F.transform(F.arrays_zip("_v", "_keep", "_p", "_t"), sample))
+    return zipped.select(*tiling.keys, I3, I2, *[F.col("_z").getField(c).alias(c) for c in (ft, pt, tt)])
+
+
 def scanner_thin_normal(
     df: DataFrame, ft: str = "ft", pt: str = "pt", tt: str = "tt", tiling: Tiling = DEFAULT_TILING
 ) -> DataFrame:

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.angles import periodic_error
 from ridgeline.functions.scores import NONZERO_EPSILON, f1, near_edge, ratio
-from ridgeline.grid import DEFAULT_TILING, Tiling, flat_index, to_traces, to_voxels, with_shape, with_totals
+from ridgeline.grid import DEFAULT_TILING, Tiling, flat_index, shape_of, to_traces, to_voxels, with_totals
 from ridgeline.operators import scan_sweep, thinning
 from ridgeline.operators.distance import nearest_distance
 from ridgeline.operators.masks import top_k_by_key
 from ridgeline.operators.quantiles import grouped_quantiles
-from ridgeline.plans.workflow import Profile, orientations, thin_votes, vote_stage
+from ridgeline.plans.workflow import Profile, orientations, thin_vote_traces, vote_traces
 from ridgeline.session import cut_lineage
 
 XYZ = ["i3", "i2", "i1"]
@@ -59,39 +59,40 @@ def cells_of_blocks() -> dict[str, tuple[str, list[str]]]:
     return out
 
 
-def stage_volumes(cases: DataFrame, profile: Profile, tiling: Tiling = DEFAULT_TILING, input_col: str = "g") -> tuple[DataFrame, DataFrame]:
-    """All stages of all trials: (trial_id, block, i3, i2, i1, value, strike, dip) and the quality scan's confidence gap.
+def stage_volumes(
+    case: DataFrame, profile: Profile, tiling: Tiling, input_col: str, shape: tuple[int, int, int]
+) -> tuple[DataFrame, DataFrame]:
+    """All stages of all trials as traces (trial_id, block, i3, i2, value, strike, dip), and the quality scan's (trial_id, i3, i2, ft, gap).
 
-    ``cases``: trial_id, i3, i2, i1, ft, pt, tt and the scanner input; all trials share one shape.
+    ``case``: stored traces trial_id, i3, i2, ft, pt, tt and the scanner input; all trials share one shape.
+    Every stage is stored once, as traces; what is returned only reads them.
     """
     by_trial = Tiling(tiling.block3, tiling.block2, TRIAL)
     by_source = Tiling(tiling.block3, tiling.block2, (*TRIAL, "source"))
     quality = Profile(**{**profile.__dict__, "refinement": max(2, profile.refinement)})
-    planarity = to_traces(cases, [input_col], TRIAL)
+    planarity = case.select(*TRIAL, "i3", "i2", input_col)
     raw, thinned = {}, {}
     for source, p in (("rl", profile), ("q", quality)):
         phis, thetas = orientations(p)
-        raw[source] = cut_lineage(scan_sweep.scan_sweep_3d(planarity, input_col, phis, thetas, p.sigma, tiling=by_trial))
-        thinned[source] = cut_lineage(thinning.scanner_thin_reference(raw[source], tiling=by_trial))
-    tag = lambda df, source: df.select(*TRIAL, F.lit(source).alias("source"), *XYZ, "ft", "pt", "tt")
-    inputs = [tag(cases, "oracle"), *[tag(v, s) for s, v in thinned.items()]]
-    votes = vote_stage(reduce(lambda a, b: a.unionByName(b), inputs), profile, by_source)
-    fields = to_voxels(votes, ["fv", "vp", "vt"], [*TRIAL, "source"])
+        raw[source] = cut_lineage(scan_sweep.scan_sweep_3d(planarity, input_col, phis, thetas, p.sigma, tiling=by_trial, shape=shape))
+        thinned[source] = cut_lineage(thinning.scanner_thin_traces(raw[source], tiling=by_trial, shape=shape))
+    tag = lambda df, source: df.select(*TRIAL, F.lit(source).alias("source"), "i3", "i2", "ft", "pt", "tt")
+    inputs = [tag(case, "oracle"), *[tag(v, s) for s, v in thinned.items()]]
+    votes = vote_traces(reduce(lambda a, b: a.unionByName(b), inputs), profile, by_source, shape)
 
     def part(df: DataFrame, block: Column, value: str, strike: str, dip: str) -> DataFrame:
         return df.select(
-            *TRIAL, block.alias("block"), *XYZ, F.col(value).alias("value"), F.col(strike).alias("strike"), F.col(dip).alias("dip")
+            *TRIAL, block.alias("block"), "i3", "i2", F.col(value).alias("value"), F.col(strike).alias("strike"), F.col(dip).alias("dip")
         )
 
-    parts = [part(fields, F.concat("source", F.lit("/fv")), "fv", "vp", "vt")]
+    parts = [part(votes, F.concat("source", F.lit("/fv")), "fv", "vp", "vt")]
     for source in raw:
-        parts.append(part(to_voxels(raw[source], ["ft", "pt", "tt"], [*TRIAL]), F.lit(f"{source}/scanner_raw"), "ft", "pt", "tt"))
+        parts.append(part(raw[source], F.lit(f"{source}/scanner_raw"), "ft", "pt", "tt"))
         parts.append(part(thinned[source], F.lit(f"{source}/scanner_thinned"), "ft", "pt", "tt"))
     for mode in dict.fromkeys(thin for _, thin in CELLS.values()):
-        thin = thin_votes(votes, mode, by_source).select(*TRIAL, "source", *XYZ, "thin")
-        parts.append(part(thin.join(fields.hint("merge"), [*TRIAL, "source", *XYZ]), F.concat("source", F.lit(f"/{mode}/fvt")), "thin", "vp", "vt"))
-    gap = to_voxels(raw["q"], ["ft", "gap"], [*TRIAL])
-    return reduce(lambda a, b: a.unionByName(b), parts), gap
+        thin = cut_lineage(thin_vote_traces(votes, mode, by_source))
+        parts.append(part(thin, F.concat("source", F.lit(f"/{mode}/fvt")), "thin", "vp", "vt"))
+    return reduce(lambda a, b: a.unionByName(b), parts), raw["q"].select(*TRIAL, "i3", "i2", "ft", "gap")
 
 
 def select_candidates(volumes: DataFrame, truth: DataFrame) -> DataFrame:
@@ -103,8 +104,9 @@ def select_candidates(volumes: DataFrame, truth: DataFrame) -> DataFrame:
     votes = F.col("block").endswith("/fv") | F.col("block").endswith("/fvt")
     also = votes & (F.col("value") > F.lit(NONZERO_EPSILON))
     selections = F.when(also, F.array(F.lit(TOP), F.lit(POSITIVE_TOP))).otherwise(F.array(F.lit(TOP)))
-    v = volumes.join(F.broadcast(k), list(TRIAL)).withColumn("selection", F.explode(selections))
-    return top_k_by_key(v, "value", "_truth", GROUP).where("mask").drop("mask", "_truth")
+    # positive samples come before all others, so the first k of them are the positive ones among the first k of all
+    top = top_k_by_key(volumes.join(F.broadcast(k), list(TRIAL)), "value", "_truth", BLOCK).where("mask").drop("mask", "_truth")
+    return top.withColumn("selection", F.explode(selections))
 
 
 def score_candidates(candidates: DataFrame, truth: DataFrame, groups: DataFrame, shape: DataFrame) -> DataFrame:
@@ -114,20 +116,20 @@ def score_candidates(candidates: DataFrame, truth: DataFrame, groups: DataFrame,
     ``truth``: trial_id, i3, i2, i1 of the truth voxels.  One distance look-up each way gives the surface distances, the buffered overlap and the false positives of the edge: a sample is inside the buffer when
     its distance is at most the radius.  Nothing on both sides is distance 0, on one side the diagonal.
     """
-    n2 = shape.select("n2").scalar()
+    dims = shape.select("n3", "n2", "n1").first().asDict()  # three numbers
     points = candidates.select(*TRIAL, *XYZ).distinct()
-    reached = cut_lineage(nearest_distance(points, truth.select(*TRIAL, *XYZ), n2, keys=TRIAL))
-    c = candidates.join(reached.hint("merge"), [*TRIAL, *XYZ], "left")
-    for n in ("n3", "n2", "n1"):
-        c = c.withColumn(n, shape.select(n).scalar())
+    reached = nearest_distance(points, truth.select(*TRIAL, *XYZ), dims["n2"], keys=TRIAL)
+    c = candidates.join(reached.hint("merge"), [*TRIAL, *XYZ], "left").withColumns({n: F.lit(v) for n, v in dims.items()})
     wanted = truth.select(*TRIAL, *XYZ).join(F.broadcast(groups.select(*GROUP)), list(TRIAL))
-    t = nearest_distance(wanted, candidates.select(*GROUP, *XYZ), n2, keys=tuple(GROUP))
+    t = nearest_distance(wanted, candidates.select(*GROUP, *XYZ), dims["n2"], keys=tuple(GROUP))
     c, t = cut_lineage(c), cut_lineage(t)
     inside = F.coalesce(F.col("d2") <= RADIUS * RADIUS, F.lit(False))
-    mine = c.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("candidate_count"), F.count_if(inside).alias("_near"), F.count_if(near_edge(MARGIN) & ~inside).alias("_edge")
+    flag = lambda x, name: x.cast("int").alias(name)
+    marks = c.select(*GROUP, F.lit(1).alias("_own"), flag(inside, "_near"), flag(near_edge(MARGIN) & ~inside, "_edge"), F.lit(0).alias("_met"))
+    marks = marks.unionByName(t.select(*GROUP, *[F.lit(0).alias(n) for n in ("_own", "_near", "_edge")], flag(inside, "_met")))
+    counts = marks.groupBy(*GROUP).agg(
+        F.sum("_own").alias("candidate_count"), *[F.sum(n).alias(n) for n in ("_near", "_edge", "_met")]
     )
-    theirs = t.groupBy(*GROUP).agg(F.count_if(inside).alias("_met"))
     d = lambda x: F.col(x).cast("double")
     e = lambda what, x: F.struct(F.lit(what).alias("what"), x.alias("x"))
     errors = c.select(*GROUP, F.explode(F.array(
@@ -142,12 +144,10 @@ def score_candidates(candidates: DataFrame, truth: DataFrame, groups: DataFrame,
     )
     truths = truth.groupBy(*TRIAL).agg(F.count(F.lit(1)).alias("_truth"))
     out = groups.join(truths, list(TRIAL), "left")
-    for x in (mine, theirs, wide):
+    for x in (counts, wide):
         out = out.join(x, GROUP, "left")
     out = out.fillna(0, ["_truth", "candidate_count", "_near", "_edge", "_met"])
-    diagonal = shape.select(
-        F.sqrt(sum(((F.col(n) - 1).cast("double") * (F.col(n) - 1) for n in ("n3", "n2", "n1")), F.lit(0.0))).alias("d")
-    ).select("d").scalar()
+    diagonal = F.sqrt(F.lit(sum((float(n) - 1) ** 2 for n in dims.values())))
     none = (F.col("_truth") == 0) & (F.col("candidate_count") == 0)
     fill = {s: F.when(none, F.lit(0.0)).otherwise(diagonal) if "truth" in s else F.lit(0.0) for s in summaries}
     out = out.withColumns({s: F.coalesce(F.col(s), fill[s]) for s in summaries})
@@ -181,7 +181,7 @@ def confidence_rows(gap: DataFrame, flat: Column, truth: DataFrame) -> DataFrame
         F.array(F.lit("finite")))))
     keys = [*TRIAL, "selection"]
     wide = both.groupBy(*keys).agg(F.avg("confidence").alias("confidence_mean")).join(
-        grouped_quantiles(both, keys, "confidence", {"confidence_median": 0.5, "confidence_p95": 0.95}), keys
+        grouped_quantiles(both, keys, "confidence", {"confidence_median": 0.5, "confidence_p95": 0.95}, stored=True), keys
     )
     names = {f"confidence_{m}": ("score", "neutral") for m in ("mean", "median", "p95")}
     rows = long_rows(wide, keys, names, eligible=False)
@@ -206,22 +206,23 @@ def spread_to_cells(rows: DataFrame) -> DataFrame:
     )
 
 
-def score_volumes(volumes: DataFrame, case: DataFrame, trials: DataFrame) -> DataFrame:
+def score_volumes(
+    volumes: DataFrame, case: DataFrame, truth: DataFrame, trials: DataFrame, shape: tuple[int, int, int]
+) -> DataFrame:
     """Metric rows of all stages of all trials.
 
-    ``volumes`` as of :func:`stage_volumes`; ``case``: trial_id, i3, i2, i1, n3, n2, n1, truth_mask, pt, tt of every voxel;
+    ``volumes`` as of :func:`stage_volumes`; ``case``: traces trial_id, i3, i2, pt, tt; ``truth``: trial_id, i3, i2, i1;
     ``trials``: case_id, trial_id, seed.
     """
-    shape = case.agg(F.max("n3").alias("n3"), F.max("n2").alias("n2"), F.max("n1").alias("n1"))
-    truth = case.where("truth_mask").select(*TRIAL, *XYZ)
-    sized = volumes
-    for n in ("n2", "n1"):
-        sized = sized.withColumn(n, shape.select(n).scalar())
-    sized = sized.withColumn("flat", flat_index()).drop("n2", "n1")
-    true_angles = case.select(*TRIAL, *XYZ, F.col("pt").alias("true_strike"), F.col("tt").alias("true_dip"))
-    chosen = cut_lineage(select_candidates(sized, truth).join(true_angles.hint("merge"), [*TRIAL, *XYZ]))
-    scored = score_candidates(chosen, truth, block_groups(trials), shape)
-    filled = volumes.groupBy(*BLOCK).agg(
+    samples = to_voxels(volumes, ["value", "strike", "dip"], BLOCK).withColumn("flat", flat_index(F.lit(shape[1]), F.lit(shape[2])))
+    angles = case.select(*TRIAL, "i3", "i2", "pt", "tt")
+    chosen = select_candidates(samples, truth).join(angles.hint("merge"), [*TRIAL, "i3", "i2"])
+    chosen = cut_lineage(chosen.select(
+        *GROUP, *XYZ, "strike", "dip", F.get("pt", F.col("i1")).alias("true_strike"), F.get("tt", F.col("i1")).alias("true_dip")
+    ))
+    dims = chosen.sparkSession.createDataFrame([shape], "n3 int, n2 int, n1 int")
+    scored = score_candidates(chosen, truth, block_groups(trials), dims)
+    filled = to_voxels(volumes, ["value"], BLOCK).groupBy(*BLOCK).agg(
         (F.count_if(F.abs("value") > NONZERO_EPSILON) / F.count(F.lit(1))).alias("array_nonzero_fraction")
     ).withColumn("selection", F.lit("all"))
     rows = long_rows(scored, GROUP, METRICS).unionByName(long_rows(filled, GROUP, {"array_nonzero_fraction": ("fraction", "neutral")}))
@@ -234,13 +235,15 @@ def compare_modes(cases: DataFrame, profile: Profile, tiling: Tiling = DEFAULT_T
     ``cases``: case_id, trial_id, seed and, for every voxel, i3, i2, i1, ft, pt, tt, truth_mask and the scanner input.
     Trial ids are unique and not NULL, all trials share one shape.  Scores of surfaces grown from the votes are left out.
     """
-    case = cut_lineage(with_shape(cases.select("case_id", "trial_id", "seed", *XYZ, "ft", "pt", "tt", "truth_mask", input_col)))
-    trials = cut_lineage(case.select("case_id", "trial_id", "seed").distinct())
-    volumes, gap = stage_volumes(case, profile, tiling, input_col)
-    volumes = cut_lineage(volumes)
-    shape = case.agg(F.max("n2").alias("n2"), F.max("n1").alias("n1"))
-    flat = flat_index(shape.select("n2").scalar(), shape.select("n1").scalar())
-    rows = score_volumes(volumes, case, trials).unionByName(confidence_rows(gap, flat, case.where("truth_mask")))
-    return rows.join(trials, list(TRIAL)).select(
+    of_trial = ("case_id", *TRIAL, "seed")
+    case = cut_lineage(to_traces(cases, ["ft", "pt", "tt", "truth_mask", input_col], of_trial))
+    trials = cut_lineage(case.select(*of_trial).distinct())
+    shape = tuple(shape_of(case).first())  # three numbers
+    truth = cut_lineage(to_voxels(case, ["truth_mask"], [*TRIAL]).where("truth_mask").select(*TRIAL, *XYZ))
+    volumes, gap = stage_volumes(case, profile, tiling, input_col, shape)
+    flat = flat_index(F.lit(shape[1]), F.lit(shape[2]))
+    rows = score_volumes(volumes, case, truth, trials, shape)
+    rows = rows.unionByName(confidence_rows(to_voxels(gap, ["ft", "gap"], [*TRIAL]), flat, truth))
+    return rows.join(F.broadcast(trials), list(TRIAL)).select(
         "case_id", "trial_id", "seed", "stage", "selection", "metric", "cell_label", "unit", "direction", "value", "contrast_eligible"
     )

@@ -63,24 +63,34 @@ def settings(variant: str) -> dict:
     return {**DEFAULTS, **VARIANTS[variant]}
 
 
+def thin_vote_traces(traces: DataFrame, mode: str, tiling: Tiling = DEFAULT_TILING) -> DataFrame:
+    """The thinned vote volume as traces ``thin`` with their angles vp, vt; for modes that keep every trace."""
+    if mode == "reference":
+        out = thinning.thin_reference(traces, "fv", "vp", tiling=tiling)
+    elif mode == "normal":
+        out = thinning.thin_normal(traces, "fv", "vp", "vt", tiling=tiling)
+    elif mode == "hybrid":
+        out = thinning.thin_hybrid(traces, "fv", "vp", "vt", tiling=tiling)
+    elif mode == "hybrid_v2":
+        out = thinning.hybrid_v2_traces(traces, "fv", "vp", "vt", tiling=tiling)
+    else:
+        raise ValueError(f"unknown thinning mode: {mode}")
+    return out.select(*tiling.keys, "i3", "i2", "thin", "vp", "vt")
+
+
 def thin_votes(traces: DataFrame, mode: str, tiling: Tiling = DEFAULT_TILING) -> DataFrame:
     """Voxels of the thinned vote volume (fv, vp, vt in trace layout)."""
-    if mode == "reference":
-        return to_voxels(thinning.thin_reference(traces, "fv", "vp", tiling=tiling), ["thin"], list(tiling.keys))
-    if mode == "normal":
-        return to_voxels(thinning.thin_normal(traces, "fv", "vp", "vt", tiling=tiling), ["thin"], list(tiling.keys))
-    if mode == "hybrid":
-        return to_voxels(thinning.thin_hybrid(traces, "fv", "vp", "vt", tiling=tiling), ["thin"], list(tiling.keys))
-    if mode == "hybrid_v2":
-        return thinning.thin_hybrid_v2(traces, "fv", "vp", "vt", tiling=tiling)
     if mode == "normal_plateau":
         return thinning.thin_plateau(traces, "fv", "vp", "vt", tiling=tiling)
-    raise ValueError(f"unknown thinning mode: {mode}")
+    return to_voxels(thin_vote_traces(traces, mode, tiling), ["thin"], list(tiling.keys))
 
 
-def seeds_of(attributes: DataFrame, distance: int, threshold: float, tiling: Tiling = DEFAULT_TILING) -> DataFrame:
+def seeds_of(
+    attributes: DataFrame, distance: int, threshold: float, tiling: Tiling = DEFAULT_TILING, shape: tuple[int, int, int] | None = None
+) -> DataFrame:
     """Seeds of an attribute volume in voxel layout (ft, pt, tt)."""
-    c = with_shape(attributes).withColumn("flat", flat_index()).where(F.col("ft") > F.lit(threshold).cast("float"))
+    flat = flat_index(F.lit(shape[1]), F.lit(shape[2])) if shape else flat_index()
+    c = (attributes if shape else with_shape(attributes)).withColumn("flat", flat).where(F.col("ft") > F.lit(threshold).cast("float"))
     return pick_seeds(c.select(*tiling.keys, *XYZ, "flat", F.col("ft").alias("score"), "pt", "tt"), distance, True, tiling)
 
 
@@ -91,6 +101,13 @@ def vote_stage(attributes: DataFrame, profile: Profile, tiling: Tiling = DEFAULT
     return cut_lineage(surface_voting(to_traces(at, ["ft"], tiling.keys), seeds, profile.voter, tiling))
 
 
+def vote_traces(attributes: DataFrame, profile: Profile, tiling: Tiling, shape: tuple[int, int, int]) -> DataFrame:
+    """:func:`vote_stage` of stored attributes in trace layout (ft, pt, tt) whose shape is known."""
+    voxels = to_voxels(attributes, ["ft", "pt", "tt"], list(tiling.keys))
+    seeds = seeds_of(voxels, profile.seed_distance, profile.seed_threshold, tiling, shape)
+    return cut_lineage(surface_voting(attributes.select(*tiling.keys, "i3", "i2", "ft"), seeds, profile.voter, tiling, shape))
+
+
 def run_scan(planarity: DataFrame, col: str, profile: Profile, tiling: Tiling = DEFAULT_TILING) -> DataFrame:
     """Sweep and scanner thinning; dense voxels ft, pt, tt (zeros where nothing is kept)."""
     phis, thetas = orientations(profile)
