@@ -128,3 +128,33 @@ def test_positive_candidates_are_among_the_strongest(spark):
                 pool = sorted((-r[6], r[5]) for r in rows if r[:2] == (t, block) and (sel == M.TOP or r[6] > 1e-6))
                 want |= {(t, block, sel, flat) for _, flat in pool[:n]}
     assert got == want and len(out) == len(got)
+
+
+def test_contrasts_of_a_run_that_stores_no_volume_of_voxels(spark, monkeypatch):
+    from driver_queries.workflows import workflow
+    from ridgeline.operators.voting import Voter
+    from ridgeline.plans.contrasts import CONTRASTS, paired_contrasts
+    from ridgeline.sources.cases import case_columns, range_grid, scanner_input
+
+    shape = (8, 12, 16)
+    c = case_columns(range_grid(spark, shape), "single_dipping_plane").withColumn("g", scanner_input(F.col("ft")))
+    c = c.withColumns({"case_id": F.lit("one"), "trial_id": F.lit("one"), "seed": F.lit(None).cast("bigint")})
+    stored = []
+    cut = M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda d: (out := cut(d), stored.append((out.columns, out.count())))[0])
+    p = workflow.Profile(strikes=(0.0, 80.0), dips=(65.0, 75.0), voter=Voter(2, 3, 3), seed_distance=3, seed_threshold=0.3)
+    rows = cut(M.compare_modes(c, p, Tiling(8, 8)))
+    truth = c.where("truth_mask").count()
+    sizes = [n for columns, n in stored if "i1" not in columns]
+    assert max(sizes) == 3 * shape[0] * shape[1]  # traces of three sources
+    # what is stored by voxel follows the truth: candidates of 22 groups, and the truth for each
+    assert max(n for columns, n in stored if "i1" in columns) <= 22 * truth < 13 * 8 * 12 * 16
+    value = {(r.stage, r.selection, r.metric, r.cell_label): r.value for r in rows.where("contrast_eligible").collect()}
+    got = {(r.stage, r.selection, r.metric, r.contrast_name): r.raw_value for r in paired_contrasts(rows).collect()}
+    want = {}
+    for stage, selection, metric in {k[:3] for k in value}:
+        for name, terms in CONTRASTS.items():
+            if all((stage, selection, metric, cell) in value for cell in terms):
+                want[stage, selection, metric, name] = sum(x * value[stage, selection, metric, cell] for cell, x in terms.items())
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert value["scanner_raw", M.TOP, "candidate_count", "Q-SCAN"] == truth
